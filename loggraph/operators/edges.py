@@ -28,9 +28,11 @@ HTTP_KEYS = ["src_ip", "uri_prefix", "verb"]
 # SSH
 # ---------------------------------------------------------------------------
 
-def ssh_edge_counts(ssh: DataFrame) -> DataFrame:
-    """A1: per (src_ip, dest_host) counts, distinct users, text min/max time."""
-    return ssh.groupBy(*SSH_KEYS).agg(
+def ssh_edge_counts(ssh: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
+    """A1: per (src_ip, dest_host) counts, distinct users, text min/max time.
+
+    ``extra_keys`` (e.g. a chunk or batch id) keeps separate partial states."""
+    return ssh.groupBy(*SSH_KEYS, *(extra_keys or [])).agg(
         F.count(F.lit(1)).alias("total_attempts"),
         F.count_if(F.col("auth_result") == "SUCCESS").alias("successful_auths"),
         F.count_if(F.col("auth_result") == "FAILURE").alias("failed_auths"),
@@ -57,7 +59,7 @@ def score_ssh_edges(counts: DataFrame, drop_baseline: bool = True) -> DataFrame:
     n_users = F.size("distinct_users")
     fail_ratio = F.col("failed_auths") / F.col("total_attempts").cast("double")
     df = counts.withColumn("fail_ratio", fail_ratio).withColumn("n_users", n_users)
-    priv =F.coalesce(F.arrays_overlap("distinct_users", F.array(*[F.lit(u) for u in K.PRIVILEGED_USERS])),
+    priv = F.coalesce(F.arrays_overlap("distinct_users", F.array(*[F.lit(u) for u in K.PRIVILEGED_USERS])),
                       F.lit(False))
     df = (df
           .withColumn("is_brute_force", (F.col("total_attempts") > K.BRUTE_FORCE_MIN_ATTEMPTS)
@@ -133,16 +135,17 @@ def http_edges(http: DataFrame, drop_clean_repeats: bool = True) -> DataFrame:
     return score_http_edges(http_edge_counts(http), drop_clean_repeats)
 
 
-def http_status_counts(http: DataFrame) -> DataFrame:
+def http_status_counts(http: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
     """Mergeable HTTP state with a per-status count map instead of the mode.
 
     ``status_counts MAP<INT,BIGINT>`` lets later merges recompute the modal
     status exactly (A15)."""
+    keys = [*HTTP_KEYS, *(extra_keys or [])]
     prep = http_prepare(http)
-    per_status = prep.groupBy(*HTTP_KEYS, "status_code").agg(
+    per_status = prep.groupBy(*keys, "status_code").agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_timestamp"),
         F.max("timestamp").alias("last_timestamp"))
-    return per_status.groupBy(*HTTP_KEYS).agg(
+    return per_status.groupBy(*keys).agg(
         F.sum("n").cast("bigint").alias("total_attempts"),
         F.map_from_entries(F.collect_list(F.struct(F.coalesce("status_code", F.lit(-1)), "n")))
         .alias("status_counts"),

@@ -165,9 +165,9 @@ def file_profile(lines: DataFrame, sample: int = SNIFF_SAMPLE_LINES) -> DataFram
     first_data = (data.withColumn("rn", F.row_number().over(w)).where("rn = 1")
                   .select("file",
                           F.size(F.split("raw_line", "\t")).alias("zeek_fields"),
-                          F.exists(F.split("raw_line", "\t"),
-                                   lambda x: x.contains("GET") | x.contains("HEAD") | x.contains("POST"))
-                          .alias("zeek_verb")))
+                          # a verb cannot span a tab: "some field holds it" == "the line holds it"
+                          (F.col("raw_line").contains("GET") | F.col("raw_line").contains("HEAD")
+                           | F.col("raw_line").contains("POST")).alias("zeek_verb")))
     raw = F.col("raw_line")
     prof = first.groupBy("file").agg(
         F.bool_or((F.col("rn") <= 5) & raw.contains("\t")).alias("has_tab5"),
