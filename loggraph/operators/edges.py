@@ -24,6 +24,51 @@ SSH_KEYS = ["src_ip", "dest_host"]
 HTTP_KEYS = ["src_ip", "uri_prefix", "verb"]
 
 
+# ---------------------------------------------------------------------------
+# One pass for both protocols
+# ---------------------------------------------------------------------------
+
+def edge_counts(events: DataFrame) -> DataFrame:
+    """SSH and HTTP edge state from **one** scan, parse and shuffle.
+
+    Key: ``(protocol, src_ip, k2, k3)`` with ``k2`` = destination host or URI
+    prefix and ``k3`` = HTTP verb ('' for SSH). Static-asset requests are
+    dropped first (F1). Each aggregate only sees its own protocol's values:
+    users exist on SSH rows, status codes on HTTP rows, and NULLs are ignored.
+    The output is small (one row per edge) and is what later steps read."""
+    is_http = F.col("protocol") == "HTTP"
+    ev = (events.where(F.col("protocol").isin("SSH", "HTTP"))
+          .where(~is_http | ~is_static_asset("target")))
+    st = F.col("status_code")
+    keyed = ev.select(
+        "protocol", F.col("source_ip").alias("src_ip"),
+        F.when(is_http, uri_prefix("target")).otherwise(F.col("target")).alias("k2"),
+        F.when(is_http, F.col("action")).otherwise(F.lit("")).alias("k3"),
+        "action", "user", "status_code", "timestamp")
+    return keyed.groupBy("protocol", "src_ip", "k2", "k3").agg(
+        F.count(F.lit(1)).alias("total_attempts"),
+        F.count_if(F.col("action") == "SUCCESS").alias("successful_auths"),
+        F.count_if(F.col("action") == "FAILURE").alias("failed_auths"),
+        F.array_sort(F.collect_set("user")).alias("distinct_users"),
+        F.mode("status_code", True).alias("status_code"),
+        F.count_if((st >= 400) & (st < 500)).alias("count_4xx"),
+        F.count_if(st >= 500).alias("count_5xx"),
+        F.min("timestamp").alias("first_timestamp"),
+        F.max("timestamp").alias("last_timestamp"),
+    )
+
+
+def split_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Combined edge state -> (SSH counts as A1, HTTP counts as A10)."""
+    ssh = counts.where(F.col("protocol") == "SSH").select(
+        "src_ip", F.col("k2").alias("dest_host"), "total_attempts", "successful_auths", "failed_auths",
+        "distinct_users", "first_timestamp", "last_timestamp")
+    http = counts.where(F.col("protocol") == "HTTP").select(
+        "src_ip", F.col("k2").alias("uri_prefix"), F.col("k3").alias("verb"), "total_attempts",
+        "status_code", "count_4xx", "count_5xx", "first_timestamp", "last_timestamp")
+    return ssh, http
+
+
 # ---------------------------------------------------------------------------
 # SSH
 # ---------------------------------------------------------------------------

@@ -288,22 +288,31 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # Whole pipeline
 # ---------------------------------------------------------------------------
 
-def scored_edge_rows(events: DataFrame) -> DataFrame:
-    """G1-G3 from unified events: scored HTTP and SSH edge rows."""
-    http_e = E.http_edges(http_events(events))
-    ssh_e = E.ssh_edges(ssh_events(events))
+def scored_edge_rows(events: DataFrame, materialize: bool = False) -> DataFrame:
+    """G1-G3 from unified events: scored HTTP and SSH edge rows.
+
+    Both protocols come out of one aggregate (:func:`edges.edge_counts`). With
+    ``materialize`` that small table is checkpointed to the shared checkpoint
+    folder: the log scan and parse then run exactly once, every later step
+    (chain lookup, node aggregate, remap joins, degrees) reads the checkpoint,
+    and a lost executor never forces a re-parse."""
+    counts = E.edge_counts(events)
+    if materialize:
+        from loggraph.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(events.sparkSession)
+        counts = counts.checkpoint(eager=True)
+    ssh_c, http_c = E.split_counts(counts)
+    http_e = E.score_http_edges(http_c)
+    ssh_e = E.score_ssh_edges(ssh_c)
     return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e))
 
 
-def build_graph(events: DataFrame, materialize: bool = False) -> Graph:
+def build_graph(events: DataFrame, materialize: bool = True) -> Graph:
     """Unified events -> signal/noise graph.
 
-    With ``materialize=True`` the scored edge table, which every later step
-    reads, is checkpointed to the shared checkpoint folder so its lineage (the
-    log scan and parse) is cut and never recomputed."""
-    rows = scored_edge_rows(events)
-    if materialize:
-        rows = rows.checkpoint(eager=True)
+    By default the per-edge state is materialized once (see
+    :func:`scored_edge_rows`); ``materialize=False`` keeps one lazy plan."""
+    rows = scored_edge_rows(events, materialize)
     nodes = node_risk(rows)
     edges = collapse_edges(rows, nodes)
     nrows = node_rows(nodes, edges)

@@ -105,7 +105,7 @@ lm2 as (select *, has_tab5 and not m_zeek_http and zeek_fields >= 6 as m_zeek_ss
    not m_zeek_http and has_tcp10 as m_squid from lm)"""
 
 
-def events_cte(kind: str = "mixed", families: list[str] | None = None) -> str:
+def events_cte(kind: str = "mixed", families: list[str] | None = None, where: str | None = None) -> str:
     """CTEs ``lines`` and ``ev`` (parsed, non-null source) for one rendering."""
     fams = families or ["ssh_accepted", "ssh_failed", "ssh_invalid", "ncsa"]
     needs = any(f in fams for f in ("squid", "zeek_http", "zeek_ssh"))
@@ -128,7 +128,8 @@ def events_cte(kind: str = "mixed", families: list[str] | None = None) -> str:
         prefix += "," + PROFILE
     return (prefix + f""",
 ev0 as ({ev0}),
-ev as (select * from ev0 where source_ip is not null and not (starts_with(family, 'zeek') and source_ip = '-'))""")
+ev as (select * from ev0 where source_ip is not null and not (starts_with(family, 'zeek') and source_ip = '-')
+   and ({where or 'true'}))""")
 
 
 PRIV_LIST = "[" + ", ".join(q(u) for u in K.PRIVILEGED_USERS) + "]"
@@ -243,8 +244,9 @@ gsummary as (select cast((select count(*) from nrows) as bigint) as total_nodes,
    cast((select count(*) from nrows where risk_score >= {K.SIGNAL_RISK_THRESHOLD}) as bigint) as high_risk_nodes_count)"""
 
 
-def with_graph(kind: str = "mixed", families: list[str] | None = None, extra: str = "") -> str:
-    ctes = events_cte(kind, families) + "," + GRAPH
+def with_graph(kind: str = "mixed", families: list[str] | None = None, extra: str = "",
+               where: str | None = None) -> str:
+    ctes = events_cte(kind, families, where) + "," + GRAPH
     if extra:
         ctes += "," + extra
     return "with " + ctes + "\n"
@@ -351,3 +353,189 @@ ORACLE: dict[str, str] = {
    case when total_edges > 0 then round(anomalous_edges_count / total_edges, 3) else 0.0 end as noise_reduction_ratio
    from gsummary"""),
 }
+
+
+# ---------------------------------------------------------------------------
+# cluster overview
+# ---------------------------------------------------------------------------
+
+OVERVIEW = f"""
+cf as (select case when not {private('source_ip')} then 'super:external_threats'
+     else 'super:subnet:' || {subnet24('source_ip')} end as src_cluster,
+   case when protocol = 'HTTP' then 'super:web_urls'
+     when {private('target')} then 'super:subnet:' || {subnet24('target')} else 'super:external_threats' end as tgt_cluster,
+   protocol, source_ip, target from ev),
+src_m as (select distinct src_cluster as cluster_id, 'host:' || source_ip as node_id from cf),
+web_m as (select distinct 'super:web_urls' as cluster_id, 'url:' || target as node_id from cf where protocol = 'HTTP'),
+tgt_m as (select distinct tgt_cluster as cluster_id, 'host:' || target as node_id from cf
+   where protocol = 'SSH' and tgt_cluster <> 'super:web_urls'
+     and tgt_cluster not in (select cluster_id from src_m)),
+cmembers as (select * from src_m union select * from web_m union select * from tgt_m),
+ccount as (select cluster_id, count(*) as child_count from cmembers group by cluster_id),
+snodes as (select cluster_id as id,
+   case when cluster_id = 'super:external_threats' then 'External Threats (' || child_count || ' IPs)'
+        when starts_with(cluster_id, 'super:subnet:') then 'Subnet ' || replace(cluster_id, 'super:subnet:', '') || ' (' || child_count || ' hosts)'
+        when cluster_id = 'super:web_urls' then 'Web Endpoints (' || child_count || ')'
+        else 'Cluster (' || child_count || ')' end as label,
+   'SUPER_NODE' as node_type, cast(child_count as bigint) as child_count,
+   case when cluster_id = 'super:external_threats' then 'external_ip' when starts_with(cluster_id, 'super:subnet:') then 'internal_subnet_24'
+        when cluster_id = 'super:web_urls' then 'url_collapse' else 'unknown' end as cluster_rule,
+   cast(case when cluster_id = 'super:external_threats' then 7.0 when starts_with(cluster_id, 'super:subnet:') then 2.0
+        when cluster_id = 'super:web_urls' then 3.0 else 1.0 end as double) as risk_score
+   from ccount),
+pairs as (select src_cluster, tgt_cluster, count(*) as total_attempts, count(distinct source_ip) as src_unique_ips,
+   count(distinct target) as tgt_unique_entities, count(*) filter (where protocol = 'SSH') as ssh_n,
+   count(*) filter (where protocol = 'HTTP') as http_n
+   from cf group by src_cluster, tgt_cluster having src_cluster <> tgt_cluster),
+sedges as (select 'super_edge:' || src_cluster || '->' || tgt_cluster as id, src_cluster as source, tgt_cluster as target,
+   case when ssh_n > http_n then 'SSH_AUTH' else 'HTTP_REQUEST' end as edge_type,
+   cast(least(10.0, cast(total_attempts as double) / 50.0) as double) as weight, cast(total_attempts as bigint) as total_attempts,
+   cast(src_unique_ips as bigint) as src_unique_ips, cast(tgt_unique_entities as bigint) as tgt_unique_entities,
+   case when ssh_n > http_n then 'SSH' else 'HTTP' end as dominant_protocol,
+   (total_attempts > 10 or ssh_n > http_n) as is_anomalous
+   from pairs where src_cluster in (select id from snodes) and tgt_cluster in (select id from snodes))"""
+
+TOPK = """
+touchids as (select source as id from fedges where is_anomalous union select target as id from fedges where is_anomalous),
+ranked as (select n.*, (t.id is not null) as touch from nrows n left join touchids t on t.id = n.id),
+kept as (select * from ranked order by touch desc, risk_score desc, id asc limit {k}),
+kept_edges as (select * from fedges where source in (select id from kept) and target in (select id from kept))"""
+
+
+def expand_where(super_id: str) -> str:
+    if super_id in (K.SUPER_EXTERNAL_THREATS, K.SUPER_EXTERNAL_NOISE):
+        return f"not {private('source_ip')}"
+    if super_id.startswith(K.SUPER_SUBNET_PREFIX):
+        prefix = super_id.replace(K.SUPER_SUBNET_PREFIX, "").replace(".0/24", ".")
+        return f"(starts_with(source_ip, {q(prefix)}) or coalesce(starts_with(target, {q(prefix)}), false))"
+    if super_id in (K.SUPER_WEB_URLS, K.SUPER_WEB_SURFACE):
+        return "protocol = 'HTTP'"
+    if super_id == K.SUPER_INTERNAL_BASELINE:
+        return private("source_ip")
+    return "false"
+
+
+def _expand_sql(super_id: str, final: str, k: int = K.EXPAND_MAX_NODES) -> str:
+    return with_graph("mixed", None, TOPK.format(k=k), where=expand_where(super_id)) + final
+
+
+# ---------------------------------------------------------------------------
+# time
+# ---------------------------------------------------------------------------
+
+def event_ts_sql(c: str = "timestamp", log_year: int = 2024) -> str:
+    return f"""(case when regexp_matches({c}, '^[A-Z][a-z]{{2}}\\s')
+     then try_strptime('{log_year} ' || regexp_replace({c}, '\\s+', ' ', 'g'), '%Y %b %d %H:%M:%S')
+   when regexp_matches({c}, '^\\d{{2}}/[A-Z][a-z]{{2}}/')
+     then try_strptime({c}, '%d/%b/%Y:%H:%M:%S %z') at time zone 'UTC'
+   when regexp_matches({c}, '^\\d+(\\.\\d+)?$') then to_timestamp(cast({c} as double)) at time zone 'UTC' end)"""
+
+
+FMT = "'%Y-%m-%d %H:%M:%S'"
+TSV = f"tsv as (select *, {event_ts_sql()} as t from ev)"
+
+FLAGS = "string_split(anomaly_flags, ',')"
+
+
+def dominant_sql() -> str:
+    parts = " ".join(f"when list_contains({FLAGS}, {q(f)}) then {q(f)}" for f in K.FLAG_SEVERITY)
+    return f"(case {parts} end)"
+
+
+SCAN_IN = "(" + ", ".join(q(f) for f in K.SCAN_FLAGS) + ")"
+TIER = ("case when is_noise_super then 'noise' when risk_score >= 5.0 then 'critical' "
+        "when risk_score >= 3.0 then 'suspicious' else 'noise' end")
+
+ORACLE.update({
+    "c3_super_edges": _mixed("select * from sedges", OVERVIEW),
+    "c4_super_nodes": _mixed("select * from snodes", OVERVIEW),
+    "c6_cluster_members": _mixed("select cluster_id, node_id from cmembers", OVERVIEW),
+    "a18_cluster_summary": _mixed("""select cast((select count(*) from snodes) as bigint) as total_nodes,
+   cast((select count(*) from sedges) as bigint) as total_edges,
+   cast((select count(*) from sedges where is_anomalous) as bigint) as anomalous_edges_count,
+   cast((select count(*) from snodes where risk_score >= 5.0) as bigint) as high_risk_nodes_count,
+   cast((select count(*) from sedges where is_anomalous) as bigint) as detected_lateral_chains""", OVERVIEW),
+    "e1_expand_external": _expand_sql(K.SUPER_EXTERNAL_THREATS, f"select {NODE_OUT} from kept"),
+    "e2_expand_subnet": _expand_sql("super:subnet:10.0.1.0/24", f"select {NODE_OUT} from kept"),
+    "e3_expand_web": _expand_sql(K.SUPER_WEB_SURFACE, f"select {NODE_OUT} from kept"),
+    "e4_expand_internal": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {NODE_OUT} from kept"),
+    "k1_top75_edges": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {EDGE_OUT} from kept_edges"),
+    "k2_top60": _mixed(f"select {NODE_OUT} from kept", TOPK.format(k=K.CLIENT_MAX_NODES)),
+    "f9_f11_edge_classes": _mixed(f"""select id,
+   round(least(4.0, (case when is_anomalous then 1.2 else 0.3 end)
+     + 0.75 * log10(greatest(1.0, cast(total_attempts as double)))), 6) as prominence,
+   {dominant_sql()} as dominant_flag,
+   case when not is_anomalous then 'noise' when {dominant_sql()} in {SCAN_IN} then 'scan' else 'attack' end as edge_class
+   from fedges"""),
+    "f11_attack_only": _mixed(f"""select id, source, target, 'attack' as edge_class from fedges
+   where is_anomalous and not coalesce({dominant_sql()} in {SCAN_IN}, false)"""),
+    "f12_f13_node_classes": _mixed(f"""select id,
+   case when risk_score >= 3.0 then 'red' when risk_score >= 1.5 then 'amber' else 'green' end as risk_band,
+   {TIER} as risk_tier from nrows"""),
+    "k3_layer_rank": _mixed(f"""select id, layer, {TIER} as risk_tier,
+   cast(row_number() over (partition by layer, {TIER} order by risk_score desc, id asc) as bigint) as rank_in_tier
+   from nrows"""),
+    "k4_parallel_ordinal": _mixed("""select id,
+   cast(row_number() over (partition by source, target order by id) - 1 as bigint) as parallel_index,
+   cast(count(*) over (partition by source, target) as bigint) as parallel_count from erows"""),
+    "j6_ego": _mixed(f"""select {EDGE_OUT} from fedges
+   where source = (select id from nrows order by risk_score desc, id asc limit 1)
+      or target = (select id from nrows order by risk_score desc, id asc limit 1)"""),
+    "j7_neighbours": _mixed(f"""select distinct other as id from (
+   select source as node, target as other from erows union all select target as node, source as other from erows)
+   where node in (select id from nmap where super_id = {INT})
+     and other not in (select id from nmap where super_id = {INT})"""),
+    "a20_node_type_counts": _mixed("select node_type, count(*) as n from nrows group by node_type"),
+    "x1_web_ssh_300s": _mixed(f"""select s.src_ip, s.dest_host, strftime(s.t, {FMT}) as ssh_time,
+   strftime(h.http_time, {FMT}) as http_time, cast(epoch(s.t) - epoch(h.http_time) as bigint) as delta_s
+   from (select source_ip as src_ip, target as dest_host, t from tsv where protocol = 'SSH' and t is not null) s
+   asof join (select source_ip as src_ip, t as http_time from tsv where protocol = 'HTTP' and t is not null) h
+     on s.src_ip = h.src_ip and h.http_time <= s.t
+   where epoch(s.t) - epoch(h.http_time) <= 300""", TSV),
+    "x2_timeline": _mixed(f"""select strftime(date_trunc('hour', t), {FMT}) as bucket_start, count(*) as event_count,
+   count(*) filter (where action = 'FAILURE') as failed_count from tsv where t is not null
+   group by date_trunc('hour', t)""", TSV),
+    "x3_event_time": _all(f"""select distinct timestamp, protocol, strftime(t, {FMT}) as event_ts from tsv""", TSV),
+    "x4_off_hours": _mixed("""select source_ip as src_ip, target as dest_host, count(*) as total_attempts,
+   count(*) filter (where hour(t) >= 22 or hour(t) < 6) as off_hours_events,
+   count(*) filter (where hour(t) >= 22 or hour(t) < 6) > 0 as off_hours_access
+   from tsv where protocol = 'SSH' group by source_ip, target""", TSV),
+    "x5_scanners": _mixed(f"""select src_ip, count(distinct case when status_code >= 400 and status_code < 500 then uri_prefix end)
+     as distinct_4xx_paths,
+   count(distinct case when status_code >= 400 and status_code < 500 then uri_prefix end) >= {K.HTTP_SCAN_MIN_DISTINCT_PATHS} as is_scanner
+   from http_prep group by src_ip"""),
+    "x6_benign_ssh": _mixed("""select src_ip, count(*) as total_attempts, count(*) filter (where auth_result = 'FAILURE') as failed_auths,
+   count(distinct "user") as n_users,
+   (count(*) >= 100 and count(*) filter (where auth_result = 'FAILURE') = 0 and count(distinct "user") = 1) as is_benign
+   from sshv group by src_ip"""),
+    "x7_url_clusters": _mixed("""select 'super:url:' || segment as id, segment, count(*) as child_count, max(risk) as aggregated_risk
+   from (select *, regexp_extract(replace(id, 'url:', ''), '^(/[^/]*)', 1) as segment from nmap
+         where starts_with(id, 'url:') and risk < 5.0) where segment <> ''
+   group by segment having count(*) >= 2"""),
+    "x8_exempt_nodes": _mixed("""select coalesce(h.id, c.id) as id, coalesce(h.crown_jewel, false) as crown_jewel,
+   coalesce(c.chain_member, false) as chain_member
+   from (select id, risk >= 7.0 as crown_jewel from nmap where starts_with(id, 'host:')) h
+   full outer join (select distinct id, true as chain_member from (
+       select source as id from erows where list_contains(string_split(anomaly_flags, ','), 'FULL_ATTACK_CHAIN')
+         or list_contains(string_split(anomaly_flags, ','), 'SSH_PRIVILEGE_PIVOT')
+       union all select target as id from erows where list_contains(string_split(anomaly_flags, ','), 'FULL_ATTACK_CHAIN')
+         or list_contains(string_split(anomaly_flags, ','), 'SSH_PRIVILEGE_PIVOT'))) c on c.id = h.id
+   where coalesce(h.crown_jewel, false) or coalesce(c.chain_member, false)"""),
+    "x9_super_aggregates": _mixed("""select m.super_id as id, m.child_count, m.aggregated_risk,
+   cast(coalesce(p.aggregated_edge_count, 0) as bigint) as aggregated_edge_count
+   from (select super_id, count(*) as child_count, max(risk) as aggregated_risk from nmap
+         where super_id is not null group by super_id) m
+   left join (select sid as super_id, count(*) as aggregated_edge_count from (
+       select distinct e.id, x.sid from e2 e, (select unnest([e.s_super, e.t_super]) as sid) x where x.sid is not null)
+       group by sid) p on p.super_id = m.super_id"""),
+    "x10_summary_extras": _mixed("""select cast((select count(*) from nmap) as bigint) as total_raw_nodes_before_clustering,
+   cast((select count(*) from nrows) as bigint) as total_nodes,
+   cast((select count(*) from nrows where is_noise_super) as bigint) as super_node_count,
+   cast((select count(*) from nrows where not is_noise_super) as bigint) as individual_node_count,
+   case when (select count(*) from nmap) > 0 then round(1 - (select count(*) from nrows) / (select count(*) from nmap), 3)
+     else 0.0 end as clustering_ratio"""),
+    "x12_event_id": "with lines as (" + render_sql("mixed", "duckdb") + """)
+select file, line_no, sha256(file || chr(1) || raw_line) as event_id from lines""",
+    "x13_node_events": _mixed(f"""select {EV_OUT} from ev where source_ip = '10.0.9.9' or (protocol = 'SSH' and target = '10.0.9.9')
+   order by file, line_no limit 50"""),
+})

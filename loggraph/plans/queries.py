@@ -292,3 +292,217 @@ def g14(spark, sf):
 @query("a17_summary")
 def a17(spark, sf):
     return report(graph_of(spark, sf).summary)
+
+
+# ---------------------------------------------------------------------------
+# cluster overview and drill-down
+# ---------------------------------------------------------------------------
+
+def overview_of(spark, sf):
+    from loggraph.operators.clusters import build_overview
+    return build_overview(events_of(spark, sf))
+
+
+@query("c3_super_edges")
+def c3(spark, sf):
+    return report(overview_of(spark, sf).super_edges)
+
+
+@query("c4_super_nodes")
+def c4(spark, sf):
+    return report(overview_of(spark, sf).super_nodes)
+
+
+@query("c6_cluster_members")
+def c6(spark, sf):
+    return report(overview_of(spark, sf).members)
+
+
+@query("a18_cluster_summary")
+def a18(spark, sf):
+    return report(overview_of(spark, sf).summary)
+
+
+SUBNET_EXAMPLE = "super:subnet:10.0.1.0/24"
+
+
+def _expand(spark, sf, super_id, part="nodes"):
+    from loggraph.operators.expand import expand
+    x = expand(events_of(spark, sf), super_id)
+    return report(getattr(x, part))
+
+
+@query("e1_expand_external")
+def e1(spark, sf):
+    return _expand(spark, sf, K.SUPER_EXTERNAL_THREATS)
+
+
+@query("e2_expand_subnet")
+def e2(spark, sf):
+    return _expand(spark, sf, SUBNET_EXAMPLE)
+
+
+@query("e3_expand_web")
+def e3(spark, sf):
+    return _expand(spark, sf, K.SUPER_WEB_SURFACE)
+
+
+@query("e4_expand_internal")
+def e4(spark, sf):
+    return _expand(spark, sf, K.SUPER_INTERNAL_BASELINE)
+
+
+@query("k1_top75_edges")
+def k1(spark, sf):
+    return _expand(spark, sf, K.SUPER_INTERNAL_BASELINE, "edges")
+
+
+@query("k2_top60")
+def k2(spark, sf):
+    from loggraph.operators.expand import top_nodes
+    g = graph_of(spark, sf)
+    return report(top_nodes(g.nodes, g.edges, K.CLIENT_MAX_NODES)[0])
+
+
+# ---------------------------------------------------------------------------
+# analyst-side operators
+# ---------------------------------------------------------------------------
+
+@query("f9_f11_edge_classes")
+def f9_f11(spark, sf):
+    from loggraph.operators.analyst import classify_edges
+    c = classify_edges(graph_of(spark, sf).edges)
+    return report(c.select("id", F.round("prominence", 6).alias("prominence"), "dominant_flag", "edge_class"))
+
+
+@query("f11_attack_only")
+def f11(spark, sf):
+    from loggraph.operators.analyst import filter_edges
+    c = filter_edges(graph_of(spark, sf).edges, hide_noise=True, hide_scan=True)
+    return report(c.select("id", "source", "target", "edge_class"))
+
+
+@query("f12_f13_node_classes")
+def f12_f13(spark, sf):
+    from loggraph.operators.analyst import classify_nodes
+    return report(classify_nodes(graph_of(spark, sf).nodes).select("id", "risk_band", "risk_tier"))
+
+
+@query("k3_layer_rank")
+def k3(spark, sf):
+    from loggraph.operators.analyst import layer_rank
+    return report(layer_rank(graph_of(spark, sf).nodes).select("id", "layer", "risk_tier", "rank_in_tier"))
+
+
+@query("k4_parallel_ordinal")
+def k4(spark, sf):
+    from loggraph.operators.analyst import parallel_ordinal
+    g = graph_of(spark, sf)
+    return report(parallel_ordinal(g.raw_edges).select("id", "parallel_index", "parallel_count"))
+
+
+@query("j6_ego")
+def j6(spark, sf):
+    """Edges around the highest-risk node (ties: smallest id)."""
+    from loggraph.operators.analyst import ego_edges
+    g = graph_of(spark, sf)
+    top = g.nodes.orderBy(F.desc("risk_score"), F.asc("id")).limit(1).select("id")
+    return report(ego_edges(g.edges, F.broadcast(top)))
+
+
+@query("j7_neighbours")
+def j7(spark, sf):
+    """Nodes adjacent to the members of the internal-baseline super-node."""
+    from loggraph.operators.analyst import neighbours
+    g = graph_of(spark, sf)
+    members = g.node_risk.where(F.col("super_id") == K.SUPER_INTERNAL_BASELINE).select("id")
+    return report(neighbours(g.raw_edges, members))
+
+
+@query("a20_node_type_counts")
+def a20(spark, sf):
+    from loggraph.operators.analyst import node_type_counts
+    return report(node_type_counts(graph_of(spark, sf).nodes))
+
+
+# ---------------------------------------------------------------------------
+# time, classes, extras
+# ---------------------------------------------------------------------------
+
+@query("x1_web_ssh_300s")
+def x1(spark, sf):
+    from loggraph.operators.timeline import web_to_ssh
+    return report(web_to_ssh(events_of(spark, sf)))
+
+
+@query("x2_timeline")
+def x2(spark, sf):
+    from loggraph.operators.timeline import timeline
+    return report(timeline(events_of(spark, sf)))
+
+
+@query("x3_event_time")
+def x3(spark, sf):
+    from loggraph.operators.parse import with_event_time
+    ev = with_event_time(all_events(spark, sf))
+    return report(ev.select("timestamp", "protocol", "event_ts").distinct())
+
+
+@query("x4_off_hours")
+def x4(spark, sf):
+    from loggraph.operators.timeline import off_hours_edges
+    return report(off_hours_edges(events_of(spark, sf)))
+
+
+@query("x5_scanners")
+def x5(spark, sf):
+    from loggraph.operators.classes import scanners
+    return report(scanners(events_of(spark, sf)))
+
+
+@query("x6_benign_ssh")
+def x6(spark, sf):
+    from loggraph.operators.classes import benign_ssh_sources
+    return report(benign_ssh_sources(events_of(spark, sf)))
+
+
+@query("x7_url_clusters")
+def x7(spark, sf):
+    from loggraph.operators.classes import url_clusters
+    return report(url_clusters(graph_of(spark, sf).node_risk))
+
+
+@query("x8_exempt_nodes")
+def x8(spark, sf):
+    from loggraph.operators.classes import exempt_nodes
+    g = graph_of(spark, sf)
+    return report(exempt_nodes(g.node_risk, g.raw_edges))
+
+
+@query("x9_super_aggregates")
+def x9(spark, sf):
+    from loggraph.operators.classes import super_aggregates
+    g = graph_of(spark, sf)
+    return report(super_aggregates(g.node_risk, g.raw_edges))
+
+
+@query("x10_summary_extras")
+def x10(spark, sf):
+    from loggraph.operators.classes import summary_extras
+    g = graph_of(spark, sf)
+    return report(summary_extras(g.node_risk, g.nodes))
+
+
+@query("x12_event_id")
+def x12(spark, sf):
+    from loggraph.operators.timeline import event_ids
+    return report(event_ids(lines_of(spark, sf)))
+
+
+NODE_EXAMPLE = "host:10.0.9.9"
+
+
+@query("x13_node_events")
+def x13(spark, sf):
+    from loggraph.operators.timeline import node_events
+    return report(node_events(events_of(spark, sf), NODE_EXAMPLE, page_size=50))

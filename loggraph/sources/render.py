@@ -123,6 +123,12 @@ def render_sql(kind: str = "mixed", dialect: str = "duckdb") -> str:
 def render_lines(spark: SparkSession, sf_dir: str, kind: str = "mixed") -> DataFrame:
     """Line table rendered from ``{sf_dir}/events.parquet`` (and ``pages``)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A log folder arrives as many file splits; a small table packed into one row
+    # group arrives as a single split. Only then spread the (narrow) source rows so
+    # parsing runs on every core; with enough splits the scan is used as it is.
+    par = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < par:
+        events = events.repartition(par, "event_id")
     kwargs = {"events": events}
     if kind in ("squid", "all"):
         kwargs["pages"] = spark.read.parquet(f"{sf_dir}/pages.parquet")
