@@ -94,9 +94,8 @@ def build_overview(events: DataFrame, materialize: bool = True) -> Overview:
     """Super-nodes, super-edges, membership and summary from unified events."""
     facts = cluster_facts(events)
     if materialize:
-        from loggraph.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(events.sparkSession)
-        facts = facts.checkpoint(eager=True)
+        from loggraph.session import materialize as write_table
+        facts = write_table(facts, "cluster_facts")
     counts, members = super_nodes_and_members(facts)
     label, rule, risk = cluster_props("cluster_id", "child_count")
     snodes = counts.select(

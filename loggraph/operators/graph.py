@@ -54,7 +54,7 @@ class Graph:
     node_risk: DataFrame      # every raw node with risk, touch, layer, signal, super id
 
     def unpersist(self):
-        for df in (self.raw_edges,):
+        for df in (self.raw_edges, self.node_risk, self.edges):
             try:
                 df.unpersist()
             except Exception:
@@ -292,15 +292,14 @@ def scored_edge_rows(events: DataFrame, materialize: bool = False) -> DataFrame:
     """G1-G3 from unified events: scored HTTP and SSH edge rows.
 
     Both protocols come out of one aggregate (:func:`edges.edge_counts`). With
-    ``materialize`` that small table is checkpointed to the shared checkpoint
+    ``materialize`` that small table is written once to the shared checkpoint
     folder: the log scan and parse then run exactly once, every later step
     (chain lookup, node aggregate, remap joins, degrees) reads the checkpoint,
     and a lost executor never forces a re-parse."""
     counts = E.edge_counts(events)
     if materialize:
-        from loggraph.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(events.sparkSession)
-        counts = counts.checkpoint(eager=True)
+        from loggraph.session import materialize as write_table
+        counts = write_table(counts, "edge_counts")
     ssh_c, http_c = E.split_counts(counts)
     http_e = E.score_http_edges(http_c)
     ssh_e = E.score_ssh_edges(ssh_c)
@@ -313,7 +312,14 @@ def build_graph(events: DataFrame, materialize: bool = True) -> Graph:
     By default the per-edge state is materialized once (see
     :func:`scored_edge_rows`); ``materialize=False`` keeps one lazy plan."""
     rows = scored_edge_rows(events, materialize)
+    if materialize:
+        # Small per-edge / per-node tables read by several outputs: keep them in
+        # memory. A lost partition is recomputed from the written edge table,
+        # never from the logs.
+        rows = rows.cache()
     nodes = node_risk(rows)
     edges = collapse_edges(rows, nodes)
+    if materialize:
+        nodes, edges = nodes.cache(), edges.cache()
     nrows = node_rows(nodes, edges)
     return Graph(nodes=nrows, edges=edges, summary=summary(nrows, edges), raw_edges=rows, node_risk=nodes)

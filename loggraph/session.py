@@ -57,3 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="loggraph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` but computes the input only once
+    (an eager RDD checkpoint runs the plan twice unless it is also cached), and
+    the written table survives lost executors."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
