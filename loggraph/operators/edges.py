@@ -58,6 +58,19 @@ def edge_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def edge_counts_schema():
+    """Schema of :func:`edge_counts` (for empty snapshots)."""
+    from pyspark.sql import types as T
+    return T.StructType([
+        T.StructField("protocol", T.StringType()), T.StructField("src_ip", T.StringType()),
+        T.StructField("k2", T.StringType()), T.StructField("k3", T.StringType()),
+        T.StructField("total_attempts", T.LongType()), T.StructField("successful_auths", T.LongType()),
+        T.StructField("failed_auths", T.LongType()), T.StructField("distinct_users", T.ArrayType(T.StringType())),
+        T.StructField("status_code", T.IntegerType()), T.StructField("count_4xx", T.LongType()),
+        T.StructField("count_5xx", T.LongType()), T.StructField("first_timestamp", T.StringType()),
+        T.StructField("last_timestamp", T.StringType())])
+
+
 def split_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Combined edge state -> (SSH counts as A1, HTTP counts as A10)."""
     ssh = counts.where(F.col("protocol") == "SSH").select(

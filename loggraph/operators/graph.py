@@ -288,38 +288,53 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # Whole pipeline
 # ---------------------------------------------------------------------------
 
+def rows_from_counts(counts: DataFrame) -> DataFrame:
+    """G1-G3 from combined edge state: scored HTTP and SSH edge rows."""
+    ssh_c, http_c = E.split_counts(counts)
+    http_e = E.score_http_edges(http_c)
+    ssh_e = E.score_ssh_edges(ssh_c)
+    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e))
+
+
 def scored_edge_rows(events: DataFrame, materialize: bool = False) -> DataFrame:
     """G1-G3 from unified events: scored HTTP and SSH edge rows.
 
     Both protocols come out of one aggregate (:func:`edges.edge_counts`). With
     ``materialize`` that small table is written once to the shared checkpoint
     folder: the log scan and parse then run exactly once, every later step
-    (chain lookup, node aggregate, remap joins, degrees) reads the checkpoint,
-    and a lost executor never forces a re-parse."""
+    (chain lookup, node aggregate, remap joins, degrees) reads the table, and a
+    lost executor never forces a re-parse."""
     counts = E.edge_counts(events)
     if materialize:
         from loggraph.session import materialize as write_table
         counts = write_table(counts, "edge_counts")
-    ssh_c, http_c = E.split_counts(counts)
-    http_e = E.score_http_edges(http_c)
-    ssh_e = E.score_ssh_edges(ssh_c)
-    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e))
-
+    return rows_from_counts(counts)
 
-def build_graph(events: DataFrame, materialize: bool = True) -> Graph:
-    """Unified events -> signal/noise graph.
 
-    By default the per-edge state is materialized once (see
-    :func:`scored_edge_rows`); ``materialize=False`` keeps one lazy plan."""
-    rows = scored_edge_rows(events, materialize)
-    if materialize:
+def build_graph_from_counts(counts: DataFrame, cache: bool = True) -> Graph:
+    """Graph from combined edge state (batch, merged partials or a stream snapshot)."""
+    rows = rows_from_counts(counts)
+    if cache:
         # Small per-edge / per-node tables read by several outputs: keep them in
-        # memory. A lost partition is recomputed from the written edge table,
+        # memory. A lost partition is recomputed from the edge-state table,
         # never from the logs.
         rows = rows.cache()
     nodes = node_risk(rows)
     edges = collapse_edges(rows, nodes)
-    if materialize:
+    if cache:
         nodes, edges = nodes.cache(), edges.cache()
     nrows = node_rows(nodes, edges)
     return Graph(nodes=nrows, edges=edges, summary=summary(nrows, edges), raw_edges=rows, node_risk=nodes)
+
+
+def build_graph(events: DataFrame, materialize: bool = True) -> Graph:
+    """Unified events -> signal/noise graph.
+
+    By default the per-edge state is written once to the shared checkpoint
+    folder (see :func:`scored_edge_rows`) and the small downstream tables are
+    cached; ``materialize=False`` keeps one lazy plan."""
+    counts = E.edge_counts(events)
+    if materialize:
+        from loggraph.session import materialize as write_table
+        counts = write_table(counts, "edge_counts")
+    return build_graph_from_counts(counts, cache=materialize)

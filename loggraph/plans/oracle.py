@@ -539,3 +539,9 @@ select file, line_no, sha256(file || chr(1) || raw_line) as event_id from lines"
     "x13_node_events": _mixed(f"""select {EV_OUT} from ev where source_ip = '10.0.9.9' or (protocol = 'SSH' and target = '10.0.9.9')
    order by file, line_no limit 50"""),
 })
+
+ORACLE.update({
+    "s9_session_scan": _mixed("""select cast(count(*) filter (where protocol = 'SSH') as bigint) as valid_ssh_events,
+   cast(count(*) filter (where protocol = 'HTTP') as bigint) as valid_http_events from ev"""),
+    "t2_stream_summary": ORACLE["a17_summary"],
+})

@@ -506,3 +506,44 @@ NODE_EXAMPLE = "host:10.0.9.9"
 def x13(spark, sf):
     from loggraph.operators.timeline import node_events
     return report(node_events(events_of(spark, sf), NODE_EXAMPLE, page_size=50))
+
+
+# ---------------------------------------------------------------------------
+# session store and streaming
+# ---------------------------------------------------------------------------
+
+def _scratch(spark, name):
+    import uuid
+
+    from loggraph.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s9_session_scan")
+def s9(spark, sf):
+    """Store the parsed session (S8), scan it back pruned by session id (S9), count."""
+    from loggraph.sources.store import load_session, protocol_counts, store_session
+    root = _scratch(spark, "sessions")
+    store_session(events_of(spark, sf), root, "sess_a")
+    return report(protocol_counts(load_session(spark, root, "sess_a")))
+
+
+def _stream(spark, sf):
+    """Render the logs into a folder of four text files, then stream it."""
+    from loggraph.streaming.ingest import StreamIngest
+    base = _scratch(spark, "stream")
+    logs = f"{base}/logs"
+    lines_of(spark, sf).select("raw_line").repartition(4, "raw_line").write.text(logs)
+    return StreamIngest(spark, f"{base}/state").run(logs, max_files_per_trigger=1)
+
+
+@query("t2_stream_summary")
+def t2(spark, sf):
+    """Micro-batch ingest (AvailableNow) then the graph over the merged snapshot."""
+    return report(_stream(spark, sf).graph().summary)
+
+
+@query("k5_running_totals")
+def k5(spark, sf):
+    """Global totals after each micro-batch (rows-only check: batches follow file order)."""
+    return report(_stream(spark, sf).running_totals())

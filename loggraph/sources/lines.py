@@ -85,9 +85,11 @@ def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | No
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     raw = reader.load(path)
+    # Streams carry no row ordinal (monotonically_increasing_id is batch-only);
+    # the streaming parser needs none, since per-file head rules are batch-only.
     return raw.select(
         _valid_utf8("value").alias("raw_line"),
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.lit(None).cast("bigint").alias("line_no"),
         (F.col("_metadata.file_block_start") == 0).alias("is_head"),
     )
