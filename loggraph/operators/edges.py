@@ -113,28 +113,27 @@ def merge_ssh_counts(parts: DataFrame) -> DataFrame:
 
 
 def score_ssh_edges(counts: DataFrame, drop_baseline: bool = True) -> DataFrame:
-    """Ratio, flags, risk, anomaly; drop collapsed baseline edges."""
+    """Ratio, flags, risk, anomaly; drop collapsed baseline edges.
+
+    All derived columns are composed as expressions and added in one projection."""
+    tot, failed = F.col("total_attempts"), F.col("failed_auths")
+    fail_ratio = failed / tot.cast("double")
     n_users = F.size("distinct_users")
-    fail_ratio = F.col("failed_auths") / F.col("total_attempts").cast("double")
-    df = counts.withColumn("fail_ratio", fail_ratio).withColumn("n_users", n_users)
+    brute = (tot > K.BRUTE_FORCE_MIN_ATTEMPTS) & (fail_ratio >= K.BRUTE_FORCE_FAIL_RATIO)
     priv = F.coalesce(F.arrays_overlap("distinct_users", F.array(*[F.lit(u) for u in K.PRIVILEGED_USERS])),
                       F.lit(False))
-    df = (df
-          .withColumn("is_brute_force", (F.col("total_attempts") > K.BRUTE_FORCE_MIN_ATTEMPTS)
-                      & (F.col("fail_ratio") >= K.BRUTE_FORCE_FAIL_RATIO))
-          .withColumn("has_priv_user", priv)
-          .withColumn("is_multi_pivot", F.col("n_users") >= K.MULTI_USER_PIVOT_THRESHOLD)
-          .withColumn("is_collapsed", (F.col("total_attempts") >= K.HIGH_FREQ_COLLAPSED_THRESHOLD)
-                      & (F.col("failed_auths") == 0) & (F.col("n_users") == 1)))
+    multi = n_users >= K.MULTI_USER_PIVOT_THRESHOLD
+    collapsed = (tot >= K.HIGH_FREQ_COLLAPSED_THRESHOLD) & (failed == 0) & (n_users == 1)
     risk = (F.lit(K.SSH_BASE_RISK)
-            + F.col("is_brute_force").cast("double") * K.SSH_BRUTE_WEIGHT
-            + F.col("has_priv_user").cast("double") * K.SSH_PRIV_WEIGHT
-            + F.col("is_multi_pivot").cast("double") * K.SSH_MULTI_WEIGHT
-            - F.col("is_collapsed").cast("double") * K.SSH_COLLAPSED_PENALTY)
-    df = df.withColumn("risk_score", F.round(risk, 2))
-    df = df.withColumn("is_anomalous",
-                       (F.col("is_brute_force") | F.col("has_priv_user") | F.col("is_multi_pivot"))
-                       & ~(F.col("is_collapsed") & ~F.col("has_priv_user")))
+            + brute.cast("double") * K.SSH_BRUTE_WEIGHT
+            + priv.cast("double") * K.SSH_PRIV_WEIGHT
+            + multi.cast("double") * K.SSH_MULTI_WEIGHT
+            - collapsed.cast("double") * K.SSH_COLLAPSED_PENALTY)
+    anomalous = (brute | priv | multi) & ~(collapsed & ~priv)
+    df = counts.select(
+        "*", fail_ratio.alias("fail_ratio"), n_users.alias("n_users"), brute.alias("is_brute_force"),
+        priv.alias("has_priv_user"), multi.alias("is_multi_pivot"), collapsed.alias("is_collapsed"),
+        F.round(risk, 2).alias("risk_score"), anomalous.alias("is_anomalous"))
     if drop_baseline:
         df = df.where(~(F.col("is_collapsed") & ~F.col("is_anomalous")))
     return df
@@ -169,23 +168,21 @@ def http_edge_counts(http: DataFrame) -> DataFrame:
 
 
 def score_http_edges(counts: DataFrame, drop_clean_repeats: bool = True) -> DataFrame:
-    """Drop clean GET repeats, flags, risk, anomaly."""
+    """Drop clean GET repeats, flags, risk, anomaly (one projection)."""
     df = counts
     if drop_clean_repeats:
         df = df.where(~((F.col("verb") == "GET") & (F.col("count_4xx") == 0) & (F.col("count_5xx") == 0)
                         & (F.col("total_attempts") >= K.HTTP_COLLAPSE_REPEATED_MIN)))
-    df = (df.withColumn("has_4xx", F.col("count_4xx") > 0)
-          .withColumn("has_5xx", F.col("count_5xx") > 0)
-          .withColumn("is_post", F.col("verb") == "POST")
-          .withColumn("is_write", F.col("verb").isin(K.WRITE_VERBS)))
+    has_4xx, has_5xx = F.col("count_4xx") > 0, F.col("count_5xx") > 0
+    is_post, is_write = F.col("verb") == "POST", F.col("verb").isin(K.WRITE_VERBS)
     risk = (F.lit(K.HTTP_BASE_RISK)
-            + F.col("is_post").cast("double") * K.HTTP_POST_WEIGHT
-            + F.col("is_write").cast("double") * K.HTTP_WRITE_WEIGHT
-            + F.col("has_4xx").cast("double") * K.HTTP_4XX_WEIGHT
-            + F.col("has_5xx").cast("double") * K.HTTP_5XX_WEIGHT)
-    return (df.withColumn("risk_score", F.round(risk, 2))
-            .withColumn("is_anomalous", F.col("is_post") | F.col("is_write") | F.col("has_4xx")
-                        | F.col("has_5xx")))
+            + is_post.cast("double") * K.HTTP_POST_WEIGHT
+            + is_write.cast("double") * K.HTTP_WRITE_WEIGHT
+            + has_4xx.cast("double") * K.HTTP_4XX_WEIGHT
+            + has_5xx.cast("double") * K.HTTP_5XX_WEIGHT)
+    return df.select("*", has_4xx.alias("has_4xx"), has_5xx.alias("has_5xx"), is_post.alias("is_post"),
+                     is_write.alias("is_write"), F.round(risk, 2).alias("risk_score"),
+                     (is_post | is_write | has_4xx | has_5xx).alias("is_anomalous"))
 
 
 def http_edges(http: DataFrame, drop_clean_repeats: bool = True) -> DataFrame:

@@ -102,15 +102,13 @@ def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None) -> DataFrame:
     else:
         src = ssh_e
         chain = F.lit(False)
-    src = src.withColumn("is_chain", chain)
-    weight = F.when(F.col("is_chain"), F.round(F.col("risk_score") + K.CHAIN_RISK_BONUS, 2)) \
-        .otherwise(F.col("risk_score"))
+    weight = F.when(chain, F.round(F.col("risk_score") + K.CHAIN_RISK_BONUS, 2)).otherwise(F.col("risk_score"))
     flags = flag_list([
         (F.col("is_brute_force"), "BRUTE_FORCE_BURST"),
         (F.col("has_priv_user"), "PRIVILEGE_PIVOT"),
         (F.col("has_priv_user"), "SSH_PRIVILEGE_PIVOT"),
         (F.col("is_multi_pivot"), "RARE_PIVOT_PATH"),
-        (F.col("is_chain"), "FULL_ATTACK_CHAIN"),
+        (chain, "FULL_ATTACK_CHAIN"),
     ])
     return src.select(
         F.concat(F.lit("edge:"), "src_ip", F.lit("->"), "dest_host").alias("id"),
@@ -154,12 +152,12 @@ def node_risk(edge_rows: DataFrame) -> DataFrame:
     nodes = ends.groupBy("id").agg(F.max("risk").alias("risk"), F.bool_or("anom").alias("touch"))
     layer = _layer(F.col("id"))
     is_signal = (F.col("risk") >= K.SIGNAL_RISK_THRESHOLD) | F.col("touch")
-    super_id = (F.when(F.col("is_signal"), F.lit(None).cast("string"))
-                .when(F.col("layer") == "external", F.lit(K.SUPER_EXTERNAL_NOISE))
-                .when(F.col("layer") == "web", F.lit(K.SUPER_WEB_SURFACE))
+    super_id = (F.when(is_signal, F.lit(None).cast("string"))
+                .when(layer == "external", F.lit(K.SUPER_EXTERNAL_NOISE))
+                .when(layer == "web", F.lit(K.SUPER_WEB_SURFACE))
                 .otherwise(F.lit(K.SUPER_INTERNAL_BASELINE)))
-    return (nodes.withColumn("layer", layer).withColumn("is_signal", is_signal)
-            .withColumn("super_id", super_id))
+    return nodes.select("id", "risk", "touch", layer.alias("layer"), is_signal.alias("is_signal"),
+                        super_id.alias("super_id"))
 
 
 # ---------------------------------------------------------------------------

@@ -41,6 +41,20 @@ def analyze_lines(lines: DataFrame, routed_formats: DataFrame | None = None,
     return Analysis(lines=lines, events=events, graph=g, meta=session_meta(lines, events))
 
 
+def ingest(lines: DataFrame, session_root: str, session_id: str,
+           routed_formats: DataFrame | None = None) -> DataFrame:
+    """Parse raw lines once and store them as a session (S8); return the stored
+    session as a lazy, partition-pruned scan (S9).
+
+    Raw text is parsed exactly once; graph, overview, drill-down and timeline
+    queries then read compact columnar events and push their filters (protocol
+    partition, ``startswith`` on addresses) into the scan."""
+    from loggraph.sources.store import load_session, store_session
+    events = parse_lines(lines) if routed_formats is None else parse_routed(lines, routed_formats)
+    store_session(events, session_root, session_id)
+    return load_session(lines.sparkSession, session_root, session_id)
+
+
 def analyze_path(spark: SparkSession, path: str, route: bool = False) -> Analysis:
     """Log folder -> graph. ``route=True`` classifies every file first."""
     lines = read_lines(spark, path)

@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture for DataFrame error messages costs extra JVM round trips
+    # on every Column call while plans are built; off for production jobs.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
