@@ -28,24 +28,64 @@ HTTP_KEYS = ["src_ip", "uri_prefix", "verb"]
 # One pass for both protocols
 # ---------------------------------------------------------------------------
 
-def edge_counts(events: DataFrame) -> DataFrame:
-    """SSH and HTTP edge state from **one** scan, parse and shuffle.
+EDGE_KEYS = ["protocol", "src_ip", "k2", "k3"]
 
-    Key: ``(protocol, src_ip, k2, k3)`` with ``k2`` = destination host or URI
-    prefix and ``k3`` = HTTP verb ('' for SSH). Static-asset requests are
-    dropped first (F1). Each aggregate only sees its own protocol's values:
-    users exist on SSH rows, status codes on HTTP rows, and NULLs are ignored.
-    The output is small (one row per edge) and is what later steps read."""
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """Events keyed for the combined edge aggregate (static assets dropped, F1)."""
     is_http = F.col("protocol") == "HTTP"
     ev = (events.where(F.col("protocol").isin("SSH", "HTTP"))
           .where(~is_http | ~is_static_asset("target")))
-    st = F.col("status_code")
-    keyed = ev.select(
+    return ev.select(
         "protocol", F.col("source_ip").alias("src_ip"),
         F.when(is_http, uri_prefix("target")).otherwise(F.col("target")).alias("k2"),
         F.when(is_http, F.col("action")).otherwise(F.lit("")).alias("k3"),
         "action", "user", "status_code", "timestamp")
-    return keyed.groupBy("protocol", "src_ip", "k2", "k3").agg(
+
+
+def edge_counts(events: DataFrame) -> DataFrame:
+    """SSH and HTTP edge state from **one** scan, parse and aggregate.
+
+    Key: ``(protocol, src_ip, k2, k3)`` with ``k2`` = destination host or URI
+    prefix and ``k3`` = HTTP verb ('' for SSH). Each aggregate only sees its own
+    protocol's values: users exist on SSH rows, status codes on HTTP rows, and
+    NULLs are ignored. All state is bounded per key: the distinct-user count is
+    planned in two levels (first shuffled by edge and user, then by edge), so an
+    edge hit with millions of user names (password spraying) is spread over many
+    tasks, and the privileged-user test is a ``bool_or``. The user list itself
+    is a separate, optional output (:func:`edge_user_lists`)."""
+    st = F.col("status_code")
+    priv = F.col("user").isin(K.PRIVILEGED_USERS)
+    return _keyed(events).groupBy(*EDGE_KEYS).agg(
+        F.count(F.lit(1)).alias("total_attempts"),
+        F.count_if(F.col("action") == "SUCCESS").alias("successful_auths"),
+        F.count_if(F.col("action") == "FAILURE").alias("failed_auths"),
+        F.count_distinct("user").alias("n_users"),
+        F.coalesce(F.bool_or(priv), F.lit(False)).alias("has_priv_user"),
+        F.mode("status_code", True).alias("status_code"),
+        F.count_if((st >= 400) & (st < 500)).alias("count_4xx"),
+        F.count_if(st >= 500).alias("count_5xx"),
+        F.min("timestamp").alias("first_timestamp"),
+        F.max("timestamp").alias("last_timestamp"),
+    )
+
+
+def edge_user_lists(events: DataFrame) -> DataFrame:
+    """Sorted distinct users per SSH edge, for the edge presentation rows.
+
+    Built from a distinct ``(edge, user)`` table, so the shuffle is spread by
+    user; only the final list of one edge is assembled in one place."""
+    users = (_keyed(events).where((F.col("protocol") == "SSH") & F.col("user").isNotNull())
+             .select("src_ip", F.col("k2").alias("dest_host"), "user").distinct())
+    return users.groupBy("src_ip", "dest_host").agg(F.array_sort(F.collect_list("user")).alias("distinct_users"))
+
+
+def edge_state_stream(events: DataFrame) -> DataFrame:
+    """Streaming form of :func:`edge_counts`: the state store keeps each edge's
+    user set (streaming aggregation cannot plan a distinct count), and n_users /
+    the privileged flag are derived from the merged set when scored."""
+    st = F.col("status_code")
+    return _keyed(events).groupBy(*EDGE_KEYS).agg(
         F.count(F.lit(1)).alias("total_attempts"),
         F.count_if(F.col("action") == "SUCCESS").alias("successful_auths"),
         F.count_if(F.col("action") == "FAILURE").alias("failed_auths"),
@@ -59,7 +99,7 @@ def edge_counts(events: DataFrame) -> DataFrame:
 
 
 def edge_counts_schema():
-    """Schema of :func:`edge_counts` (for empty snapshots)."""
+    """Schema of :func:`edge_state_stream` (for empty stream snapshots)."""
     from pyspark.sql import types as T
     return T.StructType([
         T.StructField("protocol", T.StringType()), T.StructField("src_ip", T.StringType()),
@@ -72,10 +112,14 @@ def edge_counts_schema():
 
 
 def split_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Combined edge state -> (SSH counts as A1, HTTP counts as A10)."""
+    """Combined edge state -> (SSH counts as A1, HTTP counts as A10).
+
+    SSH rows carry ``n_users`` / ``has_priv_user`` (batch state) or
+    ``distinct_users`` (stream and merged state), whichever the state has."""
+    user_cols = [c for c in ("distinct_users", "n_users", "has_priv_user") if c in counts.columns]
     ssh = counts.where(F.col("protocol") == "SSH").select(
         "src_ip", F.col("k2").alias("dest_host"), "total_attempts", "successful_auths", "failed_auths",
-        "distinct_users", "first_timestamp", "last_timestamp")
+        *user_cols, "first_timestamp", "last_timestamp")
     http = counts.where(F.col("protocol") == "HTTP").select(
         "src_ip", F.col("k2").alias("uri_prefix"), F.col("k3").alias("verb"), "total_attempts",
         "status_code", "count_4xx", "count_5xx", "first_timestamp", "last_timestamp")
@@ -118,10 +162,14 @@ def score_ssh_edges(counts: DataFrame, drop_baseline: bool = True) -> DataFrame:
     All derived columns are composed as expressions and added in one projection."""
     tot, failed = F.col("total_attempts"), F.col("failed_auths")
     fail_ratio = failed / tot.cast("double")
-    n_users = F.size("distinct_users")
+    base = [c for c in counts.columns if c not in ("n_users", "has_priv_user")]
+    if "n_users" in counts.columns:
+        n_users, priv = F.col("n_users").cast("int"), F.col("has_priv_user")
+    else:
+        n_users = F.size("distinct_users")
+        priv = F.coalesce(F.arrays_overlap("distinct_users", F.array(*[F.lit(u) for u in K.PRIVILEGED_USERS])),
+                          F.lit(False))
     brute = (tot > K.BRUTE_FORCE_MIN_ATTEMPTS) & (fail_ratio >= K.BRUTE_FORCE_FAIL_RATIO)
-    priv = F.coalesce(F.arrays_overlap("distinct_users", F.array(*[F.lit(u) for u in K.PRIVILEGED_USERS])),
-                      F.lit(False))
     multi = n_users >= K.MULTI_USER_PIVOT_THRESHOLD
     collapsed = (tot >= K.HIGH_FREQ_COLLAPSED_THRESHOLD) & (failed == 0) & (n_users == 1)
     risk = (F.lit(K.SSH_BASE_RISK)
@@ -131,7 +179,7 @@ def score_ssh_edges(counts: DataFrame, drop_baseline: bool = True) -> DataFrame:
             - collapsed.cast("double") * K.SSH_COLLAPSED_PENALTY)
     anomalous = (brute | priv | multi) & ~(collapsed & ~priv)
     df = counts.select(
-        "*", fail_ratio.alias("fail_ratio"), n_users.alias("n_users"), brute.alias("is_brute_force"),
+        *base, fail_ratio.alias("fail_ratio"), n_users.alias("n_users"), brute.alias("is_brute_force"),
         priv.alias("has_priv_user"), multi.alias("is_multi_pivot"), collapsed.alias("is_collapsed"),
         F.round(risk, 2).alias("risk_score"), anomalous.alias("is_anomalous"))
     if drop_baseline:

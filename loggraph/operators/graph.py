@@ -91,11 +91,18 @@ def http_source_risk(http_e: DataFrame) -> DataFrame:
     return http_e.groupBy("src_ip").agg(F.max("risk_score").alias("http_src_risk"))
 
 
-def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None) -> DataFrame:
+def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None, user_lists: DataFrame | None = None) -> DataFrame:
     """G2 + G3: scored SSH edges; a source with HTTP risk > 2.0 marks a full chain.
 
     The chain test reads HTTP-derived source risk only, which makes it
-    independent of row order (divergence V1)."""
+    independent of row order (divergence V1). Edge state without user lists gets
+    them from ``user_lists(src_ip, dest_host, distinct_users)`` when given."""
+    if "distinct_users" not in ssh_e.columns:
+        if user_lists is not None:
+            ssh_e = ssh_e.join(user_lists, ["src_ip", "dest_host"], "left")
+            ssh_e = ssh_e.withColumn("distinct_users", F.coalesce("distinct_users", _empty_strs()))
+        else:
+            ssh_e = ssh_e.withColumn("distinct_users", _empty_strs())
     if http_e is not None:
         src = ssh_e.join(http_source_risk(http_e), "src_ip", "left")
         chain = F.coalesce(F.col("http_src_risk"), F.lit(0.0)) > K.CHAIN_SOURCE_RISK
@@ -286,12 +293,12 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # Whole pipeline
 # ---------------------------------------------------------------------------
 
-def rows_from_counts(counts: DataFrame) -> DataFrame:
+def rows_from_counts(counts: DataFrame, user_lists: DataFrame | None = None) -> DataFrame:
     """G1-G3 from combined edge state: scored HTTP and SSH edge rows."""
     ssh_c, http_c = E.split_counts(counts)
     http_e = E.score_http_edges(http_c)
     ssh_e = E.score_ssh_edges(ssh_c)
-    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e))
+    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e, user_lists))
 
 
 def scored_edge_rows(events: DataFrame, materialize: bool = False) -> DataFrame:
@@ -302,16 +309,17 @@ def scored_edge_rows(events: DataFrame, materialize: bool = False) -> DataFrame:
     folder: the log scan and parse then run exactly once, every later step
     (chain lookup, node aggregate, remap joins, degrees) reads the table, and a
     lost executor never forces a re-parse."""
-    counts = E.edge_counts(events)
+    counts, lists = E.edge_counts(events), E.edge_user_lists(events)
     if materialize:
         from loggraph.session import materialize as write_table
-        counts = write_table(counts, "edge_counts")
-    return rows_from_counts(counts)
+        counts, lists = write_table(counts, "edge_counts"), write_table(lists, "edge_users")
+    return rows_from_counts(counts, lists)
 
 
-def build_graph_from_counts(counts: DataFrame, cache: bool = True) -> Graph:
+def build_graph_from_counts(counts: DataFrame, cache: bool = True,
+                            user_lists: DataFrame | None = None) -> Graph:
     """Graph from combined edge state (batch, merged partials or a stream snapshot)."""
-    rows = rows_from_counts(counts)
+    rows = rows_from_counts(counts, user_lists)
     if cache:
         # Small per-edge / per-node tables read by several outputs: keep them in
         # memory. A lost partition is recomputed from the edge-state table,
@@ -325,14 +333,20 @@ def build_graph_from_counts(counts: DataFrame, cache: bool = True) -> Graph:
     return Graph(nodes=nrows, edges=edges, summary=summary(nrows, edges), raw_edges=rows, node_risk=nodes)
 
 
-def build_graph(events: DataFrame, materialize: bool = True) -> Graph:
+def build_graph(events: DataFrame, materialize: bool = True, user_lists: bool = True) -> Graph:
     """Unified events -> signal/noise graph.
 
     By default the per-edge state is written once to the shared checkpoint
     folder (see :func:`scored_edge_rows`) and the small downstream tables are
-    cached; ``materialize=False`` keeps one lazy plan."""
+    cached; ``materialize=False`` keeps one lazy plan. ``user_lists`` adds the
+    per-edge user list to SSH edge rows (a second, column-pruned pass over the
+    events: read them from a stored session, see ``plans.pipeline.ingest``);
+    scores never depend on it."""
     counts = E.edge_counts(events)
+    lists = E.edge_user_lists(events) if user_lists else None
     if materialize:
         from loggraph.session import materialize as write_table
         counts = write_table(counts, "edge_counts")
-    return build_graph_from_counts(counts, cache=materialize)
+        if lists is not None:
+            lists = write_table(lists, "edge_users")
+    return build_graph_from_counts(counts, cache=materialize, user_lists=lists)

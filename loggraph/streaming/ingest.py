@@ -54,7 +54,7 @@ class StreamIngest:
     # -- streaming part -----------------------------------------------------
     def edge_stream(self, lines: DataFrame) -> DataFrame:
         """T4: stateful edge aggregate over a streaming line table."""
-        return E.edge_counts(parse_lines(lines))
+        return E.edge_state_stream(parse_lines(lines))
 
     def _merge(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch sink: upsert updated edge rows into snapshot version ``batch_id``."""
