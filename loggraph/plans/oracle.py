@@ -545,3 +545,21 @@ ORACLE.update({
    cast(count(*) filter (where protocol = 'HTTP') as bigint) as valid_http_events from ev"""),
     "t2_stream_summary": ORACLE["a17_summary"],
 })
+
+BOUNDED = OVERVIEW + """,
+m16 as (select distinct case when starts_with(cluster_id, 'super:subnet:')
+     then 'super:subnet16:' || regexp_extract(cluster_id, '^super:subnet:(\\d+\\.\\d+)\\.', 1) || '.0.0/16'
+     else cluster_id end as cluster_id, node_id from cmembers),
+mint as (select distinct case when starts_with(cluster_id, 'super:subnet:') then 'super:internal'
+     else cluster_id end as cluster_id, node_id from cmembers),
+levels as (select 'subnet24' as cluster_level, id, child_count from snodes
+   union all select 'subnet16', cluster_id, count(*) from m16 group by cluster_id
+   union all select 'internal', cluster_id, count(*) from mint group by cluster_id),
+chosen as (select case when (select count(*) from snodes) <= 50 then 'subnet24'
+   when (select count(distinct cluster_id) from m16) <= 50 then 'subnet16' else 'internal' end as cluster_level)"""
+
+ORACLE.update({
+    "x11_bounded_overview": _mixed("""select id, cast(child_count as bigint) as child_count, cluster_level from levels
+   where cluster_level = (select cluster_level from chosen)""", BOUNDED),
+    "e5_expand_unknown": _expand_sql("super:no_such_cluster", f"select {NODE_OUT} from kept"),
+})

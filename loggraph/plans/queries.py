@@ -547,3 +547,26 @@ def t2(spark, sf):
 def k5(spark, sf):
     """Global totals after each micro-batch (rows-only check: batches follow file order)."""
     return report(_stream(spark, sf).running_totals())
+
+
+@query("x11_bounded_overview")
+def x11(spark, sf):
+    """Overview capped at 50 super-nodes: /24 subnets, else /16, else one internal node."""
+    from loggraph.operators.classes import bounded_overview
+    ov, level = bounded_overview(events_of(spark, sf))
+    return report(ov.super_nodes.select("id", "child_count", F.lit(level).alias("cluster_level")))
+
+
+@query("e5_expand_unknown")
+def e5(spark, sf):
+    """An id that names no cluster expands to an empty node table."""
+    return _expand(spark, sf, "super:no_such_cluster")
+
+
+@query("s11_expand_payload")
+def s11(spark, sf):
+    """The drill-down result (at most 75 nodes) as one nested JSON document."""
+    from loggraph.operators.expand import expand
+    from loggraph.sources.store import bounded_payload
+    x = expand(events_of(spark, sf), K.SUPER_INTERNAL_BASELINE)
+    return bounded_payload(x.nodes, x.edges)
