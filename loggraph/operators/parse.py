@@ -178,21 +178,12 @@ def file_profile(lines: DataFrame, sample: int = SNIFF_SAMPLE_LINES) -> DataFram
     return prof.join(first_data, "file", "left")
 
 
-def parse_lines(lines: DataFrame, families: list[str] | None = None,
-                profile: DataFrame | None = None) -> DataFrame:
-    """Mixed-file extraction (P9, P11): every line may feed SSH and HTTP.
-
-    Default families are the SSH syslog ones and the combined access log, which
-    need no per-file facts. Adding ``squid`` / ``zeek_*`` joins the small per-file
-    head profile (one row per file): Zeek applies when a tab shows in a file's
-    first 5 lines, in HTTP layout when its first data row has >= 10 fields with a
-    verb among the first 20 lines, else SSH layout when it has >= 6 fields; Squid
-    applies when ``TCP_`` shows in the first 10 lines and the file is not Zeek
-    HTTP, and then replaces the access-log parser for that file."""
+def _mixed_plan(lines: DataFrame, families: list[str] | None, profile: DataFrame | None):
+    """(line table, candidate-array Column) for mixed-file extraction."""
     fams = families or ["ssh_accepted", "ssh_failed", "ssh_invalid", "ncsa"]
     needs_profile = any(f in fams for f in ("squid", "zeek_http", "zeek_ssh"))
     if not needs_profile:
-        return _explode(lines, _candidates({f: F.lit(True) for f in fams}))
+        return lines, _candidates({f: F.lit(True) for f in fams})
     prof = profile if profile is not None else file_profile(lines)
     joined = lines.join(prof, "file", "left")
     tab5 = F.coalesce(F.col("has_tab5"), F.lit(False))
@@ -205,15 +196,11 @@ def parse_lines(lines: DataFrame, families: list[str] | None = None,
         "zeek_http": zeek_http, "zeek_ssh": zeek_ssh, "squid": squid,
         "ncsa": ~zeek_http & ~squid,
     }
-    return _explode(joined, _candidates({f: enabled[f] for f in fams}))
+    return joined, _candidates({f: enabled[f] for f in fams})
 
 
-def parse_routed(lines: DataFrame, formats: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """One parser per file, as chosen by format detection (S1 + D4).
-
-    ``formats`` has ``file, format_key``; SYSLOG_SSH files run the three SSH
-    families, NCSA_SQUID_HTTP files run Squid and access-log, ZEEK_TSV files run
-    the Zeek layout chosen from the file's first data row (P6-P8)."""
+def _routed_plan(lines: DataFrame, formats: DataFrame, profile: DataFrame | None):
+    """(line table, candidate-array Column) with one parser per file."""
     prof = profile if profile is not None else file_profile(lines)
     joined = lines.join(formats.select("file", "format_key"), "file", "left").join(prof, "file", "left")
     fk = F.col("format_key")
@@ -224,7 +211,51 @@ def parse_routed(lines: DataFrame, formats: DataFrame, profile: DataFrame | None
     http = fk == "NCSA_SQUID_HTTP"
     enabled = {"ssh_accepted": ssh, "ssh_failed": ssh, "ssh_invalid": ssh, "squid": http,
                "ncsa": http, "zeek_http": zeek_http, "zeek_ssh": zeek_ssh}
-    return _explode(joined, _candidates(enabled))
+    return joined, _candidates(enabled)
+
+
+def parse_lines(lines: DataFrame, families: list[str] | None = None,
+                profile: DataFrame | None = None) -> DataFrame:
+    """Mixed-file extraction (P9, P11): every line may feed SSH and HTTP.
+
+    Default families are the SSH syslog ones and the combined access log, which
+    need no per-file facts. Adding ``squid`` / ``zeek_*`` joins the small per-file
+    head profile (one row per file): Zeek applies when a tab shows in a file's
+    first 5 lines, in HTTP layout when its first data row has >= 10 fields with a
+    verb among the first 20 lines, else SSH layout when it has >= 6 fields; Squid
+    applies when ``TCP_`` shows in the first 10 lines and the file is not Zeek
+    HTTP, and then replaces the access-log parser for that file."""
+    return _explode(*_mixed_plan(lines, families, profile))
+
+
+def parse_routed(lines: DataFrame, formats: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """One parser per file, as chosen by format detection (S1 + D4).
+
+    ``formats`` has ``file, format_key``; SYSLOG_SSH files run the three SSH
+    families, NCSA_SQUID_HTTP files run Squid and access-log, ZEEK_TSV files run
+    the Zeek layout chosen from the file's first data row (P6-P8)."""
+    return _explode(*_routed_plan(lines, formats, profile))
+
+
+def line_event_counts(lines: DataFrame, families: list[str] | None = None,
+                      formats: DataFrame | None = None) -> DataFrame:
+    """S3 + S10 + A21 in **one pass**: total lines (blank ones included) and the
+    valid SSH / HTTP events they yield, counted from the candidate arrays before
+    they are exploded, so the raw text is read once."""
+    df, cands = _routed_plan(lines, formats, None) if formats is not None else _mixed_plan(lines, families, None)
+
+    def valid(x, proto):
+        return (x["source_ip"].isNotNull() & ~(x["family"].startswith("zeek") & (x["source_ip"] == "-"))
+                & (x["protocol"] == proto))
+
+    c = df.select(cands.alias("c"))
+    return c.agg(
+        F.count(F.lit(1)).alias("total_lines"),
+        F.coalesce(F.sum(F.size(F.filter("c", lambda x: valid(x, "SSH")))), F.lit(0)).cast("bigint")
+        .alias("valid_ssh_events"),
+        F.coalesce(F.sum(F.size(F.filter("c", lambda x: valid(x, "HTTP")))), F.lit(0)).cast("bigint")
+        .alias("valid_http_events"),
+    )
 
 
 def ssh_events(events: DataFrame) -> DataFrame:

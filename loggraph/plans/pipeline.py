@@ -20,17 +20,10 @@ class Analysis:
     meta: DataFrame
 
 
-def session_meta(lines: DataFrame, events: DataFrame) -> DataFrame:
-    """A21 + S3 + S10: total lines, SSH and HTTP event counts in one aggregate.
-
-    Lines and events are unioned with tags so one pass computes all counts."""
-    u = (lines.select(F.lit(1).alias("is_line"), F.lit(None).cast("string").alias("protocol"))
-         .unionByName(events.select(F.lit(0).alias("is_line"), "protocol")))
-    return u.agg(
-        F.sum("is_line").cast("bigint").alias("total_lines"),
-        F.count_if(F.col("protocol") == "SSH").alias("valid_ssh_events"),
-        F.count_if(F.col("protocol") == "HTTP").alias("valid_http_events"),
-    )
+def session_meta(lines: DataFrame, routed_formats: DataFrame | None = None) -> DataFrame:
+    """A21 + S3 + S10: total lines, SSH and HTTP event counts, one pass over the lines."""
+    from loggraph.operators.parse import line_event_counts
+    return line_event_counts(lines, formats=routed_formats)
 
 
 def analyze_lines(lines: DataFrame, routed_formats: DataFrame | None = None,
@@ -38,7 +31,7 @@ def analyze_lines(lines: DataFrame, routed_formats: DataFrame | None = None,
     """Parse and build the graph; ``routed_formats`` picks one parser per file."""
     events = parse_lines(lines) if routed_formats is None else parse_routed(lines, routed_formats)
     g = build_graph(events, materialize=materialize)
-    return Analysis(lines=lines, events=events, graph=g, meta=session_meta(lines, events))
+    return Analysis(lines=lines, events=events, graph=g, meta=session_meta(lines, routed_formats))
 
 
 def ingest(lines: DataFrame, session_root: str, session_id: str,

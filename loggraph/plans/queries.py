@@ -83,8 +83,7 @@ def graph_of(spark, sf) -> G.Graph:
 
 @query("s10_protocol_counts")
 def s10_protocol_counts(spark, sf):
-    lines = lines_of(spark, sf)
-    return report(session_meta(lines, parse_lines(lines)))
+    return report(session_meta(lines_of(spark, sf)))
 
 
 @query("d_format_scores")

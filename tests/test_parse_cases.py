@@ -124,3 +124,10 @@ def test_routed_parse_uses_one_parser_per_file(spark):
     lines = lines_from_text(spark, DUAL)
     ev = parse_routed(lines, detect_formats(lines)).collect()
     assert {r.protocol for r in ev} == {"SSH"} and len(ev) == 4
+
+
+def test_line_event_counts_one_pass(spark):
+    from loggraph.operators.parse import line_event_counts
+    from tests.samples import DUAL
+    r = line_event_counts(lines_from_text(spark, DUAL + "\n   \n")).collect()[0]
+    assert (r.total_lines, r.valid_ssh_events, r.valid_http_events) == (8, 4, 2)
