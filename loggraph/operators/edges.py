@@ -43,41 +43,63 @@ def _keyed(events: DataFrame) -> DataFrame:
         "action", "user", "status_code", "timestamp")
 
 
+def edge_facts(events: DataFrame) -> DataFrame:
+    """Finest edge state: one row per (edge key, user, status) with counts and times.
+
+    This is the table the graph pipeline materializes: one scan and parse, one
+    shuffle keyed by (edge, user, status) with map-side pre-aggregation, so a hot
+    edge is spread over many tasks by user or status. For SSH rows the status is
+    NULL, so rows are distinct per (edge, user); for HTTP rows the user is NULL,
+    so rows are per (edge, status)."""
+    return _keyed(events).groupBy(*EDGE_KEYS, "user", "status_code").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("action") == "SUCCESS").alias("n_success"),
+        F.count_if(F.col("action") == "FAILURE").alias("n_failure"),
+        F.min("timestamp").alias("first_timestamp"),
+        F.max("timestamp").alias("last_timestamp"),
+    )
+
+
+def counts_from_facts(facts: DataFrame) -> DataFrame:
+    """Per-edge state from :func:`edge_facts`: small, bounded aggregates only.
+
+    ``n_users`` counts the (edge, user) rows, which are distinct by construction;
+    the modal status is the status with the most events, ties to the smaller."""
+    st, n = F.col("status_code"), F.col("n")
+    return facts.groupBy(*EDGE_KEYS).agg(
+        F.sum(n).cast("bigint").alias("total_attempts"),
+        F.sum("n_success").cast("bigint").alias("successful_auths"),
+        F.sum("n_failure").cast("bigint").alias("failed_auths"),
+        F.count("user").alias("n_users"),
+        F.coalesce(F.bool_or(F.col("user").isin(K.PRIVILEGED_USERS)), F.lit(False)).alias("has_priv_user"),
+        F.max_by(st, F.when(st.isNotNull(), F.struct(n, -st))).alias("status_code"),
+        F.sum(F.when((st >= 400) & (st < 500), n).otherwise(0)).cast("bigint").alias("count_4xx"),
+        F.sum(F.when(st >= 500, n).otherwise(0)).cast("bigint").alias("count_5xx"),
+        F.min("first_timestamp").alias("first_timestamp"),
+        F.max("last_timestamp").alias("last_timestamp"),
+    )
+
+
+def lists_from_facts(facts: DataFrame) -> DataFrame:
+    """Sorted distinct users per SSH edge (presentation only; scores never need it)."""
+    return (facts.where((F.col("protocol") == "SSH") & F.col("user").isNotNull())
+            .groupBy("src_ip", F.col("k2").alias("dest_host"))
+            .agg(F.array_sort(F.collect_list("user")).alias("distinct_users")))
+
+
 def edge_counts(events: DataFrame) -> DataFrame:
-    """SSH and HTTP edge state from **one** scan, parse and aggregate.
+    """SSH and HTTP edge state from one scan and parse.
 
     Key: ``(protocol, src_ip, k2, k3)`` with ``k2`` = destination host or URI
     prefix and ``k3`` = HTTP verb ('' for SSH). Each aggregate only sees its own
-    protocol's values: users exist on SSH rows, status codes on HTTP rows, and
-    NULLs are ignored. All state is bounded per key: the distinct-user count is
-    planned in two levels (first shuffled by edge and user, then by edge), so an
-    edge hit with millions of user names (password spraying) is spread over many
-    tasks, and the privileged-user test is a ``bool_or``. The user list itself
-    is a separate, optional output (:func:`edge_user_lists`)."""
-    st = F.col("status_code")
-    priv = F.col("user").isin(K.PRIVILEGED_USERS)
-    return _keyed(events).groupBy(*EDGE_KEYS).agg(
-        F.count(F.lit(1)).alias("total_attempts"),
-        F.count_if(F.col("action") == "SUCCESS").alias("successful_auths"),
-        F.count_if(F.col("action") == "FAILURE").alias("failed_auths"),
-        F.count_distinct("user").alias("n_users"),
-        F.coalesce(F.bool_or(priv), F.lit(False)).alias("has_priv_user"),
-        F.mode("status_code", True).alias("status_code"),
-        F.count_if((st >= 400) & (st < 500)).alias("count_4xx"),
-        F.count_if(st >= 500).alias("count_5xx"),
-        F.min("timestamp").alias("first_timestamp"),
-        F.max("timestamp").alias("last_timestamp"),
-    )
+    protocol's values (users on SSH rows, status codes on HTTP rows). Planned in
+    two levels through :func:`edge_facts`, so every group's state is bounded."""
+    return counts_from_facts(edge_facts(events))
 
 
 def edge_user_lists(events: DataFrame) -> DataFrame:
-    """Sorted distinct users per SSH edge, for the edge presentation rows.
-
-    Built from a distinct ``(edge, user)`` table, so the shuffle is spread by
-    user; only the final list of one edge is assembled in one place."""
-    users = (_keyed(events).where((F.col("protocol") == "SSH") & F.col("user").isNotNull())
-             .select("src_ip", F.col("k2").alias("dest_host"), "user").distinct())
-    return users.groupBy("src_ip", "dest_host").agg(F.array_sort(F.collect_list("user")).alias("distinct_users"))
+    """Sorted distinct users per SSH edge, for the edge presentation rows."""
+    return lists_from_facts(edge_facts(events))
 
 
 def edge_state_stream(events: DataFrame) -> DataFrame:

@@ -243,30 +243,49 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def node_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Signal nodes as they are, plus one row per non-empty noise super-node."""
-    sig = nodes.where("is_signal").select(
+    """G11 + G12 in one aggregate: signal nodes as they are, one row per non-empty
+    noise super-node, with in/out degrees.
+
+    Every raw node contributes to its own id (signal) or its super id (noise),
+    every final edge contributes one out-degree to its source and one in-degree
+    to its target; a single ``groupBy(id)`` then yields risk, member count and
+    degrees, with partial aggregation absorbing the three hot super ids."""
+    sig = F.col("is_signal")
+    node_part = nodes.select(
+        F.coalesce("super_id", "id").alias("id"),
+        F.when(sig, F.col("risk")).alias("risk"),
+        F.when(sig, F.col("layer")).alias("layer"),
+        sig.alias("is_signal"),
+        F.when(sig, F.lit(0)).otherwise(F.lit(1)).alias("members"),
+        F.lit(0).alias("i"), F.lit(0).alias("o"))
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+        F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")),
+    )).alias("d")).select(
+        "d.id", F.lit(None).cast("double").alias("risk"), F.lit(None).cast("string").alias("layer"),
+        F.lit(None).cast("boolean").alias("is_signal"), F.lit(0).alias("members"), "d.i", "d.o")
+    agg = node_part.unionByName(ends).groupBy("id").agg(
+        F.max("risk").alias("risk"), F.max("layer").alias("layer"),
+        F.coalesce(F.bool_or("is_signal"), F.lit(False)).alias("is_signal"),
+        F.sum("members").alias("n"),
+        F.sum("i").cast("bigint").alias("in_degree"), F.sum("o").cast("bigint").alias("out_degree"))
+    agg = agg.where(F.col("is_signal") | (F.col("n") > 0))
+    sid = F.col("id")
+    super_label = (F.when(sid == K.SUPER_EXTERNAL_NOISE, F.format_string("Background Traffic (%d IPs)", F.col("n")))
+                   .when(sid == K.SUPER_WEB_SURFACE, F.format_string("Web Surface (%d URLs)", F.col("n")))
+                   .otherwise(F.format_string("Internal Baseline (%d hosts)", F.col("n"))))
+    super_layer = (F.when(sid == K.SUPER_EXTERNAL_NOISE, F.lit("external"))
+                   .when(sid == K.SUPER_WEB_SURFACE, F.lit("web")).otherwise(F.lit("internal")))
+    is_sig = F.col("is_signal")
+    return agg.select(
         "id",
-        F.regexp_replace("id", "^(host|url):", "").alias("label"),
-        F.when(F.col("id").startswith("url:"), F.lit("URL")).otherwise(F.lit("HOST")).alias("node_type"),
-        F.round("risk", 2).alias("risk_score"), "layer",
-        F.lit(True).alias("is_signal"), F.lit(False).alias("is_noise_super"))
-    sup = nodes.where(~F.col("is_signal")).groupBy("super_id").agg(F.count(F.lit(1)).alias("n"))
-    label = (F.when(F.col("super_id") == K.SUPER_EXTERNAL_NOISE,
-                    F.format_string("Background Traffic (%d IPs)", F.col("n")))
-             .when(F.col("super_id") == K.SUPER_WEB_SURFACE, F.format_string("Web Surface (%d URLs)", F.col("n")))
-             .otherwise(F.format_string("Internal Baseline (%d hosts)", F.col("n"))))
-    layer = (F.when(F.col("super_id") == K.SUPER_EXTERNAL_NOISE, F.lit("external"))
-             .when(F.col("super_id") == K.SUPER_WEB_SURFACE, F.lit("web")).otherwise(F.lit("internal")))
-    sup = sup.select(F.col("super_id").alias("id"), label.alias("label"), F.lit("SUPER_NODE").alias("node_type"),
-                     F.lit(K.SUPER_NOISE_RISK).alias("risk_score"), layer.alias("layer"),
-                     F.lit(False).alias("is_signal"), F.lit(True).alias("is_noise_super"))
-    allnodes = sig.unionByName(sup)
-    deg = degrees(edges)
-    return (allnodes.join(deg, "id", "left")
-            .select("id", "label", "node_type",
-                    F.coalesce("in_degree", F.lit(0)).cast("bigint").alias("in_degree"),
-                    F.coalesce("out_degree", F.lit(0)).cast("bigint").alias("out_degree"),
-                    "risk_score", "layer", "is_signal", "is_noise_super"))
+        F.when(is_sig, F.regexp_replace("id", "^(host|url):", "")).otherwise(super_label).alias("label"),
+        F.when(~is_sig, F.lit("SUPER_NODE")).when(sid.startswith("url:"), F.lit("URL"))
+        .otherwise(F.lit("HOST")).alias("node_type"),
+        "in_degree", "out_degree",
+        F.when(is_sig, F.round("risk", 2)).otherwise(F.lit(K.SUPER_NOISE_RISK)).alias("risk_score"),
+        F.when(is_sig, F.col("layer")).otherwise(super_layer).alias("layer"),
+        is_sig.alias("is_signal"), (~is_sig).alias("is_noise_super"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -304,15 +323,16 @@ def rows_from_counts(counts: DataFrame, user_lists: DataFrame | None = None) ->
 def scored_edge_rows(events: DataFrame, materialize: bool = False) -> DataFrame:
     """G1-G3 from unified events: scored HTTP and SSH edge rows.
 
-    Both protocols come out of one aggregate (:func:`edges.edge_counts`). With
-    ``materialize`` that small table is written once to the shared checkpoint
+    Both protocols come out of one fact table (:func:`edges.edge_facts`). With
+    ``materialize`` that table is written once to the shared checkpoint
     folder: the log scan and parse then run exactly once, every later step
     (chain lookup, node aggregate, remap joins, degrees) reads the table, and a
     lost executor never forces a re-parse."""
-    counts, lists = E.edge_counts(events), E.edge_user_lists(events)
+    facts = E.edge_facts(events)
     if materialize:
         from loggraph.session import materialize as write_table
-        counts, lists = write_table(counts, "edge_counts"), write_table(lists, "edge_users")
+        facts = write_table(facts, "edge_facts")
+    counts, lists = E.counts_from_facts(facts), E.lists_from_facts(facts)
     return rows_from_counts(counts, lists)
 
 
@@ -338,15 +358,14 @@ def build_graph(events: DataFrame, materialize: bool = True, user_lists: bool =
 
     By default the per-edge state is written once to the shared checkpoint
     folder (see :func:`scored_edge_rows`) and the small downstream tables are
-    cached; ``materialize=False`` keeps one lazy plan. ``user_lists`` adds the
-    per-edge user list to SSH edge rows (a second, column-pruned pass over the
-    events: read them from a stored session, see ``plans.pipeline.ingest``);
-    scores never depend on it."""
-    counts = E.edge_counts(events)
-    lists = E.edge_user_lists(events) if user_lists else None
+    cached; ``materialize=False`` keeps one lazy plan. The written table is the
+    per-(edge, user, status) fact table, from which both the edge state and the
+    per-edge user lists (``user_lists``) are small aggregates; scores never
+    depend on the lists."""
+    facts = E.edge_facts(events)
     if materialize:
         from loggraph.session import materialize as write_table
-        counts = write_table(counts, "edge_counts")
-        if lists is not None:
-            lists = write_table(lists, "edge_users")
+        facts = write_table(facts, "edge_facts")
+    counts = E.counts_from_facts(facts)
+    lists = E.lists_from_facts(facts) if user_lists else None
     return build_graph_from_counts(counts, cache=materialize, user_lists=lists)

@@ -131,3 +131,15 @@ def test_line_event_counts_one_pass(spark):
     from tests.samples import DUAL
     r = line_event_counts(lines_from_text(spark, DUAL + "\n   \n")).collect()[0]
     assert (r.total_lines, r.valid_ssh_events, r.valid_http_events) == (8, 4, 2)
+
+
+def test_modal_status_from_facts(spark):
+    """Mode over per-status counts: NULL statuses ignored, ties to the smaller code."""
+    from loggraph.operators import edges as E
+    rows = [("HTTP", "1.2.3.4", "/a", "GET", "GET", None, s, "t") for s in [200, 404, 404, 200, None, None, None]]
+    ev = spark.createDataFrame(rows, "protocol string, source_ip string, target string, action string, "
+                                     "verb string, user string, status_code int, timestamp string")
+    r = E.edge_counts(ev).first()
+    assert (r.status_code, r.total_attempts, r.count_4xx) == (200, 7, 2)
+    direct = ev.groupBy("source_ip").agg(F.mode("status_code", True).alias("m")).first().m
+    assert direct == r.status_code
