@@ -28,7 +28,6 @@ from loggraph import constants as K
 from loggraph.functions.flags import flag_list
 from loggraph.functions.net import is_private
 from loggraph.operators import edges as E
-from loggraph.operators.parse import http_events, ssh_events
 
 EDGE_COLUMNS = [
     "id", "source", "target", "edge_type", "weight", "total_attempts", "http_verb", "status_code",

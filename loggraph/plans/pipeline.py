@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loggraph.operators.graph import Graph, build_graph
 from loggraph.operators.parse import parse_lines, parse_routed
