@@ -32,14 +32,36 @@ def classify_nodes(nodes: DataFrame) -> DataFrame:
             .withColumn("risk_tier", risk_tier("risk_score", "is_noise_super")))
 
 
-def layer_rank(nodes: DataFrame) -> DataFrame:
-    """K3: rank inside (layer, tier) by risk desc, id asc.
-
-    The window has at most 9 partitions; it runs on the presentation node table
-    (signal nodes plus three super-nodes), not on raw data."""
+def layer_rank(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
+    """K3: rank inside (layer, tier) by risk desc, id asc, without putting a whole
+    (layer, tier) group into one task.
+
+    Rows are range-partitioned on the full sort key, numbered inside each range
+    slice, shifted by the row count of all earlier slices (a table with one row
+    per slice), and made group-relative by subtracting each group's first
+    ordinal (a table with at most 9 rows). Both small tables have a proven bound,
+    so broadcasting them is safe. The numbered slices are written once to the
+    shared checkpoint folder, so every reader sees the same range split."""
     c = classify_nodes(nodes)
-    w = Window.partitionBy("layer", "risk_tier").orderBy(F.desc("risk_score"), F.asc("id"))
-    return c.withColumn("rank_in_tier", F.row_number().over(w))
+    spark = c.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("layer"), F.col("risk_tier"), F.desc("risk_score"), F.asc("id")]
+    ranged = c.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id())
+    w = Window.partitionBy("_slice").orderBy(*order)
+    # Range bounds come from sampling; write the numbered slices once so the
+    # slice sizes and the positions below are read from the same data.
+    from loggraph.session import materialize
+    local = materialize(ranged.withColumn("_pos", F.row_number().over(w)), "layer_rank")
+    sizes = local.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.withColumn(
+        "_offset", F.coalesce(F.sum("_size").over(Window.orderBy("_slice").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))).select("_slice", "_offset")
+    ordinal = (local.join(F.broadcast(offsets), "_slice")          # one row per slice
+               .withColumn("_ord", F.col("_offset") + F.col("_pos")))
+    starts = ordinal.groupBy("layer", "risk_tier").agg(F.min("_ord").alias("_start"))
+    return (ordinal.join(F.broadcast(starts), ["layer", "risk_tier"])   # at most 9 rows
+            .withColumn("rank_in_tier", F.col("_ord") - F.col("_start") + 1)
+            .drop("_slice", "_pos", "_offset", "_ord", "_start"))
 
 
 def parallel_ordinal(edges: DataFrame) -> DataFrame:
