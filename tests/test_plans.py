@@ -40,3 +40,23 @@ def test_analyze_path_routed(spark):
     assert a == b and len(a) == 6
     m = routed.meta.first()
     assert (m.total_lines, m.valid_ssh_events, m.valid_http_events) == (11, 4, 7)
+
+
+def test_drilldown_predicates_reach_the_scan(spark):
+    from loggraph import constants as K
+    from loggraph.operators.edges import edge_facts
+    from loggraph.operators.expand import cluster_predicate
+    from loggraph.plans.pipeline import ingest
+    from loggraph.sources.render import render_lines
+    root = tempfile.mkdtemp(prefix="lg-push-", dir="/tmp")
+    ev = ingest(render_lines(spark, SF), root, "s")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")   # show whole filter lists
+
+    def scan_of(super_id):
+        plan = edge_facts(ev.where(cluster_predicate(super_id)))._jdf.queryExecution().executedPlan().toString()
+        return plan
+
+    assert "StringStartsWith(source_ip,10.0.1.)" in scan_of("super:subnet:10.0.1.0/24")
+    assert "StringStartsWith(source_ip,192.168.)" in scan_of(K.SUPER_INTERNAL_BASELINE)
+    web = scan_of(K.SUPER_WEB_SURFACE)
+    assert "PartitionFilters" in web and "(protocol" in web and "= HTTP)" in web
