@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package relies on: UTC session time (timestamps in
 # the logs are UTC or year-less), adaptive execution for runtime broadcast and
@@ -24,6 +26,9 @@ DEFAULT_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+#: Paths of the tables that ``materialize`` wrote, by application.
+_TABLES: dict[str, list[str]] = {}
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "loggraph", extra: dict | None = None) -> SparkSession:
@@ -47,31 +52,44 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as given. Only when the
-    setting is absent (local tests) a scratch folder is created."""
+    A cluster names a shared folder there and it is used as given. A session on a
+    ``local`` master without the setting (tests) gets a scratch folder; any other
+    master without it is an error, because a machine-local folder would leave each
+    executor's part of a table where the others cannot read it."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="loggraph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
-def materialize(df, name: str = "table"):
+def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
-    This cuts the lineage like ``checkpoint()`` but computes the input only once
-    (an eager RDD checkpoint runs the plan twice unless it is also cached), and
-    the written table survives lost executors."""
-    import uuid
-
+    This cuts the lineage like ``checkpoint()`` but keeps column pruning and filter
+    pushdown for the readers, and the written table survives lost executors.
+    ``options`` go to the writer. The table stays until ``drop_tables`` is called."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").options(**options).parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete every table that ``materialize`` wrote in this application; returns how
+    many. To be called when no result built on them is needed any more."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
