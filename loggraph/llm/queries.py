@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, sharding
+from . import exact_dedup, line_dedup, packing, sentencepiece_codec, sharding, token_store
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_token_store": token_store.op5_token_store,
+    "op6_packing": packing.op6_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
 }
 
