@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, sentencepiece_codec, sharding, token_store
+from . import exact_dedup, line_dedup, packing, quality, sentencepiece_codec, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_token_store": token_store.op5_token_store,
     "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
