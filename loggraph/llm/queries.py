@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, quality, sentencepiece_codec, sharding, token_store, toxicity
+from . import ann_search, exact_dedup, line_dedup, packing, quality, sentencepiece_codec, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_nearest": ann_search.op3_nearest,
     "op4_quality": quality.op4_quality,
     "op5_token_store": token_store.op5_token_store,
     "op6_packing": packing.op6_packing,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_nearest": ann_search.OP3_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
