@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann_search, exact_dedup, line_dedup, packing, quality, sentencepiece_codec, sharding, token_store, toxicity
+from . import ann_search, exact_dedup, line_dedup, ngram_join, packing, quality, sentencepiece_codec, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_nearest": ann_search.op3_nearest,
     "op4_quality": quality.op4_quality,
     "op5_token_store": token_store.op5_token_store,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_nearest": ann_search.OP3_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
