@@ -10,10 +10,13 @@ is joined back to the lines for routing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loggraph import constants as K
+from loggraph.session import materialize
 
 # Detector patterns.
 SSH_KEYWORDS = r"sshd\[\d+\]|pam_unix|Accepted|Failed|Invalid user"
@@ -31,40 +34,72 @@ def sample_lines(lines: DataFrame, n: int = K.SNIFF_SAMPLE_LINES) -> DataFrame:
             .where(F.col("rn") <= n).where(F.col("raw_line").rlike(r"\S")))
 
 
-def format_scores(lines: DataFrame) -> DataFrame:
-    """D1-D3 per file: ``file, n_sample, ssh_score, http_score, zeek_score``."""
-    s = sample_lines(lines)
+def _n() -> Column:
+    return F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double")
+
+
+def _share(hit: Column) -> Column:
+    return F.least(F.lit(1.0), F.count_if(hit) / _n())
+
+
+def _ssh_score() -> Column:
+    return _share(F.col("raw_line").rlike(SSH_KEYWORDS))
+
+
+def _http_score() -> Column:
+    return _share(F.col("raw_line").rlike(HTTP_MARKERS) | F.col("raw_line").rlike(HTTP_REQUEST))
+
+
+def _zeek_score() -> Column:
     raw = F.col("raw_line")
-    agg = s.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n_sample"),
-        F.count_if(raw.rlike(SSH_KEYWORDS)).alias("ssh_hits"),
-        F.count_if(raw.rlike(HTTP_MARKERS) | raw.rlike(HTTP_REQUEST)).alias("http_hits"),
-        F.bool_or(raw.startswith("#fields") | raw.startswith("#types")).alias("zeek_header"),
-        F.count_if(raw.contains("\t") & (F.size(F.split(raw, "\t")) >= ZEEK_MIN_FIELDS)).alias("tab_rows"),
-    )
-    n = F.greatest(F.col("n_sample"), F.lit(1)).cast("double")
-    zeek = (F.when(F.col("zeek_header"), F.lit(ZEEK_HEADER_SCORE)).otherwise(F.lit(0.0))
-            + F.when(F.col("tab_rows") > 0, F.least(F.lit(ZEEK_TAB_CAP), F.col("tab_rows") / n)).otherwise(F.lit(0.0)))
-    return agg.select(
-        "file", F.col("n_sample").cast("bigint").alias("n_sample"),
-        F.least(F.lit(1.0), F.col("ssh_hits") / n).alias("ssh_score"),
-        F.least(F.lit(1.0), F.col("http_hits") / n).alias("http_score"),
-        F.least(F.lit(1.0), zeek).alias("zeek_score"),
-    )
+    header = F.bool_or(raw.startswith("#fields") | raw.startswith("#types"))
+    rows = F.count_if(raw.contains("\t") & (F.size(F.split(raw, "\t")) >= ZEEK_MIN_FIELDS))
+    return F.least(F.lit(1.0), F.when(header, F.lit(ZEEK_HEADER_SCORE)).otherwise(F.lit(0.0))
+                   + F.when(rows > 0, F.least(F.lit(ZEEK_TAB_CAP), rows / _n())).otherwise(F.lit(0.0)))
+
+
+#: Format key -> (score column name, score over a file's sample lines). The order decides ties.
+FORMATS: dict[str, tuple[str, Callable[[], Column]]] = {
+    K.FORMAT_SSH: ("ssh_score", _ssh_score),
+    K.FORMAT_HTTP: ("http_score", _http_score),
+    K.FORMAT_ZEEK: ("zeek_score", _zeek_score),
+}
+
+
+def register_format(format_key: str, score_name: str, score: Callable[[], Column]) -> None:
+    """Add a format with its score: an aggregate over ``raw_line`` of a file's sample."""
+    FORMATS[format_key] = (score_name, score)
+
+
+def format_scores(lines: DataFrame) -> DataFrame:
+    """D1-D3 per file: ``file, n_sample`` and one score per format."""
+    return sample_lines(lines).groupBy("file").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_sample"), *[score().alias(name) for name, score in FORMATS.values()])
 
 
 def choose_format(scores: DataFrame) -> DataFrame:
-    """Best detector per file; strict ``>`` keeps registration order on ties."""
-    ssh, http, zeek = F.col("ssh_score"), F.col("http_score"), F.col("zeek_score")
-    best = F.greatest(ssh, http, zeek)
-    key = (F.when(best <= 0, F.lit(K.FORMAT_SSH))
-           .when(ssh == best, F.lit(K.FORMAT_SSH))
-           .when(http == best, F.lit(K.FORMAT_HTTP))
-           .otherwise(F.lit(K.FORMAT_ZEEK)))
+    """Best detector per file; on ties the first registered; none: SSH."""
+    best = F.greatest(*[F.col(name) for name, _ in FORMATS.values()])
+    key = F.when(best <= 0, F.lit(K.FORMAT_SSH))
+    for format_key, (name, _) in FORMATS.items():
+        key = key.when(F.col(name) == best, F.lit(format_key))
     return scores.withColumn("format_key", key).withColumn(
         "score", F.when(best <= 0, F.lit(0.0)).otherwise(best))
 
 
+def zeek_layout(lines: DataFrame) -> DataFrame:
+    """Per file the field count of its first data row and whether that row holds a
+    verb; a combinable minimum, so no file is sorted."""
+    raw = F.col("raw_line")
+    verb = raw.contains("GET") | raw.contains("HEAD") | raw.contains("POST")
+    first = F.min(F.struct("line_no", F.size(F.split(raw, "\t")).alias("fields"), verb.alias("verb")))
+    return (lines.where(F.col("is_head") & ~raw.startswith("#")).groupBy("file").agg(first.alias("first"))
+            .select("file", F.col("first.fields").alias("zeek_fields"), F.col("first.verb").alias("zeek_verb")))
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
-    """``file, n_sample, ssh_score, http_score, zeek_score, format_key, score``."""
-    return choose_format(format_scores(lines))
+    """One row per file: ``file, n_sample``, the scores, ``format_key, score``, and the
+    Zeek layout ``zeek_fields, zeek_verb``. Written once: the routed parser reads this
+    small table, not the heads again."""
+    found = choose_format(format_scores(lines)).join(zeek_layout(lines), "file", "left")
+    return materialize(found, "file_formats")

@@ -60,6 +60,13 @@ def edge_facts(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_facts(facts: DataFrame) -> DataFrame:
+    """Facts of several parts (chunks, micro-batches) as one table: counts add up."""
+    return facts.groupBy(*EDGE_KEYS, "user", "status_code").agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_success", "n_failure")],
+        F.min("first_timestamp").alias("first_timestamp"), F.max("last_timestamp").alias("last_timestamp"))
+
+
 def counts_from_facts(facts: DataFrame) -> DataFrame:
     """Per-edge state from :func:`edge_facts`: small, bounded aggregates only.
 
@@ -102,42 +109,11 @@ def edge_user_lists(events: DataFrame) -> DataFrame:
     return lists_from_facts(edge_facts(events))
 
 
-def edge_state_stream(events: DataFrame) -> DataFrame:
-    """Streaming form of :func:`edge_counts`: the state store keeps each edge's
-    user set (streaming aggregation cannot plan a distinct count), and n_users /
-    the privileged flag are derived from the merged set when scored."""
-    st = F.col("status_code")
-    return _keyed(events).groupBy(*EDGE_KEYS).agg(
-        F.count(F.lit(1)).alias("total_attempts"),
-        F.count_if(F.col("action") == "SUCCESS").alias("successful_auths"),
-        F.count_if(F.col("action") == "FAILURE").alias("failed_auths"),
-        F.array_sort(F.collect_set("user")).alias("distinct_users"),
-        F.mode("status_code", True).alias("status_code"),
-        F.count_if((st >= 400) & (st < 500)).alias("count_4xx"),
-        F.count_if(st >= 500).alias("count_5xx"),
-        F.min("timestamp").alias("first_timestamp"),
-        F.max("timestamp").alias("last_timestamp"),
-    )
-
-
-def edge_counts_schema():
-    """Schema of :func:`edge_state_stream` (for empty stream snapshots)."""
-    from pyspark.sql import types as T
-    return T.StructType([
-        T.StructField("protocol", T.StringType()), T.StructField("src_ip", T.StringType()),
-        T.StructField("k2", T.StringType()), T.StructField("k3", T.StringType()),
-        T.StructField("total_attempts", T.LongType()), T.StructField("successful_auths", T.LongType()),
-        T.StructField("failed_auths", T.LongType()), T.StructField("distinct_users", T.ArrayType(T.StringType())),
-        T.StructField("status_code", T.IntegerType()), T.StructField("count_4xx", T.LongType()),
-        T.StructField("count_5xx", T.LongType()), T.StructField("first_timestamp", T.StringType()),
-        T.StructField("last_timestamp", T.StringType())])
-
-
 def split_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Combined edge state -> (SSH counts as A1, HTTP counts as A10).
 
     SSH rows carry ``n_users`` / ``has_priv_user`` (batch state) or
-    ``distinct_users`` (stream and merged state), whichever the state has."""
+    ``distinct_users`` (merged state), whichever the state has."""
     user_cols = [c for c in ("distinct_users", "n_users", "has_priv_user") if c in counts.columns]
     ssh = counts.where(F.col("protocol") == "SSH").select(
         "src_ip", F.col("k2").alias("dest_host"), "total_attempts", "successful_auths", "failed_auths",

@@ -10,6 +10,7 @@ filters the edges is bounded by k, so broadcasting it is safe.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from loggraph import constants as K
 from loggraph.functions.net import is_private
 from loggraph.operators.graph import build_graph
+from loggraph.session import materialize
+
+#: Largest k of the top-k: its ids are broadcast.
+BROADCAST_NODES = 10_000
 
 
 @dataclass
@@ -28,20 +33,28 @@ class Expansion:
     total_nodes: DataFrame   # one row: node count before the cap (for "n of m")
 
 
+def _subnet_rows(super_id: str):
+    """Rows whose source or target lies in the /24 named by the id. Used only as a
+    filter: a NULL target drops the row like False would, and the bare OR of
+    ``startswith`` pushes down into the Parquet scan."""
+    octets = super_id[len(K.SUPER_SUBNET_PREFIX):].split("/")[0].split(".")[:3]
+    start = ".".join(octets) + "."
+    return F.col("source_ip").startswith(start) | F.col("target").startswith(start)
+
+
+#: Pattern of a cluster id -> its rows.
+CLUSTER_ROWS = [
+    (re.compile(f"{re.escape(K.SUPER_EXTERNAL_THREATS)}|{re.escape(K.SUPER_EXTERNAL_NOISE)}"),
+     lambda _: ~is_private(F.col("source_ip"))),
+    (re.compile(f"{re.escape(K.SUPER_WEB_URLS)}|{re.escape(K.SUPER_WEB_SURFACE)}"), lambda _: F.col("protocol") == "HTTP"),
+    (re.compile(re.escape(K.SUPER_INTERNAL_BASELINE)), lambda _: is_private(F.col("source_ip"))),
+    (re.compile(re.escape(K.SUPER_SUBNET_PREFIX) + r".*"), _subnet_rows),
+]
+
+
 def cluster_predicate(super_id: str):
-    """The event filter for one cluster id; ``None`` for an unknown id (E5)."""
-    if super_id in (K.SUPER_EXTERNAL_THREATS, K.SUPER_EXTERNAL_NOISE):
-        return ~is_private(F.col("source_ip"))
-    if super_id.startswith(K.SUPER_SUBNET_PREFIX):
-        prefix = super_id.replace(K.SUPER_SUBNET_PREFIX, "").replace(".0/24", ".")
-        # Used only as a filter: a NULL target drops the row like False would, and
-        # the bare OR of startswith pushes down into the Parquet scan.
-        return F.col("source_ip").startswith(prefix) | F.col("target").startswith(prefix)
-    if super_id in (K.SUPER_WEB_URLS, K.SUPER_WEB_SURFACE):
-        return F.col("protocol") == "HTTP"
-    if super_id == K.SUPER_INTERNAL_BASELINE:
-        return is_private(F.col("source_ip"))
-    return None
+    """The event filter for one cluster id; ``None`` for an unknown id (E5)."""
+    return next((rows(super_id) for pattern, rows in CLUSTER_ROWS if pattern.fullmatch(super_id)), None)
 
 
 def top_nodes(nodes: DataFrame, edges: DataFrame, k: int = K.EXPAND_MAX_NODES) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +64,11 @@ def top_nodes(nodes: DataFrame, edges: DataFrame, k: int = K.EXPAND_MAX_NODES) -
              .distinct().withColumn("touch", F.lit(True)))
     ranked = nodes.join(touch, "id", "left").withColumn("touch", F.coalesce("touch", F.lit(False)))
     kept = ranked.orderBy(F.desc("touch"), F.desc("risk_score"), F.asc("id")).limit(k).drop("touch")
-    ids = F.broadcast(kept.select("id"))   # at most k rows
+    if k > BROADCAST_NODES:
+        raise ValueError(f"at most {BROADCAST_NODES} nodes can be kept")
+    # at most k rows, written once: nodes and edges then share one ranking pass
+    kept = materialize(kept, "kept_nodes")
+    ids = F.broadcast(kept.select("id"))
     kept_edges = (edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
                   .join(ids.withColumnRenamed("id", "target"), "target", "left_semi"))
     return kept, kept_edges.select(*edges.columns)

@@ -18,12 +18,13 @@ Unified event columns::
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loggraph.constants import SNIFF_SAMPLE_LINES
-
 # ---------------------------------------------------------------------------
 # Line patterns. Group numbers are listed next to each pattern.
 # ---------------------------------------------------------------------------
@@ -45,12 +46,13 @@ GUARD_INVALID = r"sshd\[\d+\]:\s+Invalid user"
 GUARD_NCSA = r"\"[A-Z]+\s+\S+\s+HTTP/"
 GUARD_SQUID = "TCP_"
 
-FAMILIES = ["ssh_accepted", "ssh_failed", "ssh_invalid", "ncsa", "squid", "zeek_http", "zeek_ssh"]
-FORMAT_FAMILIES = {
-    "SYSLOG_SSH": ["ssh_accepted", "ssh_failed", "ssh_invalid"],
-    "NCSA_SQUID_HTTP": ["squid", "ncsa"],
-    "ZEEK_TSV": ["zeek_http", "zeek_ssh"],
-}
+# A Zeek data row begins with an epoch or ISO time; the eighth field of an HTTP row is a verb.
+ZEEK_ROW = r"^\d[\d.:TZ+-]*\t"
+ZEEK_VERB = r"^[A-Z]{3,}$"
+ZEEK_SSH_FIELDS, ZEEK_HTTP_FIELDS = 6, 10
+
+#: Rows of the table of files up to which the routed path broadcasts it.
+BROADCAST_FILES = 200_000
 
 EVENT_FIELDS = [
     ("family", T.StringType()), ("timestamp", T.StringType()), ("source_ip", T.StringType()),
@@ -85,54 +87,95 @@ def _event(family: str, **cols) -> Column:
     return F.struct(*out)
 
 
-def _candidates(enabled: dict[str, Column]) -> Column:
-    """``array_compact`` of one guarded struct per enabled family."""
+def _ssh(name: str, pattern: str, ts: int, src: int, host: int, user: int, method: Column) -> Column:
+    return _event(name, timestamp=_grp(pattern, ts), source_ip=_grp(pattern, src), protocol=F.lit("SSH"),
+                  action=F.lit("SUCCESS" if name == "ssh_accepted" else "FAILURE"), target=_grp(pattern, host),
+                  user=_grp(pattern, user), auth_method=method, dest_host=_grp(pattern, host))
+
+
+def _http(name: str, pattern: str, ts: int, src: int, verb: int, uri: int, status: int, size: int) -> Column:
+    return _event(name, timestamp=_grp(pattern, ts), source_ip=_grp(pattern, src), protocol=F.lit("HTTP"),
+                  action=_grp(pattern, verb), target=_grp(pattern, uri), status_code=_grp(pattern, status).try_cast("int"),
+                  bytes_sent=_grp(pattern, size).try_cast("int"))
+
+
+def _fields() -> Column:
+    return F.split("raw_line", "\t")
+
+
+def _zeek_http() -> Column:
+    f = _fields()
+    return _event("zeek_http", timestamp=F.get(f, 0), source_ip=F.get(f, 2), protocol=F.lit("HTTP"),
+                  action=F.get(f, 7), target=F.get(f, 9), status_code=F.get(f, 14).try_cast("int"), bytes_sent=F.lit(100))
+
+
+def _zeek_ssh() -> Column:
+    f = _fields()
+    result = F.when(F.get(f, 6).contains("success"), F.lit("SUCCESS")).otherwise(F.lit("FAILURE"))
+    return _event("zeek_ssh", timestamp=F.get(f, 0), source_ip=F.get(f, 2), protocol=F.lit("SSH"),
+                  action=result, target=F.get(f, 4), user=F.lit("root"), auth_method=F.lit("password"))
+
+
+def is_zeek_row() -> Column:
+    """A tab-separated data row with a time in front and at least the SSH layout's fields."""
     raw = F.col("raw_line")
-    cands = []
-    if "ssh_accepted" in enabled:
-        p = SSH_ACCEPTED
-        cands.append(F.when(enabled["ssh_accepted"] & raw.rlike(GUARD_ACCEPTED), _event(
-            "ssh_accepted", timestamp=_grp(p, 1), source_ip=_grp(p, 5), protocol=F.lit("SSH"),
-            action=F.lit("SUCCESS"), target=_grp(p, 2), user=_grp(p, 4), auth_method=_grp(p, 3),
-            dest_host=_grp(p, 2))))
-    if "ssh_failed" in enabled:
-        p = SSH_FAILED
-        cands.append(F.when(enabled["ssh_failed"] & raw.rlike(GUARD_FAILED), _event(
-            "ssh_failed", timestamp=_grp(p, 1), source_ip=_grp(p, 5), protocol=F.lit("SSH"),
-            action=F.lit("FAILURE"), target=_grp(p, 2), user=_grp(p, 4), auth_method=_grp(p, 3),
-            dest_host=_grp(p, 2))))
-    if "ssh_invalid" in enabled:
-        p = SSH_INVALID
-        cands.append(F.when(enabled["ssh_invalid"] & raw.rlike(GUARD_INVALID), _event(
-            "ssh_invalid", timestamp=_grp(p, 1), source_ip=_grp(p, 4), protocol=F.lit("SSH"),
-            action=F.lit("FAILURE"), target=_grp(p, 2), user=_grp(p, 3), auth_method=F.lit("password"),
-            dest_host=_grp(p, 2))))
-    if "squid" in enabled:
-        p = SQUID
-        cands.append(F.when(enabled["squid"] & raw.contains(GUARD_SQUID), _event(
-            "squid", timestamp=_grp(p, 1), source_ip=_grp(p, 2), protocol=F.lit("HTTP"),
-            action=_grp(p, 5), target=_grp(p, 6), status_code=_grp(p, 3).try_cast("int"),
-            bytes_sent=_grp(p, 4).try_cast("int"))))
-    if "ncsa" in enabled:
-        p = NCSA
-        cands.append(F.when(enabled["ncsa"] & raw.rlike(GUARD_NCSA), _event(
-            "ncsa", timestamp=_grp(p, 2), source_ip=_grp(p, 1), protocol=F.lit("HTTP"),
-            action=_grp(p, 3), target=_grp(p, 4), status_code=_grp(p, 5).try_cast("int"),
-            bytes_sent=_grp(p, 6).try_cast("int"))))
-    if "zeek_http" in enabled or "zeek_ssh" in enabled:
-        f = F.split(raw, "\t")
-        is_data = ~raw.startswith("#")
-        if "zeek_http" in enabled:
-            cands.append(F.when(enabled["zeek_http"] & is_data, _event(
-                "zeek_http", timestamp=F.get(f, 0), source_ip=F.get(f, 2), protocol=F.lit("HTTP"),
-                action=F.get(f, 7), target=F.get(f, 9), status_code=F.get(f, 14).try_cast("int"),
-                bytes_sent=F.lit(100))))
-        if "zeek_ssh" in enabled:
-            result = F.when(F.get(f, 6).contains("success"), F.lit("SUCCESS")).otherwise(F.lit("FAILURE"))
-            cands.append(F.when(enabled["zeek_ssh"] & is_data, _event(
-                "zeek_ssh", timestamp=F.get(f, 0), source_ip=F.get(f, 2), protocol=F.lit("SSH"),
-                action=result, target=F.get(f, 4), user=F.lit("root"), auth_method=F.lit("password"))))
-    return F.array_compact(F.array(*cands))
+    return raw.contains("\t") & raw.rlike(ZEEK_ROW) & (F.size(_fields()) >= ZEEK_SSH_FIELDS)
+
+
+def is_zeek_http_row() -> Column:
+    return (F.size(_fields()) >= ZEEK_HTTP_FIELDS) & F.coalesce(F.get(_fields(), 7).rlike(ZEEK_VERB), F.lit(False))
+
+
+@dataclass(frozen=True)
+class Family:
+    """One line family, the extension point of the parser.
+
+    ``guard`` says whether a line of the family's own format is one of its lines;
+    ``accepts`` says the same for a line of unknown origin; ``event`` is the candidate
+    struct, built with ``_event``. All give a Column over ``raw_line``."""
+
+    name: str
+    format_key: str
+    guard: Callable[[], Column]
+    accepts: Callable[[], Column]
+    event: Callable[[], Column]
+
+
+def _raw() -> Column:
+    return F.col("raw_line")
+
+
+def _is_squid() -> Column:
+    return _raw().contains(GUARD_SQUID) & _raw().rlike(SQUID)
+
+
+def _syslog(name: str, guard: str, event: Callable[[], Column]) -> Family:
+    return Family(name, "SYSLOG_SSH", lambda: _raw().rlike(guard), lambda: _raw().rlike(guard) & ~is_zeek_row(), event)
+
+
+FAMILY_TABLE: dict[str, Family] = {f.name: f for f in [
+    _syslog("ssh_accepted", GUARD_ACCEPTED, lambda: _ssh("ssh_accepted", SSH_ACCEPTED, 1, 5, 2, 4, _grp(SSH_ACCEPTED, 3))),
+    _syslog("ssh_failed", GUARD_FAILED, lambda: _ssh("ssh_failed", SSH_FAILED, 1, 5, 2, 4, _grp(SSH_FAILED, 3))),
+    _syslog("ssh_invalid", GUARD_INVALID, lambda: _ssh("ssh_invalid", SSH_INVALID, 1, 4, 2, 3, F.lit("password"))),
+    Family("ncsa", "NCSA_SQUID_HTTP", lambda: _raw().rlike(GUARD_NCSA),
+           lambda: _raw().rlike(GUARD_NCSA) & ~_is_squid() & ~is_zeek_row(),
+           lambda: _http("ncsa", NCSA, 2, 1, 3, 4, 5, 6)),
+    Family("squid", "NCSA_SQUID_HTTP", lambda: _raw().contains(GUARD_SQUID), lambda: _is_squid() & ~is_zeek_row(),
+           lambda: _http("squid", SQUID, 1, 2, 5, 6, 3, 4)),
+    Family("zeek_http", "ZEEK_TSV", lambda: ~_raw().startswith("#"), lambda: is_zeek_row() & is_zeek_http_row(), _zeek_http),
+    Family("zeek_ssh", "ZEEK_TSV", lambda: ~_raw().startswith("#"), lambda: is_zeek_row() & ~is_zeek_http_row(), _zeek_ssh),
+]}
+
+
+def register_family(family: Family) -> None:
+    """Add a line family. With a format key of its own it also needs a score column
+    (``detect.register_format``) for the routed path."""
+    FAMILY_TABLE[family.name] = family
+
+
+def _candidates(conditions: dict[str, Column]) -> Column:
+    """``array_compact`` of one guarded struct per family."""
+    return F.array_compact(F.array(*[F.when(c, FAMILY_TABLE[n].event()) for n, c in conditions.items()]))
 
 
 def _explode(lines: DataFrame, cands: Column) -> DataFrame:
@@ -143,98 +186,47 @@ def _explode(lines: DataFrame, cands: Column) -> DataFrame:
     return ev.select(*EVENT_COLUMNS)
 
 
-# ---------------------------------------------------------------------------
-# Per-file head profile: the few facts that depend on a file's first lines.
-# ---------------------------------------------------------------------------
+def _mixed_candidates(families: list[str] | None) -> Column:
+    """Each line is tried against every family by its own content."""
+    return _candidates({n: FAMILY_TABLE[n].accepts() for n in families or FAMILY_TABLE})
 
-def file_profile(lines: DataFrame, sample: int = SNIFF_SAMPLE_LINES) -> DataFrame:
-    """One row per file from its first ``sample`` lines (head rows only).
-
-    Columns: ``file``, ``has_tab5`` (a tab in the first 5 lines), ``has_tcp10``
-    (``TCP_`` in the first 10), ``verb20`` (GET/HEAD/POST in the first 20),
-    ``zeek_fields`` / ``zeek_verb`` (field count of the first non-comment line
-    and whether one of its fields holds GET/HEAD/POST), and the sample lines'
-    format-score inputs used by :mod:`loggraph.operators.detect`.
-
-    ``row_number() <= k`` per file is planned as a group limit, so only k rows
-    per file and map task reach the shuffle."""
-    head = lines.where("is_head")
-    w = Window.partitionBy("file").orderBy("line_no")
-    first = head.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample)
-    data = head.where(~F.col("raw_line").startswith("#"))
-    first_data = (data.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-                  .select("file",
-                          F.size(F.split("raw_line", "\t")).alias("zeek_fields"),
-                          # a verb cannot span a tab: "some field holds it" == "the line holds it"
-                          (F.col("raw_line").contains("GET") | F.col("raw_line").contains("HEAD")
-                           | F.col("raw_line").contains("POST")).alias("zeek_verb")))
-    raw = F.col("raw_line")
-    prof = first.groupBy("file").agg(
-        F.bool_or((F.col("rn") <= 5) & raw.contains("\t")).alias("has_tab5"),
-        F.bool_or((F.col("rn") <= 10) & raw.contains("TCP_")).alias("has_tcp10"),
-        F.bool_or((F.col("rn") <= 20) & (raw.contains("GET") | raw.contains("HEAD") | raw.contains("POST")))
-        .alias("verb20"),
-    )
-    return prof.join(first_data, "file", "left")
-
-
-def _mixed_plan(lines: DataFrame, families: list[str] | None, profile: DataFrame | None):
-    """(line table, candidate-array Column) for mixed-file extraction."""
-    fams = families or ["ssh_accepted", "ssh_failed", "ssh_invalid", "ncsa"]
-    needs_profile = any(f in fams for f in ("squid", "zeek_http", "zeek_ssh"))
-    if not needs_profile:
-        return lines, _candidates({f: F.lit(True) for f in fams})
-    prof = profile if profile is not None else file_profile(lines)
-    joined = lines.join(prof, "file", "left")
-    tab5 = F.coalesce(F.col("has_tab5"), F.lit(False))
-    nf = F.coalesce(F.col("zeek_fields"), F.lit(0))
-    zeek_http = tab5 & (nf >= 10) & F.coalesce(F.col("verb20"), F.lit(False))
-    zeek_ssh = tab5 & ~zeek_http & (nf >= 6)
-    squid = ~zeek_http & F.coalesce(F.col("has_tcp10"), F.lit(False))
-    enabled = {
-        "ssh_accepted": ~zeek_ssh, "ssh_failed": ~zeek_ssh, "ssh_invalid": ~zeek_ssh,
-        "zeek_http": zeek_http, "zeek_ssh": zeek_ssh, "squid": squid,
-        "ncsa": ~zeek_http & ~squid,
-    }
-    return joined, _candidates({f: enabled[f] for f in fams})
-
-
-def _routed_plan(lines: DataFrame, formats: DataFrame, profile: DataFrame | None):
-    """(line table, candidate-array Column) with one parser per file."""
-    prof = profile if profile is not None else file_profile(lines)
-    joined = lines.join(formats.select("file", "format_key"), "file", "left").join(prof, "file", "left")
-    fk = F.col("format_key")
-    nf = F.coalesce(F.col("zeek_fields"), F.lit(0))
-    zeek_http = (fk == "ZEEK_TSV") & (nf >= 10) & F.coalesce(F.col("zeek_verb"), F.lit(False))
-    zeek_ssh = (fk == "ZEEK_TSV") & ~zeek_http & (nf >= 6)
-    ssh = fk == "SYSLOG_SSH"
-    http = fk == "NCSA_SQUID_HTTP"
-    enabled = {"ssh_accepted": ssh, "ssh_failed": ssh, "ssh_invalid": ssh, "squid": http,
-               "ncsa": http, "zeek_http": zeek_http, "zeek_ssh": zeek_ssh}
-    return joined, _candidates(enabled)
-
-
-def parse_lines(lines: DataFrame, families: list[str] | None = None,
-                profile: DataFrame | None = None) -> DataFrame:
-    """Mixed-file extraction (P9, P11): every line may feed SSH and HTTP.
-
-    Default families are the SSH syslog ones and the combined access log, which
-    need no per-file facts. Adding ``squid`` / ``zeek_*`` joins the small per-file
-    head profile (one row per file): Zeek applies when a tab shows in a file's
-    first 5 lines, in HTTP layout when its first data row has >= 10 fields with a
-    verb among the first 20 lines, else SSH layout when it has >= 6 fields; Squid
-    applies when ``TCP_`` shows in the first 10 lines and the file is not Zeek
-    HTTP, and then replaces the access-log parser for that file."""
-    return _explode(*_mixed_plan(lines, families, profile))
-
-
-def parse_routed(lines: DataFrame, formats: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+
+def _routed_plan(lines: DataFrame, formats: DataFrame) -> tuple[DataFrame, Column]:
+    """(line table, candidate-array Column) with one parser per file.
+
+    The table of files is joined on the file name: broadcast when its counted rows are
+    few, else a shuffled join whose large files AQE splits. A file without a format
+    row (no line to judge by) falls back to the SSH parser."""
+    formats = formats.select("file", "format_key", "zeek_fields", "zeek_verb")
+    if formats.count() <= BROADCAST_FILES:
+        formats = F.broadcast(formats)
+    joined = lines.join(formats, "file", "left")
+    key = F.coalesce(F.col("format_key"), F.lit("SYSLOG_SSH"))
+    http = (F.coalesce("zeek_fields", F.lit(0)) >= ZEEK_HTTP_FIELDS) & F.coalesce("zeek_verb", F.lit(False))
+    layout = {"zeek_http": http, "zeek_ssh": ~http & (F.coalesce("zeek_fields", F.lit(0)) >= ZEEK_SSH_FIELDS)}
+    return joined, _candidates({n: (key == f.format_key) & f.guard() & layout.get(n, F.lit(True))
+                                for n, f in FAMILY_TABLE.items()})
+
+
+def parse_lines(lines: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Mixed-file extraction (P9, P11): every line is tried against every family, so
+    one scan without any per-file fact serves batch, ingest and streams alike.
+
+    A tab-separated row with a time in front is Zeek, in HTTP layout with at least ten
+    fields and a verb in the eighth, else in SSH layout with at least six. Any other
+    line feeds the SSH families it matches, and Squid if it matches, else the access
+    log. ``families`` restricts the result to some families."""
+    return _explode(lines, _mixed_candidates(families))
+
+
+def parse_routed(lines: DataFrame, formats: DataFrame) -> DataFrame:
     """One parser per file, as chosen by format detection (S1 + D4).
 
-    ``formats`` has ``file, format_key``; SYSLOG_SSH files run the three SSH
-    families, NCSA_SQUID_HTTP files run Squid and access-log, ZEEK_TSV files run
-    the Zeek layout chosen from the file's first data row (P6-P8)."""
-    return _explode(*_routed_plan(lines, formats, profile))
+    ``formats`` is the table of ``detect.detect_formats``. SYSLOG_SSH files run the
+    three SSH families, NCSA_SQUID_HTTP files run Squid and access-log (a line that
+    both accept is emitted twice), ZEEK_TSV files run the layout of the file's first
+    data row (P6-P8; none under six fields)."""
+    return _explode(*_routed_plan(lines, formats))
 
 
 def line_event_counts(lines: DataFrame, families: list[str] | None = None,
@@ -242,7 +234,7 @@ def line_event_counts(lines: DataFrame, families: list[str] | None = None,
     """S3 + S10 + A21 in **one pass**: total lines (blank ones included) and the
     valid SSH / HTTP events they yield, counted from the candidate arrays before
     they are exploded, so the raw text is read once."""
-    df, cands = _routed_plan(lines, formats, None) if formats is not None else _mixed_plan(lines, families, None)
+    df, cands = _routed_plan(lines, formats) if formats is not None else (lines, _mixed_candidates(families))
 
     def valid(x, proto):
         return (x["source_ip"].isNotNull() & ~(x["family"].startswith("zeek") & (x["source_ip"] == "-"))

@@ -1,7 +1,7 @@
 """DuckDB SQL restatement of every registered query (the correctness oracle).
 
-The SQL is written independently of the Spark code path, from the rules: a
-chain of CTEs renders the log lines from ``events`` / ``pages``, parses them
+The SQL restates the rules apart from the Spark code path; it shares with it the
+rendering SQL, the URI and address patterns and the thresholds. A chain of CTEs renders the log lines from ``events`` / ``pages``, parses them
 with regular expressions, aggregates and scores edges, builds the signal/noise
 graph and the cluster overview. Each query is the shared CTE prefix plus one
 final SELECT. Arrays are reported as comma-joined text, integers as BIGINT and
@@ -14,7 +14,6 @@ from __future__ import annotations
 from loggraph import constants as K
 from loggraph.functions.net import PRIVATE_PREFIXES
 from loggraph.functions.uri import FIRST_TWO_SEGMENTS, STATIC_PATTERN, UUID_SEGMENT
-from loggraph.operators import parse as P
 from loggraph.sources.render import render_sql
 
 
@@ -66,14 +65,29 @@ def _http_family(name, pattern, guard_sql, ts, src, verb, uri, st, by):
   file, line_no from lines where {guard_sql}{{cond_{name}}}"""
 
 
+# The line patterns and rules once more, written from the format descriptions (in
+# DuckDB's dialect), not taken from the parser.
+_STAMP = "([A-Z][a-z]{2}\\s+\\d+\\s+\\d{2}:\\d{2}:\\d{2})"
+_SSHD = _STAMP + "\\s+(\\S+)\\s+sshd\\[\\d+\\]:\\s+"
+SSH_ACCEPTED = _SSHD + "Accepted\\s+(\\S+)\\s+for\\s+(\\S+)\\s+from\\s+(\\S+)\\s+port\\s+(\\d+)"
+SSH_FAILED = _SSHD + "Failed\\s+(\\S+)\\s+for\\s+(?:invalid user\\s+)?(\\S+)\\s+from\\s+(\\S+)\\s+port\\s+(\\d+)"
+SSH_INVALID = _SSHD + "Invalid user\\s+(\\S+)\\s+from\\s+(\\S+)"
+NCSA = "(\\S+)\\s+\\S+\\s+\\S+\\s+\\[([^\\]]+)\\]\\s+\"([A-Z]+)\\s+(\\S+)\\s+HTTP/[0-9.]+\"\\s+(\\d+)\\s+(\\d+)"
+SQUID = "^\\s*(\\d+\\.\\d+)\\s+\\d+\\s+(\\S+)\\s+\\S+/(\\d+)\\s+(\\d+)\\s+([A-Z]+)\\s+(\\S+)"
+GUARD_ACCEPTED, GUARD_FAILED, GUARD_INVALID = [
+    "sshd\\[\\d+\\]:\\s+" + w for w in ("Accepted", "Failed", "Invalid user")]
+GUARD_NCSA = "\"[A-Z]+\\s+\\S+\\s+HTTP/"
+FAMILY_NAMES = ["ssh_accepted", "ssh_failed", "ssh_invalid", "ncsa", "squid", "zeek_http", "zeek_ssh"]
+
+
 def _family_sql() -> dict[str, str]:
     f = "string_split(raw_line, chr(9))"
     return {
-        "ssh_accepted": _ssh_family("ssh_accepted", P.SSH_ACCEPTED, P.GUARD_ACCEPTED, 1, 5, 2, 4, grp(P.SSH_ACCEPTED, 3)),
-        "ssh_failed": _ssh_family("ssh_failed", P.SSH_FAILED, P.GUARD_FAILED, 1, 5, 2, 4, grp(P.SSH_FAILED, 3)),
-        "ssh_invalid": _ssh_family("ssh_invalid", P.SSH_INVALID, P.GUARD_INVALID, 1, 4, 2, 3, "'password'"),
-        "squid": _http_family("squid", P.SQUID, "contains(raw_line, 'TCP_')", 1, 2, 5, 6, 3, 4),
-        "ncsa": _http_family("ncsa", P.NCSA, f"regexp_matches(raw_line, {q(P.GUARD_NCSA)})", 2, 1, 3, 4, 5, 6),
+        "ssh_accepted": _ssh_family("ssh_accepted", SSH_ACCEPTED, GUARD_ACCEPTED, 1, 5, 2, 4, grp(SSH_ACCEPTED, 3)),
+        "ssh_failed": _ssh_family("ssh_failed", SSH_FAILED, GUARD_FAILED, 1, 5, 2, 4, grp(SSH_FAILED, 3)),
+        "ssh_invalid": _ssh_family("ssh_invalid", SSH_INVALID, GUARD_INVALID, 1, 4, 2, 3, "'password'"),
+        "squid": _http_family("squid", SQUID, "contains(raw_line, 'TCP_')", 1, 2, 5, 6, 3, 4),
+        "ncsa": _http_family("ncsa", NCSA, f"regexp_matches(raw_line, {q(GUARD_NCSA)})", 2, 1, 3, 4, 5, 6),
         "zeek_http": f"""select 'zeek_http' as family, {f}[1] as timestamp, {f}[3] as source_ip, 'HTTP' as protocol,
   {f}[8] as action, {f}[10] as target, {_NULLS_HTTP}, try_cast({f}[15] as integer) as status_code,
   100 as bytes_sent, file, line_no from lines where not starts_with(raw_line, '#'){{cond_zeek_http}}""",
@@ -84,52 +98,39 @@ def _family_sql() -> dict[str, str]:
     }
 
 
-# Per-file head profile (first 100 lines by line_no, first data row).
-PROFILE = f"""
-head as (select *, row_number() over (partition by file order by line_no) as rn from lines where is_head),
-first_data as (select file, len(string_split(raw_line, chr(9))) as zeek_fields,
-   (contains(raw_line, 'GET') or contains(raw_line, 'HEAD') or contains(raw_line, 'POST')) as zeek_verb
-   from (select *, row_number() over (partition by file order by line_no) as rn2 from lines
-         where is_head and not starts_with(raw_line, '#')) where rn2 = 1),
-prof as (select h.file,
-   bool_or(rn <= 5 and contains(raw_line, chr(9))) as has_tab5,
-   bool_or(rn <= 10 and contains(raw_line, 'TCP_')) as has_tcp10,
-   bool_or(rn <= 20 and (contains(raw_line, 'GET') or contains(raw_line, 'HEAD') or contains(raw_line, 'POST'))) as verb20,
-   any_value(fd.zeek_fields) as zeek_fields, bool_or(fd.zeek_verb) as zeek_verb
-   from head h left join first_data fd on fd.file = h.file where rn <= {K.SNIFF_SAMPLE_LINES} group by h.file),
-lp as (select l.*, coalesce(p.has_tab5, false) as has_tab5, coalesce(p.has_tcp10, false) as has_tcp10,
-   coalesce(p.verb20, false) as verb20, coalesce(p.zeek_fields, 0) as zeek_fields, coalesce(p.zeek_verb, false) as zeek_verb
-   from lines l left join prof p on p.file = l.file),
-lm as (select *, has_tab5 and zeek_fields >= 10 and verb20 as m_zeek_http from lp),
-lm2 as (select *, has_tab5 and not m_zeek_http and zeek_fields >= 6 as m_zeek_ssh,
-   not m_zeek_http and has_tcp10 as m_squid from lm)"""
+_FIELDS = "string_split(raw_line, chr(9))"
+_ZEEK = f"(contains(raw_line, chr(9)) and regexp_matches(raw_line, '^[0-9][0-9.:TZ+-]*' || chr(9)) and len({_FIELDS}) >= 6)"
+_ZEEK_HTTP = f"(len({_FIELDS}) >= 10 and coalesce(regexp_matches({_FIELDS}[8], '^[A-Z]{{3,}}$'), false))"
+_SQUID = f"(contains(raw_line, 'TCP_') and regexp_matches(raw_line, {q(SQUID)}))"
+#: What each line is taken for when nothing is known of its file.
+LINE_RULES = {
+    "ssh_accepted": f" and not {_ZEEK}", "ssh_failed": f" and not {_ZEEK}", "ssh_invalid": f" and not {_ZEEK}",
+    "squid": f" and {_SQUID} and not {_ZEEK}", "ncsa": f" and not {_SQUID} and not {_ZEEK}",
+    "zeek_http": f" and {_ZEEK} and {_ZEEK_HTTP}", "zeek_ssh": f" and {_ZEEK} and not {_ZEEK_HTTP}",
+}
+_LAYOUT = "coalesce(zf, 0) >= 10 and coalesce(zv, false)"
+#: One parser per file, by the file's format (and, for Zeek, its first data row).
+FILE_RULES = {
+    **{n: " and fk = 'SYSLOG_SSH'" for n in FAMILY_NAMES[:3]}, **{n: " and fk = 'NCSA_SQUID_HTTP'" for n in ("ncsa", "squid")},
+    "zeek_http": f" and fk = 'ZEEK_TSV' and {_LAYOUT}", "zeek_ssh": f" and fk = 'ZEEK_TSV' and not ({_LAYOUT}) and coalesce(zf, 0) >= 6",
+}
 
 
-def events_cte(kind: str = "mixed", families: list[str] | None = None, where: str | None = None) -> str:
-    """CTEs ``lines`` and ``ev`` (parsed, non-null source) for one rendering."""
-    fams = families or ["ssh_accepted", "ssh_failed", "ssh_invalid", "ncsa"]
-    needs = any(f in fams for f in ("squid", "zeek_http", "zeek_ssh"))
+def _events(fams: list[str], rules: dict[str, str], where: str | None = None) -> str:
     fsql = _family_sql()
-    conds = {f: "" for f in P.FAMILIES}
-    src = "lines"
-    if needs:
-        conds = {"ssh_accepted": " and not m_zeek_ssh", "ssh_failed": " and not m_zeek_ssh",
-                 "ssh_invalid": " and not m_zeek_ssh", "zeek_http": " and m_zeek_http",
-                 "zeek_ssh": " and m_zeek_ssh", "squid": " and m_squid",
-                 "ncsa": " and not m_zeek_http and not m_squid"}
-        src = "lm2"
-    parts = []
-    for fam in fams:
-        s = fsql[fam].replace("{cond_" + fam + "}", conds[fam])
-        parts.append(s.replace("from lines where", f"from {src} where"))
-    ev0 = "\nunion all\n".join(parts)
-    prefix = f"lines as ({render_sql(kind, 'duckdb')})"
-    if needs:
-        prefix += "," + PROFILE
-    return (prefix + f""",
+    ev0 = "\nunion all\n".join(fsql[f].replace("{cond_" + f + "}", rules[f]) for f in fams)
+    return f"""
 ev0 as ({ev0}),
 ev as (select * from ev0 where source_ip is not null and not (starts_with(family, 'zeek') and source_ip = '-')
-   and ({where or 'true'}))""")
+   and ({where or 'true'}))"""
+
+
+def events_cte(kind: str = "mixed", families: list[str] | None = None, where: str | None = None) -> str:
+    """CTEs ``lines`` and ``ev`` (parsed, non-null source) for one rendering. The mixed
+    rendering holds no tab and no Squid line, so four families say all about it."""
+    if families is None:
+        return f"lines as ({render_sql(kind, 'duckdb')})," + _events(FAMILY_NAMES[:4], dict.fromkeys(FAMILY_NAMES, ""), where)
+    return f"lines as ({render_sql(kind, 'duckdb')})," + _events(families, LINE_RULES, where)
 
 
 PRIV_LIST = "[" + ", ".join(q(u) for u in K.PRIVILEGED_USERS) + "]"
@@ -272,7 +273,7 @@ HTTP_CNT_OUT = ("src_ip, uri_prefix, verb, cast(total_attempts as bigint) as tot
                 "cast(count_5xx as bigint) as count_5xx, first_timestamp, last_timestamp")
 HTTP_SC_OUT = HTTP_CNT_OUT + ", has_4xx, has_5xx, is_post, is_write, risk_score, is_anomalous"
 
-ALL = ALL_FAMILIES = list(P.FAMILIES)
+ALL_FAMILIES = FAMILY_NAMES
 
 DETECT = f"""
 samp as (select * from (select *, row_number() over (partition by file order by line_no) as rn
@@ -323,7 +324,7 @@ ORACLE: dict[str, str] = {
     "p5_squid": _all(f"select {EV_OUT} from ev where family = 'squid'"),
     "p6_zeek_http": _all(f"select {EV_OUT} from ev where family = 'zeek_http'"),
     "p7_zeek_ssh": _all(f"select {EV_OUT} from ev where family = 'zeek_ssh'"),
-    "p11_mixed_family_counts": _all("select file, family, protocol, count(*) as n from ev group by file, family, protocol"),
+    "p11_mixed_family_counts": with_graph("files", ALL_FAMILIES) + ("select file, family, protocol, count(*) as n from ev group by file, family, protocol"),
     "p9_unified_events": _mixed("""select timestamp, source_ip, protocol, action, target,
    case when protocol = 'SSH' then to_json({'user': "user", 'auth_method': auth_method, 'dest_host': dest_host})::varchar
         else to_json({'status_code': status_code, 'bytes_sent': bytes_sent})::varchar end as metadata from ev"""),
@@ -460,6 +461,9 @@ ORACLE.update({
     "e3_expand_web": _expand_sql(K.SUPER_WEB_SURFACE, f"select {NODE_OUT} from kept"),
     "e4_expand_internal": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {NODE_OUT} from kept"),
     "k1_top75_edges": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {EDGE_OUT} from kept_edges"),
+    "k1_top10_nodes": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"""select {NODE_OUT},
+   cast((select count(*) from kept) as bigint) as kept_nodes, cast((select count(*) from nrows) as bigint) as total_nodes from kept""", 10),
+    "k1_top10_edges": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {EDGE_OUT} from kept_edges", 10),
     "k2_top60": _mixed(f"select {NODE_OUT} from kept", TOPK.format(k=K.CLIENT_MAX_NODES)),
     "f9_f11_edge_classes": _mixed(f"""select id,
    round(least(4.0, (case when is_anomalous then 1.2 else 0.3 end)
@@ -543,6 +547,17 @@ select file, line_no, sha256(file || chr(1) || raw_line) as event_id from lines"
 ORACLE.update({
     "s9_session_scan": _mixed("""select cast(count(*) filter (where protocol = 'SSH') as bigint) as valid_ssh_events,
    cast(count(*) filter (where protocol = 'HTTP') as bigint) as valid_http_events from ev"""),
+    "s9_restored_session": _mixed("""select cast(n_ssh as bigint) as valid_ssh_events, cast(n_http as bigint) as valid_http_events, session
+   from (select count(*) filter (where protocol = 'SSH') as a, count(*) filter (where protocol = 'HTTP') as b from ev) c,
+   lateral (values ('7', a, 0), ('007', a, b), ('none', 0, 0)) as t(session, n_ssh, n_http)"""),
+    "t1_stream_all_formats": with_graph("files", ALL_FAMILIES)
+    + "select family, protocol, count(*) as n from ev group by family, protocol",
+    "t2_stream_overview": ORACLE["c4_super_nodes"],
+    "t2_stream_expand": ORACLE["e4_expand_internal"],
+    "k5_running_totals": "\nunion all\n".join(
+        "select * from (" + with_graph("mixed", None, where=f"line_no % 4 <= {b}") + f"""select cast({b} as bigint) as batch_id,
+   anomalous_edges_count, high_risk_nodes_count, anomalous_edges_count as detected_lateral_chains, total_nodes, total_edges
+   from gsummary)""" for b in range(4)),
     "t2_stream_summary": ORACLE["a17_summary"],
 })
 
@@ -561,5 +576,25 @@ chosen as (select case when (select count(*) from snodes) <= 50 then 'subnet24'
 ORACLE.update({
     "x11_bounded_overview": _mixed("""select id, cast(child_count as bigint) as child_count, cluster_level from levels
    where cluster_level = (select cluster_level from chosen)""", BOUNDED),
-    "e5_expand_unknown": _expand_sql("super:no_such_cluster", f"select {NODE_OUT} from kept"),
+    "s11_expand_payload": ORACLE["e4_expand_internal"],
+    "e5_expand_unknown": _expand_sql(K.SUPER_EXTERNAL_THREATS, f"select {NODE_OUT}, {q(K.SUPER_EXTERNAL_THREATS)} as cluster_id from kept"),
+})
+
+ROUTED = (f"with rendered as ({render_sql('files', 'duckdb')})," + """
+lines as (select raw_line, file || '-' || cast(((line_no % 4) + 4) % 4 as varchar) as file, line_no, is_head from rendered),"""
+          + DETECT + """,
+first_data as (select file, len(string_split(raw_line, chr(9))) as zf,
+   contains(raw_line, 'GET') or contains(raw_line, 'HEAD') or contains(raw_line, 'POST') as zv
+   from (select *, row_number() over (partition by file order by line_no) as rn from lines where not starts_with(raw_line, '#'))
+   where rn = 1),
+lr as (select l.*, coalesce(d.format_key, 'SYSLOG_SSH') as fk, z.zf, z.zv from lines l
+   left join detected d on d.file = l.file left join first_data z on z.file = l.file),"""
+          + _events(ALL_FAMILIES, FILE_RULES).replace("from lines where", "from lr where") + "\n")
+
+ORACLE.update({
+    "r1_routed_events": ROUTED + f"select {EV_OUT.rsplit(',', 1)[0]} from ev",
+    "r2_routed_counts": ROUTED + """select coalesce(d.file, e.file) as file, d.format_key,
+   cast(count(*) filter (where protocol = 'SSH') as bigint) as ssh_events,
+   cast(count(*) filter (where protocol = 'HTTP') as bigint) as http_events
+   from detected d full join ev e on e.file = d.file group by 1, 2""",
 })

@@ -21,13 +21,12 @@ from loggraph.operators import edges as E
 from loggraph.operators import graph as G
 from loggraph.operators.detect import detect_formats
 from loggraph.operators.parse import (
-    FAMILIES, http_events, parse_lines, ssh_events, unified_view,
+    http_events, parse_lines, parse_routed, ssh_events, unified_view,
 )
 from loggraph.plans.pipeline import session_meta
-from loggraph.sources.render import render_lines
+from loggraph.sources.render import render_lines, write_log_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ALL_FAMILIES = list(FAMILIES)
 
 
 def query(name: str):
@@ -64,13 +63,13 @@ def lines_of(spark, sf, kind="mixed"):
     return render_lines(spark, sf, kind)
 
 
-def events_of(spark, sf, kind="mixed", families=None):
-    return parse_lines(lines_of(spark, sf, kind), families)
+def events_of(spark, sf, kind="mixed"):
+    return parse_lines(lines_of(spark, sf, kind))
 
 
 def all_events(spark, sf):
     """Every rendering (syslog, access, Squid, Zeek) through the mixed parser."""
-    return events_of(spark, sf, "all", ALL_FAMILIES)
+    return events_of(spark, sf, "all")
 
 
 def graph_of(spark, sf) -> G.Graph:
@@ -88,11 +87,11 @@ def s10_protocol_counts(spark, sf):
 
 @query("d_format_scores")
 def d_format_scores(spark, sf):
-    return report(detect_formats(lines_of(spark, sf, "all")))
+    return report(detect_formats(lines_of(spark, sf, "all")).drop("zeek_fields", "zeek_verb"))
 
 
-def _family(spark, sf, fam, kind="mixed", families=None):
-    ev = events_of(spark, sf, kind, families)
+def _family(spark, sf, fam, kind="mixed"):
+    ev = events_of(spark, sf, kind)
     return report(ev.where(F.col("family") == fam))
 
 
@@ -118,22 +117,23 @@ def p4(spark, sf):
 
 @query("p5_squid")
 def p5(spark, sf):
-    return _family(spark, sf, "squid", "all", ALL_FAMILIES)
+    return _family(spark, sf, "squid", "all")
 
 
 @query("p6_zeek_http")
 def p6(spark, sf):
-    return _family(spark, sf, "zeek_http", "all", ALL_FAMILIES)
+    return _family(spark, sf, "zeek_http", "all")
 
 
 @query("p7_zeek_ssh")
 def p7(spark, sf):
-    return _family(spark, sf, "zeek_ssh", "all", ALL_FAMILIES)
+    return _family(spark, sf, "zeek_ssh", "all")
 
 
 @query("p11_mixed_family_counts")
 def p11(spark, sf):
-    ev = all_events(spark, sf)
+    """Every rendered file, odd ones included, through the per-line parser."""
+    ev = events_of(spark, sf, "files")
     return report(ev.groupBy("file", "family", "protocol").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -143,6 +143,29 @@ def p9(spark, sf):
     return report(unified_view(ev))
 
 
+def _log_folder(spark, sf):
+    """All renderings written as text files and read back."""
+    return write_log_files(lines_of(spark, sf, "files"), f"{_scratch(spark, 'logs')}/files")
+
+
+@query("r1_routed_events")
+def r1(spark, sf):
+    """Log files -> format per file -> one parser per file."""
+    lines = _log_folder(spark, sf)
+    return report(parse_routed(lines, detect_formats(lines)).drop("line_no"))
+
+
+@query("r2_routed_counts")
+def r2(spark, sf):
+    """Chosen format and events per file; a file without a judged line has no format."""
+    lines = _log_folder(spark, sf)
+    formats = detect_formats(lines)
+    events = parse_routed(lines, formats).groupBy("file").agg(
+        F.count_if(F.col("protocol") == "SSH").alias("ssh_events"), F.count_if(F.col("protocol") == "HTTP").alias("http_events"))
+    found = formats.select("file", "format_key").join(events, "file", "full")
+    return report(found.select("file", "format_key", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ssh_events", "http_events")]))
+
+
 # ---------------------------------------------------------------------------
 # scalar functions over every distinct value
 # ---------------------------------------------------------------------------
@@ -356,6 +379,25 @@ def k1(spark, sf):
     return _expand(spark, sf, K.SUPER_INTERNAL_BASELINE, "edges")
 
 
+SMALL_K = 10
+
+
+@query("k1_top10_nodes")
+def k1_small(spark, sf):
+    """A cap that cuts: the ten first nodes, each with "n of m"."""
+    from loggraph.operators.expand import expand
+    x = expand(events_of(spark, sf), K.SUPER_INTERNAL_BASELINE, SMALL_K)
+    kept = x.nodes.agg(F.count(F.lit(1)).alias("kept_nodes"))
+    return report(x.nodes.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(x.total_nodes)))  # one-row sides
+
+
+@query("k1_top10_edges")
+def k1_small_edges(spark, sf):
+    """Edges among the ten kept nodes: the induced filter removes the others."""
+    from loggraph.operators.expand import expand
+    return report(expand(events_of(spark, sf), K.SUPER_INTERNAL_BASELINE, SMALL_K).edges)
+
+
 @query("k2_top60")
 def k2(spark, sf):
     from loggraph.operators.expand import top_nodes
@@ -527,13 +569,31 @@ def s9(spark, sf):
     return report(protocol_counts(load_session(spark, root, "sess_a")))
 
 
-def _stream(spark, sf):
-    """Render the logs into a folder of four text files, then stream it."""
+@query("s9_restored_session")
+def s9_restored(spark, sf):
+    """Storing a session again replaces it whole; ids are text; an unknown id is empty."""
+    from loggraph.sources.store import load_session, protocol_counts, store_session
+    root, ev = _scratch(spark, "sessions"), events_of(spark, sf)
+    store_session(ev, root, "7")
+    store_session(ev.where("protocol = 'SSH'"), root, "7")
+    store_session(ev, root, "007")
+    parts = [protocol_counts(load_session(spark, root, i)).withColumn("session", F.lit(i)) for i in ("7", "007", "none")]
+    return report(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+STREAM_FILES = 4
+
+
+def _stream(spark, sf, kind="mixed"):
+    """Render the logs into four text files (line_no modulo four, written one after
+    another, so the micro-batches follow that order), then stream the folder."""
     from loggraph.streaming.ingest import StreamIngest
     base = _scratch(spark, "stream")
-    logs = f"{base}/logs"
-    lines_of(spark, sf).select("raw_line").repartition(4, "raw_line").write.text(logs)
-    return StreamIngest(spark, f"{base}/state").run(logs, max_files_per_trigger=1)
+    lines = lines_of(spark, sf, kind)
+    for part in range(STREAM_FILES):
+        (lines.where(F.pmod("line_no", F.lit(STREAM_FILES)) == part).select("raw_line").coalesce(1)
+         .write.text(f"{base}/logs/part={part}"))
+    return StreamIngest(spark, f"{base}/state").run(f"{base}/logs", max_files_per_trigger=1)
 
 
 @query("t2_stream_summary")
@@ -542,9 +602,29 @@ def t2(spark, sf):
     return report(_stream(spark, sf).graph().summary)
 
 
+@query("t1_stream_all_formats")
+def t1(spark, sf):
+    """Lines of all formats, mixed in every file, through the stream."""
+    ev = _stream(spark, sf, "files").events()
+    return report(ev.groupBy("family", "protocol").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("t2_stream_overview")
+def t2_overview(spark, sf):
+    """The stream's session gives the cluster overview."""
+    return report(_stream(spark, sf).overview().super_nodes)
+
+
+@query("t2_stream_expand")
+def t2_expand(spark, sf):
+    """... and drill-downs."""
+    from loggraph.operators.expand import expand
+    return report(expand(_stream(spark, sf).events(), K.SUPER_INTERNAL_BASELINE).nodes)
+
+
 @query("k5_running_totals")
 def k5(spark, sf):
-    """Global totals after each micro-batch (rows-only check: batches follow file order)."""
+    """Global totals after each micro-batch."""
     return report(_stream(spark, sf).running_totals())
 
 
@@ -558,14 +638,21 @@ def x11(spark, sf):
 
 @query("e5_expand_unknown")
 def e5(spark, sf):
-    """An id that names no cluster expands to an empty node table."""
-    return _expand(spark, sf, "super:no_such_cluster")
+    """An id that names no cluster adds nothing to one that does."""
+    from loggraph.operators.expand import expand
+    ev = events_of(spark, sf)
+    ids = ["super:no_such_cluster", K.SUPER_EXTERNAL_THREATS]
+    both = [expand(ev, i).nodes.withColumn("cluster_id", F.lit(i)) for i in ids]
+    return report(both[0].unionByName(both[1]))
 
 
 @query("s11_expand_payload")
 def s11(spark, sf):
-    """The drill-down result (at most 75 nodes) as one nested JSON document."""
+    """The drill-down result (at most 75 nodes) as one nested JSON document, read back
+    into its node rows."""
     from loggraph.operators.expand import expand
     from loggraph.sources.store import bounded_payload
     x = expand(events_of(spark, sf), K.SUPER_INTERNAL_BASELINE)
-    return bounded_payload(x.nodes, x.edges)
+    shape = T.StructType([T.StructField("nodes", T.ArrayType(x.nodes.schema))])
+    document = bounded_payload(x.nodes, x.edges).select(F.from_json("payload", shape).alias("d"))
+    return report(document.select(F.inline("d.nodes")))

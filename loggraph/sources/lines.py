@@ -32,27 +32,21 @@ def _valid_utf8(c):
     return F.make_valid_utf8(c) if hasattr(F, "make_valid_utf8") else F.expr(f"make_valid_utf8({c})")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = LOG_GLOB,
-               max_lines: int | None = None) -> DataFrame:
-    """Read log files as lines.
+def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = LOG_GLOB) -> DataFrame:
+    """Read log files as lines (S1, S2, S6), all of them.
 
-    ``path`` may be a file, a folder (read recursively) or a list of them. The
-    optional ``max_lines`` reproduces the 50,000-line cap of the one-shot path
-    (S4); it is off by default because it drops data.
+    ``path`` may be a file, a folder (read recursively) or a list of them.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(path)
-    lines = raw.select(
+    return raw.select(
         _valid_utf8("value").alias("raw_line"),
         F.col("_metadata.file_path").alias("file"),
         F.monotonically_increasing_id().alias("line_no"),
         (F.col("_metadata.file_block_start") == 0).alias("is_head"),
     )
-    if max_lines is not None:
-        lines = lines.limit(max_lines)
-    return lines
 
 
 def lines_from_text(spark: SparkSession, text: str, file: str = "upload.log") -> DataFrame:

@@ -11,6 +11,7 @@ Output columns: ``raw_line, file, line_no, is_head`` (the line-table schema).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Dialect-specific snippets: whole epoch seconds of the naive UTC ``ts`` column.
 _EPOCH = {
@@ -104,7 +105,33 @@ select cast(epoch_s as string) || '.' || lpad(cast(event_id % 1000 as string),3,
   'zeek_http.log' as file, event_id as line_no, true as is_head
 from b where event_type in ('click','view')"""
 
-KINDS = {"mixed": [_MIXED], "squid": [_SQUID], "zeek": [_ZEEK], "all": [_MIXED, _SQUID, _ZEEK]}
+# Files that a per-file shortcut gets wrong: access lines that mention TCP_, a log with a
+# blank head, tab-separated rows too short for Zeek, and lines that both HTTP parsers accept.
+_ODD = """
+select ip || ' - - [' || dd0 || '/' || mon || '/2024:' || hms || ' +0000] "GET /docs/TCP_tuning/' || cast(event_id % 9 as string)
+  || ' HTTP/1.1" 200 ' || cast(100 + event_id % 5000 as string) as raw_line,
+  'tcp_access.log' as file, event_id as line_no, true as is_head
+from b where event_id % 7 = 1
+union all
+select '' as raw_line, 'blank_head.log' as file, event_id - 1000000 as line_no, true as is_head
+from b where event_id < 600
+union all
+select mon || ' ' || dd || ' ' || hms || ' ' || host || ' sshd[' || cast(1000 + event_id % 9000 as string)
+  || ']: Accepted password for ' || usr || ' from ' || ip || ' port 22 ssh2' as raw_line,
+  'blank_head.log' as file, event_id as line_no, true as is_head
+from b where event_id % 11 = 3
+union all
+select cast(epoch_s as string) || '.0' || chr(9) || 'C' || cast(event_id as string) || chr(9) || ip || chr(9) || '22' as raw_line,
+  'short_tsv.log' as file, event_id as line_no, true as is_head
+from b where event_id % 13 = 5
+union all
+select cast(epoch_s as string) || '.000     20 ' || ip || ' TCP_MISS/' || cast(st as string) || ' 100 GET http://a.example' || uri
+  || ' - - [' || dd0 || '/' || mon || '/2024:' || hms || ' +0000] "GET ' || uri || ' HTTP/1.1" 200 55' as raw_line,
+  'both.log' as file, event_id as line_no, true as is_head
+from b where event_id % 17 = 2"""
+
+KINDS = {"mixed": [_MIXED], "squid": [_SQUID], "zeek": [_ZEEK], "all": [_MIXED, _SQUID, _ZEEK],
+         "files": [_MIXED, _SQUID, _ZEEK, _ODD]}
 
 
 def render_sql(kind: str = "mixed", dialect: str = "duckdb") -> str:
@@ -120,17 +147,25 @@ def render_sql(kind: str = "mixed", dialect: str = "duckdb") -> str:
     return sql
 
 
+def write_log_files(lines: DataFrame, path: str, parts: int = 4) -> DataFrame:
+    """Write a line table as text files, ``parts`` per rendered file (a line goes to part
+    ``line_no % parts``, in line order), and read them back as a user's log folder;
+    ``file`` is the rendered file's name and part."""
+    from loggraph.sources.lines import read_lines
+
+    key = F.concat_ws("-", "file", F.pmod("line_no", F.lit(parts)))
+    (lines.withColumn("key", key).repartition("key").sortWithinPartitions("key", "line_no")
+     .select("raw_line", "key").write.partitionBy("key").text(path))
+    return read_lines(lines.sparkSession, path).withColumn("file", F.regexp_extract("file", "/key=([^/]+)/", 1))
+
+
 def render_lines(spark: SparkSession, sf_dir: str, kind: str = "mixed") -> DataFrame:
     """Line table rendered from ``{sf_dir}/events.parquet`` (and ``pages``)."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    # A log folder arrives as many file splits; a small table packed into one row
-    # group arrives as a single split. Only then spread the (narrow) source rows so
-    # parsing runs on every core; with enough splits the scan is used as it is.
-    par = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < par:
-        events = events.repartition(par, "event_id")
+    # The given table is one row group, one split: its narrow rows are spread so that
+    # rendering and parsing use every core.
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition("event_id")
     kwargs = {"events": events}
-    if kind in ("squid", "all"):
+    if kind in ("squid", "all", "files"):
         kwargs["pages"] = spark.read.parquet(f"{sf_dir}/pages.parquet")
     df = spark.sql(render_sql(kind, "spark"), **kwargs)
     return df.selectExpr("raw_line", "file", "cast(line_no as bigint) as line_no", "is_head")

@@ -1,34 +1,47 @@
 """Session store and result sinks.
 
-A session is one partition of a Parquet dataset partitioned by ``session_id``
-and ``protocol``; reading a session is a partition-pruned scan, and predicates
-such as the drill-down filters are pushed into it. Overwriting a session only
-replaces its own partitions (dynamic partition overwrite).
+A session is one folder of Parquet files partitioned by ``protocol``. Storing a
+session again replaces its folder as a whole; reading it is a partition-pruned scan
+into which predicates such as the drill-down filters are pushed.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loggraph.operators.parse import EVENT_FIELDS
+
+SESSION_SCHEMA = T.StructType([T.StructField(n, t) for n, t in EVENT_FIELDS[1:]] + [
+    T.StructField("family", T.StringType()), T.StructField("file", T.StringType()), T.StructField("line_no", T.LongType())])
+
+
+def session_path(root: str, session_id: str) -> str:
+    """The session's own folder; any text is an id, "7" and "007" are two."""
+    return f"{root.rstrip('/')}/session={quote(session_id, safe='')}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
 def store_session(events: DataFrame, root: str, session_id: str) -> str:
     """Write one session's unified events as Snappy Parquet; returns the root."""
-    spark = events.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (events.withColumn("session_id", F.lit(session_id))
-         .write.mode("overwrite").partitionBy("session_id", "protocol")
-         .option("compression", "snappy").parquet(root))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (events.select(*SESSION_SCHEMA.names).write.mode("overwrite").partitionBy("protocol")
+     .option("compression", "snappy").parquet(session_path(root, session_id)))
     return root
 
 
 def load_session(spark: SparkSession, root: str, session_id: str) -> DataFrame:
-    """Lazy, partition-pruned scan of one session."""
-    return spark.read.parquet(root).where(F.col("session_id") == session_id).drop("session_id")
+    """Lazy, partition-pruned scan of one session; an unknown id is an empty one."""
+    path = session_path(root, session_id)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], SESSION_SCHEMA)
+    return spark.read.schema(SESSION_SCHEMA).parquet(path)
 
 
 def protocol_counts(events: DataFrame) -> DataFrame:
@@ -50,8 +63,8 @@ def bounded_payload(nodes: DataFrame, edges: DataFrame, summary: DataFrame | Non
 
     Only for results with a proven size bound (the top-75 drill-down, the
     <= 50-node overview): the document is built in one group."""
-    n = nodes.agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
-    e = edges.agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
+    n = nodes.agg(F.array_sort(F.collect_list(F.struct(*nodes.columns))).alias("nodes"))
+    e = edges.agg(F.array_sort(F.collect_list(F.struct(*edges.columns))).alias("edges"))
     doc = n.unionByName(e, allowMissingColumns=True).agg(
         F.first("nodes", ignorenulls=True).alias("nodes"), F.first("edges", ignorenulls=True).alias("edges"))
     return doc.select(F.to_json(F.struct("nodes", "edges")).alias("payload"))

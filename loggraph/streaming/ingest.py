@@ -1,14 +1,14 @@
 """Chunked ingest as Structured Streaming.
 
-``readStream.text`` over a log folder -> single-scan parse -> stateful edge
-aggregate (``groupBy`` with count / count_if / collect_set / mode / min / max in
-``update`` mode, kept in the state store) -> ``foreachBatch`` merges the updated
-edge rows into a versioned Parquet snapshot. Flags and risk are recomputed from
-the merged state, so a burst that spans micro-batches is still detected, and
-totals are global rather than per chunk (divergence V7). The snapshot write is
-keyed by ``batch_id``: a replayed batch rewrites the same version, so the sink
-is idempotent. ``Trigger.AvailableNow`` gives the stream an exact end, after
-which the graph and the cluster overview are batch jobs over the snapshot.
+``readStream.text`` over a log folder -> the same per-line parser as in batch ->
+``foreachBatch``, which stores the batch's events (the session) and its additive edge
+facts, one row per (edge, user, status), each under the batch id. A replayed batch
+rewrites its own folders, so the sink is idempotent, and what a batch writes follows
+the batch, not what came before. The state of all edges is the sum of the facts:
+bursts that span micro-batches are found and totals are global (divergence V7).
+``compact`` folds old facts into one table. ``Trigger.AvailableNow`` gives the stream
+an exact end; the graph, the overview and drill-downs are batch jobs over facts and
+session.
 """
 
 from __future__ import annotations
@@ -18,78 +18,44 @@ from pyspark.sql import functions as F
 
 from loggraph.operators import edges as E
 from loggraph.operators import graph as G
+from loggraph.operators.clusters import build_overview
 from loggraph.operators.parse import parse_lines
 from loggraph.sources.lines import stream_lines
-
-KEYS = ["protocol", "src_ip", "k2", "k3"]
-
-
-def _fs(spark: SparkSession, path: str):
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jp, jp.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jp, fs = _fs(spark, path)
-    return bool(fs.exists(jp))
-
-
-def list_dir(spark: SparkSession, path: str) -> list[str]:
-    jp, fs = _fs(spark, path)
-    if not fs.exists(jp):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(jp)]
+from loggraph.sources.store import SESSION_SCHEMA, path_exists
 
 
 class StreamIngest:
-    """Run a log folder through the streaming edge aggregate into a snapshot."""
+    """Run a log folder through the stream; ``state_dir`` is a shared folder."""
 
     def __init__(self, spark: SparkSession, state_dir: str):
         self.spark = spark
         self.state_dir = state_dir.rstrip("/")
-        self.snap_root = f"{self.state_dir}/snapshot"
-        self.summary_root = f"{self.state_dir}/batch_summary"
         self.query = None
 
+    def _folder(self, kind: str, batch_id: int) -> str:
+        return f"{self.state_dir}/{kind}/b={batch_id}"
+
+    def _batches(self, kind: str) -> list[int]:
+        """Complete batches, listed through the Hadoop file system API."""
+        root = f"{self.state_dir}/{kind}"
+        if not path_exists(self.spark, root):
+            return []
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(root)
+        names = [st.getPath().getName() for st in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+        return sorted(int(n[2:]) for n in names if n.startswith("b=") and path_exists(self.spark, f"{root}/{n}/_SUCCESS"))
+
     # -- streaming part -----------------------------------------------------
-    def edge_stream(self, lines: DataFrame) -> DataFrame:
-        """T4: stateful edge aggregate over a streaming line table."""
-        return E.edge_state_stream(parse_lines(lines))
-
-    def _merge(self, batch: DataFrame, batch_id: int) -> None:
-        """foreachBatch sink: upsert updated edge rows into snapshot version ``batch_id``."""
-        spark = batch.sparkSession
-        prev = self._latest_version(before=batch_id)
-        new_path = f"{self.snap_root}/v={batch_id}"
-        if prev is None:
-            merged = batch
-        else:
-            old = spark.read.parquet(f"{self.snap_root}/v={prev}")
-            merged = old.join(batch.select(*KEYS), KEYS, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(new_path)
-        # K5 / T5: global running totals after this batch.
-        g = G.build_graph_from_counts(spark.read.parquet(new_path), cache=False)
-        (g.summary.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{self.summary_root}/b={batch_id}"))
-
-    def _versions(self) -> list[int]:
-        """Complete snapshot versions, listed through the Hadoop FileSystem API
-        so the state folder may live on any shared storage."""
-        out = []
-        for name in list_dir(self.spark, self.snap_root):
-            if name.startswith("v=") and path_exists(self.spark, f"{self.snap_root}/{name}/_SUCCESS"):
-                out.append(int(name[2:]))
-        return sorted(out)
-
-    def _latest_version(self, before: int | None = None) -> int | None:
-        vs = [v for v in self._versions() if before is None or v < before]
-        return vs[-1] if vs else None
+    def _store(self, batch: DataFrame, batch_id: int) -> None:
+        """foreachBatch sink: the batch's events and edge facts."""
+        events = self._folder("events", batch_id)
+        batch.select(*SESSION_SCHEMA.names).write.mode("overwrite").parquet(events)
+        facts = E.edge_facts(batch.sparkSession.read.schema(SESSION_SCHEMA).parquet(events))
+        facts.write.mode("overwrite").parquet(self._folder("facts", batch_id))
 
     def start(self, log_dir: str, max_files_per_trigger: int | None = 1, available_now: bool = True):
         lines = stream_lines(self.spark, log_dir, max_files_per_trigger)
-        w = (self.edge_stream(lines).writeStream.outputMode("update")
-             .option("checkpointLocation", f"{self.state_dir}/checkpoint")
-             .foreachBatch(self._merge))
+        w = (parse_lines(lines).writeStream.option("checkpointLocation", f"{self.state_dir}/checkpoint")
+             .foreachBatch(self._store))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
         self.query = w.start()
         return self.query
@@ -101,20 +67,55 @@ class StreamIngest:
         return self
 
     # -- batch part after the stream (T2) ------------------------------------
-    def snapshot(self) -> DataFrame:
-        v = self._latest_version()
-        if v is None:
-            return self.spark.createDataFrame([], E.edge_counts_schema())
-        return self.spark.read.parquet(f"{self.snap_root}/v={v}")
-
-    def graph(self) -> G.Graph:
-        return G.build_graph_from_counts(self.snapshot())
+    def events(self) -> DataFrame:
+        """The stream's session: all parsed events so far."""
+        folders = [self._folder("events", b) for b in self._batches("events")]
+        if not folders:
+            return self.spark.createDataFrame([], SESSION_SCHEMA)
+        return self.spark.read.schema(SESSION_SCHEMA).parquet(*folders)
+
+    def facts(self, until: int | None = None) -> DataFrame:
+        """Edge facts of the batches up to ``until``: the compacted ones and the rest."""
+        base = max((b for b in self._batches("compacted") if until is None or b <= until), default=-1)
+        folders = [self._folder("facts", b) for b in self._batches("facts") if b > base and (until is None or b <= until)]
+        folders += [self._folder("compacted", base)] if base >= 0 else []
+        if not folders:
+            return E.edge_facts(self.spark.createDataFrame([], SESSION_SCHEMA))
+        return E.merge_facts(self.spark.read.parquet(*folders))
+
+    def compact(self) -> None:
+        """Fold all facts so far into one table and delete what it replaces. Running
+        totals start at the compacted batch afterwards."""
+        done, old = self._batches("facts"), self._batches("compacted")
+        if not done or done[-1] in old:
+            return
+        self.facts().write.mode("overwrite").parquet(self._folder("compacted", done[-1]))
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.state_dir)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for kind, batches in (("facts", done), ("compacted", old)):
+            for b in batches:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(kind, b)), True)
+
+    def graph(self, until: int | None = None) -> G.Graph:
+        facts = self.facts(until)
+        return G.build_graph_from_counts(E.counts_from_facts(facts), cache=False, user_lists=E.lists_from_facts(facts))
+
+    def overview(self):
+        """The cluster overview over the stream's session."""
+        return build_overview(self.events())
 
     def running_totals(self) -> DataFrame:
-        """K5: per micro-batch global totals (anomalous edges, high-risk nodes, chains)."""
-        return self.spark.read.parquet(self.summary_root).select(
-            "batch_id", "anomalous_edges_count", "high_risk_nodes_count", "detected_lateral_chains",
-            "total_nodes", "total_edges")
+        """K5, on request: global totals after each micro-batch (anomalous edges,
+        high-risk nodes, chains, nodes, edges)."""
+        out = None
+        for b in sorted({*self._batches("facts"), *self._batches("compacted")}):
+            one = self.graph(until=b).summary.select(
+                F.lit(b).cast("bigint").alias("batch_id"), "anomalous_edges_count", "high_risk_nodes_count",
+                "detected_lateral_chains", "total_nodes", "total_edges")
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            raise ValueError("no batch has been stored yet")
+        return out
 
     def progress(self) -> list[dict]:
         """Rows per micro-batch and cumulative percent of all rows read."""

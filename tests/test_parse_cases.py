@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loggraph.functions.net import is_private, subnet24
 from loggraph.functions.uri import is_static_asset, uri_prefix
-from loggraph.operators.parse import FAMILIES, parse_lines
+from loggraph.operators.parse import FAMILY_TABLE, parse_lines
 from loggraph.sources.lines import lines_from_text
 
 URI_CASES = [
@@ -55,7 +55,7 @@ def _parse(spark, text, families=None):
 def test_squid_line(spark):
     line = ("1723150200.123    120 10.0.0.7 TCP_MISS/200 4512 GET http://example.com/a/1?x=2 - "
             "DIRECT/93.184.216.34 text/html")
-    ev = _parse(spark, line, list(FAMILIES))
+    ev = _parse(spark, line, list(FAMILY_TABLE))
     r = ev[0]
     assert (r.family, r.timestamp, r.source_ip, r.action, r.status_code, r.bytes_sent) == \
         ("squid", "1723150200.123", "10.0.0.7", "GET", 200, 4512)
@@ -83,14 +83,14 @@ def test_failed_invalid_user_prefix_removed(spark):
 
 def test_zeek_ssh_and_http(spark):
     ssh = "\t".join(["1723150200.1", "C1", "10.0.0.5", "4000", "10.0.0.6", "22", "success"])
-    ev = _parse(spark, "#fields\tts\n" + ssh + "\n" + ssh.replace("10.0.0.5", "-"), list(FAMILIES))
+    ev = _parse(spark, "#fields\tts\n" + ssh + "\n" + ssh.replace("10.0.0.5", "-"), list(FAMILY_TABLE))
     rows = [r for r in ev.values() if r.family.startswith("zeek")]
     assert len(rows) == 1
     r = rows[0]
     assert (r.family, r.action, r.target, r.user, r.dest_host) == ("zeek_ssh", "SUCCESS", "10.0.0.6", "root", None)
     http = "\t".join(["1723150200.1", "C2", "10.0.0.5", "4001", "10.0.0.7", "80", "1", "GET", "h", "/p", "-",
                       "1.1", "ua", "0", "404"])
-    ev = _parse(spark, http, list(FAMILIES))
+    ev = _parse(spark, http, list(FAMILY_TABLE))
     r = [r for r in ev.values() if r.family.startswith("zeek")][0]
     assert (r.family, r.action, r.target, r.status_code, r.bytes_sent) == ("zeek_http", "GET", "/p", 404, 100)
 
@@ -143,3 +143,59 @@ def test_modal_status_from_facts(spark):
     assert (r.status_code, r.total_attempts, r.count_4xx) == (200, 7, 2)
     direct = ev.groupBy("source_ip").agg(F.mode("status_code", True).alias("m")).first().m
     assert direct == r.status_code
+
+
+ACCESS = '1.2.3.4 - - [06/Aug/2026:03:20:10 +0000] "GET {} HTTP/1.1" 200 17'
+SQUID_LINE = "1723150200.123    20 10.0.0.9 TCP_MISS/200 900 GET http://a.example/x - DIRECT/1.1.1.1 text/html"
+
+
+def test_one_line_never_switches_a_parser_off(spark):
+    """An access log that mentions TCP_, Squid lines and Zeek rows in one file."""
+    zeek = "\t".join(["1723150200.1", "C1", "10.0.0.5", "4000", "10.0.0.6", "22", "success"])
+    text = "\n".join([ACCESS.format("/docs/TCP_tuning"), ACCESS.format("/a"), SQUID_LINE, zeek, ACCESS.format("/b")])
+    fams = [r.family for r in parse_lines(lines_from_text(spark, text)).orderBy("line_no").collect()]
+    assert fams == ["ncsa", "ncsa", "squid", "zeek_ssh", "ncsa"]
+
+
+def test_blank_headed_file_falls_back_to_the_first_parser(spark):
+    from loggraph.operators.detect import detect_formats
+    from loggraph.operators.parse import parse_routed
+    text = "\n" * 120 + "Aug  5 01:15:02 jumpbox sshd[1042]: Accepted publickey for a from 1.2.3.4 port 1 ssh2"
+    lines = lines_from_text(spark, text)
+    assert parse_routed(lines, detect_formats(lines)).count() == 1
+    assert parse_lines(lines).count() == 1
+
+
+def test_a_line_of_both_http_parsers(spark):
+    from loggraph.operators.detect import detect_formats
+    from loggraph.operators.parse import parse_routed
+    line = SQUID_LINE.replace(" - DIRECT/1.1.1.1 text/html", ' - - [06/Aug/2026:03:20:10 +0000] "GET /x HTTP/1.1" 200 5')
+    lines = lines_from_text(spark, line)
+    assert sorted(r.family for r in parse_routed(lines, detect_formats(lines)).collect()) == ["ncsa", "squid"]
+    assert [r.family for r in parse_lines(lines).collect()] == ["squid"]
+
+
+def test_register_a_format(spark):
+    """The extension point: a family and its score, without touching the modules."""
+    from pyspark.sql import functions as F
+
+    from loggraph.operators import detect, parse
+    pattern = r"^TOY (\S+) (\S+)$"
+    is_toy = lambda: F.col("raw_line").rlike(pattern)
+    parse.register_family(parse.Family("toy", "TOY", is_toy, is_toy, lambda: parse._event(
+        "toy", source_ip=parse._grp(pattern, 1), target=parse._grp(pattern, 2), protocol=F.lit("SSH"), action=F.lit("SUCCESS"))))
+    detect.register_format("TOY", "toy_score", lambda: F.count_if(is_toy()) / F.count(F.lit(1)))
+    try:
+        lines = lines_from_text(spark, "TOY 1.2.3.4 host1\nTOY 1.2.3.5 host2")
+        found = detect.detect_formats(lines)
+        assert found.first().format_key == "TOY"
+        assert parse.parse_routed(lines, found).count() == parse.parse_lines(lines).count() == 2
+    finally:
+        del parse.FAMILY_TABLE["toy"], detect.FORMATS["TOY"]
+
+
+def test_mixed_parse_plan_has_one_scan_and_no_exchange(spark, tmp_path):
+    from loggraph.sources.lines import read_lines
+    (tmp_path / "a.log").write_text("x\n")
+    plan = parse_lines(read_lines(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan

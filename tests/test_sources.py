@@ -35,10 +35,45 @@ def test_read_lines_utf8_and_suffix_filter(spark):
     assert heads == lines.count()          # small files: one split each
 
 
-def test_line_cap_is_opt_in(spark):
-    d = _folder({"a.log": ("x\n" * 30).encode()})
-    assert read_lines(spark, d).count() == 30
-    assert read_lines(spark, d, max_lines=10).count() == 10
+def test_heads_of_a_file_in_many_splits(spark):
+    """Only the first split's rows are head rows; detection still sees 100 lines."""
+    from loggraph.operators.detect import detect_formats, sample_lines
+    line = "Aug  5 01:15:02 jumpbox sshd[1042]: Accepted publickey for a from 1.2.3.4 port 1 ssh2\n"
+    d = _folder({"a.log": (line * 4000).encode()})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        lines = read_lines(spark, d)
+        assert lines.count() == 4000 and 100 < lines.where("is_head").count() < 1000
+        assert sample_lines(lines).count() == 100
+        assert parse_lines(lines).count() == 4000
+        assert detect_formats(lines).first().format_key == "SYSLOG_SSH"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_session_is_replaced_whole_and_its_id_is_text(spark):
+    root = tempfile.mkdtemp(prefix="lg-store-", dir="/tmp")
+    ev = parse_lines(lines_from_text(spark, CHAIN))
+    store_session(ev, root, "7")
+    store_session(ev.where("protocol = 'SSH'"), root, "7")
+    store_session(ev, root, "007")
+    store_session(ev.where("protocol = 'none'"), root, "a/b ?")
+    assert load_session(spark, root, "7").where("protocol <> 'SSH'").count() == 0
+    assert load_session(spark, root, "007").count() == ev.count()
+    assert load_session(spark, root, "a/b ?").count() == load_session(spark, root, "unknown").count() == 0
+
+
+def test_no_machine_local_folder_off_local_masters():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from loggraph.session import ensure_checkpoint_dir
+    for master in ("yarn", "spark://host:7077", "k8s://https://host", "local-cluster[2,1,1024]"):
+        sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master=master)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
 
 
 def test_unified_view_round_trip(spark):
@@ -63,4 +98,5 @@ def test_session_store_prunes(spark):
     assert (r.valid_ssh_events, r.valid_http_events) == (4, 2)
     assert protocol_counts(load_session(spark, root, "s2")).first().valid_http_events == 7
     plan = s1.where("protocol = 'HTTP'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "session_id" in plan
+    assert "PartitionFilters" in plan and "protocol" in plan
+    assert all("/session=s1/" in f for f in s1.inputFiles())   # the session's own folder, no other

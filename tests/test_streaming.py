@@ -22,6 +22,19 @@ def test_stream_equals_batch(spark):
     assert totals[-1].anomalous_edges_count == gb.summary.first().anomalous_edges_count
     prog = si.progress()
     assert prog[-1]["progress"] == 100.0
+    si.compact()
+    assert si._batches("facts") == [] and len(si._batches("compacted")) == 1
+    assert sorted(map(tuple, si.graph().summary.collect())) == sorted(map(tuple, gb.summary.collect()))
+    assert si.events().count() == parse_lines(lines).count()
+    assert si.overview().super_nodes.count() > 0
+
+
+def test_a_squid_folder_streams(spark):
+    d = tempfile.mkdtemp(prefix="lg-sq-", dir="/tmp")
+    lines = render_lines(spark, "/root/testdata/sf0.001", "squid")
+    lines.select("raw_line").coalesce(1).write.text(f"{d}/logs")
+    si = StreamIngest(spark, f"{d}/state").run(f"{d}/logs")
+    assert si.events().where("family = 'squid'").count() == lines.count()
 
 
 def test_stream_timeline_equals_batch_without_late_rows(spark):
