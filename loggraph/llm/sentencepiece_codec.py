@@ -22,6 +22,7 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
 class PieceBpe:
     """``encode(text)`` and ``decode(ids)`` of a SentencePiece BPE model."""
 
-    def __init__(self, path: str, kept_words: int = 500_000, kept_pairs: int = 1_000_000):
+    def __init__(self, path: str, kept_words: int = 300_000, kept_pairs: int = 300_000):
         import ahocorasick
         import sentencepiece
 
@@ -86,7 +87,8 @@ class PieceBpe:
                        and (b := self.piece.get(p[k:])) is not None}
         self.text_of = {i: p for p, i in self.piece.items()}
         self.words = Kept(self._word, kept_words)
-        self.pairs = Kept(self._compatible, kept_pairs)
+        self.count = model.get_piece_size()
+        self.pairs = Kept(lambda k: self._compatible(divmod(k, self.count)), kept_pairs)
         self.blank_runs = Kept(self._blank_run, 10_000)
 
     def _merge(self, ids: list[int], texts: list[str], last: bool = False):
@@ -146,11 +148,11 @@ class PieceBpe:
         """The prefix table: entry e is the last token of ``word[:e]``, -1 where a
         character outside the vocabulary ends it."""
         table = [-1] * (len(word) + 1)
-        pairs = self.pairs
+        pairs, count = self.pairs, self.count
         for end, (token, length) in self.automaton.iter(word):
             if table[end + 1] < 0:
                 before = table[end + 1 - length]
-                if before < 0 or pairs[before, token]:
+                if before < 0 or pairs[before * count + token]:
                     table[end + 1] = token
         return table
 
@@ -166,7 +168,8 @@ class PieceBpe:
             else:
                 back.extend(self.bytes[b] for b in reversed(word[at - 1].encode("utf-8")))
                 at -= 1
-        return np.asarray(back[::-1], dtype="<u4").tobytes()
+        back.reverse()
+        return struct.pack(f"<{len(back)}I", *back)
 
     def _blank_run(self, n: int) -> bytes:
         return np.asarray(self._merge([self.piece[MARK]] * n, [MARK] * n), dtype="<u4").tobytes()
@@ -243,16 +246,26 @@ def _mapped(df: DataFrame, fields: list[tuple[str, str, pa.DataType]], row) -> D
     return df.mapInArrow(run, ", ".join(f"{f[0]} {f[1]}" for f in fields))
 
 
+IDS = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids", "binary", pa.binary())]
+TEXT = ("text", "string", pa.string())
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+
+def _framed(bpe: PieceBpe, text: str) -> bytes:
+    return np.uint32(bpe.bos).tobytes() + bpe.encode(text) + np.uint32(bpe.eos).tobytes()
+
+
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (uint32 bytes, with begin and end id) of whole texts."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def row(values):
-        bpe = piece_bpe(model)
-        ids = np.uint32(bpe.bos).tobytes() + bpe.encode(values[1]) + np.uint32(bpe.eos).tobytes()
+        ids = _framed(piece_bpe(model), values[1])
         return (values[0], len(ids) // 4, ids), len(ids)
 
-    return _mapped(docs, [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids", "binary", pa.binary())], row)
+    return _mapped(_documents(docs, id_col, text_col), IDS, row)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -262,15 +275,25 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
         text = piece_bpe(model).decode(np.frombuffer(values[2], dtype="<u4").tolist())
         return (*values, text), len(values[2]) + len(text)
 
-    return _mapped(encoded.select("doc_id", "n_tokens", "ids"), [
-        ("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids", "binary", pa.binary()),
-        ("text", "string", pa.string())], row)
+    return _mapped(encoded.select("doc_id", "n_tokens", "ids"), [*IDS, TEXT], row)
+
+
+def encode_and_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Both in one task: doc_id, n_tokens, ids and the text decoded from the ids."""
+
+    def row(values):
+        bpe = piece_bpe(model)
+        ids = _framed(bpe, values[1])
+        text = bpe.decode(np.frombuffer(ids, dtype="<u4").tolist())
+        return (values[0], len(ids) // 4, ids, text), len(ids) + len(text)
+
+    return _mapped(_documents(docs, id_col, text_col), [*IDS, TEXT], row)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     import public_tokenizers
 
     model = model or public_tokenizers.path("piece_bpe_32k.model")
-    out = decode_documents(encode_documents(read_table(spark, sf_dir, "documents"), model), model)
+    out = encode_and_decode(read_table(spark, sf_dir, "documents"), model)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("text", 256).alias("decoded_sha256"))

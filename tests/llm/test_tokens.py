@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from loggraph.llm.byte_bpe import ByteBpe
 from loggraph.llm.packing import pack, pieces_of
-from loggraph.llm.sentencepiece_codec import PieceBpe, decode_documents, encode_documents
+from loggraph.llm.sentencepiece_codec import PieceBpe, decode_documents, encode_and_decode, encode_documents
 from loggraph.llm.token_store import read_tokens, write_tokens
 
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -144,6 +144,7 @@ def test_packing(spark, docs):
 def test_sentencepiece_documents(spark, docs):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     rows = decode_documents(encode_documents(docs, PIECE), PIECE).collect()
+    assert sorted(rows, key=str) == sorted(encode_and_decode(docs, PIECE).collect(), key=str)
     got = sorted((np.frombuffer(r.ids, "<u4").tolist(), r.n_tokens, r.text) for r in rows)
     want = []
     for r in docs.collect():
