@@ -85,7 +85,7 @@ def main():
 
         timed("expand", drill)
         timed("detect_formats", lambda: detect_formats(render_lines(spark, data_dir, "all")).collect())
-        timed("web_to_ssh", lambda: web_to_ssh(events).agg(F.count(F.lit(1))).collect())
+        timed("web_to_ssh", lambda: web_to_ssh(events, 2024).agg(F.count(F.lit(1))).collect())
         return sum(r["count"] for r in counts), nodes, edges
 
     # Warm-up: one untimed pass of the same operations on the smallest tables, so

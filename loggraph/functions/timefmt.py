@@ -10,10 +10,10 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def event_time(ts, log_year: int = 2024) -> Column:
+def event_time(ts, log_year: int) -> Column:
     """Parse ``timestamp`` text into a UTC ``TIMESTAMP``.
 
-    * syslog ``MMM d HH:mm:ss`` carries no year: ``log_year`` supplies it;
+    * syslog ``MMM d HH:mm:ss`` carries no year: the caller says which one it is;
     * access-log ``dd/MMM/yyyy:HH:mm:ss Z``;
     * epoch seconds with a fraction (Squid, Zeek).
     Unparseable text gives NULL, never an error."""

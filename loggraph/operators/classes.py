@@ -87,49 +87,18 @@ def summary_extras(node_risk: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def bounded_overview(events: DataFrame, max_nodes: int = 50):
-    """X11: cluster overview with at most ``max_nodes`` super-nodes.
+    """X11: the finest cluster overview of at most ``max_nodes`` super-nodes.
 
-    The size check is one count (a number, not data, reaches the driver). Over
-    the bound, /24 subnets coarsen to /16; still over, all internal subnets merge."""
+    /24 subnets coarsen to /16, then to one internal cluster; columns, labels and rules
+    are the same at every level, over one written fact table, and only counts reach the
+    driver. Returns (overview, level, within the bound)."""
     from loggraph.operators import clusters as C
-
-    ov = C.build_overview(events)
-    n = ov.super_nodes.count()
-    if n <= max_nodes:
-        return ov, "subnet24"
-    for level in ("subnet16", "internal"):
-        coarse = _coarsen(ov, level)
-        if coarse.super_nodes.count() <= max_nodes:
-            return coarse, level
-    return coarse, "internal"
-
-
-def _coarsen(ov, level: str):
-    from loggraph.operators.clusters import Overview, overview_summary
-
-    def remap(c):
-        col = F.col(c)
-        if level == "subnet16":
-            new = F.concat(F.lit("super:subnet16:"),
-                           F.regexp_extract(col, r"^super:subnet:(\d+\.\d+)\.", 1), F.lit(".0.0/16"))
-        else:
-            new = F.lit("super:internal")
-        return F.when(col.startswith(K.SUPER_SUBNET_PREFIX), new).otherwise(col)
-
-    members = ov.members.select(remap("cluster_id").alias("cluster_id"), "node_id").distinct()
-    counts = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("child_count"))
-    risk = F.when(F.col("cluster_id") == K.SUPER_EXTERNAL_THREATS, F.lit(K.EXTERNAL_THREATS_RISK)) \
-        .when(F.col("cluster_id") == K.SUPER_WEB_URLS, F.lit(K.WEB_URLS_RISK)).otherwise(F.lit(K.SUBNET_RISK))
-    nodes = counts.select(F.col("cluster_id").alias("id"), F.col("cluster_id").alias("label"),
-                          F.lit("SUPER_NODE").alias("node_type"), F.col("child_count").cast("bigint"),
-                          F.lit(level).alias("cluster_rule"), risk.alias("risk_score"))
-    e = ov.super_edges.select(remap("source").alias("source"), remap("target").alias("target"),
-                              "total_attempts", "dominant_protocol", "is_anomalous")
-    edges = (e.where(F.col("source") != F.col("target")).groupBy("source", "target")
-             .agg(F.sum("total_attempts").cast("bigint").alias("total_attempts"),
-                  F.bool_or("is_anomalous").alias("is_anomalous"))
-             .select(F.concat(F.lit("super_edge:"), "source", F.lit("->"), "target").alias("id"),
-                     "source", "target", "total_attempts", "is_anomalous",
-                     F.least(F.lit(K.SUPER_EDGE_WEIGHT_CAP), F.col("total_attempts") / 50.0).alias("weight")))
-    return Overview(super_nodes=nodes, super_edges=edges, members=members,
-                    summary=overview_summary(nodes, edges))
+    from loggraph.session import materialize
+
+    facts = materialize(C.cluster_facts(events), "cluster_facts")
+    for level in C.LEVELS:
+        ov = C.overview_of_facts(C.at_level(facts, level))
+        within = ov.super_nodes.count() <= max_nodes
+        if within:
+            break
+    return ov, level, within

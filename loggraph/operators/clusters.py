@@ -59,14 +59,19 @@ def cluster_props(cluster_id, child_count):
     subnet = F.regexp_replace(cid, "^super:subnet:", "")
     label = (F.when(cid == K.SUPER_EXTERNAL_THREATS, F.format_string("External Threats (%d IPs)", n))
              .when(cid.startswith(K.SUPER_SUBNET_PREFIX), F.format_string("Subnet %s (%d hosts)", subnet, n))
+             .when(cid.startswith("super:subnet16:"), F.format_string(
+                 "Subnet %s (%d hosts)", F.regexp_replace(cid, "^super:subnet16:", ""), n))
+             .when(cid == "super:internal", F.format_string("Internal Hosts (%d)", n))
              .when(cid == K.SUPER_WEB_URLS, F.format_string("Web Endpoints (%d)", n))
              .otherwise(F.format_string("Cluster (%d)", n)))
     rule = (F.when(cid == K.SUPER_EXTERNAL_THREATS, F.lit("external_ip"))
             .when(cid.startswith(K.SUPER_SUBNET_PREFIX), F.lit("internal_subnet_24"))
+            .when(cid.startswith("super:subnet16:"), F.lit("internal_subnet_16"))
+            .when(cid == "super:internal", F.lit("internal"))
             .when(cid == K.SUPER_WEB_URLS, F.lit("url_collapse"))
             .otherwise(F.lit("unknown")))
     risk = (F.when(cid == K.SUPER_EXTERNAL_THREATS, F.lit(K.EXTERNAL_THREATS_RISK))
-            .when(cid.startswith(K.SUPER_SUBNET_PREFIX), F.lit(K.SUBNET_RISK))
+            .when(cid.startswith("super:subnet") | (cid == "super:internal"), F.lit(K.SUBNET_RISK))
             .when(cid == K.SUPER_WEB_URLS, F.lit(K.WEB_URLS_RISK))
             .otherwise(F.lit(K.UNKNOWN_CLUSTER_RISK)))
     return label, rule, risk
@@ -90,12 +95,33 @@ def super_nodes_and_members(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, members
 
 
+LEVELS = ["subnet24", "subnet16", "internal"]
+
+
+def at_level(facts: DataFrame, level: str) -> DataFrame:
+    """The fact table with its /24 clusters merged to /16 or to one internal cluster."""
+    def coarse(c):
+        col = F.col(c)
+        new = F.concat(F.lit("super:subnet16:"), F.regexp_extract(col, r"^super:subnet:(\d+\.\d+)\.", 1), F.lit(".0.0/16")) \
+            if level == "subnet16" else F.lit("super:internal")
+        return F.when(col.startswith(K.SUPER_SUBNET_PREFIX), new).otherwise(col).alias(c)
+
+    if level == "subnet24":
+        return facts
+    return facts.select(coarse("src_cluster"), coarse("tgt_cluster"), "protocol", "source_ip", "target", "n")
+
+
 def build_overview(events: DataFrame, materialize: bool = True) -> Overview:
     """Super-nodes, super-edges, membership and summary from unified events."""
     facts = cluster_facts(events)
     if materialize:
         from loggraph.session import materialize as write_table
         facts = write_table(facts, "cluster_facts")
+    return overview_of_facts(facts)
+
+
+def overview_of_facts(facts: DataFrame) -> Overview:
+    """The overview of a cluster fact table: the same columns and rules at every level."""
     counts, members = super_nodes_and_members(facts)
     label, rule, risk = cluster_props("cluster_id", "child_count")
     snodes = counts.select(

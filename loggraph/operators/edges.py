@@ -87,13 +87,6 @@ def counts_from_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def lists_from_facts(facts: DataFrame) -> DataFrame:
-    """Sorted distinct users per SSH edge (presentation only; scores never need it)."""
-    return (facts.where((F.col("protocol") == "SSH") & F.col("user").isNotNull())
-            .groupBy("src_ip", F.col("k2").alias("dest_host"))
-            .agg(F.array_sort(F.collect_list("user")).alias("distinct_users")))
-
-
 def edge_counts(events: DataFrame) -> DataFrame:
     """SSH and HTTP edge state from one scan and parse.
 
@@ -104,11 +97,6 @@ def edge_counts(events: DataFrame) -> DataFrame:
     return counts_from_facts(edge_facts(events))
 
 
-def edge_user_lists(events: DataFrame) -> DataFrame:
-    """Sorted distinct users per SSH edge, for the edge presentation rows."""
-    return lists_from_facts(edge_facts(events))
-
-
 def split_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Combined edge state -> (SSH counts as A1, HTTP counts as A10).
 

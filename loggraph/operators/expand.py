@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loggraph import constants as K
 from loggraph.functions.net import is_private
-from loggraph.operators.graph import build_graph
+from loggraph.operators.graph import attach_users, build_graph
 from loggraph.session import materialize
 
 #: Largest k of the top-k: its ids are broadcast.
@@ -80,5 +80,5 @@ def expand(events: DataFrame, super_id: str, k: int = K.EXPAND_MAX_NODES) -> Exp
     subset = events.where(pred) if pred is not None else events.where(F.lit(False))
     g = build_graph(subset)
     nodes, edges = top_nodes(g.nodes, g.edges, k)
-    return Expansion(parent=super_id, nodes=nodes, edges=edges,
+    return Expansion(parent=super_id, nodes=nodes, edges=attach_users(edges, g.edge_users),
                      total_nodes=g.nodes.agg(F.count(F.lit(1)).alias("total_nodes")))

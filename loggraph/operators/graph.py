@@ -51,13 +51,11 @@ class Graph:
     summary: DataFrame
     raw_edges: DataFrame      # scored edges before collapse (G1-G3)
     node_risk: DataFrame      # every raw node with risk, touch, layer, signal, super id
+    edge_users: DataFrame | None = None   # long table (id, user) of the SSH edges
 
     def unpersist(self):
         for df in (self.raw_edges, self.node_risk, self.edges):
-            try:
-                df.unpersist()
-            except Exception:
-                pass
+            df.unpersist()
 
 
 # ---------------------------------------------------------------------------
@@ -90,18 +88,13 @@ def http_source_risk(http_e: DataFrame) -> DataFrame:
     return http_e.groupBy("src_ip").agg(F.max("risk_score").alias("http_src_risk"))
 
 
-def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None, user_lists: DataFrame | None = None) -> DataFrame:
+def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None) -> DataFrame:
     """G2 + G3: scored SSH edges; a source with HTTP risk > 2.0 marks a full chain.
 
     The chain test reads HTTP-derived source risk only, which makes it
-    independent of row order (divergence V1). Edge state without user lists gets
-    them from ``user_lists(src_ip, dest_host, distinct_users)`` when given."""
+    independent of row order (divergence V1)."""
     if "distinct_users" not in ssh_e.columns:
-        if user_lists is not None:
-            ssh_e = ssh_e.join(user_lists, ["src_ip", "dest_host"], "left")
-            ssh_e = ssh_e.withColumn("distinct_users", F.coalesce("distinct_users", _empty_strs()))
-        else:
-            ssh_e = ssh_e.withColumn("distinct_users", _empty_strs())
+        ssh_e = ssh_e.withColumn("distinct_users", _empty_strs())
     if http_e is not None:
         src = ssh_e.join(http_source_risk(http_e), "src_ip", "left")
         chain = F.coalesce(F.col("http_src_risk"), F.lit(0.0)) > K.CHAIN_SOURCE_RISK
@@ -213,24 +206,39 @@ def collapse_edges(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return passed.unionByName(merged)
 
 
+#: Fixed order of an edge's flags.
+FLAG_ORDER = ["WEB_EXPLOIT_POST", "HTTP_4XX_SCAN", "BRUTE_FORCE_BURST", "PRIVILEGE_PIVOT", "SSH_PRIVILEGE_PIVOT",
+              "RARE_PIVOT_PATH", "FULL_ATTACK_CHAIN"]
+
+
 def merge_parallel_edges(edges: DataFrame) -> DataFrame:
-    """One row per edge id: summed attempts, OR-ed anomaly, ordered flag union, max weight."""
+    """One row per edge id: summed attempts, OR-ed anomaly and flags, max weight.
+
+    Every aggregate is combinable and free of order: flags in their fixed order, the
+    smallest of values that parallel edges disagree on. Users stay in the long table
+    (``Graph.edge_users``), where merging is a union."""
+    same = ["source", "target", "edge_type", "http_verb", "status_code", "uri_path"]
+    flags = F.array_compact(F.array(*[
+        F.when(F.bool_or(F.array_contains("anomaly_flags", f)), F.lit(f)) for f in FLAG_ORDER]))
     return edges.groupBy("id").agg(
-        F.first("source").alias("source"), F.first("target").alias("target"),
-        F.first("edge_type").alias("edge_type"), F.max("weight").alias("weight"),
-        F.sum("total_attempts").cast("bigint").alias("total_attempts"),
-        F.first("http_verb").alias("http_verb"), F.first("status_code").alias("status_code"),
-        F.first("uri_path").alias("uri_path"),
-        F.sum("successful_auths").cast("bigint").alias("successful_auths"),
-        F.sum("failed_auths").cast("bigint").alias("failed_auths"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("distinct_users")))).alias("distinct_users"),
-        F.array_distinct(F.flatten(F.collect_list("anomaly_flags"))).alias("anomaly_flags"),
+        *[F.min(c).alias(c) for c in same], F.max("weight").alias("weight"),
+        *[F.sum(c).cast("bigint").alias(c) for c in ("total_attempts", "successful_auths", "failed_auths")],
+        _empty_strs().alias("distinct_users"), flags.alias("anomaly_flags"),
         F.bool_or("is_anomalous").alias("is_anomalous"),
         F.min("first_timestamp").alias("first_timestamp"),
         F.max("last_timestamp").alias("last_timestamp"),
     ).select(*EDGE_COLUMNS)
 
 
+def attach_users(edges: DataFrame, edge_users: DataFrame) -> DataFrame:
+    """The users of a few edges as arrays (a drill-down's kept edges): only their rows
+    of the long table are gathered."""
+    ids = edges.select("id")
+    lists = edge_users.join(ids, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("user")).alias("users"))
+    out = edges.join(lists, "id", "left").withColumn("distinct_users", F.coalesce("users", "distinct_users"))
+    return out.select(*edges.columns)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """in/out degree per node id from one exploded aggregate."""
     ends = edges.select(F.explode(F.array(
@@ -311,34 +319,17 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # Whole pipeline
 # ---------------------------------------------------------------------------
 
-def rows_from_counts(counts: DataFrame, user_lists: DataFrame | None = None) -> DataFrame:
+def rows_from_counts(counts: DataFrame) -> DataFrame:
     """G1-G3 from combined edge state: scored HTTP and SSH edge rows."""
     ssh_c, http_c = E.split_counts(counts)
     http_e = E.score_http_edges(http_c)
     ssh_e = E.score_ssh_edges(ssh_c)
-    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e, user_lists))
-
-
-def scored_edge_rows(events: DataFrame, materialize: bool = False) -> DataFrame:
-    """G1-G3 from unified events: scored HTTP and SSH edge rows.
-
-    Both protocols come out of one fact table (:func:`edges.edge_facts`). With
-    ``materialize`` that table is written once to the shared checkpoint
-    folder: the log scan and parse then run exactly once, every later step
-    (chain lookup, node aggregate, remap joins, degrees) reads the table, and a
-    lost executor never forces a re-parse."""
-    facts = E.edge_facts(events)
-    if materialize:
-        from loggraph.session import materialize as write_table
-        facts = write_table(facts, "edge_facts")
-    counts, lists = E.counts_from_facts(facts), E.lists_from_facts(facts)
-    return rows_from_counts(counts, lists)
+    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e))
 
 
-def build_graph_from_counts(counts: DataFrame, cache: bool = True,
-                            user_lists: DataFrame | None = None) -> Graph:
+def build_graph_from_counts(counts: DataFrame, cache: bool = True) -> Graph:
     """Graph from combined edge state (batch, merged partials or a stream snapshot)."""
-    rows = rows_from_counts(counts, user_lists)
+    rows = rows_from_counts(counts)
     if cache:
         # Small per-edge / per-node tables read by several outputs: keep them in
         # memory. A lost partition is recomputed from the edge-state table,
@@ -352,19 +343,30 @@ def build_graph_from_counts(counts: DataFrame, cache: bool = True,
     return Graph(nodes=nrows, edges=edges, summary=summary(nrows, edges), raw_edges=rows, node_risk=nodes)
 
 
-def build_graph(events: DataFrame, materialize: bool = True, user_lists: bool = True) -> Graph:
+def edge_users_from_facts(facts: DataFrame) -> DataFrame:
+    """Long table (id, user) of the SSH edges: one row per edge and user, however many
+    users an edge has."""
+    return (facts.where((F.col("protocol") == "SSH") & F.col("user").isNotNull())
+            .select(F.concat(F.lit("edge:"), "src_ip", F.lit("->"), "k2").alias("id"), "user"))
+
+
+def build_graph(events: DataFrame, materialize: bool = True) -> Graph:
     """Unified events -> signal/noise graph.
 
-    By default the per-edge state is written once to the shared checkpoint
-    folder (see :func:`scored_edge_rows`) and the small downstream tables are
-    cached; ``materialize=False`` keeps one lazy plan. The written table is the
-    per-(edge, user, status) fact table, from which both the edge state and the
-    per-edge user lists (``user_lists``) are small aggregates; scores never
-    depend on the lists."""
+    By default the per-(edge, user, status) fact table is written once to the shared
+    checkpoint folder: the log scan and parse run exactly once, every later step reads
+    that table, and a lost executor never forces a re-parse. The small downstream
+    tables are cached; ``materialize=False`` keeps one lazy plan. Users stay a long
+    table (``edge_users``); scores need only their number."""
     facts = E.edge_facts(events)
     if materialize:
         from loggraph.session import materialize as write_table
         facts = write_table(facts, "edge_facts")
-    counts = E.counts_from_facts(facts)
-    lists = E.lists_from_facts(facts) if user_lists else None
-    return build_graph_from_counts(counts, cache=materialize, user_lists=lists)
+    return graph_from_facts(facts, cache=materialize)
+
+
+def graph_from_facts(facts: DataFrame, cache: bool = True) -> Graph:
+    """Graph of an edge fact table (batch, or the sum of a stream's parts)."""
+    g = build_graph_from_counts(E.counts_from_facts(facts), cache=cache)
+    g.edge_users = edge_users_from_facts(facts)
+    return g

@@ -290,7 +290,7 @@ def from_unified_view(unified: DataFrame) -> DataFrame:
     )
 
 
-def with_event_time(events: DataFrame, log_year: int = 2024) -> DataFrame:
+def with_event_time(events: DataFrame, log_year: int) -> DataFrame:
     """Add typed ``event_ts``."""
     from loggraph.functions.timefmt import event_time
     return events.withColumn("event_ts", event_time("timestamp", log_year))

@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 from loggraph.operators.parse import with_event_time
 
 
-def web_to_ssh(events: DataFrame, window_s: int = 300, log_year: int = 2024) -> DataFrame:
+def web_to_ssh(events: DataFrame, log_year: int, window_s: int = 300) -> DataFrame:
     """SSH events preceded by an HTTP event of the same source within ``window_s``.
 
     One row per matching SSH event: ``src_ip, dest_host, ssh_time, http_time,
     delta_s`` where ``http_time`` is the latest HTTP event at or before it."""
     ev = with_event_time(events, log_year).where(F.col("event_ts").isNotNull())
     secs = F.unix_seconds(F.col("event_ts"))
-    http = ev.where(F.col("protocol") == "HTTP").select(
+    # Only the time of an HTTP event matters: with second resolution a source has at most
+    # one row a second, so a (source, bin) group is bounded however hot the source.
+    http = ev.where(F.col("protocol") == "HTTP").select("source_ip", "event_ts").distinct()
+    http = http.select(
         F.col("source_ip").alias("src_ip"), F.col("event_ts").alias("t"), F.lit(0).alias("kind"),
         F.lit(None).cast("string").alias("dest_host"), F.lit(None).cast("bigint").alias("line_no"),
         F.explode(F.array(F.floor(secs / window_s), F.floor(secs / window_s) + 1)).alias("bin"))
@@ -40,7 +43,7 @@ def web_to_ssh(events: DataFrame, window_s: int = 300, log_year: int = 2024) ->
             .select("src_ip", "dest_host", F.col("t").alias("ssh_time"), "http_time", "delta_s"))
 
 
-def timeline(events: DataFrame, bucket: str = "1 hour", log_year: int = 2024) -> DataFrame:
+def timeline(events: DataFrame, log_year: int, bucket: str = "1 hour") -> DataFrame:
     """Events and failures per time bucket (bucket_start, event_count, failed_count)."""
     ev = with_event_time(events, log_year).where(F.col("event_ts").isNotNull())
     return (ev.groupBy(F.window("event_ts", bucket).alias("w"))
@@ -49,8 +52,8 @@ def timeline(events: DataFrame, bucket: str = "1 hour", log_year: int = 2024) ->
             .select(F.col("w.start").alias("bucket_start"), "event_count", "failed_count"))
 
 
-def timeline_stream(events: DataFrame, bucket: str = "1 hour", watermark: str = "1 hour",
-                    log_year: int = 2024) -> DataFrame:
+def timeline_stream(events: DataFrame, log_year: int, bucket: str = "1 hour",
+                    watermark: str = "1 hour") -> DataFrame:
     """X2 for a stream: the same buckets with a watermark, so finished buckets are
     emitted once and late rows beyond the watermark are dropped by Spark's rules."""
     ev = with_event_time(events, log_year).withWatermark("event_ts", watermark)
@@ -60,8 +63,7 @@ def timeline_stream(events: DataFrame, bucket: str = "1 hour", watermark: str =
             .select(F.col("w.start").alias("bucket_start"), "event_count", "failed_count"))
 
 
-def off_hours_edges(events: DataFrame, start_hour: int = 22, end_hour: int = 6,
-                    log_year: int = 2024) -> DataFrame:
+def off_hours_edges(events: DataFrame, log_year: int, start_hour: int = 22, end_hour: int = 6) -> DataFrame:
     """Per SSH edge, events in the off-hours window and the OFF_HOURS_ACCESS flag.
 
     No hours are given by the rules being reproduced; ``[start_hour, end_hour)``

@@ -256,6 +256,8 @@ def with_graph(kind: str = "mixed", families: list[str] | None = None, extra: st
 EDGE_OUT = ("id, source, target, edge_type, cast(weight as double) as weight, cast(total_attempts as bigint) as total_attempts, "
             "http_verb, cast(status_code as bigint) as status_code, uri_path, cast(successful_auths as bigint) as successful_auths, "
             "cast(failed_auths as bigint) as failed_auths, distinct_users, anomaly_flags, is_anomalous, first_timestamp, last_timestamp")
+# Graph edges carry no user arrays: users are a long table (g2_edge_users).
+EDGE_PLAIN = EDGE_OUT.replace("distinct_users", "'' as distinct_users")
 NODE_OUT = ("id, label, node_type, cast(in_degree as bigint) as in_degree, cast(out_degree as bigint) as out_degree, "
             "cast(risk_score as double) as risk_score, layer, is_signal, is_noise_super")
 
@@ -343,12 +345,25 @@ ORACLE: dict[str, str] = {
     "g3_attack_chain": _mixed("select id, source, target, weight, anomaly_flags, is_anomalous from ssh_rows"),
     "g4_node_risk": _mixed("select id, risk, touch, layer, is_signal, super_id from nmap"),
     "g7_signal_split": _mixed("select layer, is_signal, count(*) as n from nmap group by layer, is_signal"),
-    "g8_external_collapse": _mixed(f"select {EDGE_OUT} from fedges where source = {EXT} or target = {EXT}"),
-    "g9_web_collapse": _mixed(f"select {EDGE_OUT} from fedges where source = {WEB} or target = {WEB}"),
-    "g10_internal_collapse": _mixed(f"select {EDGE_OUT} from fedges where source = {INT} or target = {INT}"),
+    "g8_external_collapse": _mixed(f"select {EDGE_PLAIN} from fedges where source = {EXT} or target = {EXT}"),
+    "g9_web_collapse": _mixed(f"select {EDGE_PLAIN} from fedges where source = {WEB} or target = {WEB}"),
+    "g10_internal_collapse": _mixed(f"select {EDGE_PLAIN} from fedges where source = {INT} or target = {INT}"),
     "g11_degrees": _mixed("select id, in_degree, out_degree from deg"),
+    "g2_edge_users": _mixed("""select distinct 'edge:' || source_ip || '->' || target as id, "user" from ev
+   where protocol = 'SSH' and "user" is not null"""),
+    "g14_merged_chunks": """select id, min(source) as source, min(target) as target, min(edge_type) as edge_type, max(weight) as weight,
+   cast(sum(total_attempts) as bigint) as total_attempts, min(http_verb) as http_verb, min(status_code) as status_code,
+   min(uri_path) as uri_path, cast(sum(successful_auths) as bigint) as successful_auths, cast(sum(failed_auths) as bigint) as failed_auths,
+   '' as distinct_users, concat_ws(',', """ + ", ".join(
+        f"case when bool_or(list_contains(string_split(anomaly_flags, ','), '{f}')) then '{f}' end" for f in (
+            "WEB_EXPLOIT_POST", "HTTP_4XX_SCAN", "BRUTE_FORCE_BURST", "PRIVILEGE_PIVOT", "SSH_PRIVILEGE_PIVOT",
+            "RARE_PIVOT_PATH", "FULL_ATTACK_CHAIN")) + """) as anomaly_flags,
+   bool_or(is_anomalous) as is_anomalous, min(first_timestamp) as first_timestamp, max(last_timestamp) as last_timestamp
+   from (""" + " union all ".join(
+        f"(select * from ({with_graph('mixed', None, where=f'line_no % 2 = {h}')} select {EDGE_OUT} from erows))" for h in (0, 1))
+    + ") group by id",
     "g12_nodes": _mixed(f"select {NODE_OUT} from nrows"),
-    "g14_edges": _mixed(f"select {EDGE_OUT} from fedges"),
+    "g14_edges": _mixed(f"select {EDGE_PLAIN} from fedges"),
     "a17_summary": _mixed("""select total_nodes, total_edges, anomalous_edges_count, high_risk_nodes_count,
    anomalous_edges_count as detected_lateral_chains,
    case when total_edges > 0 then round(anomalous_edges_count / total_edges, 3) else 0.0 end as noise_reduction_ratio
@@ -461,9 +476,9 @@ ORACLE.update({
     "e3_expand_web": _expand_sql(K.SUPER_WEB_SURFACE, f"select {NODE_OUT} from kept"),
     "e4_expand_internal": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {NODE_OUT} from kept"),
     "k1_top75_edges": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {EDGE_OUT} from kept_edges"),
-    "k1_top10_nodes": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"""select {NODE_OUT},
-   cast((select count(*) from kept) as bigint) as kept_nodes, cast((select count(*) from nrows) as bigint) as total_nodes from kept""", 10),
-    "k1_top10_edges": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {EDGE_OUT} from kept_edges", 10),
+    "k1_cut_nodes": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"""select {NODE_OUT},
+   cast((select count(*) from kept) as bigint) as kept_nodes, cast((select count(*) from nrows) as bigint) as total_nodes from kept""", 25),
+    "k1_cut_edges": _expand_sql(K.SUPER_INTERNAL_BASELINE, f"select {EDGE_OUT} from kept_edges", 25),
     "k2_top60": _mixed(f"select {NODE_OUT} from kept", TOPK.format(k=K.CLIENT_MAX_NODES)),
     "f9_f11_edge_classes": _mixed(f"""select id,
    round(least(4.0, (case when is_anomalous then 1.2 else 0.3 end)
@@ -573,7 +588,19 @@ levels as (select 'subnet24' as cluster_level, id, child_count from snodes
 chosen as (select case when (select count(*) from snodes) <= 50 then 'subnet24'
    when (select count(distinct cluster_id) from m16) <= 50 then 'subnet16' else 'internal' end as cluster_level)"""
 
+
+
+def _coarse(level: str, cluster: str) -> str:
+    """The overview CTEs with the /24 clusters replaced, as super-edges of one level."""
+    low = lambda c: f"case when starts_with({c}, 'super:subnet:') then {cluster.format(c=c)} else {c} end as {c}"
+    text = OVERVIEW.replace("cf as (", "cf24 as (", 1).replace(
+        "src_m as (", f"cf as (select {low('src_cluster')}, {low('tgt_cluster')}, protocol, source_ip, target from cf24),\nsrc_m as (", 1)
+    return f"select * from ({_mixed(f'select *, {q(level)} as level from sedges', text)})"
+
+
 ORACLE.update({
+    "x11_coarse_edges": _coarse("subnet16 True True", "'super:subnet16:' || regexp_extract({c}, '^super:subnet:(\\d+\\.\\d+)\\.', 1) || '.0.0/16'")
+    + " union all " + _coarse("internal True True", "'super:internal'"),
     "x11_bounded_overview": _mixed("""select id, cast(child_count as bigint) as child_count, cluster_level from levels
    where cluster_level = (select cluster_level from chosen)""", BOUNDED),
     "s11_expand_payload": ORACLE["e4_expand_internal"],

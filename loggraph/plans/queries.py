@@ -26,6 +26,9 @@ from loggraph.operators.parse import (
 from loggraph.plans.pipeline import session_meta
 from loggraph.sources.render import render_lines, write_log_files
 
+#: The rendered syslog lines carry no year; the given tables are of this one.
+LOG_YEAR = 2024
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -311,6 +314,20 @@ def g14(spark, sf):
     return report(G.merge_parallel_edges(graph_of(spark, sf).edges))
 
 
+@query("g14_merged_chunks")
+def g14_chunks(spark, sf):
+    """Scored edges of two halves of the events, merged: edges of both halves meet."""
+    ev = events_of(spark, sf)
+    halves = [G.build_graph(ev.where(F.pmod("line_no", F.lit(2)) == h)).raw_edges for h in (0, 1)]
+    return report(G.merge_parallel_edges(halves[0].unionByName(halves[1])))
+
+
+@query("g2_edge_users")
+def g2_users(spark, sf):
+    """The long table of users per SSH edge."""
+    return report(graph_of(spark, sf).edge_users)
+
+
 @query("a17_summary")
 def a17(spark, sf):
     return report(graph_of(spark, sf).summary)
@@ -379,21 +396,21 @@ def k1(spark, sf):
     return _expand(spark, sf, K.SUPER_INTERNAL_BASELINE, "edges")
 
 
-SMALL_K = 10
+SMALL_K = 25
 
 
-@query("k1_top10_nodes")
+@query("k1_cut_nodes")
 def k1_small(spark, sf):
-    """A cap that cuts: the ten first nodes, each with "n of m"."""
+    """A cap that cuts: the 25 first nodes, each with "n of m"."""
     from loggraph.operators.expand import expand
     x = expand(events_of(spark, sf), K.SUPER_INTERNAL_BASELINE, SMALL_K)
     kept = x.nodes.agg(F.count(F.lit(1)).alias("kept_nodes"))
     return report(x.nodes.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(x.total_nodes)))  # one-row sides
 
 
-@query("k1_top10_edges")
+@query("k1_cut_edges")
 def k1_small_edges(spark, sf):
-    """Edges among the ten kept nodes: the induced filter removes the others."""
+    """Edges among the 25 kept nodes: the induced filter removes the others."""
     from loggraph.operators.expand import expand
     return report(expand(events_of(spark, sf), K.SUPER_INTERNAL_BASELINE, SMALL_K).edges)
 
@@ -473,26 +490,26 @@ def a20(spark, sf):
 @query("x1_web_ssh_300s")
 def x1(spark, sf):
     from loggraph.operators.timeline import web_to_ssh
-    return report(web_to_ssh(events_of(spark, sf)))
+    return report(web_to_ssh(events_of(spark, sf), LOG_YEAR))
 
 
 @query("x2_timeline")
 def x2(spark, sf):
     from loggraph.operators.timeline import timeline
-    return report(timeline(events_of(spark, sf)))
+    return report(timeline(events_of(spark, sf), LOG_YEAR))
 
 
 @query("x3_event_time")
 def x3(spark, sf):
     from loggraph.operators.parse import with_event_time
-    ev = with_event_time(all_events(spark, sf))
+    ev = with_event_time(all_events(spark, sf), LOG_YEAR)
     return report(ev.select("timestamp", "protocol", "event_ts").distinct())
 
 
 @query("x4_off_hours")
 def x4(spark, sf):
     from loggraph.operators.timeline import off_hours_edges
-    return report(off_hours_edges(events_of(spark, sf)))
+    return report(off_hours_edges(events_of(spark, sf), LOG_YEAR))
 
 
 @query("x5_scanners")
@@ -632,10 +649,22 @@ def k5(spark, sf):
 def x11(spark, sf):
     """Overview capped at 50 super-nodes: /24 subnets, else /16, else one internal node."""
     from loggraph.operators.classes import bounded_overview
-    ov, level = bounded_overview(events_of(spark, sf))
+    ov, level, _ = bounded_overview(events_of(spark, sf))
     return report(ov.super_nodes.select("id", "child_count", F.lit(level).alias("cluster_level")))
 
 
+@query("x11_coarse_edges")
+def x11_coarse(spark, sf):
+    """Super-edges of the two coarser levels, each forced by its bound."""
+    from loggraph.operators.classes import bounded_overview
+    from loggraph.operators.clusters import LEVELS
+    out = []
+    for level, bound in zip(LEVELS[1:], (5, 3)):
+        ov, reached, within = bounded_overview(events_of(spark, sf), bound)
+        out.append(ov.super_edges.withColumn("level", F.lit(f"{level} {reached == level} {within}")))
+    return report(out[0].unionByName(out[1]))
+
+
 @query("e5_expand_unknown")
 def e5(spark, sf):
     """An id that names no cluster adds nothing to one that does."""

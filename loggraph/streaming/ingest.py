@@ -97,8 +97,7 @@ class StreamIngest:
                 fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(kind, b)), True)
 
     def graph(self, until: int | None = None) -> G.Graph:
-        facts = self.facts(until)
-        return G.build_graph_from_counts(E.counts_from_facts(facts), cache=False, user_lists=E.lists_from_facts(facts))
+        return G.graph_from_facts(self.facts(until), cache=False)
 
     def overview(self):
         """The cluster overview over the stream's session."""

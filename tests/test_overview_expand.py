@@ -48,7 +48,7 @@ def test_top_k_prefers_anomalous_then_risk(spark):
 
 def test_web_to_ssh_golden(spark):
     from loggraph.operators.timeline import web_to_ssh
-    r = web_to_ssh(parse_lines(lines_from_text(spark, CHAIN)), 300, log_year=2026).collect()
+    r = web_to_ssh(parse_lines(lines_from_text(spark, CHAIN)), log_year=2026, window_s=300).collect()
     assert len(r) == 1 and r[0].delta_s == 125 and r[0].src_ip == "203.0.113.9"
 
 
@@ -56,10 +56,10 @@ def test_bounded_overview_coarsens(spark):
     from loggraph.operators.classes import bounded_overview
     from loggraph.sources.render import render_lines
     ev = parse_lines(render_lines(spark, "/root/testdata/sf0.001"))
-    full, level = bounded_overview(ev, max_nodes=50)
+    full, level, _ = bounded_overview(ev, max_nodes=50)
     assert level == "subnet24"
     n_full = full.super_nodes.count()
-    small, level = bounded_overview(ev, max_nodes=n_full - 1)
+    small, level, within = bounded_overview(ev, max_nodes=n_full - 1)
     assert level in ("subnet16", "internal")
     assert small.super_nodes.count() <= n_full - 1
     # members are never lost by coarsening

@@ -46,11 +46,11 @@ def test_stream_timeline_equals_batch_without_late_rows(spark):
     d = tempfile.mkdtemp(prefix="lg-tl-", dir="/tmp")
     lines = render_lines(spark, "/root/testdata/sf0.001")
     lines.select("raw_line").coalesce(1).write.text(f"{d}/logs")
-    q = (timeline_stream(parse_lines(stream_lines(spark, f"{d}/logs")))
+    q = (timeline_stream(parse_lines(stream_lines(spark, f"{d}/logs")), 2024)
          .writeStream.outputMode("update").format("memory").queryName("lg_timeline")
          .option("checkpointLocation", f"{d}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     got = {r.b: (r.e, r.f) for r in spark.table("lg_timeline").groupBy(F.col("bucket_start").alias("b"))
            .agg(F.max("event_count").alias("e"), F.max("failed_count").alias("f")).collect()}
-    want = {r.bucket_start: (r.event_count, r.failed_count) for r in timeline(parse_lines(lines)).collect()}
+    want = {r.bucket_start: (r.event_count, r.failed_count) for r in timeline(parse_lines(lines), 2024).collect()}
     assert got == want
