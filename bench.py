@@ -1,11 +1,12 @@
 """Benchmark the headline operations on logs rendered from the driver's tables.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
-(default 8). Prints one JSON line::
+(default 8). Results are written to Spark's ``noop`` sink, so every row is computed and
+none reaches the driver. Prints one JSON line::
 
     {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
-Timed operations (each is one user-visible result, collected to the driver):
+Timed operations (each is one user-visible result):
   ingest           render + parse every line once, store the session as Parquet (S8)
   build_graph      full graph payload from the session: nodes, edges and summary
   cluster_overview super-nodes, super-edges and summary from the session
@@ -13,6 +14,10 @@ Timed operations (each is one user-visible result, collected to the driver):
                    into the session scan
   detect_formats   per-file format detection over five log files
   web_to_ssh       300 s web -> SSH correlation from the session
+
+Reported beside the total under ``extra``:
+  text_ingest      the same lines read from text files, parsed and stored
+  stream           the same text files through the stream, and the graph summary
 """
 
 from __future__ import annotations
@@ -22,11 +27,10 @@ import os
 import re
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from loggraph import constants as K  # noqa: E402
 from loggraph.operators.clusters import build_overview  # noqa: E402
 from loggraph.operators.detect import detect_formats  # noqa: E402
@@ -34,8 +38,10 @@ from loggraph.operators.expand import expand  # noqa: E402
 from loggraph.operators.graph import build_graph  # noqa: E402
 from loggraph.plans.pipeline import ingest  # noqa: E402
 from loggraph.operators.timeline import web_to_ssh  # noqa: E402
-from loggraph.session import ensure_checkpoint_dir, get_session  # noqa: E402
+from loggraph.session import drop_tables, ensure_checkpoint_dir, get_session  # noqa: E402
+from loggraph.sources.lines import read_lines  # noqa: E402
 from loggraph.sources.render import render_lines  # noqa: E402
+from loggraph.streaming.ingest import StreamIngest  # noqa: E402
 
 
 WARMUP_DIR = "/root/testdata/sf0.001"
@@ -51,51 +57,63 @@ def main():
 
     session_root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-sessions"
 
-    def run_all(data_dir, times, tag):
-        """The six headline operations on one data folder; ``times`` gets their seconds."""
-        def timed(name, fn):
+    def done(*results):
+        for df in results:
+            df.write.format("noop").mode("overwrite").save()
+
+    def run_all(data_dir, times, extra, tag):
+        """The headline operations on one data folder; ``times`` and ``extra`` get their seconds."""
+        def timed(name, fn, into=times):
             t0 = time.perf_counter()
             out = fn()
-            times[name] = round(time.perf_counter() - t0, 3)
+            into[name] = round(time.perf_counter() - t0, 3)
             return out
 
         lines = render_lines(spark, data_dir, "mixed")
 
         def do_ingest():
             ev = ingest(lines, session_root, tag)
-            return ev, ev.groupBy("protocol").count().collect()
+            return ev, ev.count()
 
-        events, counts = timed("ingest", do_ingest)
+        events, n_events = timed("ingest", do_ingest)
 
         def graph_payload():
             g = build_graph(events)
-            return g.nodes.collect(), g.edges.collect(), g.summary.collect()
+            done(g.nodes, g.edges, g.summary)
+            sizes = g.summary.first()
+            g.unpersist()
+            return sizes
 
-        nodes, edges, _ = timed("build_graph", graph_payload)
+        sizes = timed("build_graph", graph_payload)
 
         def overview():
             ov = build_overview(events)
-            return ov.super_nodes.collect(), ov.super_edges.collect(), ov.summary.collect()
+            done(ov.super_nodes, ov.super_edges, ov.summary)
 
         timed("cluster_overview", overview)
 
         def drill():
             x = expand(events, K.SUPER_INTERNAL_BASELINE)
-            return x.nodes.collect(), x.edges.collect()
+            done(x.nodes, x.edges)
 
         timed("expand", drill)
-        timed("detect_formats", lambda: detect_formats(render_lines(spark, data_dir, "all")).collect())
-        timed("web_to_ssh", lambda: web_to_ssh(events, 2024).agg(F.count(F.lit(1))).collect())
-        return sum(r["count"] for r in counts), nodes, edges
+        timed("detect_formats", lambda: done(detect_formats(render_lines(spark, data_dir, "all"))))
+        timed("web_to_ssh", lambda: done(web_to_ssh(events, 2024)))
+
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
+        lines.select("raw_line").write.text(f"{base}/logs")
+        timed("text_ingest", lambda: done(ingest(read_lines(spark, f"{base}/logs"), session_root, f"{tag}-text")), extra)
+        timed("stream", lambda: done(StreamIngest(spark, f"{base}/state").run(f"{base}/logs", None).graph().summary), extra)
+        return n_events, sizes
 
     # Warm-up: one untimed pass of the same operations on the smallest tables, so
     # the timed pass measures a warm session (JIT and generated-code caches), the
     # way a long-running analysis service runs; its own timings are reported too.
     warm_times = {}
-    run_all(WARMUP_DIR, warm_times, "warmup")
+    run_all(WARMUP_DIR, warm_times, {}, "warmup")
 
-    times = {}
-    n_events, nodes, edges = run_all(sf_dir, times, "bench")
+    times, extra = {}, {}
+    n_events, sizes = run_all(sf_dir, times, extra, "bench")
 
     total = round(sum(times.values()), 3)
     n_lines = n_events  # every rendered line parses to one event
@@ -108,10 +126,12 @@ def main():
         "cpus": cpus,
         "lines": n_lines,
         "ingest_lines_per_sec": round(n_lines / times["ingest"], 1) if times["ingest"] else None,
-        "graph": {"nodes": len(nodes), "edges": len(edges)},
+        "extra": extra,
+        "graph": {"nodes": sizes["total_nodes"], "edges": sizes["total_edges"]},
         "warmup": {"sf_dir": WARMUP_DIR, "queries": warm_times},
         "spark": spark.version,
     }
+    drop_tables(spark)
     print(json.dumps(out))
     spark.stop()
 
