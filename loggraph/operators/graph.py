@@ -88,11 +88,12 @@ def http_source_risk(http_e: DataFrame) -> DataFrame:
     return http_e.groupBy("src_ip").agg(F.max("risk_score").alias("http_src_risk"))
 
 
-def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None) -> DataFrame:
+def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None, off_hours: DataFrame | None = None) -> DataFrame:
     """G2 + G3: scored SSH edges; a source with HTTP risk > 2.0 marks a full chain.
 
     The chain test reads HTTP-derived source risk only, which makes it
-    independent of row order (divergence V1)."""
+    independent of row order (divergence V1). ``off_hours`` (``timeline.off_hours_edges``)
+    adds the OFF_HOURS_ACCESS flag (X4); scores do not depend on it."""
     if "distinct_users" not in ssh_e.columns:
         ssh_e = ssh_e.withColumn("distinct_users", _empty_strs())
     if http_e is not None:
@@ -101,6 +102,10 @@ def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None) -> DataFrame:
     else:
         src = ssh_e
         chain = F.lit(False)
+    late = F.lit(False)
+    if off_hours is not None:
+        src = src.join(off_hours.select("src_ip", "dest_host", "off_hours_access"), ["src_ip", "dest_host"], "left")
+        late = F.coalesce("off_hours_access", F.lit(False))
     weight = F.when(chain, F.round(F.col("risk_score") + K.CHAIN_RISK_BONUS, 2)).otherwise(F.col("risk_score"))
     flags = flag_list([
         (F.col("is_brute_force"), "BRUTE_FORCE_BURST"),
@@ -108,6 +113,7 @@ def ssh_edge_rows(ssh_e: DataFrame, http_e: DataFrame | None) -> DataFrame:
         (F.col("has_priv_user"), "SSH_PRIVILEGE_PIVOT"),
         (F.col("is_multi_pivot"), "RARE_PIVOT_PATH"),
         (chain, "FULL_ATTACK_CHAIN"),
+        (late, "OFF_HOURS_ACCESS"),
     ])
     return src.select(
         F.concat(F.lit("edge:"), "src_ip", F.lit("->"), "dest_host").alias("id"),
@@ -208,7 +214,7 @@ def collapse_edges(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 #: Fixed order of an edge's flags.
 FLAG_ORDER = ["WEB_EXPLOIT_POST", "HTTP_4XX_SCAN", "BRUTE_FORCE_BURST", "PRIVILEGE_PIVOT", "SSH_PRIVILEGE_PIVOT",
-              "RARE_PIVOT_PATH", "FULL_ATTACK_CHAIN"]
+              "RARE_PIVOT_PATH", "FULL_ATTACK_CHAIN", "OFF_HOURS_ACCESS"]
 
 
 def merge_parallel_edges(edges: DataFrame) -> DataFrame:
@@ -319,17 +325,17 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # Whole pipeline
 # ---------------------------------------------------------------------------
 
-def rows_from_counts(counts: DataFrame) -> DataFrame:
+def rows_from_counts(counts: DataFrame, off_hours: DataFrame | None = None) -> DataFrame:
     """G1-G3 from combined edge state: scored HTTP and SSH edge rows."""
     ssh_c, http_c = E.split_counts(counts)
     http_e = E.score_http_edges(http_c)
     ssh_e = E.score_ssh_edges(ssh_c)
-    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e))
+    return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e, off_hours))
 
 
-def build_graph_from_counts(counts: DataFrame, cache: bool = True) -> Graph:
+def build_graph_from_counts(counts: DataFrame, cache: bool = True, off_hours: DataFrame | None = None) -> Graph:
     """Graph from combined edge state (batch, merged partials or a stream snapshot)."""
-    rows = rows_from_counts(counts)
+    rows = rows_from_counts(counts, off_hours)
     if cache:
         # Small per-edge / per-node tables read by several outputs: keep them in
         # memory. A lost partition is recomputed from the edge-state table,
@@ -350,23 +356,24 @@ def edge_users_from_facts(facts: DataFrame) -> DataFrame:
             .select(F.concat(F.lit("edge:"), "src_ip", F.lit("->"), "k2").alias("id"), "user"))
 
 
-def build_graph(events: DataFrame, materialize: bool = True) -> Graph:
+def build_graph(events: DataFrame, materialize: bool = True, off_hours: DataFrame | None = None) -> Graph:
     """Unified events -> signal/noise graph.
 
     By default the per-(edge, user, status) fact table is written once to the shared
     checkpoint folder: the log scan and parse run exactly once, every later step reads
     that table, and a lost executor never forces a re-parse. The small downstream
     tables are cached; ``materialize=False`` keeps one lazy plan. Users stay a long
-    table (``edge_users``); scores need only their number."""
+    table (``edge_users``); scores need only their number. ``off_hours``: see
+    :func:`ssh_edge_rows`."""
     facts = E.edge_facts(events)
     if materialize:
         from loggraph.session import materialize as write_table
         facts = write_table(facts, "edge_facts")
-    return graph_from_facts(facts, cache=materialize)
+    return graph_from_facts(facts, cache=materialize, off_hours=off_hours)
 
 
-def graph_from_facts(facts: DataFrame, cache: bool = True) -> Graph:
+def graph_from_facts(facts: DataFrame, cache: bool = True, off_hours: DataFrame | None = None) -> Graph:
     """Graph of an edge fact table (batch, or the sum of a stream's parts)."""
-    g = build_graph_from_counts(E.counts_from_facts(facts), cache=cache)
+    g = build_graph_from_counts(E.counts_from_facts(facts), cache=cache, off_hours=off_hours)
     g.edge_users = edge_users_from_facts(facts)
     return g

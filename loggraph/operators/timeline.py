@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loggraph.functions.uri import is_static_asset, uri_prefix
+from loggraph.operators.expand import cluster_predicate
 from loggraph.operators.parse import with_event_time
 
 
@@ -82,20 +84,31 @@ def event_ids(lines: DataFrame) -> DataFrame:
                         F.sha2(F.concat_ws("\u0001", "file", "raw_line"), 256).alias("event_id"))
 
 
+def node_rows_predicate(node_id: str):
+    """The events behind one node: a URL prefix, a super-node, or a host."""
+    if node_id.startswith("super:"):
+        rows = cluster_predicate(node_id)
+        if rows is None:
+            raise ValueError(f"{node_id} names no cluster")
+        return rows
+    if node_id.startswith("url:"):
+        key = node_id[len("url:"):]
+        # the text before the first wildcard starts every matching target: that part of
+        # the filter pushes down into the scan
+        return ((F.col("protocol") == "HTTP") & F.col("target").startswith(key.split("*")[0])
+                & (uri_prefix("target") == key) & ~is_static_asset("target"))
+    key = node_id[len("host:"):] if node_id.startswith("host:") else node_id
+    return (F.col("source_ip") == key) | ((F.col("protocol") == "SSH") & (F.col("target") == key))
+
+
 def node_events(events: DataFrame, node_id: str, page_size: int = 50,
                 after: tuple[str, int] | None = None) -> DataFrame:
     """Raw events behind one node, one page at a time.
 
-    Paging uses a seek key ``(file, line_no)`` instead of an offset, so every
-    page is a pushed-down filter plus a bounded top-k."""
-    from loggraph.functions.uri import uri_prefix
-    if node_id.startswith("url:"):
-        key = node_id[len("url:"):]
-        sel = (F.col("protocol") == "HTTP") & (uri_prefix("target") == key)
-    else:
-        key = node_id[len("host:"):] if node_id.startswith("host:") else node_id
-        sel = (F.col("source_ip") == key) | ((F.col("protocol") == "SSH") & (F.col("target") == key))
-    ev = events.where(sel)
+    Paging uses a seek key ``(file, line_no)`` instead of an offset, so every page is a
+    filter plus a bounded top-k. A key holds within one stored session: ``line_no`` is
+    given when the text is read. The id of no cluster is an error."""
+    ev = events.where(node_rows_predicate(node_id))
     if after is not None:
         f, n = after
         ev = ev.where((F.col("file") > f) | ((F.col("file") == f) & (F.col("line_no") > n)))

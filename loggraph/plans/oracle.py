@@ -555,6 +555,13 @@ ORACLE.update({
      else 0.0 end as clustering_ratio"""),
     "x12_event_id": "with lines as (" + render_sql("mixed", "duckdb") + """)
 select file, line_no, sha256(file || chr(1) || raw_line) as event_id from lines""",
+    "x4_off_hours_flags": _mixed("""select r.id, concat_ws(',', nullif(r.anomaly_flags, ''), 'OFF_HOURS_ACCESS') as anomaly_flags, r.weight
+   from ssh_rows r where r.id in (select 'edge:' || source_ip || '->' || target from tsv
+     where protocol = 'SSH' and (hour(t) >= 22 or hour(t) < 6))""", TSV),
+    "x13_url_events": _mixed(f"""select {EV_OUT} from ev where protocol = 'HTTP' and not {is_static_sql('target')}
+   and {uri_prefix_sql('target')} = '/api/v1' order by file, line_no limit 50"""),
+    "x13_cluster_events": _mixed(f"""select {EV_OUT} from ev where not {private('source_ip')}
+   and (file > 'access.log' or (file = 'access.log' and line_no > 500)) order by file, line_no limit 50"""),
     "x13_node_events": _mixed(f"""select {EV_OUT} from ev where source_ip = '10.0.9.9' or (protocol = 'SSH' and target = '10.0.9.9')
    order by file, line_no limit 50"""),
 })

@@ -512,6 +512,15 @@ def x4(spark, sf):
     return report(off_hours_edges(events_of(spark, sf), LOG_YEAR))
 
 
+@query("x4_off_hours_flags")
+def x4_flags(spark, sf):
+    """Edges whose flags include the off-hours one."""
+    from loggraph.operators.timeline import off_hours_edges
+    ev = events_of(spark, sf)
+    g = G.build_graph(ev, off_hours=off_hours_edges(ev, LOG_YEAR))
+    return report(g.raw_edges.where(F.array_contains("anomaly_flags", "OFF_HOURS_ACCESS")).select("id", "anomaly_flags", "weight"))
+
+
 @query("x5_scanners")
 def x5(spark, sf):
     from loggraph.operators.classes import scanners
@@ -566,6 +575,18 @@ def x13(spark, sf):
     return report(node_events(events_of(spark, sf), NODE_EXAMPLE, page_size=50))
 
 
+@query("x13_url_events")
+def x13_url(spark, sf):
+    from loggraph.operators.timeline import node_events
+    return report(node_events(events_of(spark, sf), "url:/api/v1", page_size=50))
+
+
+@query("x13_cluster_events")
+def x13_cluster(spark, sf):
+    from loggraph.operators.timeline import node_events
+    return report(node_events(events_of(spark, sf), K.SUPER_EXTERNAL_THREATS, page_size=50, after=("access.log", 500)))
+
+
 # ---------------------------------------------------------------------------
 # session store and streaming
 # ---------------------------------------------------------------------------

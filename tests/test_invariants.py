@@ -83,3 +83,25 @@ def test_layer_rank_matches_window(spark, graph):
     w = Window.partitionBy("layer", "risk_tier").orderBy(F.desc("risk_score"), F.asc("id"))
     want = {r.id: r.rk for r in classify_nodes(graph.nodes).select("id", F.row_number().over(w).alias("rk")).collect()}
     assert got == want
+
+
+def test_exempt_nodes_are_never_collapsed(spark):
+    """Whatever the collapse must leave alone is signal already."""
+    from loggraph.operators.classes import exempt_nodes
+    from loggraph.operators.graph import build_graph
+    from loggraph.operators.parse import parse_lines
+    from loggraph.sources.render import render_lines
+    g = build_graph(parse_lines(render_lines(spark, "/root/testdata/sf0.001")))
+    exempt = exempt_nodes(g.node_risk, g.raw_edges)
+    assert exempt.count() > 0
+    assert exempt.join(g.node_risk.where("super_id IS NOT NULL"), "id").count() == 0
+
+
+def test_events_of_an_unknown_cluster_are_an_error(spark):
+    import pytest
+
+    from loggraph.operators.parse import parse_lines
+    from loggraph.operators.timeline import node_events
+    from loggraph.sources.lines import empty_lines
+    with pytest.raises(ValueError, match="no cluster"):
+        node_events(parse_lines(empty_lines(spark)), "super:none")
