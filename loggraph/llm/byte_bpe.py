@@ -9,11 +9,16 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 
 import numpy as np
 
-#: Fixed value: the pre-token pattern of byte-level vocabularies with ``use_regex``.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and numbers up to U+00FF, as classes of a pattern.
+LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The pre-token pattern of byte-level vocabularies with ``use_regex`` (fixed value:
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+),
+#: for texts of the characters of PLAIN.
+PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 #: A lone space is no sure word start where both neighbours are blank.
 BLANK_RUN = re.compile(r"\s \s")
 #: Characters whose class is the same in every Unicode version of the pattern engines.
@@ -49,7 +54,6 @@ class ByteBpe:
     """``ids(text)``: the library's ids of a whole text as little-endian uint32 bytes."""
 
     def __init__(self, path: str, kept_words: int = 500_000):
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -60,10 +64,9 @@ class ByteBpe:
                         and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                         and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces = regex.compile(PATTERN).findall
         self.letters = byte_letters()
         self.model = self.tok.model
-        self.words = Kept(self._word, kept_words)
+        self.words = Kept(lambda w: self._word(" " + w), kept_words)
         self.pre_tokens = Kept(self._pre_token, kept_words)
 
     def _whole(self, text: str) -> bytes:
@@ -71,19 +74,20 @@ class ByteBpe:
 
     def _pre_token(self, piece: str) -> bytes:
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.asarray([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         if not PLAIN.fullmatch(word):
             return self._whole(word)
-        return b"".join([self.pre_tokens[p] for p in self.pieces(word)])
+        return b"".join([self.pre_tokens[p] for p in PATTERN.findall(word)])
 
     def ids(self, text: str) -> bytes:
         if not self.by_word or any(s in text for s in self.special) or BLANK_RUN.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
         words = self.words
-        return (words[first] if first else b"") + b"".join([words[" " + w] for w in rest])
+        return (self._word(first) if first else b"") + b"".join([words[w] for w in rest])
 
 
 @functools.lru_cache(maxsize=2)
