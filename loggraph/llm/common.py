@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loggraph.session import materialize
 
-__all__ = ["materialize", "read_table", "text_or_empty", "packed", "unpacked"]
+__all__ = ["materialize", "read_table", "slices", "text_or_empty", "packed", "unpacked"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +29,11 @@ def packed(df: DataFrame, *extra: Column) -> DataFrame:
 def unpacked(df: DataFrame, source: DataFrame) -> DataFrame:
     """Back from ``packed``: the source columns only, in their order."""
     return df.select(*[F.col(f"row.`{c}`").alias(c) for c in source.columns])
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches in slices of a few rows, so that a task holds few texts as Python
+    strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

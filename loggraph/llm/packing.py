@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, read_table, slices, text_or_empty
 
 PIECES = ("doc_id long, start long, length long, doc_tokens long, bucket int, task int, number long, ids binary")
-OUT_BYTES = 16 << 20
+OUT_BYTES = 4 << 20
+BROADCAST_ROWS = 1_000_000
 END = np.zeros(1, dtype="<u4").tobytes()
 
 
@@ -59,7 +60,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 1024, id_col: str =
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
                 ids = bpe.ids(text) + END
                 n = len(ids) // 4
@@ -86,6 +87,10 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 1024, id_col: str =
     bases = (counts.withColumn("task_base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
              .join(F.broadcast(buckets), "bucket")
              .select("bucket", "task", (F.col("bucket_base") + F.col("task_base")).alias("base")))
+    # a few rows per task that cut the pieces: broadcast while they are few, so that the
+    # ids do not shuffle
+    if counts.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     return (pieces.join(bases, ["bucket", "task"])
             .select("doc_id", "start", "length", "doc_tokens", "bucket",
                     (F.col("base") + F.col("number")).alias("sequence_id"),
