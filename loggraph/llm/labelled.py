@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, slices, text_or_empty
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -33,20 +33,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2,
-                 steps: int = 60) -> np.ndarray:
-    """Coefficients of a ridge logistic model by Newton steps; column 0 of ``x`` is the
-    constant and is not penalised."""
+                 steps: int = 60, start: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients of a ridge logistic model by Newton steps from ``start`` (or zero);
+    column 0 of ``x`` is the constant and is not penalised."""
     weight = np.ones(len(y)) if weight is None else weight
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
-    c = np.zeros(x.shape[1])
+    c = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(steps):
         p = sigmoid(x @ c)
         gradient = x.T @ (weight * (p - y)) + penalty * c
         hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(hessian, gradient)
         c -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return c
 
@@ -63,7 +63,7 @@ def scored(docs: DataFrame, id_col: str, text_col: str, names: list[str], score)
 
     def run(batches):
         one = score()
-        for b in batches:
+        for b in slices(batches):
             values = [one(t) for t in b.column(1).to_pylist()]
             columns = [pa.array([v[k] for v in values], pa.float64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *names])
@@ -78,7 +78,7 @@ def passed(docs: DataFrame, text_col: str, keep) -> DataFrame:
 
     def run(batches):
         one = keep()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([one(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

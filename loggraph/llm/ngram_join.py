@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Kept
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, read_table, slices, text_or_empty
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -55,7 +55,7 @@ class Shingler:
         import xxhash
 
         self.words = words
-        self.hashes = Kept(lambda w: xxhash.xxh64_digest(w), 300_000)
+        self.hashes = Kept(lambda w: xxhash.xxh64_digest(w), 200_000)
 
     def __call__(self, text: str) -> np.ndarray:
         # bytes.lower and bytes.split know only A-Z and the blanks 0x20, 0x09 to 0x0D
@@ -273,21 +273,19 @@ def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         import xxhash
 
         shingles, seen = Shingler(words), set()
-        for b in batches:
-            ids, texts = (c.to_pylist() for c in b.columns)
-            for at in range(0, len(ids), 1000):
-                out = [[] for _ in names]
-                for i, t in zip(ids[at:at + 1000], texts[at:at + 1000]):
-                    columns = shingles(t)
-                    n, p, s, k = len(columns), None, None, None
-                    if n:
-                        k = xxhash.xxh64_intdigest(columns.tobytes()) - (1 << 63)
-                        if k not in seen:
-                            seen.add(k)
-                            p, s = prefix(columns, hot, hot_order, percent).tobytes(), odd_sketch(columns)
-                    for c, v in zip(out, (i, n, k, p, s)):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+        for b in slices(batches):
+            out = [[] for _ in names]
+            for i, t in zip(*(c.to_pylist() for c in b.columns)):
+                columns = shingles(t)
+                n, p, s, k = len(columns), None, None, None
+                if n:
+                    k = xxhash.xxh64_intdigest(columns.tobytes()) - (1 << 63)
+                    if k not in seen:
+                        seen.add(k)
+                        p, s = prefix(columns, hot, hot_order, percent).tobytes(), odd_sketch(columns)
+                for c, v in zip(out, (i, n, k, p, s)):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     return materialize(docs.mapInArrow(run, "doc_id long, n long, set_id long, prefix binary, sketch binary"),
                        "ngram_sets", compression="lz4")
@@ -348,7 +346,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int,
         import xxhash
 
         shingles = Shingler(words)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, k, root, mine, blocks in zip(*(c.to_pylist() for c in b.columns)):
                 columns = shingles(text)

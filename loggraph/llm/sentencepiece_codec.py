@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Kept
-from .common import read_table, text_or_empty
+from .common import read_table, slices, text_or_empty
 
 MARK = "▁"
-OUT_BYTES = 16 << 20
+OUT_BYTES = 4 << 20
 
 codecs.register_error("one_by_one", lambda e: ("�", e.start + 1))
 
@@ -231,7 +231,7 @@ def _mapped(df: DataFrame, fields: list[tuple[str, str, pa.DataType]], row) -> D
 
     def run(batches):
         out, size = [[] for _ in names], 0
-        for b in batches:
+        for b in slices(batches):
             for values in zip(*(c.to_pylist() for c in b.columns)):
                 made, weight = row(values)
                 for c, v in zip(out, made):

@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from loggraph.session import ensure_checkpoint_dir
 
 from .byte_bpe import byte_bpe
-from .common import materialize, read_table, text_or_empty
+from .common import materialize, read_table, slices, text_or_empty
 
 LEVEL = 3
 DICT_BYTES = 64 << 10
 BLOCK_BYTES = 4 << 20
-OUT_BYTES = 16 << 20
+OUT_BYTES = 4 << 20
 END = np.zeros(1, dtype="<u4").tobytes()
 
 ENCODED = "doc_id long, tie long, n_tokens long, frame binary"
@@ -119,7 +119,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         bpe, (compressor, _) = byte_bpe(tokenizer), _codec(dictionary)
 
         def rows():
-            for b in batches:
+            for b in slices(batches):
                 for doc_id, tie, text in zip(*(c.to_pylist() for c in b.columns)):
                     ids = bpe.ids(text) + END
                     yield doc_id, tie, len(ids) // 4, compressor.compress(ids)

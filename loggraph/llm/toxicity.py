@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Kept
-from .common import materialize, read_table
+from .common import materialize, read_table, slices
 from .labelled import fit_logistic, held_out, labelled_sample, passed, scored, sigmoid
 
 WORD = re.compile(r"[^\W\d_]{3,}")
@@ -64,7 +64,7 @@ class ToxicityModel:
         none = (0.0,) * (self.n_categories + 1 - len(self.links))
         if not self.links:
             return lambda text: (0.0,) * self.n_categories + (self.share,)
-        found = Kept(lambda w: places_of(w, self.places), 300_000)
+        found = Kept(lambda w: places_of(w, self.places), 150_000)
 
         def one(text: str):
             seen = set()
@@ -97,7 +97,7 @@ def fit_chain(x: np.ndarray, targets: list[np.ndarray], fold: np.ndarray, ridge:
         out = np.zeros(len(x))
         for k in range(FOLDS):
             rest, mine = fold != k, fold == k
-            out[mine] = sigmoid(full[mine] @ fit_logistic(full[rest], y[rest], ridge=ridge)) if rest.any() else y.mean()
+            out[mine] = sigmoid(full[mine] @ fit_logistic(full[rest], y[rest], ridge=ridge, start=links[-1])) if rest.any() else y.mean()
         earlier = np.hstack([earlier, out[:, None]])
     return links
 
@@ -131,7 +131,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sample = labelled_sample(docs, labels, "toxic", per_class, id_col, text_col)
 
     def spread(batches):
-        for b in batches:
+        for b in slices(batches):
             for text, y, h, fold in zip(*(c.to_pylist() for c in b.columns)):
                 marks = sorted({m for w in words_of(text) for m in word_marks(w)})
                 yield pa.RecordBatch.from_arrays([
@@ -151,7 +151,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     places = {r["mark"]: (k, len(top)) if r["n0"] == 0 and r["n1"] >= SURE * size[1] else (k,) for k, r in enumerate(top)}
 
     def rows_of(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, ys, _, folds = (c.to_pylist() for c in b.columns)
             seen = [sorted({k for w in words_of(t) for k in places_of(w, places)}) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(folds, pa.int32()),
