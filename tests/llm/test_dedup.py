@@ -12,11 +12,11 @@ from loggraph.llm.line_dedup import line_dedup
 
 from .plain import exact_copies, line_drops, near_classes, sha
 
-COLUMNS = "doc_id long, text string, sha string, row string, kept string, n_lines int"
+COLUMNS = "doc_id long, text string, sha string, row string, kept string, n_lines int, gone_id long"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "s", None, "k", 7) for i, t in rows], COLUMNS).repartition(5)
+    return spark.createDataFrame([(i, t, "s", None, "k", 7, 1) for i, t in rows], COLUMNS).repartition(5)
 
 
 def copies():

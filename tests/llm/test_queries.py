@@ -42,30 +42,31 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    sf = "/root/testdata/sf0.01"  # the smallest tables with enough labels
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     stage = dict(corpus_pipeline.STAGES)
     left = docs
     for name in ("quality", "toxicity"):
-        before, left = left, stage[name](spark, left, SF).cache()
+        before, left = left, stage[name](spark, left, sf).cache()
         assert left.columns == docs.columns
         column = {"quality": ("quality", 1), "toxicity": ("toxic", 0)}[name]
         known = [(r.doc_id, getattr(labels[r.doc_id], column[0]) == column[1]) for r in before.collect() if r.doc_id in labels]
         kept = {r.doc_id for r in left.collect()}
         assert sum(clean == (i in kept) for i, clean in known) >= 0.9 * len(known)
     rows = [(r.doc_id, r.text) for r in left.collect()]
-    left = stage["exact_dedup"](spark, left, SF).cache()
+    left = stage["exact_dedup"](spark, left, sf).cache()
     first = {}
     for i, t in sorted(rows):
         first.setdefault(BLANKS.sub(" ", t or ""), i)
     assert sorted(r.doc_id for r in left.collect()) == sorted(first.values())
     rows = [(r.doc_id, r.text) for r in left.collect()]
-    left = stage["near_copies"](spark, left, SF).cache()
+    left = stage["near_copies"](spark, left, sf).cache()
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, (_, c) in near_classes(rows, 5, 80).items() if c == i)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in left.collect()}
     got = {}
-    for r in stage["packing"](spark, left, SF).collect():
+    for r in stage["packing"](spark, left, sf).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
