@@ -6,13 +6,14 @@ keeps the answer in a cache of bounded size."""
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
 
 import numpy as np
 
+from .common import only_held
+
 #: Letters and numbers up to U+00FF, as classes of a pattern.
 LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The pre-token pattern of byte-level vocabularies with ``use_regex`` (fixed value:
@@ -90,7 +91,6 @@ class ByteBpe:
         return (self._word(first) if first else b"") + b"".join([words[w] for w in rest])
 
 
-@functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One encoder per Python worker and vocabulary."""
-    return ByteBpe(path)
+    return only_held(("byte_bpe", path), lambda: ByteBpe(path))

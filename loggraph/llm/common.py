@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loggraph.session import materialize
 
-__all__ = ["materialize", "read_table", "slices", "text_or_empty", "packed", "unpacked"]
+__all__ = ["materialize", "only_held", "read_table", "slices", "text_or_empty", "packed", "unpacked"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +37,15 @@ def slices(batches, rows: int = 500):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+_HELD: dict = {}
+
+
+def only_held(key, build):
+    """A large helper (an encoder, a cache) that a Python worker keeps from task to
+    task; it holds one at a time, so another operator's is let go first."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_or_empty
+from .common import materialize, only_held, slices, text_or_empty
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -56,13 +58,14 @@ def sigmoid(z):
 
 
 def scored(docs: DataFrame, id_col: str, text_col: str, names: list[str], score) -> DataFrame:
-    """doc_id and the float columns ``names``; ``score()`` is called once a task and
+    """doc_id and the float columns ``names``; ``score()`` is called once a worker and
     gives a function from a text to their values."""
+    key = uuid.uuid4().hex
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        one = score()
+        one = only_held(key, score)
         for b in slices(batches):
             values = [one(t) for t in b.column(1).to_pylist()]
             columns = [pa.array([v[k] for v in values], pa.float64()) for k in range(len(names))]
@@ -72,12 +75,13 @@ def scored(docs: DataFrame, id_col: str, text_col: str, names: list[str], score)
 
 
 def passed(docs: DataFrame, text_col: str, keep) -> DataFrame:
-    """The documents, all columns, whose text passes; ``keep()`` is called once a task
+    """The documents, all columns, whose text passes; ``keep()`` is called once a worker
     and gives a function from a text to whether it stays."""
+    key = uuid.uuid4().hex
     at = docs.columns.index(text_col)
 
     def run(batches):
-        one = keep()
+        one = only_held(key, keep)
         for b in slices(batches):
             yield b.filter(pa.array([one(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
 

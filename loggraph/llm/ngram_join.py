@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Kept
-from .common import materialize, read_table, slices, text_or_empty
+from .common import materialize, only_held, read_table, slices, text_or_empty
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -72,6 +72,11 @@ class Shingler:
         return np.unique(out)
 
 
+def shingler(words: int) -> Shingler:
+    """One per Python worker and n-gram length."""
+    return only_held(("shingler", words), lambda: Shingler(words))
+
+
 def needed(n, percent: int):
     """Least overlap of a set of n with any linked one."""
     return -(-percent * n // 100)
@@ -245,12 +250,12 @@ def _grouped(df: DataFrame, keys: list[str], schema: str, names: list[str], kind
 
 
 def hot_columns(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent columns of a bounded sample (sorted) and their order by count. They
-    only order the prefixes; results do not depend on them."""
-    few = docs.orderBy(F.xxhash64("text", F.lit(9)), "doc_id").limit(SAMPLE_DOCS).select("text")
+    """Frequent columns of a sample of about SAMPLE_DOCS rows (sorted) and their order
+    by count. They only order the prefixes; results do not depend on them."""
+    few = docs.sample(min(1.0, SAMPLE_DOCS / max(1, docs.count())), seed=9).select("text")
 
     def spread(batches):
-        shingles = Shingler(words)
+        shingles = shingler(words)
         for b in batches:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64), pa.int64())], ["c"])
@@ -272,7 +277,7 @@ def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        shingles, seen = Shingler(words), set()
+        shingles, seen = shingler(words), set()
         for b in slices(batches):
             out = [[] for _ in names]
             for i, t in zip(*(c.to_pylist() for c in b.columns)):
@@ -345,7 +350,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int,
     def shingled(batches):
         import xxhash
 
-        shingles = Shingler(words)
+        shingles = shingler(words)
         for b in slices(batches):
             out = []
             for text, k, root, mine, blocks in zip(*(c.to_pylist() for c in b.columns)):
@@ -396,7 +401,7 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     joined = ngram_join(docs, words, percent, id_col, text_col)
     gone = materialize(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "near_copies")
     few = _bounded(gone, gone.count())
-    return docs.join(few, F.col(id_col) == F.col("gone_id"), "left_anti")
+    return docs.join(few, docs[id_col] == few["gone_id"], "left_anti")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

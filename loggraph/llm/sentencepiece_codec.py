@@ -20,7 +20,6 @@ length; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import codecs
-import functools
 import heapq
 import struct
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Kept
-from .common import read_table, slices, text_or_empty
+from .common import only_held, read_table, slices, text_or_empty
 
 MARK = "▁"
 OUT_BYTES = 4 << 20
@@ -220,10 +219,9 @@ class PieceBpe:
         return out.replace(MARK, " ")
 
 
-@functools.lru_cache(maxsize=2)
 def piece_bpe(path: str) -> PieceBpe:
     """One codec per Python worker and model."""
-    return PieceBpe(path)
+    return only_held(("piece_bpe", path), lambda: PieceBpe(path))
 
 
 def _mapped(df: DataFrame, fields: list[tuple[str, str, pa.DataType]], row) -> DataFrame:

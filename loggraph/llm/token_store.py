@@ -17,9 +17,9 @@ A short document is read by its block's offset index and one frame, nothing else
 dictionary lies beside the blocks under its hash. Spark's writer commits the files, so
 lost executors leave no half-written store, on any file system Spark can write.
 
-The dictionary is trained on a bounded sample: whole id arrays of the ``sample_docs``
-documents with the smallest hash among those of at most ``sample_chars`` characters.
-It changes sizes only, never what is read back.
+The dictionary is trained on a bounded sample: whole id arrays of the documents of at
+most ``sample_chars`` characters among about ``sample_docs`` random ones. It changes
+sizes only, never what is read back.
 
 Defined cases: null text is the empty text (the end id alone); null doc_ids come
 first; rows with the same doc_id stand side by side, ordered by the text's hash; an
@@ -74,8 +74,8 @@ def _batches(rows, schema: pa.Schema, size_of):
 
 def sample_arrays(docs: DataFrame, tokenizer: str, sample_docs: int, sample_chars: int) -> list[bytes]:
     """The bounded training sample of serialized id arrays."""
-    few = (docs.where(F.char_length("text") <= sample_chars)
-           .orderBy(F.xxhash64("text", F.lit(5)), "doc_id").limit(sample_docs).select("text"))
+    few = (docs.sample(min(1.0, sample_docs / max(1, docs.count())), seed=5)
+           .where(F.char_length("text") <= sample_chars).select("text"))
 
     def encode(batches):
         bpe = byte_bpe(tokenizer)
