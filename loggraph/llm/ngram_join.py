@@ -24,8 +24,10 @@ the only way to a wrong count. No step holds an unbounded group in one task.
 
 Defined cases: null or empty text, or blanks only, is the empty set and links with
 nothing; texts under n words are one column, the whole sequence; rows with the same
-doc_id are counted as they are; a null doc_id never names a class that has another id;
-an empty table gives an empty result; other columns are not read.
+doc_id are counted as they are, each with its own text; a null doc_id never names a
+class that has another id; an empty table gives an empty result; other columns are not
+read. A row is known by its doc_id and a 64-bit hash of its text; rows alike in both are
+copies, of which the near-copy stage keeps one.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Kept
-from .common import materialize, only_held, read_table, slices, text_or_empty
+from .common import materialize, only_held, packed, read_table, slices, text_or_empty, unpacked
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -44,6 +46,8 @@ SAMPLE_DOCS, HOT_COLUMNS = 4000, 200_000
 MEET = 2048
 BLOCK_ROWS, BLOCK_COLUMNS = 1024, 2_000_000
 BROADCAST_ROWS = 2_000_000
+#: Rows of a class in their order: null ids last, then by text.
+ROW = "struct(doc_id IS NULL AS no_id, doc_id, text_key)"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(29)
 
@@ -268,11 +272,11 @@ def hot_columns(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, set_id and, once per task and set, prefix and sketch. ``docs`` holds
-    doc_id and text."""
+    """doc_id, text_key, n, set_id and, once per task and set, prefix and sketch.
+    ``docs`` holds doc_id, text_key and text."""
     hot, hot_order = hot_columns(docs, words)
-    names = ["doc_id", "n", "set_id", "prefix", "sketch"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["doc_id", "text_key", "n", "set_id", "prefix", "sketch"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
         import xxhash
@@ -280,7 +284,7 @@ def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         shingles, seen = shingler(words), set()
         for b in slices(batches):
             out = [[] for _ in names]
-            for i, t in zip(*(c.to_pylist() for c in b.columns)):
+            for i, h, t in zip(*(c.to_pylist() for c in b.columns)):
                 columns = shingles(t)
                 n, p, s, k = len(columns), None, None, None
                 if n:
@@ -288,11 +292,11 @@ def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     if k not in seen:
                         seen.add(k)
                         p, s = prefix(columns, hot, hot_order, percent).tobytes(), odd_sketch(columns)
-                for c, v in zip(out, (i, n, k, p, s)):
+                for c, v in zip(out, (i, h, n, k, p, s)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-    return materialize(docs.mapInArrow(run, "doc_id long, n long, set_id long, prefix binary, sketch binary"),
+    return materialize(docs.mapInArrow(run, "doc_id long, text_key long, n long, set_id long, prefix binary, sketch binary"),
                        "ngram_sets", compression="lz4")
 
 
@@ -336,26 +340,31 @@ def _bounded(df: DataFrame, n: int) -> DataFrame:
 
 def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v): spanning links between sets of the same group."""
-    # one document stands for each set; the smallest id that holds it
+    # one document stands for each set: the first row that holds it
     stands = materialize(
         sets.where("n > 0").join(groups.withColumnRenamed("node", "set_id"), "set_id")
-        .groupBy("set_id", "root", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id")),
+        .groupBy("set_id", "root", "n").agg(F.min(F.expr(ROW)).alias("row")).select("set_id", "root", "n", "row.doc_id", "row.text_key"),
         "ngram_stands")
     sizes = stands.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("entries"))
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("entries") / BLOCK_COLUMNS)).cast("int").alias("blocks"))
     stands = stands.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
-    few = _bounded(stands.select(F.col("doc_id").alias("stand"), "set_id", "root", "mine", "blocks"), stands.count())
-    texts = docs.join(few, F.col("doc_id").eqNullSafe(F.col("stand"))).select("text", "set_id", "root", "mine", "blocks")
+    few = _bounded(stands.select(F.col("doc_id").alias("stand"), F.col("text_key").alias("stand_key"), "set_id", "root", "mine", "blocks"),
+                   stands.count())
+    texts = (docs.join(few, F.col("doc_id").eqNullSafe(F.col("stand")) & (F.col("text_key") == F.col("stand_key")))
+             .select("text", "set_id", "root", "mine", "blocks"))
 
     def shingled(batches):
         import xxhash
 
-        shingles = shingler(words)
+        shingles, seen = shingler(words), set()
         for b in slices(batches):
             out = []
             for text, k, root, mine, blocks in zip(*(c.to_pylist() for c in b.columns)):
+                if k in seen:  # a copy of the row
+                    continue
                 columns = shingles(text)
-                if xxhash.xxh64_intdigest(columns.tobytes()) - (1 << 63) == k:  # else another row with this doc_id
+                if xxhash.xxh64_intdigest(columns.tobytes()) - (1 << 63) == k:  # else another text with this key
+                    seen.add(k)
                     out.append((k, root, mine, blocks, columns.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
@@ -378,30 +387,52 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int,
     return _grouped(full, ["root", "b1", "b2"], "u long, v long", ["u", "v"], [pa.int64(), pa.int64()], of_group)
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+def classified(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: doc_id, text_key, n and ``low``, the first row (``ROW``) of its
+    class; ``low`` is null for the empty set."""
+    text = text_or_empty(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     sets = document_sets(docs, words, percent)
     rows = sets.where("prefix IS NOT NULL").dropDuplicates(["set_id"]).select("set_id", "n", "prefix", "sketch")
     groups = candidate_groups(materialize(rows, "ngram_rows", compression="lz4"), percent)
     links = exact_links(docs, sets, materialize(groups, "ngram_groups"), words, percent)
     roots = materialize(connected_components(links), "ngram_roots")
-    plain = sets.select("doc_id", "n", "set_id")
-    labelled = plain.where("n > 0").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "doc_id", "n", F.coalesce("root", "set_id").alias("class"))
-    low = labelled.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return (labelled.join(low, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-            .unionByName(plain.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+    each = sets.where("n > 0").groupBy("set_id").agg(F.min(F.expr(ROW)).alias("first"))
+    each = materialize(each.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "set_id", "first", F.coalesce("root", "set_id").alias("class")), "ngram_classes")
+    low = each.groupBy("class").agg(F.min("first").alias("low"))
+    plain = sets.select("doc_id", "text_key", "n", "set_id")
+    return (plain.where("n > 0").join(each.join(low, "class").select("set_id", "low"), "set_id")
+            .select("doc_id", "text_key", "n", "low")
+            .unionByName(plain.where("n = 0").select("doc_id", "text_key", "n"), allowMissingColumns=True))
+
+
+def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable)."""
+    return classified(docs, words, percent, id_col, text_col).select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """The documents, all columns, of which one of each class stays: its smallest id."""
-    joined = ngram_join(docs, words, percent, id_col, text_col)
-    gone = materialize(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "near_copies")
-    few = _bounded(gone, gone.count())
-    return docs.join(few, docs[id_col] == few["gone_id"], "left_anti")
+    """The documents, all columns, of which one of each class stays: its smallest id
+    (null last), of rows with that id the one with the smallest text key."""
+    stays = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_key") == F.col("low.text_key"))
+    rows = (classified(docs, words, percent, id_col, text_col).where("low IS NOT NULL")
+            .groupBy("doc_id", "text_key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("copies"))
+            .where("NOT stays OR copies > 1")
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "stays"))
+    rows = materialize(rows, "near_copies")
+    keyed = packed(docs, F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
+    left = keyed.join(_bounded(rows, rows.count()), same, "left_anti").select("row")
+    again = rows.where("stays")
+    n = again.count()
+    if n:  # rows that stay, but were there more than once
+        left = left.unionByName(keyed.join(_bounded(again, n), same, "left_semi").groupBy("id", "key").agg(F.first("row").alias("row")).select("row"))
+    return unpacked(left, docs)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,25 @@ def test_ngram_join_odd_ids_and_no_rows(spark):
     assert nj.ngram_join(frame(spark, rows).where("doc_id > 99"), 4, 85).count() == 0
 
 
+def test_drop_near_copies_goes_by_row(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join(base[:-k] + [f"x{k}"] * k)
+    alone = "a clean text of its own that nothing else resembles"
+    # id 5 on a near copy and on a text of its own; null ids near an id, near each other, and alone
+    rows = [(1, near(1)), (5, near(2)), (5, alone), (None, near(3)), (None, "z " + alone.upper()[::-1]), (5, None), (None, "")]
+    rows += [(None, " ".join(f"v{k}" for k in range(50))), (None, " ".join(f"v{k}" for k in range(49)) + " u")]
+    rows += [(8, "rows that stand here twice or more")] * 3 + [(9, "rows that stand here twice or more")]
+    left = nj.drop_near_copies(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in left.collect()))
+    families = [t for i, t in got if t.startswith("v0 ")]
+    assert len(families) == 1 and families[0] in (rows[7][1], rows[8][1])
+    assert [x for x in got if not x[1].startswith("v0 ")] == sorted(
+        [(1, near(1)), (5, alone), (5, ""), (0, ""), (0, rows[4][1]), (8, "rows that stand here twice or more")])
+    many = [(None, " ".join(f"{k}n{j}" for j in range(30))) for k in range(40)] + [(None, " ".join(f"{k}n{j}" for j in range(29))) for k in range(40)]
+    assert nj.drop_near_copies(frame(spark, many)).count() == 40
+
+
 def test_sketch_bound_and_large_forests():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
