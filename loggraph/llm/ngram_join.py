@@ -16,7 +16,9 @@ documents link when their overlap is at least ``threshold`` percent of their uni
 3. Each group's rows are multiplied: blocks of at most ``block_rows`` rows and
    ``block_columns`` entries, every pair of blocks in one task, overlap counts
    accumulated column by column, pairs below the size-derived bound discarded. A task
-   returns a spanning forest of its links; the components of those are the classes.
+   returns a spanning forest of its links and, per set, the number of documents it
+   links to; the components of the former are the classes, the latter are summed. So
+   every link is counted, though the pairs themselves are never written.
 
 No link is lost: the prefix, the size bound and the sketch's bound are all exact.
 Two different columns of the same two documents with one hash (about n^2 / 2^64) are
@@ -195,10 +197,12 @@ class Forest:
         return i != j
 
 
-def product(ids: list[int], sets: list[np.ndarray], first: int, percent: int):
-    """Overlap counts of the first ``first`` rows with all rows, by the columns they
-    share; yields a spanning forest of the links."""
-    sizes = np.array([len(s) for s in sets])
+def product(ids: list[int], sets: list[np.ndarray], copies: list[int], first: int, percent: int):
+    """Overlap counts of the first ``first`` rows with the others, or with all where
+    there are no others, by the columns they share. Yields (u, v, 0) for a spanning
+    forest of the links and (u, u, n) for a row that links to ``n`` documents here;
+    ``copies`` is each row's number of documents."""
+    sizes, copies = np.array([len(s) for s in sets]), np.array(copies, dtype=np.int64)
     flat = np.concatenate(sets)
     columns, place = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -207,6 +211,7 @@ def product(ids: list[int], sets: list[np.ndarray], first: int, percent: int):
     ends = np.cumsum(count)
     starts, owner = ends - count, owner[order]
     edges, tree = np.concatenate([[0], np.cumsum(sizes)]), Forest(len(sets))
+    two, n_links = first < len(sets), np.zeros(len(sets), dtype=np.int64)
     for i in range(first):
         mine = place[edges[i]:edges[i + 1]]
         mine = mine[count[mine] > 1]
@@ -216,10 +221,18 @@ def product(ids: list[int], sets: list[np.ndarray], first: int, percent: int):
         spread = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         overlap = np.bincount(owner[spread], minlength=len(sets))
         overlap[i] = 0
+        if two:  # the first block's own pairs are met in the task of that block alone
+            overlap[:first] = 0
         both = sizes + sizes[i]
-        for j in np.flatnonzero((overlap > 0) & (100 * overlap >= percent * (both - overlap))).tolist():
+        linked = np.flatnonzero((overlap > 0) & (100 * overlap >= percent * (both - overlap)))
+        n_links[i] += copies[linked].sum()
+        if two:
+            n_links[linked] += copies[i]
+        for j in linked.tolist():
             if tree.join(i, j):
-                yield ids[i], ids[j]
+                yield ids[i], ids[j], 0
+    for i in np.flatnonzero(n_links).tolist():
+        yield ids[i], ids[i], int(n_links[i])
 
 
 def _grouped(df: DataFrame, keys: list[str], schema: str, names: list[str], kinds: list, of_group):
@@ -339,19 +352,21 @@ def _bounded(df: DataFrame, n: int) -> DataFrame:
 
 
 def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): spanning links between sets of the same group."""
+    """(u, v, n): spanning links between sets of the same group (n = 0), and parts of
+    the number of documents that a set links to (u = v)."""
     # one document stands for each set: the first row that holds it
     stands = materialize(
         sets.where("n > 0").join(groups.withColumnRenamed("node", "set_id"), "set_id")
-        .groupBy("set_id", "root", "n").agg(F.min(F.expr(ROW)).alias("row")).select("set_id", "root", "n", "row.doc_id", "row.text_key"),
+        .groupBy("set_id", "root", "n").agg(F.min(F.expr(ROW)).alias("row"), F.count(F.lit(1)).alias("copies"))
+        .select("set_id", "root", "n", "row.doc_id", "row.text_key", "copies"),
         "ngram_stands")
     sizes = stands.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("entries"))
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("entries") / BLOCK_COLUMNS)).cast("int").alias("blocks"))
     stands = stands.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
-    few = _bounded(stands.select(F.col("doc_id").alias("stand"), F.col("text_key").alias("stand_key"), "set_id", "root", "mine", "blocks"),
-                   stands.count())
+    few = _bounded(stands.select(F.col("doc_id").alias("stand"), F.col("text_key").alias("stand_key"), "set_id", "root", "mine", "blocks",
+                                "copies"), stands.count())
     texts = (docs.join(few, F.col("doc_id").eqNullSafe(F.col("stand")) & (F.col("text_key") == F.col("stand_key")))
-             .select("text", "set_id", "root", "mine", "blocks"))
+             .select("text", "set_id", "root", "mine", "blocks", "copies"))
 
     def shingled(batches):
         import xxhash
@@ -359,60 +374,69 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int,
         shingles, seen = shingler(words), set()
         for b in slices(batches):
             out = []
-            for text, k, root, mine, blocks in zip(*(c.to_pylist() for c in b.columns)):
+            for text, k, root, mine, blocks, copies in zip(*(c.to_pylist() for c in b.columns)):
                 if k in seen:  # a copy of the row
                     continue
                 columns = shingles(text)
                 if xxhash.xxh64_intdigest(columns.tobytes()) - (1 << 63) == k:  # else another text with this key
                     seen.add(k)
-                    out.append((k, root, mine, blocks, columns.tobytes()))
+                    out.append((k, root, mine, blocks, copies, columns.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                    ["set_id", "root", "mine", "blocks", "columns"])
+                    zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+                    ["set_id", "root", "mine", "blocks", "copies", "columns"])
 
-    full = (texts.mapInArrow(shingled, "set_id long, root long, mine int, blocks int, columns binary")
+    full = (texts.mapInArrow(shingled, "set_id long, root long, mine int, blocks int, copies long, columns binary")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("root", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "set_id", "columns"))
+            .select("root", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"),
+                    (F.col("mine") == F.col("other")).alias("alone"), "mine", "set_id", "copies", "columns"))
 
     def of_group(held):
         known = {}
-        for mine, k, columns in held:  # repeated rows of one document come once
-            known[k] = (mine, k, columns)
+        for alone, mine, k, copies, columns in held:  # repeated rows of one document come once
+            known[k] = (alone, mine, k, copies, columns)
         rows = sorted(known.values())
-        if len(rows) > 1:
-            first = sum(r[0] == rows[0][0] for r in rows)  # rows of the first block against all
-            yield from product([r[1] for r in rows], [np.frombuffer(r[2], dtype=np.uint64) for r in rows], first, percent)
+        first = sum(r[1] == rows[0][1] for r in rows)  # rows of the first block against those of the other
+        if len(rows) > 1 and (rows[0][0] or first < len(rows)):
+            yield from product([r[2] for r in rows], [np.frombuffer(r[4], dtype=np.uint64) for r in rows],
+                               [r[3] for r in rows], first, percent)
 
-    return _grouped(full, ["root", "b1", "b2"], "u long, v long", ["u", "v"], [pa.int64(), pa.int64()], of_group)
+    return _grouped(full, ["root", "b1", "b2"], "u long, v long, n long", ["u", "v", "n"],
+                    [pa.int64(), pa.int64(), pa.int64()], of_group)
 
 
 def classified(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: doc_id, text_key, n and ``low``, the first row (``ROW``) of its
-    class; ``low`` is null for the empty set."""
+    """Per document: doc_id, text_key, n, ``low``, the first row (``ROW``) of its class,
+    and ``n_links``, the number of documents it links to; ``low`` and ``n_links`` are null
+    for the empty set."""
     text = text_or_empty(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     sets = document_sets(docs, words, percent)
     rows = sets.where("prefix IS NOT NULL").dropDuplicates(["set_id"]).select("set_id", "n", "prefix", "sketch")
     groups = candidate_groups(materialize(rows, "ngram_rows", compression="lz4"), percent)
-    links = exact_links(docs, sets, materialize(groups, "ngram_groups"), words, percent)
-    roots = materialize(connected_components(links), "ngram_roots")
-    each = sets.where("n > 0").groupBy("set_id").agg(F.min(F.expr(ROW)).alias("first"))
-    each = materialize(each.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "set_id", "first", F.coalesce("root", "set_id").alias("class")), "ngram_classes")
+    links = materialize(exact_links(docs, sets, materialize(groups, "ngram_groups"), words, percent), "ngram_links")
+    roots = connected_components(links.where("u <> v"))
+    linked = links.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    linked = materialize(roots.join(linked, "node").withColumnRenamed("node", "set_id"), "ngram_roots")
+    each = sets.where("n > 0").groupBy("set_id").agg(F.min(F.expr(ROW)).alias("first"), F.count(F.lit(1)).alias("copies"))
+    each = materialize(each.join(linked, "set_id", "left").select(
+        "set_id", "first", F.coalesce("root", "set_id").alias("class"),
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "ngram_classes")
     low = each.groupBy("class").agg(F.min("first").alias("low"))
     plain = sets.select("doc_id", "text_key", "n", "set_id")
-    return (plain.where("n > 0").join(each.join(low, "class").select("set_id", "low"), "set_id")
-            .select("doc_id", "text_key", "n", "low")
+    return (plain.where("n > 0").join(each.join(low, "class").select("set_id", "low", "n_links"), "set_id")
+            .select("doc_id", "text_key", "n", "low", "n_links")
             .unionByName(plain.where("n = 0").select("doc_id", "text_key", "n"), allowMissingColumns=True))
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable)."""
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable) and
+    n_links, the number of other documents it links to directly."""
     return classified(docs, words, percent, id_col, text_col).select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id"))
+        F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -436,7 +460,8 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+    # the columns of the contract; ngram_join also counts the links
+    return ngram_join(read_table(spark, sf_dir, "documents"), words=4, percent=85).drop("n_links")
 
 
 OP2_SQL = r"""

@@ -10,7 +10,7 @@ from loggraph.llm.components import connected_components
 from loggraph.llm.exact_dedup import drop_copies, exact_dedup
 from loggraph.llm.line_dedup import line_dedup
 
-from .plain import exact_copies, line_drops, near_classes, sha
+from .plain import exact_copies, line_drops, near_classes, sha, shingles
 
 COLUMNS = "doc_id long, text string, sha string, row string, kept string, n_lines int, gone_id long"
 
@@ -127,6 +127,19 @@ def test_drop_near_copies_goes_by_row(spark):
     assert nj.drop_near_copies(frame(spark, many)).count() == 40
 
 
+@pytest.mark.parametrize("meet,block_rows", [(2048, 1024), (7, 5)])
+def test_ngram_join_counts_every_link(spark, monkeypatch, meet, block_rows):
+    monkeypatch.setattr(nj, "MEET", meet)
+    monkeypatch.setattr(nj, "BLOCK_ROWS", block_rows)
+    rows = near_rows(8, 150, 60)
+    rows += [(1000 + i, t) for i, t in rows[::3]]  # copies
+    sets = {i: shingles(t, 4) for i, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b) and len(a & b) > 0
+    want = {i: sum(near(s, t) for j, t in sets.items() if i != j) for i, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in nj.ngram_join(frame(spark, rows), 4, 85).collect()}
+    assert got == want and max(want.values()) > 20
+
+
 def test_sketch_bound_and_large_forests():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
