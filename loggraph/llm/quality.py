@@ -8,9 +8,11 @@ summed to ``g`` and ``b``. The inputs of the score are the normalised difference
 second order; a logistic model calibrates them to the probability of label 1.
 
 Learning uses at most ``per_class`` labelled documents of each class (those with the
-smallest id hash, none of the held-out ids); the dictionaries take half of them, up to
-``dict_text`` bytes a class, the calibration the other half, weighted back to the
-classes' true shares. Whole texts of all documents are scored.
+smallest id hash, none of the held-out ids); the dictionaries take half of them, the
+calibration the other half, weighted back to the classes' true shares. A dictionary is
+built from at most ``dict_text`` bytes: of each document, of any length, at most
+``SPREAD`` pieces spread evenly from its first to its last. Whole texts of all documents
+are scored.
 
 Defined cases: null text is the empty text, which scores like the shortest texts; with
 fewer than 16 labelled documents of a class every score is the share of label 1,
@@ -23,13 +25,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 from .labelled import fit_logistic, held_out, labelled_sample, passed, scored, sigmoid
 
 PIECE = 2048
+SPREAD = 8
 LEVEL = 3
 DICT_BYTES = 112 << 10
 THRESHOLD = 0.3
@@ -40,6 +44,14 @@ def pieces(text: str) -> list[bytes]:
     return [raw[i:i + PIECE] for i in range(0, len(raw), PIECE)]
 
 
+def spread_pieces(text: str) -> list[bytes]:
+    """At most ``SPREAD`` pieces of a text, from its first to its last."""
+    parts = pieces(text)
+    if len(parts) <= SPREAD:
+        return parts
+    return [parts[k * (len(parts) - 1) // (SPREAD - 1)] for k in range(SPREAD)]
+
+
 class Sizer:
     """Normalised compressed-size differences of a text under the two dictionaries."""
 
@@ -73,12 +85,12 @@ class QualityModel:
         return lambda text: (float(sigmoid(((np.array(sizer(text)) - self.centre) / self.scale) @ self.coef)),)
 
 
-def _dictionary(texts: list[str], dict_text: int) -> bytes:
+def _dictionary(texts: list[list[bytes]], dict_text: int) -> bytes:
     import zstandard
 
     samples, size = [], 0
-    for t in texts:
-        for p in pieces(t):
+    for parts in texts:
+        for p in parts:
             if size < dict_text and len(p) >= 8:
                 samples.append(p)
                 size += len(p)
@@ -95,15 +107,24 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     sample = labelled_sample(docs, labels, "quality", per_class, id_col, text_col)
-    sample = sample.withColumn("half", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(2)))
+    # at most 2 * per_class hashes; the halves of a class differ by one document at most
+    hashes = {y: sorted(r["h"] for r in sample.where(F.col("y") == y).select("h").distinct().collect()) for y in (1, 0)}
+    if min(map(len, hashes.values())) < 16:
+        return QualityModel(share)
+    sample = sample.withColumn("half", (F.col("h") >= F.when(F.col("y") == 1, hashes[1][len(hashes[1]) // 2])
+                                        .otherwise(hashes[0][len(hashes[0]) // 2])).cast("int"))
+
+    def cut(batches):
+        for b in slices(batches, 50):
+            parts = [spread_pieces(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.binary()))], ["h", "parts"])
+
     dictionaries = []
     for y in (1, 0):
-        # about dict_text bytes of text at most reach the driver: rows are added in hash order while they fit
-        rows = (sample.where((F.col("y") == y) & (F.col("half") == 0) & (F.octet_length("text") <= 16 << 10))
-                .orderBy("h").limit(max(16, dict_text // (4 << 10))).select("text").collect())
-        if len(rows) < 16:
-            return QualityModel(share)
-        dictionaries.append(_dictionary([r["text"] for r in rows], dict_text))
+        # at most SPREAD pieces a document reach the driver; they are added in hash order while they fit
+        rows = (sample.where((F.col("y") == y) & (F.col("half") == 0)).select("h", "text").mapInArrow(cut, "h long, parts array<binary>")
+                .orderBy("h").limit(max(16, dict_text // (4 << 10))).select("parts").collect())
+        dictionaries.append(_dictionary([[bytes(p) for p in r["parts"]] for r in rows], dict_text))
     good, bad = dictionaries
 
     def sizes():
@@ -114,8 +135,6 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rest = sample.where("half = 1")
     rows = scored(rest.withColumn("id", F.col("y")), "id", "text", names, sizes).collect()
     y = np.array([r["doc_id"] for r in rows], dtype=float)
-    if min((y == 0).sum(), (y == 1).sum()) < 8:
-        return QualityModel(share)
     x = np.array([[r[n] for n in names] for r in rows])
     centre, scale = x.mean(0), x.std(0)
     centre[0], scale[0] = 0, 1

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loggraph.llm.labelled import fit_logistic, held_out, sigmoid
-from loggraph.llm.quality import keep_good, score_quality, train_quality
+from loggraph.llm.quality import keep_good, pieces, score_quality, spread_pieces, train_quality
 from loggraph.llm.toxicity import drop_toxic, find_categories, score_toxicity, train_toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -59,6 +59,33 @@ def test_quality_on_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in out.where("score >= 0.3").collect()}
 
 
+def long_corpus(spark, n, long_classes, fill=30_000):
+    """Documents beyond 16 KiB of the classes given, short ones of the other."""
+    r = random.Random(4)
+    vocab = ["".join(r.choice(["an", "en", "er", "in", "on", "th", "re", "st"]) for _ in range(r.randint(1, 3))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        y = i % 2
+        words = [r.choice(vocab) for _ in range(fill // 6 if y in long_classes else r.randint(20, 120))]
+        rows.append((i, (" " if y else " ### ").join(words), y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    return docs.select("doc_id", "text"), docs.select("doc_id", "quality")
+
+
+@pytest.mark.parametrize("long_classes", [(0, 1), (1,)])
+def test_quality_learns_from_long_documents(spark, long_classes):
+    docs, labels = long_corpus(spark, 160, long_classes)
+    rows = score_quality(docs, train_quality(docs, labels)).join(labels, "doc_id").where(held_out()).collect()
+    assert len(rows) > 15 and all((r.score >= 0.3) == (r.quality == 1) for r in rows)
+
+
+def test_pieces_spread_over_the_whole_text():
+    text = "".join(f"{k:07d} " for k in range(20_000))
+    some, whole = spread_pieces(text), pieces(text)
+    assert len(some) == 8 and some[0] == whole[0] and some[-1] == whole[-1] and len(set(some)) == 8
+    assert spread_pieces(text[:16_384]) == pieces(text[:16_384]) and spread_pieces("") == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = corpus(spark)
     out = score_toxicity(docs, train_toxicity(docs, labels))
