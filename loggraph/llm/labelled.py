@@ -20,11 +20,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``text``, ``y`` and ``fold`` (0 to 4) of at most ``per_class`` labelled documents
-    of each class that are not held out: those with the smallest hash. Rows without
-    doc_id or label are left out, as are documents with both labels."""
+    of each class that are not held out: those of ``docs`` with the smallest hash. Rows
+    without doc_id or label are left out, as are documents with both labels."""
+    there = docs.select(F.col(id_col).alias("there_id")).where("there_id IS NOT NULL")
     known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top")
              .select("doc_id", "y", F.xxhash64("doc_id", F.lit(11)).alias("h")))
+    known = materialize(known.join(there, F.col("doc_id") == F.col("there_id"), "left_semi"), "labelled_ids")
     few = [known.where(F.col("y") == c).orderBy("h", "doc_id").limit(per_class) for c in (0, 1)]
     # at most 2 * per_class rows
     few = F.broadcast(few[0].unionByName(few[1]).withColumnRenamed("doc_id", "labelled_id"))

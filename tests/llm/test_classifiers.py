@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loggraph.llm.labelled import fit_logistic, held_out, sigmoid
+from loggraph.llm.labelled import fit_logistic, held_out, labelled_sample, sigmoid
 from loggraph.llm.quality import keep_good, pieces, score_quality, spread_pieces, train_quality
 from loggraph.llm.toxicity import drop_toxic, find_categories, score_toxicity, train_toxicity
 
@@ -125,6 +125,14 @@ def test_no_documents(spark):
     assert score_toxicity(none, train_toxicity(none, labels)).count() == 0
 
 
+def test_sample_is_full_where_documents_hold_part_of_the_labels(spark):
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = spark.range(4000).where("id % 20 < 2").select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    docs = docs.unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS doc_id, 'none' AS text"))
+    sizes = {r.y: r["count"] for r in labelled_sample(docs, labels, "toxic", 100).groupBy("y").count().collect()}
+    assert sizes == {0: 100, 1: 100}
+
+
 def test_given_tables(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     quality = score_quality(docs, train_quality(docs, labels)).join(labels, "doc_id").where(held_out())
