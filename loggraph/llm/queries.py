@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann_search, exact_dedup, line_dedup, ngram_join, packing, quality, sentencepiece_codec, sharding, token_store, toxicity
+from . import (
+    ann_search, centroid_clusters, conversation_repair, exact_dedup, line_dedup, merge_replay, ngram_join, packing, quality,
+    sentencepiece_codec, sharding, token_store, toxicity,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
+    "op11_merge_replay": merge_replay.op11_merge_replay,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_centroids": centroid_clusters.op13_centroids,
 }
 
 ORACLE = {
@@ -22,4 +28,6 @@ ORACLE = {
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_nearest": ann_search.OP3_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
+    "op13_centroids": centroid_clusters.OP13_SQL,
 }
