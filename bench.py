@@ -78,26 +78,24 @@ def main():
         events, n_events = timed("ingest", do_ingest)
 
         def graph_payload():
-            g = build_graph(events)
-            done(g.nodes, g.edges, g.summary)
-            sizes = g.summary.first()
-            g.unpersist()
-            return sizes
+            with build_graph(events) as g:
+                done(g.nodes, g.edges, g.summary)
+                return g.summary.first()
 
         sizes = timed("build_graph", graph_payload)
 
         def overview():
-            ov = build_overview(events)
-            done(ov.super_nodes, ov.super_edges, ov.summary)
+            with build_overview(events) as ov:
+                done(ov.super_nodes, ov.super_edges, ov.summary)
 
         timed("cluster_overview", overview)
 
         def drill():
-            x = expand(events, K.SUPER_INTERNAL_BASELINE)
-            done(x.nodes, x.edges)
+            with expand(events, K.SUPER_INTERNAL_BASELINE) as x:
+                done(x.nodes, x.edges)
 
         timed("expand", drill)
-        timed("detect_formats", lambda: done(detect_formats(render_lines(spark, data_dir, "all"))))
+        timed("detect_formats", lambda: done(detect_formats(render_lines(spark, data_dir, "all"), write=False)))
         timed("web_to_ssh", lambda: done(web_to_ssh(events, 2024)))
 
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loggraph.functions.flags import dominant_flag, edge_class, edge_prominence, risk_band, risk_tier
+from loggraph.operators.graph import attach_users
 
 
 def classify_edges(edges: DataFrame) -> DataFrame:
@@ -81,10 +82,12 @@ def _ends(edges: DataFrame) -> DataFrame:
     )).alias("e")).select("e.*")
 
 
-def ego_edges(edges: DataFrame, node_ids: DataFrame) -> DataFrame:
-    """Edges incident to the given nodes, as an equi-join on exploded ends."""
+def ego_edges(edges: DataFrame, node_ids: DataFrame, edge_users: DataFrame | None = None) -> DataFrame:
+    """Edges incident to the given nodes, as an equi-join on exploded ends; with the
+    long table of users also the users of these edges."""
     inc = _ends(edges).join(node_ids.select(F.col("id").alias("node")), "node", "left_semi")
-    return edges.join(inc.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
+    out = edges.join(inc.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
+    return out if edge_users is None else attach_users(out, edge_users)
 
 
 def neighbours(edges: DataFrame, members: DataFrame) -> DataFrame:

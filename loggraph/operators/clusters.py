@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from loggraph import constants as K
 from loggraph.functions.net import is_private, subnet24
+from loggraph.session import drop_table
+from loggraph.session import materialize as write_table
 
 
 @dataclass
@@ -27,6 +29,15 @@ class Overview:
     super_edges: DataFrame   # id, source, target, edge_type, weight, total_attempts, ...
     members: DataFrame       # cluster_id, node_id
     summary: DataFrame       # one row (A18)
+    facts: DataFrame | None = None   # the table written for it
+
+    def __enter__(self) -> "Overview":
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Delete the table written for the overview."""
+        if self.facts is not None:
+            drop_table(self.facts)
 
 
 def src_cluster(source_ip="source_ip"):
@@ -115,9 +126,10 @@ def build_overview(events: DataFrame, materialize: bool = True) -> Overview:
     """Super-nodes, super-edges, membership and summary from unified events."""
     facts = cluster_facts(events)
     if materialize:
-        from loggraph.session import materialize as write_table
         facts = write_table(facts, "cluster_facts")
-    return overview_of_facts(facts)
+    ov = overview_of_facts(facts)
+    ov.facts = facts if materialize else None
+    return ov
 
 
 def overview_of_facts(facts: DataFrame) -> Overview:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loggraph import constants as K
+from loggraph.operators.parse import ZEEK_HTTP_FIELDS, ZEEK_ROW, ZEEK_SSH_FIELDS
 from loggraph.session import materialize
 
 # Detector patterns.
@@ -28,10 +29,20 @@ ZEEK_MIN_FIELDS = 6
 
 
 def sample_lines(lines: DataFrame, n: int = K.SNIFF_SAMPLE_LINES) -> DataFrame:
-    """First ``n`` head lines of each file, then blank lines removed."""
+    """First ``n`` head lines of each file, then blank lines removed; beside them
+    ``first_data``, the shape of the first of these lines that is no comment."""
     w = Window.partitionBy("file").orderBy("line_no")
-    return (lines.where("is_head").withColumn("rn", F.row_number().over(w))
-            .where(F.col("rn") <= n).where(F.col("raw_line").rlike(r"\S")))
+    head = lines.where("is_head").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    # n rows a file at most, already in one place
+    first = F.min(F.when(~F.col("raw_line").startswith("#"), _shape())).over(Window.partitionBy("file"))
+    return head.withColumn("first_data", first).where(F.col("raw_line").rlike(r"\S"))
+
+
+def _shape() -> Column:
+    """Place, field count and whether some field holds a verb."""
+    raw = F.col("raw_line")
+    verb = raw.contains("GET") | raw.contains("HEAD") | raw.contains("POST")
+    return F.struct("line_no", F.size(F.split(raw, "\t")).alias("fields"), verb.alias("verb"))
 
 
 def _n() -> Column:
@@ -72,9 +83,11 @@ def register_format(format_key: str, score_name: str, score: Callable[[], Column
 
 
 def format_scores(lines: DataFrame) -> DataFrame:
-    """D1-D3 per file: ``file, n_sample`` and one score per format."""
+    """D1-D3 per file: ``file, n_sample``, one score per format, and the shape of the
+    first data row, from one pass over the samples."""
     return sample_lines(lines).groupBy("file").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_sample"), *[score().alias(name) for name, score in FORMATS.values()])
+        F.count(F.lit(1)).cast("bigint").alias("n_sample"), *[score().alias(name) for name, score in FORMATS.values()],
+        F.any_value("first_data.fields").alias("zeek_fields"), F.any_value("first_data.verb").alias("zeek_verb"))
 
 
 def choose_format(scores: DataFrame) -> DataFrame:
@@ -90,16 +103,42 @@ def choose_format(scores: DataFrame) -> DataFrame:
 def zeek_layout(lines: DataFrame) -> DataFrame:
     """Per file the field count of its first data row and whether that row holds a
     verb; a combinable minimum, so no file is sorted."""
-    raw = F.col("raw_line")
-    verb = raw.contains("GET") | raw.contains("HEAD") | raw.contains("POST")
-    first = F.min(F.struct("line_no", F.size(F.split(raw, "\t")).alias("fields"), verb.alias("verb")))
-    return (lines.where(F.col("is_head") & ~raw.startswith("#")).groupBy("file").agg(first.alias("first"))
+    return (lines.where(F.col("is_head") & ~F.col("raw_line").startswith("#")).groupBy("file").agg(F.min(_shape()).alias("first"))
             .select("file", F.col("first.fields").alias("zeek_fields"), F.col("first.verb").alias("zeek_verb")))
 
 
-def detect_formats(lines: DataFrame) -> DataFrame:
+def zeek_layouts(lines: DataFrame) -> DataFrame:
+    """P6/P7 for files of any mixture: per file that shows it, whether its Zeek rows are
+    HTTP rows (``file, zeek_is_http``). The first ``#fields`` header says it by its field
+    names; without one the first data row does, as in the routed path. Only head rows
+    that hold a tab count, one combinable minimum a file. Written once (one row per file)."""
+    raw = F.col("raw_line")
+    header = raw.startswith("#fields\t")
+    names = F.split(raw, "\t")
+    from_header = F.array_contains(names, "method") & F.array_contains(names, "uri")
+    from_row = (F.size(names) >= ZEEK_HTTP_FIELDS) & (raw.contains("GET") | raw.contains("HEAD") | raw.contains("POST"))
+    shown = lines.where(F.col("is_head") & raw.contains("\t") & (header | (raw.rlike(ZEEK_ROW) & (F.size(names) >= ZEEK_SSH_FIELDS))))
+    first = F.min(F.struct((~header).alias("row"), "line_no", F.when(header, from_header).otherwise(from_row).alias("http")))
+    found = shown.groupBy("file").agg(first.alias("first"))
+    return materialize(found.select("file", F.col("first.http").alias("zeek_is_http")), "zeek_layouts")
+
+
+def detect_formats(lines: DataFrame, write: bool = True) -> DataFrame:
     """One row per file: ``file, n_sample``, the scores, ``format_key, score``, and the
-    Zeek layout ``zeek_fields, zeek_verb``. Written once: the routed parser reads this
-    small table, not the heads again."""
-    found = choose_format(format_scores(lines)).join(zeek_layout(lines), "file", "left")
+    shape of the first data row ``zeek_fields, zeek_verb``.
+
+    Written once for the routed parser, which then reads this small table and not the
+    heads again; there the files whose whole sample is comments get their first data row
+    from the rest of their head. ``write=False`` gives the lazy scores alone."""
+    found = choose_format(format_scores(lines))
+    if not write:
+        return found
+    found = materialize(found, "file_formats")
+    unseen = found.where(F.col("zeek_fields").isNull()).select("file")
+    if unseen.isEmpty():
+        return found
+    late = zeek_layout(lines.join(unseen, "file", "left_semi")).withColumnsRenamed({"zeek_fields": "f", "zeek_verb": "v"})
+    found = found.join(late, "file", "left").select(
+        *[c for c in found.columns if not c.startswith("zeek_")],
+        F.coalesce("zeek_fields", "f").alias("zeek_fields"), F.coalesce("zeek_verb", "v").alias("zeek_verb"))
     return materialize(found, "file_formats")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from loggraph import constants as K
 from loggraph.functions.net import is_private
-from loggraph.operators.graph import attach_users, build_graph
-from loggraph.session import materialize
+from loggraph.operators.graph import Graph, attach_users, build_graph
+from loggraph.session import drop_table, materialize
 
 #: Largest k of the top-k: its ids are broadcast.
 BROADCAST_NODES = 10_000
@@ -31,6 +31,18 @@ class Expansion:
     nodes: DataFrame
     edges: DataFrame
     total_nodes: DataFrame   # one row: node count before the cap (for "n of m")
+    graph: Graph | None = None
+    kept: DataFrame | None = None
+
+    def __enter__(self) -> "Expansion":
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Delete the tables written for the drill-down."""
+        if self.kept is not None:
+            drop_table(self.kept)
+        if self.graph is not None:
+            self.graph.release()
 
 
 def _subnet_rows(super_id: str):
@@ -81,4 +93,4 @@ def expand(events: DataFrame, super_id: str, k: int = K.EXPAND_MAX_NODES) -> Exp
     g = build_graph(subset)
     nodes, edges = top_nodes(g.nodes, g.edges, k)
     return Expansion(parent=super_id, nodes=nodes, edges=attach_users(edges, g.edge_users),
-                     total_nodes=g.nodes.agg(F.count(F.lit(1)).alias("total_nodes")))
+                     total_nodes=g.nodes.agg(F.count(F.lit(1)).alias("total_nodes")), graph=g, kept=nodes)

@@ -19,7 +19,7 @@ degrees. No driver collection, no cross join, no Python in the plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ from loggraph import constants as K
 from loggraph.functions.flags import flag_list
 from loggraph.functions.net import is_private
 from loggraph.operators import edges as E
+from loggraph.session import drop_table
+from loggraph.session import materialize as write_table
 
 EDGE_COLUMNS = [
     "id", "source", "target", "edge_type", "weight", "total_attempts", "http_verb", "status_code",
@@ -45,17 +47,33 @@ def _empty_strs():
 
 @dataclass
 class Graph:
-    """Result of :func:`build_graph`: presentation nodes and edges plus summary."""
+    """Result of :func:`build_graph`: presentation nodes and edges plus summary.
+
+    Nothing is cached: what several outputs read is written once under the shared
+    checkpoint folder. As a context the graph deletes these tables at its end::
+
+        with build_graph(events) as g:
+            g.nodes.write..., g.edges.write...
+    """
     nodes: DataFrame
     edges: DataFrame
     summary: DataFrame
     raw_edges: DataFrame      # scored edges before collapse (G1-G3)
     node_risk: DataFrame      # every raw node with risk, touch, layer, signal, super id
     edge_users: DataFrame | None = None   # long table (id, user) of the SSH edges
+    tables: list[DataFrame] = field(default_factory=list)   # written for this graph
+
+    def __enter__(self) -> "Graph":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
-    def unpersist(self):
-        for df in (self.raw_edges, self.node_risk, self.edges):
-            df.unpersist()
+    def release(self) -> None:
+        """Delete the tables written for the graph; its outputs can't be read afterwards."""
+        for df in self.tables:
+            drop_table(df)
+        self.tables.clear()
 
 
 # ---------------------------------------------------------------------------
@@ -333,20 +351,18 @@ def rows_from_counts(counts: DataFrame, off_hours: DataFrame | None = None) -> D
     return http_edge_rows(http_e).unionByName(ssh_edge_rows(ssh_e, http_e, off_hours))
 
 
-def build_graph_from_counts(counts: DataFrame, cache: bool = True, off_hours: DataFrame | None = None) -> Graph:
+def build_graph_from_counts(counts: DataFrame, off_hours: DataFrame | None = None, materialize: bool = False) -> Graph:
     """Graph from combined edge state (batch, merged partials or a stream snapshot)."""
     rows = rows_from_counts(counts, off_hours)
-    if cache:
-        # Small per-edge / per-node tables read by several outputs: keep them in
-        # memory. A lost partition is recomputed from the edge-state table,
-        # never from the logs.
-        rows = rows.cache()
+    if materialize:
+        rows = write_table(rows, "edge_rows")
     nodes = node_risk(rows)
     edges = collapse_edges(rows, nodes)
-    if cache:
-        nodes, edges = nodes.cache(), edges.cache()
+    if materialize:
+        edges = write_table(edges, "graph_edges")
     nrows = node_rows(nodes, edges)
-    return Graph(nodes=nrows, edges=edges, summary=summary(nrows, edges), raw_edges=rows, node_risk=nodes)
+    return Graph(nodes=nrows, edges=edges, summary=summary(nrows, edges), raw_edges=rows, node_risk=nodes,
+                 tables=[rows, edges] if materialize else [])
 
 
 def edge_users_from_facts(facts: DataFrame) -> DataFrame:
@@ -361,19 +377,18 @@ def build_graph(events: DataFrame, materialize: bool = True, off_hours: DataFram
 
     By default the per-(edge, user, status) fact table is written once to the shared
     checkpoint folder: the log scan and parse run exactly once, every later step reads
-    that table, and a lost executor never forces a re-parse. The small downstream
-    tables are cached; ``materialize=False`` keeps one lazy plan. Users stay a long
-    table (``edge_users``); scores need only their number. ``off_hours``: see
-    :func:`ssh_edge_rows`."""
+    that table, and a lost executor never forces a re-parse. The scored edges and the
+    collapsed ones (at most a row per edge) are written too, as every output reads them.
+    ``materialize=False`` keeps one lazy plan. Users stay a long table (``edge_users``);
+    scores need only their number. ``off_hours``: see :func:`ssh_edge_rows`."""
     facts = E.edge_facts(events)
-    if materialize:
-        from loggraph.session import materialize as write_table
-        facts = write_table(facts, "edge_facts")
-    return graph_from_facts(facts, cache=materialize, off_hours=off_hours)
+    return graph_from_facts(write_table(facts, "edge_facts") if materialize else facts, materialize, off_hours)
 
 
-def graph_from_facts(facts: DataFrame, cache: bool = True, off_hours: DataFrame | None = None) -> Graph:
+def graph_from_facts(facts: DataFrame, materialize: bool = False, off_hours: DataFrame | None = None) -> Graph:
     """Graph of an edge fact table (batch, or the sum of a stream's parts)."""
-    g = build_graph_from_counts(E.counts_from_facts(facts), cache=cache, off_hours=off_hours)
+    g = build_graph_from_counts(E.counts_from_facts(facts), off_hours, materialize)
     g.edge_users = edge_users_from_facts(facts)
+    if materialize:
+        g.tables.append(facts)
     return g

@@ -18,8 +18,10 @@ Unified event columns::
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +42,12 @@ NCSA = r"(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+\"([A-Z]+)\s+(\S+)\s+HTTP/[0-9.]+\"\
 # 1 time, 2 source, 3 status, 4 bytes, 5 verb, 6 uri
 SQUID = r"^\s*(\d+\.\d+)\s+\d+\s+(\S+)\s+\S+/(\d+)\s+(\d+)\s+([A-Z]+)\s+(\S+)"
 
-GUARD_ACCEPTED = r"sshd\[\d+\]:\s+Accepted"
-GUARD_FAILED = r"sshd\[\d+\]:\s+Failed"
-GUARD_INVALID = r"sshd\[\d+\]:\s+Invalid user"
-GUARD_NCSA = r"\"[A-Z]+\s+\S+\s+HTTP/"
+GUARD_NCSA = "HTTP/"
 GUARD_SQUID = "TCP_"
 
-# A Zeek data row begins with an epoch or ISO time; the eighth field of an HTTP row is a verb.
-ZEEK_ROW = r"^\d[\d.:TZ+-]*\t"
+# A Zeek data row begins with an epoch or ISO time; the eighth field of an HTTP row is a
+# verb, or absent where the tenth is a path.
+ZEEK_ROW = r"^(?:\d{9,}(?:\.\d+)?|\d{4}-\d{2}-\d{2}[T ][0-9:.]+(?:Z|[+-]\d{2}:?\d{2})?)\t"
 ZEEK_VERB = r"^[A-Z]{3,}$"
 ZEEK_SSH_FIELDS, ZEEK_HTTP_FIELDS = 6, 10
 
@@ -70,11 +70,26 @@ HTTP_META = T.StructType([T.StructField("status_code", T.IntegerType()),
                           T.StructField("bytes_sent", T.IntegerType())])
 
 
+def _groups(pattern: str) -> Column:
+    """All groups of the first match as an array (group i at place i), by one run of the
+    pattern; one element where it does not match. A line holds no line feed, so it can
+    stand between the groups."""
+    n = re.compile(pattern).groups
+    around = pattern if pattern.startswith("^") else f"^.*?{pattern}"
+    joined = F.regexp_replace("raw_line", f"(?s){around}.*$", "".join(f"\n${i}" for i in range(1, n + 1)))
+    return F.split(joined, "\n")
+
+
 def _grp(pattern: str, i: int) -> Column:
     """Regex group ``i`` of ``raw_line``; NULL when the pattern does not match."""
     return F.nullif(F.regexp_extract("raw_line", pattern, i), F.lit(""))
 
 
+def _part(name: str, i: int) -> Column:
+    """Group ``i`` of a family's match; NULL where its pattern does not match."""
+    return F.nullif(F.get(F.col(f"_{name}"), i), F.lit(""))
+
+
 def _event(family: str, **cols) -> Column:
     """Candidate struct in the fixed field order; absent fields are typed NULLs."""
     out = []
@@ -87,85 +102,98 @@ def _event(family: str, **cols) -> Column:
     return F.struct(*out)
 
 
-def _ssh(name: str, pattern: str, ts: int, src: int, host: int, user: int, method: Column) -> Column:
-    return _event(name, timestamp=_grp(pattern, ts), source_ip=_grp(pattern, src), protocol=F.lit("SSH"),
-                  action=F.lit("SUCCESS" if name == "ssh_accepted" else "FAILURE"), target=_grp(pattern, host),
-                  user=_grp(pattern, user), auth_method=method, dest_host=_grp(pattern, host))
+def _ssh(name: str, ts: int, src: int, host: int, user: int, method: int | None) -> Column:
+    return _event(name, timestamp=_part(name, ts), source_ip=_part(name, src), protocol=F.lit("SSH"),
+                  action=F.lit("SUCCESS" if name == "ssh_accepted" else "FAILURE"), target=_part(name, host),
+                  user=_part(name, user), auth_method=F.lit("password") if method is None else _part(name, method), dest_host=_part(name, host))
 
 
-def _http(name: str, pattern: str, ts: int, src: int, verb: int, uri: int, status: int, size: int) -> Column:
-    return _event(name, timestamp=_grp(pattern, ts), source_ip=_grp(pattern, src), protocol=F.lit("HTTP"),
-                  action=_grp(pattern, verb), target=_grp(pattern, uri), status_code=_grp(pattern, status).try_cast("int"),
-                  bytes_sent=_grp(pattern, size).try_cast("int"))
+def _http(name: str, ts: int, src: int, verb: int, uri: int, status: int, size: int) -> Column:
+    return _event(name, timestamp=_part(name, ts), source_ip=_part(name, src), protocol=F.lit("HTTP"),
+                  action=_part(name, verb), target=_part(name, uri), status_code=_part(name, status).try_cast("int"),
+                  bytes_sent=_part(name, size).try_cast("int"))
 
 
-def _fields() -> Column:
-    return F.split("raw_line", "\t")
+def _zeek(i: int) -> Column:
+    return F.get(F.col("_tabs"), i)
 
 
 def _zeek_http() -> Column:
-    f = _fields()
-    return _event("zeek_http", timestamp=F.get(f, 0), source_ip=F.get(f, 2), protocol=F.lit("HTTP"),
-                  action=F.get(f, 7), target=F.get(f, 9), status_code=F.get(f, 14).try_cast("int"), bytes_sent=F.lit(100))
+    return _event("zeek_http", timestamp=_zeek(0), source_ip=_zeek(2), protocol=F.lit("HTTP"),
+                  action=_zeek(7), target=_zeek(9), status_code=_zeek(14).try_cast("int"), bytes_sent=F.lit(100))
 
 
 def _zeek_ssh() -> Column:
-    f = _fields()
-    result = F.when(F.get(f, 6).contains("success"), F.lit("SUCCESS")).otherwise(F.lit("FAILURE"))
-    return _event("zeek_ssh", timestamp=F.get(f, 0), source_ip=F.get(f, 2), protocol=F.lit("SSH"),
-                  action=result, target=F.get(f, 4), user=F.lit("root"), auth_method=F.lit("password"))
+    result = F.when(_zeek(6).contains("success"), F.lit("SUCCESS")).otherwise(F.lit("FAILURE"))
+    return _event("zeek_ssh", timestamp=_zeek(0), source_ip=_zeek(2), protocol=F.lit("SSH"),
+                  action=result, target=_zeek(4), user=F.lit("root"), auth_method=F.lit("password"))
+
+
+def _found(name: str) -> Column:
+    """Whether the line matched the family's pattern."""
+    return F.size(f"_{name}") > 1
 
 
 def is_zeek_row() -> Column:
-    """A tab-separated data row with a time in front and at least the SSH layout's fields."""
-    raw = F.col("raw_line")
-    return raw.contains("\t") & raw.rlike(ZEEK_ROW) & (F.size(_fields()) >= ZEEK_SSH_FIELDS)
+    """A tab-separated data row with a time in front and at least the SSH layout's fields,
+    that is no access-log line."""
+    return F.col("_dated") & (F.size("_tabs") >= ZEEK_SSH_FIELDS) & ~F.coalesce(_found("ncsa"), F.lit(False))
 
 
 def is_zeek_http_row() -> Column:
-    return (F.size(_fields()) >= ZEEK_HTTP_FIELDS) & F.coalesce(F.get(_fields(), 7).rlike(ZEEK_VERB), F.lit(False))
+    """The layout of the line's file where it is known, else what the row itself shows."""
+    verb = _zeek(7)
+    shown = (F.size("_tabs") >= ZEEK_HTTP_FIELDS) & F.coalesce(
+        verb.rlike(ZEEK_VERB) | ((verb == "-") & _zeek(9).startswith("/")), F.lit(False))
+    return F.coalesce(F.col("_file_is_http"), shown)
 
 
 @dataclass(frozen=True)
 class Family:
-    """One line family, the extension point of the parser.
+    """One line family, an extension point of the parser.
 
     ``guard`` says whether a line of the family's own format is one of its lines;
     ``accepts`` says the same for a line of unknown origin; ``event`` is the candidate
-    struct, built with ``_event``. All give a Column over ``raw_line``."""
+    struct, built with ``_event``. All give a Column over ``raw_line`` and ``_<name>``,
+    the match of ``pattern`` on lines that hold ``words`` (see ``_groups``)."""
 
     name: str
     format_key: str
     guard: Callable[[], Column]
     accepts: Callable[[], Column]
     event: Callable[[], Column]
+    pattern: str | None = None
+    words: tuple[str, ...] = ()
 
 
 def _raw() -> Column:
     return F.col("raw_line")
 
 
-def _is_squid() -> Column:
-    return _raw().contains(GUARD_SQUID) & _raw().rlike(SQUID)
+def _is(name: str) -> Column:
+    return F.coalesce(_found(name), F.lit(False))
 
 
-def _syslog(name: str, guard: str, event: Callable[[], Column]) -> Family:
-    return Family(name, "SYSLOG_SSH", lambda: _raw().rlike(guard), lambda: _raw().rlike(guard) & ~is_zeek_row(), event)
+def _syslog(name: str, pattern: str, word: str, *fields: int | None) -> Family:
+    return Family(name, "SYSLOG_SSH", lambda: _is(name), lambda: _is(name) & ~is_zeek_row(), lambda: _ssh(name, *fields),
+                  pattern, ("sshd[", word))
 
 
 FAMILY_TABLE: dict[str, Family] = {f.name: f for f in [
-    _syslog("ssh_accepted", GUARD_ACCEPTED, lambda: _ssh("ssh_accepted", SSH_ACCEPTED, 1, 5, 2, 4, _grp(SSH_ACCEPTED, 3))),
-    _syslog("ssh_failed", GUARD_FAILED, lambda: _ssh("ssh_failed", SSH_FAILED, 1, 5, 2, 4, _grp(SSH_FAILED, 3))),
-    _syslog("ssh_invalid", GUARD_INVALID, lambda: _ssh("ssh_invalid", SSH_INVALID, 1, 4, 2, 3, F.lit("password"))),
-    Family("ncsa", "NCSA_SQUID_HTTP", lambda: _raw().rlike(GUARD_NCSA),
-           lambda: _raw().rlike(GUARD_NCSA) & ~_is_squid() & ~is_zeek_row(),
-           lambda: _http("ncsa", NCSA, 2, 1, 3, 4, 5, 6)),
-    Family("squid", "NCSA_SQUID_HTTP", lambda: _raw().contains(GUARD_SQUID), lambda: _is_squid() & ~is_zeek_row(),
-           lambda: _http("squid", SQUID, 1, 2, 5, 6, 3, 4)),
+    _syslog("ssh_accepted", SSH_ACCEPTED, "Accepted", 1, 5, 2, 4, 3),
+    _syslog("ssh_failed", SSH_FAILED, "Failed", 1, 5, 2, 4, 3),
+    _syslog("ssh_invalid", SSH_INVALID, "Invalid user", 1, 4, 2, 3, None),
+    Family("ncsa", "NCSA_SQUID_HTTP", lambda: _is("ncsa"), lambda: _is("ncsa") & ~_is("squid") & ~is_zeek_row(),
+           lambda: _http("ncsa", 2, 1, 3, 4, 5, 6), NCSA, (GUARD_NCSA,)),
+    Family("squid", "NCSA_SQUID_HTTP", lambda: _is("squid"), lambda: _is("squid") & ~is_zeek_row(),
+           lambda: _http("squid", 1, 2, 5, 6, 3, 4), SQUID, (GUARD_SQUID,)),
     Family("zeek_http", "ZEEK_TSV", lambda: ~_raw().startswith("#"), lambda: is_zeek_row() & is_zeek_http_row(), _zeek_http),
     Family("zeek_ssh", "ZEEK_TSV", lambda: ~_raw().startswith("#"), lambda: is_zeek_row() & ~is_zeek_http_row(), _zeek_ssh),
 ]}
 
+#: Format key -> a parser of whole files: line table in, event table out (routed path).
+TABLE_PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
 
 def register_family(family: Family) -> None:
     """Add a line family. With a format key of its own it also needs a score column
@@ -173,6 +201,27 @@ def register_family(family: Family) -> None:
     FAMILY_TABLE[family.name] = family
 
 
+def register_parser(format_key: str, parser: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a parser of all lines of the files of one format: a callable from a line table
+    to a table with EVENT_COLUMNS. The routed path gives it its files' lines, whole, so it
+    may join, aggregate or look across lines."""
+    TABLE_PARSERS[format_key] = parser
+
+
+def _matched(lines: DataFrame, is_http: Column | None = None) -> DataFrame:
+    """Each line with the matches of all families, every pattern run at most once and
+    only on lines that hold its words, and its tab-separated fields."""
+    raw, held = _raw(), []
+    for f in FAMILY_TABLE.values():
+        if f.pattern is not None:
+            words = reduce(lambda a, b: a & b, [raw.contains(w) for w in f.words] or [F.lit(True)])
+            held.append(F.when(words, _groups(f.pattern)).alias(f"_{f.name}"))
+    tabs = F.when(raw.contains("\t"), F.split(raw, "\t")).alias("_tabs")
+    dated = F.coalesce(raw.contains("\t") & raw.rlike(ZEEK_ROW), F.lit(False)).alias("_dated")
+    file_is_http = (F.lit(None).cast("boolean") if is_http is None else is_http).alias("_file_is_http")
+    return lines.select("*", tabs, dated, file_is_http, *held)
+
+
 def _candidates(conditions: dict[str, Column]) -> Column:
     """``array_compact`` of one guarded struct per family."""
     return F.array_compact(F.array(*[F.when(c, FAMILY_TABLE[n].event()) for n, c in conditions.items()]))
@@ -186,37 +235,46 @@ def _explode(lines: DataFrame, cands: Column) -> DataFrame:
     return ev.select(*EVENT_COLUMNS)
 
 
-def _mixed_candidates(families: list[str] | None) -> Column:
-    """Each line is tried against every family by its own content."""
-    return _candidates({n: FAMILY_TABLE[n].accepts() for n in families or FAMILY_TABLE})
+def _mixed_plan(lines: DataFrame, families: list[str] | None, layouts: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Each line is tried against every family by its own content; of its file only the
+    Zeek layout counts, where ``layouts`` knows it."""
+    is_http = None
+    if layouts is not None:
+        lines = _with_files(lines, layouts.select("file", "zeek_is_http"))
+        is_http = F.col("zeek_is_http")
+    return _matched(lines, is_http), _candidates({n: FAMILY_TABLE[n].accepts() for n in families or FAMILY_TABLE})
+
+
+def _with_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The table of files joined on the file name: broadcast when its counted rows are
+    few, else a shuffled join whose large files AQE splits."""
+    if files.count() <= BROADCAST_FILES:
+        files = F.broadcast(files)
+    return lines.join(files, "file", "left")
 
 
 def _routed_plan(lines: DataFrame, formats: DataFrame) -> tuple[DataFrame, Column]:
-    """(line table, candidate-array Column) with one parser per file.
-
-    The table of files is joined on the file name: broadcast when its counted rows are
-    few, else a shuffled join whose large files AQE splits. A file without a format
-    row (no line to judge by) falls back to the SSH parser."""
-    formats = formats.select("file", "format_key", "zeek_fields", "zeek_verb")
-    if formats.count() <= BROADCAST_FILES:
-        formats = F.broadcast(formats)
-    joined = lines.join(formats, "file", "left")
+    """(line table, candidate-array Column) with one parser per file. A file without a
+    format row (no line to judge by) falls back to the SSH parser."""
+    joined = _with_files(lines, formats.select("file", "format_key", "zeek_fields", "zeek_verb"))
     key = F.coalesce(F.col("format_key"), F.lit("SYSLOG_SSH"))
     http = (F.coalesce("zeek_fields", F.lit(0)) >= ZEEK_HTTP_FIELDS) & F.coalesce("zeek_verb", F.lit(False))
     layout = {"zeek_http": http, "zeek_ssh": ~http & (F.coalesce("zeek_fields", F.lit(0)) >= ZEEK_SSH_FIELDS)}
-    return joined, _candidates({n: (key == f.format_key) & f.guard() & layout.get(n, F.lit(True))
-                                for n, f in FAMILY_TABLE.items()})
+    return _matched(joined), _candidates({n: (key == f.format_key) & f.guard() & layout.get(n, F.lit(True))
+                                          for n, f in FAMILY_TABLE.items()})
 
 
-def parse_lines(lines: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """Mixed-file extraction (P9, P11): every line is tried against every family, so
-    one scan without any per-file fact serves batch, ingest and streams alike.
+def parse_lines(lines: DataFrame, families: list[str] | None = None, layouts: DataFrame | None = None) -> DataFrame:
+    """Mixed-file extraction (P9, P11): every line is tried against every family in one
+    scan.
 
-    A tab-separated row with a time in front is Zeek, in HTTP layout with at least ten
-    fields and a verb in the eighth, else in SSH layout with at least six. Any other
-    line feeds the SSH families it matches, and Squid if it matches, else the access
-    log. ``families`` restricts the result to some families."""
-    return _explode(lines, _mixed_candidates(families))
+    A tab-separated row with a time in front is Zeek; its layout is that of its file
+    (``layouts``, the table of ``detect.zeek_layouts``: header or first data row), and
+    where nothing is known of the file the row's own: HTTP with at least ten fields and a
+    verb in the eighth, else SSH with at least six. Any other line feeds the SSH families
+    it matches, and Squid if it matches, else the access log. ``families`` restricts the
+    result to some families."""
+    return _explode(*_mixed_plan(lines, families, layouts))
 
 
 def parse_routed(lines: DataFrame, formats: DataFrame) -> DataFrame:
@@ -225,16 +283,21 @@ def parse_routed(lines: DataFrame, formats: DataFrame) -> DataFrame:
     ``formats`` is the table of ``detect.detect_formats``. SYSLOG_SSH files run the
     three SSH families, NCSA_SQUID_HTTP files run Squid and access-log (a line that
     both accept is emitted twice), ZEEK_TSV files run the layout of the file's first
-    data row (P6-P8; none under six fields)."""
-    return _explode(*_routed_plan(lines, formats))
+    data row (P6-P8; none under six fields), and files of a format with a parser of its
+    own (``register_parser``) run that."""
+    events = _explode(*_routed_plan(lines, formats))
+    for key, parser in TABLE_PARSERS.items():
+        own = formats.where(F.col("format_key") == key).select("file")
+        events = events.unionByName(parser(lines.join(own, "file", "left_semi")).select(*EVENT_COLUMNS))
+    return events
 
 
-def line_event_counts(lines: DataFrame, families: list[str] | None = None,
-                      formats: DataFrame | None = None) -> DataFrame:
+def line_event_counts(lines: DataFrame, families: list[str] | None = None, formats: DataFrame | None = None,
+                      layouts: DataFrame | None = None) -> DataFrame:
     """S3 + S10 + A21 in **one pass**: total lines (blank ones included) and the
     valid SSH / HTTP events they yield, counted from the candidate arrays before
     they are exploded, so the raw text is read once."""
-    df, cands = _routed_plan(lines, formats) if formats is not None else (lines, _mixed_candidates(families))
+    df, cands = _routed_plan(lines, formats) if formats is not None else _mixed_plan(lines, families, layouts)
 
     def valid(x, proto):
         return (x["source_ip"].isNotNull() & ~(x["family"].startswith("zeek") & (x["source_ip"] == "-"))

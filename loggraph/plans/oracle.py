@@ -99,10 +99,22 @@ def _family_sql() -> dict[str, str]:
 
 
 _FIELDS = "string_split(raw_line, chr(9))"
-_ZEEK = f"(contains(raw_line, chr(9)) and regexp_matches(raw_line, '^[0-9][0-9.:TZ+-]*' || chr(9)) and len({_FIELDS}) >= 6)"
-_ZEEK_HTTP = f"(len({_FIELDS}) >= 10 and coalesce(regexp_matches({_FIELDS}[8], '^[A-Z]{{3,}}$'), false))"
+_DATED = ("regexp_matches(raw_line, '^([0-9]{9,}([.][0-9]+)?|[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+(Z|[+-][0-9]{2}:?[0-9]{2})?)' "
+          "|| chr(9))")
+_ACCESS = f"regexp_matches(raw_line, {q(NCSA)})"
+_ZEEK = f"({_DATED} and len({_FIELDS}) >= 6 and not {_ACCESS})"
+_ZEEK_HTTP = (f"coalesce(zeek_is_http, len({_FIELDS}) >= 10 and coalesce(regexp_matches({_FIELDS}[8], '^[A-Z]{{3,}}$') "
+              f"or ({_FIELDS}[8] = '-' and starts_with({_FIELDS}[10], '/')), false))")
+#: Per file the layout of its Zeek rows: by its header, else by its first data row.
+_LAYOUTS = f"""
+shown as (select file, not starts_with(raw_line, '#fields') as no_header, line_no,
+   case when starts_with(raw_line, '#fields') then list_contains({_FIELDS}, 'method') and list_contains({_FIELDS}, 'uri')
+        else len({_FIELDS}) >= 10 and regexp_matches(raw_line, 'GET|HEAD|POST') end as http
+ from rendered where starts_with(raw_line, '#fields' || chr(9)) or ({_DATED} and len({_FIELDS}) >= 6)),
+layouts as (select distinct on (file) file, http as zeek_is_http from shown order by file, no_header, line_no),
+lines as (select r.*, zeek_is_http from rendered r left join layouts using (file)),"""
 _SQUID = f"(contains(raw_line, 'TCP_') and regexp_matches(raw_line, {q(SQUID)}))"
-#: What each line is taken for when nothing is known of its file.
+#: What each line is taken for when only its Zeek layout is known of its file.
 LINE_RULES = {
     "ssh_accepted": f" and not {_ZEEK}", "ssh_failed": f" and not {_ZEEK}", "ssh_invalid": f" and not {_ZEEK}",
     "squid": f" and {_SQUID} and not {_ZEEK}", "ncsa": f" and not {_SQUID} and not {_ZEEK}",
@@ -130,7 +142,7 @@ def events_cte(kind: str = "mixed", families: list[str] | None = None, where: st
     rendering holds no tab and no Squid line, so four families say all about it."""
     if families is None:
         return f"lines as ({render_sql(kind, 'duckdb')})," + _events(FAMILY_NAMES[:4], dict.fromkeys(FAMILY_NAMES, ""), where)
-    return f"lines as ({render_sql(kind, 'duckdb')})," + _events(families, LINE_RULES, where)
+    return f"rendered as ({render_sql(kind, 'duckdb')})," + _LAYOUTS + _events(families, LINE_RULES, where)
 
 
 PRIV_LIST = "[" + ", ".join(q(u) for u in K.PRIVILEGED_USERS) + "]"
@@ -324,8 +336,8 @@ ORACLE: dict[str, str] = {
     "p3_ssh_invalid": _mixed(f"select {EV_OUT} from ev where family = 'ssh_invalid'"),
     "p4_ncsa": _mixed(f"select {EV_OUT} from ev where family = 'ncsa'"),
     "p5_squid": _all(f"select {EV_OUT} from ev where family = 'squid'"),
-    "p6_zeek_http": _all(f"select {EV_OUT} from ev where family = 'zeek_http'"),
-    "p7_zeek_ssh": _all(f"select {EV_OUT} from ev where family = 'zeek_ssh'"),
+    "p6_zeek_http": with_graph("files", ALL_FAMILIES) + f"select {EV_OUT} from ev where family = 'zeek_http'",
+    "p7_zeek_ssh": with_graph("files", ALL_FAMILIES) + f"select {EV_OUT} from ev where family = 'zeek_ssh'",
     "p11_mixed_family_counts": with_graph("files", ALL_FAMILIES) + ("select file, family, protocol, count(*) as n from ev group by file, family, protocol"),
     "p9_unified_events": _mixed("""select timestamp, source_ip, protocol, action, target,
    case when protocol = 'SSH' then to_json({'user': "user", 'auth_method': auth_method, 'dest_host': dest_host})::varchar

@@ -19,7 +19,7 @@ from loggraph.functions.net import is_private, subnet24
 from loggraph.functions.uri import is_static_asset, uri_prefix
 from loggraph.operators import edges as E
 from loggraph.operators import graph as G
-from loggraph.operators.detect import detect_formats
+from loggraph.operators.detect import detect_formats, zeek_layouts
 from loggraph.operators.parse import (
     http_events, parse_lines, parse_routed, ssh_events, unified_view,
 )
@@ -66,8 +66,9 @@ def lines_of(spark, sf, kind="mixed"):
     return render_lines(spark, sf, kind)
 
 
-def events_of(spark, sf, kind="mixed"):
-    return parse_lines(lines_of(spark, sf, kind))
+def events_of(spark, sf, kind="mixed", layouts=False):
+    lines = lines_of(spark, sf, kind)
+    return parse_lines(lines, layouts=zeek_layouts(lines) if layouts else None)
 
 
 def all_events(spark, sf):
@@ -90,11 +91,11 @@ def s10_protocol_counts(spark, sf):
 
 @query("d_format_scores")
 def d_format_scores(spark, sf):
-    return report(detect_formats(lines_of(spark, sf, "all")).drop("zeek_fields", "zeek_verb"))
+    return report(detect_formats(lines_of(spark, sf, "all"), write=False).drop("zeek_fields", "zeek_verb"))
 
 
-def _family(spark, sf, fam, kind="mixed"):
-    ev = events_of(spark, sf, kind)
+def _family(spark, sf, fam, kind="mixed", layouts=False):
+    ev = events_of(spark, sf, kind, layouts)
     return report(ev.where(F.col("family") == fam))
 
 
@@ -125,18 +126,18 @@ def p5(spark, sf):
 
 @query("p6_zeek_http")
 def p6(spark, sf):
-    return _family(spark, sf, "zeek_http", "all")
+    return _family(spark, sf, "zeek_http", "files", layouts=True)
 
 
 @query("p7_zeek_ssh")
 def p7(spark, sf):
-    return _family(spark, sf, "zeek_ssh", "all")
+    return _family(spark, sf, "zeek_ssh", "files", layouts=True)
 
 
 @query("p11_mixed_family_counts")
 def p11(spark, sf):
     """Every rendered file, odd ones included, through the per-line parser."""
-    ev = events_of(spark, sf, "files")
+    ev = events_of(spark, sf, "files", layouts=True)
     return report(ev.groupBy("file", "family", "protocol").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -465,7 +466,7 @@ def j6(spark, sf):
     from loggraph.operators.analyst import ego_edges
     g = graph_of(spark, sf)
     top = g.nodes.orderBy(F.desc("risk_score"), F.asc("id")).limit(1).select("id")
-    return report(ego_edges(g.edges, F.broadcast(top)))
+    return report(ego_edges(g.edges, F.broadcast(top), g.edge_users))
 
 
 @query("j7_neighbours")

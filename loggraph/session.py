@@ -76,20 +76,38 @@ def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame
 
     This cuts the lineage like ``checkpoint()`` but keeps column pruning and filter
     pushdown for the readers, and the written table survives lost executors.
-    ``options`` go to the writer. The table stays until ``drop_tables`` is called."""
+    ``options`` go to the writer. The table stays until ``drop_table`` or ``drop_tables``
+    is called."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").options(**options).parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Delete every table that ``materialize`` wrote in this application; returns how
-    many. To be called when no result built on them is needed any more."""
-    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def drop_table(table: DataFrame) -> int:
+    """Delete the table that ``materialize`` returned, when nothing built on it is
+    needed any more; other DataFrames are left alone. Returns how many were deleted."""
+    spark = table.sparkSession
+    known = _TABLES.get(spark.sparkContext.applicationId, [])
+    mine = [p for p in known if getattr(table, "_written_at", None) == p]
+    _delete(spark, mine)
+    known[:] = [p for p in known if p not in mine]
+    return len(mine)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete every table that ``materialize`` wrote in this application; returns how
+    many. To be called when no result built on them is needed any more."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)

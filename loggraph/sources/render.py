@@ -105,8 +105,9 @@ select cast(epoch_s as string) || '.' || lpad(cast(event_id % 1000 as string),3,
   'zeek_http.log' as file, event_id as line_no, true as is_head
 from b where event_type in ('click','view')"""
 
-# Files that a per-file shortcut gets wrong: access lines that mention TCP_, a log with a
-# blank head, tab-separated rows too short for Zeek, and lines that both HTTP parsers accept.
+# Files that a per-file or per-line shortcut gets wrong: access lines that mention TCP_, a
+# log with a blank head, tab-separated rows too short for Zeek, lines that both HTTP parsers
+# accept, a tab-separated access log, and Zeek HTTP rows without a verb.
 _ODD = """
 select ip || ' - - [' || dd0 || '/' || mon || '/2024:' || hms || ' +0000] "GET /docs/TCP_tuning/' || cast(event_id % 9 as string)
   || ' HTTP/1.1" 200 ' || cast(100 + event_id % 5000 as string) as raw_line,
@@ -128,7 +129,19 @@ union all
 select cast(epoch_s as string) || '.000     20 ' || ip || ' TCP_MISS/' || cast(st as string) || ' 100 GET http://a.example' || uri
   || ' - - [' || dd0 || '/' || mon || '/2024:' || hms || ' +0000] "GET ' || uri || ' HTTP/1.1" 200 55' as raw_line,
   'both.log' as file, event_id as line_no, true as is_head
-from b where event_id % 17 = 2"""
+from b where event_id % 17 = 2
+union all
+select ip || chr(9) || '-' || chr(9) || usr || chr(9) || '[' || dd0 || '/' || mon || '/2024:' || hms || ' +0000]' || chr(9)
+  || '"' || verb || ' ' || uri || ' HTTP/1.1"' || chr(9) || cast(st as string) || chr(9) || cast(100 + event_id % 5000 as string) as raw_line,
+  'tab_access.log' as file, event_id as line_no, true as is_head
+from b where event_id % 19 = 4
+union all
+select cast(epoch_s as string) || '.5' || chr(9) || 'C' || cast(event_id as string) || chr(9) || ip || chr(9) || '4000' || chr(9)
+  || '10.2.0.' || cast(user_id % 50 as string) || chr(9) || '80' || chr(9) || '1' || chr(9)
+  || case when event_id >= 200 and event_id % 3 = 0 then '-' else 'GET' end || chr(9) || 'www.example.com' || chr(9) || uri
+  || chr(9) || '-' || chr(9) || '1.1' || chr(9) || 'Mozilla/5.0' || chr(9) || '0' || chr(9) || cast(st as string) as raw_line,
+  'dash_http.log' as file, event_id as line_no, true as is_head
+from b where event_id % 29 = 7"""
 
 KINDS = {"mixed": [_MIXED], "squid": [_SQUID], "zeek": [_ZEEK], "all": [_MIXED, _SQUID, _ZEEK],
          "files": [_MIXED, _SQUID, _ZEEK, _ODD]}

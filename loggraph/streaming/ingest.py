@@ -97,7 +97,7 @@ class StreamIngest:
                 fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(kind, b)), True)
 
     def graph(self, until: int | None = None) -> G.Graph:
-        return G.graph_from_facts(self.facts(until), cache=False)
+        return G.graph_from_facts(self.facts(until))
 
     def overview(self):
         """The cluster overview over the stream's session."""

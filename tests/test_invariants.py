@@ -105,3 +105,28 @@ def test_events_of_an_unknown_cluster_are_an_error(spark):
     from loggraph.sources.lines import empty_lines
     with pytest.raises(ValueError, match="no cluster"):
         node_events(parse_lines(empty_lines(spark)), "super:none")
+
+
+def test_queries_leave_nothing_cached(spark):
+    import __spark_entry__ as se
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, qs = cached(), se.queries()
+    for name in ("g4_node_risk", "g12_nodes", "g11_degrees", "a17_summary", "k1_cut_nodes", "j6_ego", "x10_summary_extras",
+                 "c3_super_edges", "f9_f11_edge_classes", "s11_expand_payload"):
+        qs[name](spark, SF).collect()
+    assert cached() == before and spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_a_graph_and_its_kin_delete_their_tables(spark):
+    from loggraph import session
+    from loggraph.operators.clusters import build_overview
+    from loggraph.operators.expand import expand
+    paths = lambda: list(session._TABLES.get(spark.sparkContext.applicationId, []))
+    ev = parse_lines(render_lines(spark, SF))
+    before = paths()
+    with build_graph(ev) as g:
+        nodes = g.nodes.count()
+        assert len(paths()) == len(before) + 3
+    with expand(ev, "super:internal_baseline") as x, build_overview(ev) as ov:
+        assert x.nodes.count() > 0 and ov.super_nodes.count() > 0
+    assert paths() == before and nodes > 0

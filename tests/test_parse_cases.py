@@ -199,3 +199,82 @@ def test_mixed_parse_plan_has_one_scan_and_no_exchange(spark, tmp_path):
     (tmp_path / "a.log").write_text("x\n")
     plan = parse_lines(read_lines(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan text") == 1 and "Exchange" not in plan
+
+
+def _zeek(verb, uri="/x", ts="1723150200.1"):
+    return "\t".join([ts, "C1", "10.0.0.5", "4000", "10.2.0.1", "80", "1", verb, "www.example.com", uri, "-", "1.1", "M", "0", "200"])
+
+
+def _parsed(spark, text, layouts=True):
+    from loggraph.operators.detect import zeek_layouts
+    lines = lines_from_text(spark, text)
+    ev = parse_lines(lines, layouts=zeek_layouts(lines) if layouts else None)
+    return [(r.family, r.source_ip, r.action) for r in ev.orderBy("line_no").collect()]
+
+
+def test_a_zeek_http_row_without_verb_is_no_ssh_failure(spark):
+    """The layout comes from the file: its header, else its first data row."""
+    rows = [_zeek("GET"), _zeek("-"), _zeek("-", uri="-")]
+    want = [("zeek_http", "10.0.0.5", v) for v in ("GET", "-", "-")]
+    assert _parsed(spark, "\n".join(rows)) == want
+    assert _parsed(spark, "\n".join(rows[:2]), layouts=False) == want[:2]
+    header = "#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\ttrans_depth\tmethod\thost\turi"
+    assert _parsed(spark, "\n".join([header, *reversed(rows)])) == want[::-1]
+    ssh = "\t".join(["1723150200.1", "C1", "10.0.0.5", "4000", "10.0.0.6", "22", "success", "GET", "x", "/y"])
+    assert _parsed(spark, "#fields\tts\tauth_success\n" + ssh) == [("zeek_ssh", "10.0.0.5", "SUCCESS")]
+
+
+def test_a_tab_separated_access_log_is_no_zeek_log(spark):
+    line = '10.0.0.7\t-\tfrank\t[06/Aug/2026:03:20:10 +0000]\t"GET /a HTTP/1.1"\t200\t23'
+    assert _parsed(spark, line) == _parsed(spark, line, layouts=False) == [("ncsa", "10.0.0.7", "GET")]
+    dated = '1723150200\t-\tfrank\t[06/Aug/2026:03:20:10 +0000]\t"GET /a HTTP/1.1"\t200\t23'
+    assert _parsed(spark, dated) == [("ncsa", "1723150200", "GET")]
+    iso = _zeek("GET", ts="2026-08-06T03:20:10.123Z")
+    assert _parsed(spark, iso) == [("zeek_http", "10.0.0.5", "GET")]
+
+
+def test_default_and_routed_path_agree_on_every_rendered_file(spark):
+    from loggraph.operators.detect import detect_formats, zeek_layouts
+    from loggraph.operators.parse import parse_routed
+    from loggraph.sources.render import render_lines
+    lines = render_lines(spark, "/root/testdata/sf0.001", "files").where("file <> 'both.log'")  # two parsers accept those lines
+    routed = parse_routed(lines, detect_formats(lines))
+    default = parse_lines(lines, layouts=zeek_layouts(lines))
+    files = {r.file for r in routed.select("file").distinct().collect()}
+    assert {"dash_http.log", "tab_access.log", "zeek_http.log", "tcp_access.log"} <= files
+    a, b = (sorted(map(str, ev.collect())) for ev in (routed, default))
+    assert a == b and len(a) > 2000
+
+
+def test_a_first_data_row_behind_a_long_header(spark):
+    """Over a hundred comment lines in front: the routed path still finds the layout."""
+    from loggraph.operators.detect import detect_formats
+    from loggraph.operators.parse import parse_routed
+    text = "#fields\tts\n" + "#note\n" * 150 + _zeek("GET")
+    lines = lines_from_text(spark, text)
+    found = detect_formats(lines)
+    assert found.first().zeek_fields == 15
+    assert [r.family for r in parse_routed(lines, found).collect()] == ["zeek_http"]
+
+
+def test_a_parser_of_whole_tables(spark):
+    """The other extension point: line table in, event table out, here with a join."""
+    from pyspark.sql import functions as F
+
+    from loggraph.operators import detect, parse
+
+    def hosts(lines):
+        named = lines.where(F.col("raw_line").startswith("HOST ")).select(F.expr("split(raw_line, ' ')[1]").alias("target"), "file")
+        out = lines.where(F.col("raw_line").startswith("SEEN ")).join(named, "file").withColumn("source_ip", F.expr("split(raw_line, ' ')[1]"))
+        known = {"protocol": "SSH", "action": "SUCCESS", "family": "pair"}
+        return out.select(*[F.lit(known[n]).alias(n) if n in known else F.col(n) if n in out.columns else F.lit(None).cast(t).alias(n)
+                            for n, t in [*((n, t) for n, t in parse.EVENT_FIELDS[1:]), ("family", "string"), ("file", "string"), ("line_no", "long")]])
+
+    parse.register_parser("PAIRS", hosts)
+    detect.register_format("PAIRS", "pair_score", lambda: F.count_if(F.col("raw_line").rlike("^(HOST|SEEN) ")) / F.count(F.lit(1)))
+    try:
+        lines = lines_from_text(spark, "HOST h1\nSEEN 1.2.3.4\nSEEN 1.2.3.5")
+        ev = parse.parse_routed(lines, detect.detect_formats(lines)).collect()
+        assert sorted((r.source_ip, r.target) for r in ev) == [("1.2.3.4", "h1"), ("1.2.3.5", "h1")]
+    finally:
+        del parse.TABLE_PARSERS["PAIRS"], detect.FORMATS["PAIRS"]
