@@ -20,12 +20,15 @@ LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\x
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+),
 #: for texts of the characters of PLAIN.
 PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
-#: A lone space is no sure word start where both neighbours are blank.
-BLANK_RUN = re.compile(r"\s \s")
+#: A lone space is no sure word start where both neighbours are blank, or at the end behind a blank.
+BLANK_RUN = re.compile(r"\s (?:\s|\Z)")
 #: Characters whose class is the same in every Unicode version of the pattern engines.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]*")
 
 
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 class Kept(dict):
     """A cache of at most ``2 * limit`` answers: when full, the older half goes."""
 
@@ -65,30 +68,45 @@ class ByteBpe:
                         and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                         and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.letters = byte_letters()
-        self.model = self.tok.model
-        self.words = Kept(lambda w: self._word(" " + w), kept_words)
-        self.pre_tokens = Kept(self._pre_token, kept_words)
+        shown = byte_letters()
+        self.space = shown[ord(" ")]
+        #: byte letters of the characters up to U+00FF
+        self.letters = {c: "".join(shown[b] for b in chr(c).encode("utf-8")) for c in range(256)}
+        self.ask = self.tok.model.tokenize
+        self.words = Kept(self._word, kept_words)
+        self.others = Kept(lambda p: self._asked(p.translate(self.letters)), kept_words // 8)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _pre_token(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _asked(self, letters: str) -> bytes:
+        """The library's ids of one pre-token, given in byte letters."""
+        ids = [t.id for t in self.ask(letters)]
+        return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
-            return self._whole(word)
-        return b"".join([self.pre_tokens[p] for p in PATTERN.findall(word)])
+        """Ids of ``word`` behind a space. Letters alone are one pre-token; a character
+        of another class behind letters is the next one."""
+        if word.isalpha():
+            if word.isascii():
+                return self._asked(self.space + word)
+            if max(word) <= "\xff":
+                return self._asked(self.space + word.translate(self.letters))
+        elif word[:-1].isalpha() and word[-1].isascii():
+            return self.words[word[:-1]] + self.others[word[-1]]
+        return self._cut(f" {word}")
+
+    def _cut(self, text: str) -> bytes:
+        if not PLAIN.fullmatch(text):
+            return self._whole(text)
+        return b"".join([self.words[p[1:]] if p[0] == " " and p[1:].isalpha() else self.others[p] for p in PATTERN.findall(text)])
 
     def ids(self, text: str) -> bytes:
         if not self.by_word or any(s in text for s in self.special) or BLANK_RUN.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
         words = self.words
-        return (self._word(first) if first else b"") + b"".join([words[w] for w in rest])
+        return (self._cut(first) if first else b"") + b"".join([words[w] for w in rest])
 
 
 def byte_bpe(path: str) -> ByteBpe:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loggraph.session import materialize
 
-__all__ = ["materialize", "only_held", "read_table", "slices", "text_or_empty", "packed", "unpacked"]
+__all__ = ["blocks", "materialize", "only_held", "read_table", "slices", "text_or_empty", "packed", "unpacked"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,19 @@ def slices(batches, rows: int = 500):
             yield b.slice(at, rows)
 
 
+def blocks(batches, chars: int, column: int = 1):
+    """Slices of Arrow batches of at most about ``chars`` bytes in a text column, one row
+    at least."""
+    for b in batches:
+        sizes = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + chars, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 _HELD: dict = {}
 
 

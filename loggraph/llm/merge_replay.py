@@ -31,11 +31,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_held, read_table, text_or_empty
+from .common import blocks, only_held, read_table, text_or_empty
 
 BLOCK_CHARS = 4 << 20
 KEPT_WORDS = 300_000
@@ -191,9 +190,9 @@ class MergeReplay:
         for words in split:
             if words:
                 fresh.update(words[1:])
-        fresh.difference_update(known)
-        known.update((w, self.older[w]) for w in fresh.intersection(self.older))
-        fresh.difference_update(known)
+        fresh = fresh.difference(known)
+        known.update([(w, self.older[w]) for w in fresh if w in self.older])
+        fresh = fresh.difference(known)
         parts = {w: [f" {w}"] if w.isalpha() else cut(f" {w}") for w in fresh}
         tokens = set().union(*whole, *parts.values()) if parts or whole else set()
         ids = {t: known[t[1:]] for t in tokens if t[0] == " " and t[1:] in known}
@@ -212,18 +211,6 @@ def merge_replay(ranks_path: str, pattern: str) -> MergeReplay:
     return only_held(("merge_replay", ranks_path, pattern), lambda: MergeReplay(ranks_path, pattern))
 
 
-def blocks(batches, chars: int):
-    """Slices of Arrow batches (id, text) of about ``chars`` bytes of text, one row at least."""
-    for b in batches:
-        sizes = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            done = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, done + chars, side="right")))
-            yield b.slice(at, end - at)
-            at = end
-
-
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                   block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids and the bytes decoded from the ids, of whole texts."""

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
-from .common import materialize, read_table, slices, text_or_empty
+from .common import blocks, materialize, read_table, text_or_empty
 
 PIECES = ("doc_id long, start long, length long, doc_tokens long, bucket int, task int, number long, ids binary")
 OUT_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
 BROADCAST_ROWS = 1_000_000
 END = np.zeros(1, dtype="<u4").tobytes()
 
@@ -60,7 +61,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 1024, id_col: str =
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-        for b in slices(batches):
+        for b in blocks(batches, BLOCK_BYTES):
             for doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
                 ids = bpe.ids(text) + END
                 n = len(ids) // 4

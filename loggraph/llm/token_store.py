@@ -17,9 +17,10 @@ A short document is read by its block's offset index and one frame, nothing else
 dictionary lies beside the blocks under its hash. Spark's writer commits the files, so
 lost executors leave no half-written store, on any file system Spark can write.
 
-The dictionary is trained on a bounded sample: whole id arrays of the documents of at
-most ``sample_chars`` characters among about ``sample_docs`` random ones. It changes
-sizes only, never what is read back.
+The dictionary is trained on a bounded sample: the id arrays of about ``sample_docs``
+random documents of any length, cut into pieces of ``piece_ids`` ids, of a document at
+most ``doc_pieces`` spread evenly over all of it. It changes sizes only, never what is
+read back.
 
 Defined cases: null text is the empty text (the end id alone); null doc_ids come
 first; rows with the same doc_id stand side by side, ordered by the text's hash; an
@@ -72,15 +73,23 @@ def _batches(rows, schema: pa.Schema, size_of):
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
 
-def sample_arrays(docs: DataFrame, tokenizer: str, sample_docs: int, sample_chars: int) -> list[bytes]:
+def pieces(ids: bytes, piece_ids: int, most: int) -> list[bytes]:
+    """``ids`` in pieces; of more than ``most`` those at even distances, last one included."""
+    cut = [ids[at:at + 4 * piece_ids] for at in range(0, len(ids), 4 * piece_ids)]
+    if len(cut) <= most:
+        return cut
+    return [cut[round(k * (len(cut) - 1) / max(1, most - 1))] for k in range(most)]
+
+
+def sample_arrays(docs: DataFrame, tokenizer: str, sample_docs: int, piece_ids: int, doc_pieces: int) -> list[bytes]:
     """The bounded training sample of serialized id arrays."""
-    few = (docs.sample(min(1.0, sample_docs / max(1, docs.count())), seed=5)
-           .where(F.char_length("text") <= sample_chars).select("text"))
+    few = docs.sample(min(1.0, sample_docs / max(1, docs.count())), seed=5).select("text")
 
     def encode(batches):
         bpe = byte_bpe(tokenizer)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([bpe.ids(t) + END for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+        for b in slices(batches):
+            cut = [p for t in b.column(0).to_pylist() for p in pieces(bpe.ids(t) + END, piece_ids, doc_pieces)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["ids"])
 
     return [bytes(r["ids"]) for r in few.mapInArrow(encode, "ids binary").collect()]
 
@@ -107,11 +116,11 @@ def _codec(dictionary: bytes):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                 sample_docs: int = 1000, sample_chars: int = 8192) -> str:
+                 sample_docs: int = 1000, piece_ids: int = 1024, doc_pieces: int = 8) -> str:
     """Write the store of ``docs`` under ``path``; returns the dictionary's hash."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    dictionary = train_dictionary(sample_arrays(docs, tokenizer, sample_docs, sample_chars))
+    dictionary = train_dictionary(sample_arrays(docs, tokenizer, sample_docs, piece_ids, doc_pieces))
     name = hashlib.sha256(dictionary).hexdigest()
     encoded, blocks = _schema(ENCODED), _schema(BLOCKS)
 

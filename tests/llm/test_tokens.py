@@ -151,3 +151,25 @@ def test_sentencepiece_documents(spark, docs):
         ids = lib.encode(r.text or "", add_bos=True, add_eos=True)
         want.append((ids, len(ids), lib.decode(ids)))
     assert got == sorted(want)
+
+
+def test_long_documents_alone_train_a_dictionary(spark, tmp_path):
+    import random
+
+    from loggraph.llm import token_store
+    r = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=4000))) for i in range(20)], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    name = token_store.write_tokens(docs, path, BYTE)
+    assert len(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]) > 0
+    assert name != __import__("hashlib").sha256(b"").hexdigest()
+    assert token_store.read_tokens(spark, path).count() == 20
+
+
+def test_pieces_cover_a_long_array_evenly():
+    from loggraph.llm.token_store import pieces
+    ids = bytes(range(200)) * 4
+    assert b"".join(pieces(ids, 10, 1000)) == ids
+    some = pieces(ids, 10, 5)
+    assert len(some) == 5 and some[0] == ids[:40] and some[-1] == ids[-40:]
