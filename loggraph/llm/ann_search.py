@@ -17,7 +17,8 @@ vectors (up to the spread of hashing tiles over the grid), so memory is bounded.
 Defined cases: vectors that are null, zero or hold null or non-finite numbers take no
 part, nor do rows without vec_id; only vectors of the same length are compared; a
 query's own vec_id is no candidate for it; of equal cosines the smaller vec_id comes
-first; repeated rows are candidates of their own; with fewer than k candidates all are
+first; repeated rows are candidates of their own, and a repeated query row is a query of
+its own (its ranks come once per row); with fewer than k candidates all are
 returned; an empty table gives an empty result.
 """
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 TILE = 2048
-TILES = "part int, dim int, ids binary, codes binary, steps binary, errors binary, vectors binary"
-FOUND = "query_id long, vec_id long, score double"
+TILES = "part int, dim int, ids binary, rows binary, codes binary, steps binary, errors binary, vectors binary"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 SLACK = 1e-9
 
 
@@ -74,14 +75,15 @@ def tiles(vectors: DataFrame, parts: int) -> DataFrame:
     names = [f.split(" ")[0] for f in TILES.split(", ")]
 
     def run(batches):
-        task, made, held = TaskContext.get().partitionId(), 0, {}
+        task, made, numbered, held = TaskContext.get().partitionId(), 0, 0, {}
 
         def tile(dim):
-            nonlocal made
+            nonlocal made, numbered
             ids, v = (np.concatenate(x) for x in zip(*held.pop(dim)))
             codes, steps, errors = quantised(v)
-            made += 1
-            row = (hash((task, made, dim)) % parts, dim, ids.astype("<i8").tobytes(), codes.tobytes(), steps.tobytes(),
+            rows = (task << 40) + np.arange(numbered, numbered + len(ids), dtype="<i8")
+            made, numbered = made + 1, numbered + len(ids)
+            row = (hash((task, made, dim)) % parts, dim, ids.astype("<i8").tobytes(), rows.tobytes(), codes.tobytes(), steps.tobytes(),
                    errors.tobytes(), v.astype(kind).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in row], names)
 
@@ -109,7 +111,7 @@ def tiles(vectors: DataFrame, parts: int) -> DataFrame:
 class Tile:
     def __init__(self, row: dict):
         dim = row["dim"]
-        self.dim, self.ids = dim, np.frombuffer(row["ids"], "<i8")
+        self.dim, self.ids, self.rows = dim, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rows"], "<i8")
         n = len(self.ids)
         # float holds sums of int8 products exactly while dim * 127 ** 2 fits its mantissa
         exact = np.float32 if dim * 127 ** 2 < 1 << 24 else np.float64
@@ -144,8 +146,8 @@ def search_tile(q: Tile, c: Tile, heaps: list[list], k: int) -> None:
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-            cell_candidates: int = 1 << 16, cell_queries: int = 1 << 14) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of the rows where ``queries`` holds."""
+            cell_candidates: int = 1 << 14, cell_queries: int = 1 << 14) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of each row where ``queries`` holds."""
     picked = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(queries, 1).otherwise(0)).alias("q")).first()
@@ -156,7 +158,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
              .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))))
 
     def cell(query_rows: pa.Table, candidate_rows: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
         mine = [Tile(r) for r in query_rows.to_pylist()]
         heaps = [[[] for _ in t.ids] for t in mine]
         for batch in candidate_rows.to_batches(max_chunksize=1):
@@ -165,15 +167,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
                 if q.dim == c.dim:
                     search_tile(q, c, h, k)
         for q, hs in zip(mine, heaps):
-            for i, h in zip(q.ids.tolist(), hs):
+            for r, i, h in zip(q.rows.tolist(), q.ids.tolist(), hs):
                 for score, j in h:
+                    out["query_row"].append(r)
                     out["query_id"].append(i)
                     out["vec_id"].append(-j)
                     out["score"].append(score)
         return pa.table({n: pa.array(v, pa.float64() if n == "score" else pa.int64()) for n, v in out.items()})
 
     found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(cell, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # every query row is ranked by itself: rows with one vec_id may hold different vectors
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
@@ -184,13 +188,13 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  SELECT vec_id, row_number() OVER () AS row, embedding::DOUBLE[] AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
     AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.x, c.x) AS score
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.x, c.x) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

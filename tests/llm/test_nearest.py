@@ -62,3 +62,17 @@ def test_odd_vectors_ties_and_few_candidates(spark):
 
 def test_empty_table(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 3 == 0).count() == 0
+
+
+def test_repeated_query_rows_are_queries_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(40)]
+    rows += [(0, rng.normal(size=8).tolist()), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 3 == 0, 5, cell_candidates=16, cell_queries=8).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    for q, found in brute(rows, 5).items():
+        want = sorted((n + 1, i, round(s, 9)) for f in found for n, (i, s) in enumerate(f))
+        assert sorted(got[q]) == want
+    assert len(got[0]) == len(got[3]) == 10
