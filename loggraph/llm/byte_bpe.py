@@ -57,7 +57,7 @@ def byte_letters() -> dict[int, str]:
 class ByteBpe:
     """``ids(text)``: the library's ids of a whole text as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, kept_words: int = 300_000):
+    def __init__(self, path: str, kept_words: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -73,7 +73,7 @@ class ByteBpe:
         #: byte letters of the characters up to U+00FF
         self.letters = {c: "".join(shown[b] for b in chr(c).encode("utf-8")) for c in range(256)}
         self.ask = self.tok.model.tokenize
-        self.words = Kept(self._word, kept_words)
+        self.limit, self.words, self.older = kept_words, {}, {}
         self.others = Kept(lambda p: self._asked(p.translate(self.letters)), kept_words // 8)
 
     def _whole(self, text: str) -> bytes:
@@ -93,20 +93,33 @@ class ByteBpe:
             if max(word) <= "\xff":
                 return self._asked(self.space + word.translate(self.letters))
         elif word[:-1].isalpha() and word[-1].isascii():
-            return self.words[word[:-1]] + self.others[word[-1]]
+            return self._held(word[:-1]) + self.others[word[-1]]
         return self._cut(f" {word}")
 
     def _cut(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return self._whole(text)
-        return b"".join([self.words[p[1:]] if p[0] == " " and p[1:].isalpha() else self.others[p] for p in PATTERN.findall(text)])
+        return b"".join([self._held(p[1:]) if p[0] == " " and p[1:].isalpha() else self.others[p] for p in PATTERN.findall(text)])
+
+    def _held(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = self.older.get(word) or self._word(word)
+        return found
 
     def ids(self, text: str) -> bytes:
         if not self.by_word or any(s in text for s in self.special) or BLANK_RUN.search(text):
             return self._whole(text)
-        first, *rest = text.split(" ")
-        words = self.words
-        return (self._cut(first) if first else b"") + b"".join([words[w] for w in rest])
+        words = text.split(" ")
+        head = self._cut(words[0]) if words[0] else b""
+        del words[0]
+        if len(self.words) > self.limit:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        for w in set(words).difference(known):
+            if w not in known:  # it may have come with another word
+                known[w] = older.get(w) or self._word(w)
+        return head + b"".join([known[w] for w in words])
 
 
 def byte_bpe(path: str) -> ByteBpe:
