@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loggraph import constants as K
 from loggraph.functions.uri import is_static_asset, uri_prefix
+from loggraph.session import materialize
 
 
 def scanners(events: DataFrame, min_paths: int = K.HTTP_SCAN_MIN_DISTINCT_PATHS) -> DataFrame:
@@ -93,7 +94,6 @@ def bounded_overview(events: DataFrame, max_nodes: int = 50):
     are the same at every level, over one written fact table, and only counts reach the
     driver. Returns (overview, level, within the bound)."""
     from loggraph.operators import clusters as C
-    from loggraph.session import materialize
 
     facts = materialize(C.cluster_facts(events), "cluster_facts")
     for level in C.LEVELS:
@@ -102,3 +102,82 @@ def bounded_overview(events: DataFrame, max_nodes: int = 50):
         if within:
             break
     return ov, level, within
+
+
+def _prefix(cluster_id, octets: int):
+    """The id of a /24 cluster's branch higher up in the address-prefix tree."""
+    name = {2: "super:subnet16:", 1: "super:subnet8:"}[octets]
+    pattern = r"^super:subnet:(" + r"\.".join([r"[^./]+"] * octets) + r")\."
+    return F.concat(F.lit(name), F.regexp_extract(cluster_id, pattern, 1), F.lit(".0.0/16" if octets == 2 else ".0.0.0/8"))
+
+
+def largest_that_fit(top: list[tuple[str, str]], sizes: dict[str, int], parents: int, room: int) -> int:
+    """How many of the largest branches stay when the others merge into their parents.
+
+    ``top``: (branch, parent), largest first; ``sizes``: branches of each of these
+    parents; ``parents``: how many parents there are in all. The most that fit in
+    ``room``; -1 where even all parents do not."""
+    best, left, open_parents = -1, dict(sizes), parents
+    for kept in range(len(top) + 1):
+        if kept:
+            parent = top[kept - 1][1]
+            left[parent] -= 1
+            open_parents -= left[parent] == 0
+        if kept + open_parents <= room:
+            best = kept
+    return best
+
+
+def prefix_overview(events: DataFrame, max_nodes: int = 50):
+    """X11: an overview of at most ``max_nodes`` super-nodes for any input, in which the
+    largest /24 subnets stay and only the smallest branches of the address tree merge.
+
+    The smallest /24 clusters merge into their /16, as few as needed. Where that would
+    leave less than half of the room to /24, half of it goes to the largest of them, and
+    the rest of the addresses to /16, /8 and one internal node by the same rule. Ties go
+    by id. The driver
+    sees at most ``max_nodes`` branches a level and counts; the fact table is read with
+    the merged ids. Needs room for three nodes (web, external, internal)."""
+    from loggraph.operators import clusters as C
+
+    if max_nodes < 3:
+        raise ValueError("an overview has at least three nodes")
+    facts = materialize(C.cluster_facts(events), "cluster_facts")
+    counts, _ = C.super_nodes_and_members(facts)
+    is_subnet = F.col("cluster_id").startswith(K.SUPER_SUBNET_PREFIX)
+    counts = materialize(counts.select("cluster_id", "child_count", is_subnet.alias("subnet")), "cluster_sizes")
+    room = max_nodes - counts.where("NOT subnet").count()
+    cid = F.col("cluster_id")
+    level = counts.where("subnet").select(cid.alias("id"), _prefix(cid, 2).alias("up16"), _prefix(cid, 1).alias("up8"), "child_count")
+    kept: list[str] = []
+    for branch, parent, beyond in (("id", "up16", "up8"), ("up16", "up8", None), ("up8", None, None)):
+        if beyond or parent:
+            here = level.groupBy(branch, parent).agg(F.sum("child_count").alias("size"))
+        else:
+            here = level.groupBy(branch).agg(F.sum("child_count").alias("size")).withColumn("all", F.lit("super:internal"))
+            parent = "all"
+        n = here.count()
+        if n <= room:
+            kept += [r[0] for r in here.select(branch).collect()]  # at most ``room`` rows
+            break
+        top = [(r[0], r[1]) for r in here.orderBy(F.desc("size"), branch).limit(max(room, 0)).select(branch, parent).collect()]
+        own = {r[0]: r[1] for r in here.where(F.col(parent).isin([p for _, p in top])).groupBy(parent).agg(F.count(F.lit(1))).collect()}
+        stay = largest_that_fit(top, own, here.select(parent).distinct().count(), room)
+        last = stay >= room // 2
+        stay = stay if last else room // 2
+        kept += [b for b, _ in top[:stay]]
+        if last:
+            kept += [r[0] for r in here.where(~F.col(branch).isin([b for b, _ in top[:stay]])).select(parent).distinct().collect()]
+            break
+        level = level.where(~F.col(branch).isin([b for b, _ in top[:stay]]))
+        room -= stay
+
+    def merged(c: str):
+        col = F.col(c)
+        up16, up8 = _prefix(col, 2), _prefix(col, 1)
+        new = (F.when(col.isin(kept), col).when(up16.isin(kept), up16).when(up8.isin(kept), up8).otherwise(F.lit("super:internal")))
+        return F.when(col.startswith(K.SUPER_SUBNET_PREFIX), new).otherwise(col).alias(c)
+
+    ov = C.overview_of_facts(facts.select("kind", merged("src_cluster"), merged("tgt_cluster"), "protocol", "value", "n"))
+    ov.facts = facts
+    return ov

@@ -2,10 +2,10 @@
 
 Every event is assigned a source cluster (external threats, or its /24 subnet)
 and a target cluster (web URLs, a /24 subnet, or external threats). All overview
-numbers come from one **fact table** of distinct
-``(src_cluster, tgt_cluster, protocol, source_ip, target)`` with an event count:
-one shuffle over the events (pre-aggregated map-side, so a cluster pair that
-holds a third of all events costs one row per map task and key), after which
+numbers come from one **fact table**: per cluster pair and protocol its distinct
+sources and its distinct targets, each with an event count. It takes one shuffle over
+the events (pre-aggregated map-side, so a cluster pair that holds a third of all events
+costs one row per map task and key) and holds no (source, target) pairs; after it
 super-nodes, super-edges and the membership table are small aggregates. Members
 are kept as a long ``(cluster_id, node_id)`` table, never as one array.
 """
@@ -56,11 +56,13 @@ def tgt_cluster(target="target", protocol="protocol"):
 
 
 def cluster_facts(events: DataFrame) -> DataFrame:
-    """Distinct (src_cluster, tgt_cluster, protocol, source_ip, target) with counts."""
-    ev = events.select("source_ip", "target", "protocol")
-    return (ev.withColumn("src_cluster", src_cluster()).withColumn("tgt_cluster", tgt_cluster())
-            .groupBy("src_cluster", "tgt_cluster", "protocol", "source_ip", "target")
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Per cluster pair and protocol its distinct sources (``kind`` S) and its distinct
+    targets (T), each ``value`` with its number of events: two rows an event go into one
+    aggregate, so its size is that of sources plus targets, never of their pairs."""
+    ends = F.explode(F.array(F.struct(F.lit("S").alias("kind"), F.col("source_ip").alias("value")),
+                             F.struct(F.lit("T").alias("kind"), F.col("target").alias("value")))).alias("e")
+    ev = events.select("protocol", src_cluster().alias("src_cluster"), tgt_cluster().alias("tgt_cluster"), ends)
+    return ev.groupBy("e.kind", "src_cluster", "tgt_cluster", "protocol", "e.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cluster_props(cluster_id, child_count):
@@ -72,12 +74,15 @@ def cluster_props(cluster_id, child_count):
              .when(cid.startswith(K.SUPER_SUBNET_PREFIX), F.format_string("Subnet %s (%d hosts)", subnet, n))
              .when(cid.startswith("super:subnet16:"), F.format_string(
                  "Subnet %s (%d hosts)", F.regexp_replace(cid, "^super:subnet16:", ""), n))
+             .when(cid.startswith("super:subnet8:"), F.format_string(
+                 "Subnet %s (%d hosts)", F.regexp_replace(cid, "^super:subnet8:", ""), n))
              .when(cid == "super:internal", F.format_string("Internal Hosts (%d)", n))
              .when(cid == K.SUPER_WEB_URLS, F.format_string("Web Endpoints (%d)", n))
              .otherwise(F.format_string("Cluster (%d)", n)))
     rule = (F.when(cid == K.SUPER_EXTERNAL_THREATS, F.lit("external_ip"))
             .when(cid.startswith(K.SUPER_SUBNET_PREFIX), F.lit("internal_subnet_24"))
             .when(cid.startswith("super:subnet16:"), F.lit("internal_subnet_16"))
+            .when(cid.startswith("super:subnet8:"), F.lit("internal_subnet_8"))
             .when(cid == "super:internal", F.lit("internal"))
             .when(cid == K.SUPER_WEB_URLS, F.lit("url_collapse"))
             .otherwise(F.lit("unknown")))
@@ -92,12 +97,12 @@ def super_nodes_and_members(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Source clusters, the web cluster, then SSH target clusters not yet present.
 
     Returns ``(nodes(id, child_count), members(cluster_id, node_id))``."""
-    src_m = facts.select(F.col("src_cluster").alias("cluster_id"),
-                         F.concat(F.lit("host:"), "source_ip").alias("node_id"))
-    web_m = facts.where(F.col("protocol") == "HTTP").select(
-        F.lit(K.SUPER_WEB_URLS).alias("cluster_id"), F.concat(F.lit("url:"), "target").alias("node_id"))
-    tgt_m = facts.where(F.col("protocol") == "SSH").select(
-        F.col("tgt_cluster").alias("cluster_id"), F.concat(F.lit("host:"), "target").alias("node_id"))
+    sources, targets = facts.where("kind = 'S'"), facts.where("kind = 'T'")
+    src_m = sources.select(F.col("src_cluster").alias("cluster_id"), F.concat(F.lit("host:"), "value").alias("node_id"))
+    web_m = targets.where(F.col("protocol") == "HTTP").select(
+        F.lit(K.SUPER_WEB_URLS).alias("cluster_id"), F.concat(F.lit("url:"), "value").alias("node_id"))
+    tgt_m = targets.where(F.col("protocol") == "SSH").select(
+        F.col("tgt_cluster").alias("cluster_id"), F.concat(F.lit("host:"), "value").alias("node_id"))
     src_ids = src_m.select("cluster_id").distinct()
     # Target clusters that are not source clusters keep their target members.
     tgt_m = tgt_m.where(F.col("cluster_id") != K.SUPER_WEB_URLS).join(src_ids, "cluster_id", "left_anti")
@@ -119,7 +124,7 @@ def at_level(facts: DataFrame, level: str) -> DataFrame:
 
     if level == "subnet24":
         return facts
-    return facts.select(coarse("src_cluster"), coarse("tgt_cluster"), "protocol", "source_ip", "target", "n")
+    return facts.select("kind", coarse("src_cluster"), coarse("tgt_cluster"), "protocol", "value", "n")
 
 
 def build_overview(events: DataFrame, materialize: bool = True) -> Overview:
@@ -142,13 +147,15 @@ def overview_of_facts(facts: DataFrame) -> Overview:
         risk.alias("risk_score"))
 
     # Super-edges between different clusters.
-    pair = facts.groupBy("src_cluster", "tgt_cluster").agg(
-        F.sum("n").cast("bigint").alias("total_attempts"),
-        F.count_distinct("source_ip").alias("src_unique_ips"),
-        F.count_distinct("target").alias("tgt_unique_entities"),
-        F.sum(F.when(F.col("protocol") == "SSH", F.col("n")).otherwise(0)).alias("ssh_n"),
-        F.sum(F.when(F.col("protocol") == "HTTP", F.col("n")).otherwise(0)).alias("http_n"),
-    ).where(F.col("src_cluster") != F.col("tgt_cluster"))
+    # one distinct count each: Spark dedups (pair, value) before it counts
+    pair_key = ["src_cluster", "tgt_cluster"]
+    different = facts.where(F.col("src_cluster") != F.col("tgt_cluster"))
+    n_of = {p: F.sum(F.when(F.col("protocol") == p, F.col("n")).otherwise(0)) for p in ("SSH", "HTTP")}
+    pair = different.where("kind = 'S'").groupBy(*pair_key).agg(
+        F.sum("n").cast("bigint").alias("total_attempts"), F.count_distinct("value").alias("src_unique_ips"),
+        n_of["SSH"].alias("ssh_n"), n_of["HTTP"].alias("http_n"))
+    targets = different.where("kind = 'T'").groupBy(*pair_key).agg(F.count_distinct("value").alias("tgt_unique_entities"))
+    pair = pair.join(targets, pair_key)
     # Modal protocol, ties to the smaller name (HTTP).
     dominant = F.when(F.col("ssh_n") > F.col("http_n"), F.lit("SSH")).otherwise(F.lit("HTTP"))
     pair = pair.withColumn("dominant_protocol", dominant)

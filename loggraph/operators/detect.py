@@ -26,6 +26,8 @@ HTTP_REQUEST = r"GET\s+\S+|POST\s+\S+"
 ZEEK_HEADER_SCORE = 0.9
 ZEEK_TAB_CAP = 0.8
 ZEEK_MIN_FIELDS = 6
+#: Bytes of a head: of an upload sniffed by itself, of a file that is streamed.
+SNIFF_BYTES, STREAM_SNIFF_BYTES = 16 << 10, 64 << 10
 
 
 def sample_lines(lines: DataFrame, n: int = K.SNIFF_SAMPLE_LINES) -> DataFrame:
@@ -38,6 +40,12 @@ def sample_lines(lines: DataFrame, n: int = K.SNIFF_SAMPLE_LINES) -> DataFrame:
     return head.withColumn("first_data", first).where(F.col("raw_line").rlike(r"\S"))
 
 
+def sample_heads(heads: DataFrame) -> DataFrame:
+    """D5, the variants by bytes: of each file's head (``sources.lines.read_heads``) the
+    lines that are not blank; ``detect_formats`` takes the first hundred of them."""
+    return heads.where(F.col("raw_line").rlike(r"\S"))
+
+
 def _shape() -> Column:
     """Place, field count and whether some field holds a verb."""
     raw = F.col("raw_line")

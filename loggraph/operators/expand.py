@@ -86,6 +86,14 @@ def top_nodes(nodes: DataFrame, edges: DataFrame, k: int = K.EXPAND_MAX_NODES) -
     return kept, kept_edges.select(*edges.columns)
 
 
+def capped_view(x: "Expansion", n: int = K.CLIENT_MAX_NODES) -> DataFrame:
+    """K2: the first ``n`` nodes of a drill-down in its own order, each with "n of m":
+    ``shown_nodes`` of ``total_nodes``, and whether the view is ``capped``."""
+    kept, _ = top_nodes(x.graph.nodes, x.graph.edges, n)
+    shown, total = kept.agg(F.count(F.lit(1))).scalar(), x.total_nodes.scalar()
+    return kept.withColumns({"shown_nodes": shown, "total_nodes": total, "capped": shown < total})
+
+
 def expand(events: DataFrame, super_id: str, k: int = K.EXPAND_MAX_NODES) -> Expansion:
     """Rebuild the graph on the cluster's events and cap it at ``k`` nodes."""
     pred = cluster_predicate(super_id)

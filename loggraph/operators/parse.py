@@ -293,18 +293,18 @@ def parse_routed(lines: DataFrame, formats: DataFrame) -> DataFrame:
 
 
 def line_event_counts(lines: DataFrame, families: list[str] | None = None, formats: DataFrame | None = None,
-                      layouts: DataFrame | None = None) -> DataFrame:
+                      layouts: DataFrame | None = None, by_file: bool = False) -> DataFrame:
     """S3 + S10 + A21 in **one pass**: total lines (blank ones included) and the
     valid SSH / HTTP events they yield, counted from the candidate arrays before
-    they are exploded, so the raw text is read once."""
+    they are exploded, so the raw text is read once; one row, or one per file."""
     df, cands = _routed_plan(lines, formats) if formats is not None else _mixed_plan(lines, families, layouts)
 
     def valid(x, proto):
         return (x["source_ip"].isNotNull() & ~(x["family"].startswith("zeek") & (x["source_ip"] == "-"))
                 & (x["protocol"] == proto))
 
-    c = df.select(cands.alias("c"))
-    return c.agg(
+    c = df.select("file", cands.alias("c"))
+    return (c.groupBy("file") if by_file else c).agg(
         F.count(F.lit(1)).alias("total_lines"),
         F.coalesce(F.sum(F.size(F.filter("c", lambda x: valid(x, "SSH")))), F.lit(0)).cast("bigint")
         .alias("valid_ssh_events"),

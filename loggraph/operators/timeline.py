@@ -1,11 +1,9 @@
 """Time-based operators.
 
-Timestamps are parsed once into ``event_ts`` (X3). The web-to-SSH correlation
-(X1) is an as-of lookup ("latest HTTP event of the same source at or before this
-SSH event, within the window") done with a window over ``(source, time bin)``:
-HTTP rows are copied into their own bin and the next one, so every candidate
-within the window is in the SSH row's partition, and no source, however hot, is
-ever one partition: its rows are split by time bin. No pairs are emitted.
+Timestamps are parsed once into ``event_ts`` (X3). The web-to-SSH correlation (X1) is an
+as-of lookup ("latest HTTP event of the same source at or before this SSH event, within
+the window") done as a carry-forward scan over range slices, so no source, however hot
+and however dense in time, is one partition, and no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -16,30 +14,38 @@ from pyspark.sql import functions as F
 from loggraph.functions.uri import is_static_asset, uri_prefix
 from loggraph.operators.expand import cluster_predicate
 from loggraph.operators.parse import with_event_time
+from loggraph.session import materialize
 
 
 def web_to_ssh(events: DataFrame, log_year: int, window_s: int = 300) -> DataFrame:
     """SSH events preceded by an HTTP event of the same source within ``window_s``.
 
     One row per matching SSH event: ``src_ip, dest_host, ssh_time, http_time,
-    delta_s`` where ``http_time`` is the latest HTTP event at or before it."""
+    delta_s`` where ``http_time`` is the latest HTTP event at or before it.
+
+    A carry-forward scan: all rows are range-partitioned by (source, time), so a source of
+    any size spreads over as many slices as its rows fill; inside a slice a window carries
+    the latest HTTP time on; the last HTTP time that a source leaves to its later slices
+    comes from a table of slices (a row per source and slice, of which only sources with
+    several slices are kept)."""
     ev = with_event_time(events, log_year).where(F.col("event_ts").isNotNull())
-    secs = F.unix_seconds(F.col("event_ts"))
-    # Only the time of an HTTP event matters: with second resolution a source has at most
-    # one row a second, so a (source, bin) group is bounded however hot the source.
-    http = ev.where(F.col("protocol") == "HTTP").select("source_ip", "event_ts").distinct()
-    http = http.select(
-        F.col("source_ip").alias("src_ip"), F.col("event_ts").alias("t"), F.lit(0).alias("kind"),
-        F.lit(None).cast("string").alias("dest_host"), F.lit(None).cast("bigint").alias("line_no"),
-        F.explode(F.array(F.floor(secs / window_s), F.floor(secs / window_s) + 1)).alias("bin"))
+    # only the time of an HTTP event matters: one row per source and time
+    http = (ev.where(F.col("protocol") == "HTTP").select(F.col("source_ip").alias("src_ip"), F.col("event_ts").alias("t")).distinct()
+            .select("src_ip", "t", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("dest_host"), F.lit(None).cast("bigint").alias("line_no")))
     ssh = ev.where(F.col("protocol") == "SSH").select(
-        F.col("source_ip").alias("src_ip"), F.col("event_ts").alias("t"), F.lit(1).alias("kind"),
-        F.col("target").alias("dest_host"), "line_no", F.floor(secs / window_s).alias("bin"))
-    w = (Window.partitionBy("src_ip", "bin").orderBy("t", "kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = http.unionByName(ssh).withColumn(
-        "http_time", F.last(F.when(F.col("kind") == 0, F.col("t")), ignorenulls=True).over(w))
-    hit = both.where((F.col("kind") == 1) & F.col("http_time").isNotNull())
+        F.col("source_ip").alias("src_ip"), F.col("event_ts").alias("t"), F.lit(1).alias("kind"), F.col("target").alias("dest_host"), "line_no")
+    order = ["src_ip", "t", "kind", "dest_host", "line_no"]
+    # written once: the bounds of the slices come from a sample
+    rows = materialize(http.unionByName(ssh).repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "web_ssh_slices")
+    http_t = F.when(F.col("kind") == 0, F.col("t"))
+    ends = rows.groupBy("src_ip", "slice").agg(F.max(http_t).alias("last_http"))
+    earlier = Window.partitionBy("src_ip").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one source a slice goes on from an earlier one
+    carried = ends.select("src_ip", "slice", F.max("last_http").over(earlier).alias("carried")).where("carried IS NOT NULL")
+    inside = Window.partitionBy("slice", "src_ip").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = (rows.withColumn("http_time", F.last(http_t, ignorenulls=True).over(inside)).where("kind = 1")
+           .join(F.broadcast(carried), ["src_ip", "slice"], "left")
+           .withColumn("http_time", F.coalesce("http_time", "carried")).where("http_time IS NOT NULL"))
     delta = F.unix_seconds(F.col("t")) - F.unix_seconds(F.col("http_time"))
     return (hit.withColumn("delta_s", delta).where(F.col("delta_s") <= window_s)
             .select("src_ip", "dest_host", F.col("t").alias("ssh_time"), "http_time", "delta_s"))

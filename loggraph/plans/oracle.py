@@ -578,6 +578,14 @@ select file, line_no, sha256(file || chr(1) || raw_line) as event_id from lines"
    order by file, line_no limit 50"""),
 })
 
+def _totals(batches: int) -> str:
+    """The graph's totals over the events of the first batches, one graph per batch."""
+    return "\nunion all\n".join(
+        "select * from (" + with_graph("mixed", None, where=f"line_no % {batches} <= {b}") + f"""select cast({b} as bigint) as batch_id,
+   anomalous_edges_count, high_risk_nodes_count, anomalous_edges_count as detected_lateral_chains, total_nodes, total_edges
+   from gsummary)""" for b in range(batches))
+
+
 ORACLE.update({
     "s9_session_scan": _mixed("""select cast(count(*) filter (where protocol = 'SSH') as bigint) as valid_ssh_events,
    cast(count(*) filter (where protocol = 'HTTP') as bigint) as valid_http_events from ev"""),
@@ -588,10 +596,19 @@ ORACLE.update({
     + "select family, protocol, count(*) as n from ev group by family, protocol",
     "t2_stream_overview": ORACLE["c4_super_nodes"],
     "t2_stream_expand": ORACLE["e4_expand_internal"],
-    "k5_running_totals": "\nunion all\n".join(
-        "select * from (" + with_graph("mixed", None, where=f"line_no % 4 <= {b}") + f"""select cast({b} as bigint) as batch_id,
-   anomalous_edges_count, high_risk_nodes_count, anomalous_edges_count as detected_lateral_chains, total_nodes, total_edges
-   from gsummary)""" for b in range(4)),
+    "k5_running_totals": _totals(4),
+    "k5_totals_of_fifty": _totals(50),
+    "t4_state_summary": ORACLE["a17_summary"],
+    "t4_edge_state": _mixed("""select 'SSH' as protocol, src_ip, dest_host as k2, '' as k3, total_attempts, successful_auths, failed_auths,
+   n_users, has_priv_user, cast(null as bigint) as status_code, cast(0 as bigint) as count_4xx, cast(0 as bigint) as count_5xx,
+   first_timestamp, last_timestamp from ssh_g
+   union all select 'HTTP', src_ip, uri_prefix, verb, total_attempts, 0, 0, 0, false, status_code, count_4xx, count_5xx,
+   first_timestamp, last_timestamp from http_cnt"""),
+    "t5_chunks": _mixed("""select cast(b as bigint) as chunk_index, lines, cast(so_far as bigint) as processed_lines,
+   cast(case when done >= total then so_far else ceil(total * so_far / done) end as bigint) as total_lines,
+   round(cast(done as double) / total * 100, 1) as progress
+   from (select *, sum(lines) over (order by b) as so_far, sum(bytes) over (order by b) as done, sum(bytes) over () as total
+     from (select line_no % 4 as b, count(*) as lines, sum(strlen(raw_line) + 1) as bytes from lines group by 1))"""),
     "t2_stream_summary": ORACLE["a17_summary"],
 })
 
@@ -644,3 +661,52 @@ ORACLE.update({
    cast(count(*) filter (where protocol = 'HTTP') as bigint) as http_events
    from detected d full join ev e on e.file = d.file group by 1, 2""",
 })
+
+
+def _prefixes(bound: int, final: str) -> str:
+    """The overview CTEs with the smallest /24 clusters merged into their /16, as few as the bound needs."""
+    low = lambda c: (f"case when starts_with({c}, 'super:subnet:') and {c} not in (select c from sub, cut where rk <= r) "
+                     f"then (select up from sub where sub.c = {c}) else {c} end as {c}")
+    text = OVERVIEW.replace("cf as (", "cf24 as (", 1).replace("src_m as (", f"""s24 as (select distinct src_cluster as c, source_ip as m from cf24),
+n24 as (select c, count(*) as n from (select * from s24 union all select distinct tgt_cluster, target from cf24
+   where protocol = 'SSH' and tgt_cluster not in (select c from s24)) group by c),
+sub as (select c, 'super:subnet16:' || regexp_extract(c, '^super:subnet:([^./]+\\.[^./]+)\\.', 1) || '.0.0/16' as up,
+   row_number() over (order by n desc, c) as rk from n24 where starts_with(c, 'super:subnet:')),
+cut as (select max(r) as r from (select r, r + (select count(distinct up) from sub where rk > r) as nodes from range(0, {bound + 1}) t(r))
+   where nodes <= {bound} - (select count(*) from n24 where not starts_with(c, 'super:subnet:'))
+     - (select cast(count(*) > 0 as integer) from cf24 where protocol = 'HTTP') and r <= (select count(*) from sub)),
+cf as (select {low('src_cluster')}, {low('tgt_cluster')}, protocol, source_ip, target from cf24),
+src_m as (""", 1)
+    return _mixed(final, text)
+
+
+def _heads(head_bytes: int) -> str:
+    """Format scores from the first bytes of each written file (ASCII lines and a line feed each)."""
+    return (f"with rendered as ({render_sql('files', 'duckdb')})," + f"""
+written as (select raw_line, file || '-' || cast(((line_no % 4) + 4) % 4 as varchar) as file, line_no, true as is_head from rendered),
+placed as (select *, sum(strlen(raw_line) + 1) over (partition by file order by line_no) - strlen(raw_line) - 1 as starts from written),
+lines as (select left(raw_line, cast({head_bytes} - starts as bigint)) as raw_line, file, line_no, is_head from placed
+   where starts < {head_bytes} and regexp_matches(left(raw_line, cast({head_bytes} - starts as bigint)), '\\S')),""" + DETECT
+            + " select file, n_sample, ssh_score, http_score, zeek_score, format_key, score from detected")
+
+
+ORACLE.update({
+    "x11_prefix_nodes": _prefixes(8, "select id, child_count from snodes"),
+    "x11_prefix_edges": _prefixes(8, "select * from sedges"),
+    "d5_upload_heads": _heads(16 << 10), "d5_stream_heads": _heads(64 << 10), "d5_short_heads": _heads(700),
+    "k2_capped_view": _expand_sql(K.SUPER_EXTERNAL_THREATS, f"""select {NODE_OUT}, cast((select count(*) from kept) as bigint) as shown_nodes,
+   cast((select count(*) from nrows) as bigint) as total_nodes,
+   cast((select count(*) from kept) < (select count(*) from nrows) as bigint) as capped from kept""", 5),
+    "a21_session_record": _mixed("""select 'sess_a' as session_id, l.file as log_filename, l.n as total_lines_parsed,
+   coalesce(e.ssh, 0) as valid_ssh_events, coalesce(e.http, 0) as valid_http_events
+   from (select file, count(*) as n from lines group by file) l left join (select file, count(*) filter (where protocol = 'SSH') as ssh,
+     count(*) filter (where protocol = 'HTTP') as http from ev group by file) e on e.file = l.file"""),
+    "s5_numbered_chunks": f"with rendered as ({render_sql('mixed', 'duckdb')})," + f"""
+lines as (select raw_line, file || '-' || cast(line_no % 4 as varchar) as file, line_no as n from rendered),
+numbered as (select raw_line, file, row_number() over (partition by file order by n) - 1 as line_no, count(*) over (partition by file) as total
+   from lines)
+select file, cast(line_no as bigint) as line_no, raw_line, cast(line_no // {CHUNK_LINES} as bigint) as chunk_index,
+   cast(ceil(total / {CHUNK_LINES}) as bigint) as total_chunks, cast(total as bigint) as total_lines from numbered""",
+    "s8_ranged_host": _mixed("""select timestamp, source_ip, protocol, action, target, "user", auth_method, dest_host,
+   cast(status_code as bigint) as status_code, cast(bytes_sent as bigint) as bytes_sent, line_no from ev where source_ip = '10.0.9.9'"""),
+})

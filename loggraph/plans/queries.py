@@ -24,6 +24,7 @@ from loggraph.operators.parse import (
     http_events, parse_lines, parse_routed, ssh_events, unified_view,
 )
 from loggraph.plans.pipeline import session_meta
+from loggraph.session import materialize
 from loggraph.sources.render import render_lines, write_log_files
 
 #: The rendered syslog lines carry no year; the given tables are of this one.
@@ -423,6 +424,18 @@ def k2(spark, sf):
     return report(top_nodes(g.nodes, g.edges, K.CLIENT_MAX_NODES)[0])
 
 
+@query("k2_capped_view")
+def k2_capped(spark, sf):
+    """The client's view of the external drill-down, with "n of m" beside each node; at a
+    cap that cuts."""
+    from loggraph.operators.expand import capped_view, expand
+    return report(capped_view(expand(events_of(spark, sf), K.SUPER_EXTERNAL_THREATS), CAP_THAT_CUTS).withColumn(
+        "capped", F.col("capped").cast("int")))
+
+
+CAP_THAT_CUTS = 5
+
+
 # ---------------------------------------------------------------------------
 # analyst-side operators
 # ---------------------------------------------------------------------------
@@ -608,6 +621,63 @@ def s9(spark, sf):
     return report(protocol_counts(load_session(spark, root, "sess_a")))
 
 
+@query("a21_session_record")
+def a21(spark, sf):
+    """The session's record, one row per log file."""
+    from loggraph.plans.pipeline import session_record
+    return report(session_record(lines_of(spark, sf), "sess_a"))
+
+
+@query("s5_numbered_chunks")
+def s5(spark, sf):
+    """Every line of the written logs with its real number, its chunk and the totals of
+    its file."""
+    from loggraph.sources.lines import number_lines
+    path = f"{_scratch(spark, 'logs')}/files"
+    write_log_files(lines_of(spark, sf), path)
+    lines = number_lines(spark, path, chunk_lines=CHUNK_LINES)
+    name = F.regexp_extract("file", "/key=([^/]+)/", 1)
+    return report(lines.select(name.alias("file"), "line_no", "raw_line", "chunk_index", "total_chunks", "total_lines"))
+
+
+def _head_formats(spark, sf, head_bytes):
+    from loggraph.operators.detect import sample_heads
+    from loggraph.sources.lines import read_heads
+    path = f"{_scratch(spark, 'logs')}/files"
+    write_log_files(lines_of(spark, sf, "files"), path)
+    heads = read_heads(spark, path, head_bytes).withColumn("file", F.regexp_extract("file", "/key=([^/]+)/", 1))
+    return report(detect_formats(sample_heads(heads), write=False).drop("zeek_fields", "zeek_verb"))
+
+
+@query("d5_upload_heads")
+def d5_upload(spark, sf):
+    """Formats from the first 16 KiB of each file."""
+    from loggraph.operators.detect import SNIFF_BYTES
+    return _head_formats(spark, sf, SNIFF_BYTES)
+
+
+@query("d5_stream_heads")
+def d5_stream(spark, sf):
+    """Formats from the first 64 KiB of each file."""
+    from loggraph.operators.detect import STREAM_SNIFF_BYTES
+    return _head_formats(spark, sf, STREAM_SNIFF_BYTES)
+
+
+@query("d5_short_heads")
+def d5_short(spark, sf):
+    """Formats from heads so short that they cut lines and samples."""
+    return _head_formats(spark, sf, 700)
+
+
+@query("s8_ranged_host")
+def s8_ranged(spark, sf):
+    """Events of one host from a session dealt out by address range."""
+    from loggraph.sources.store import load_session, store_session
+    root = _scratch(spark, "sessions")
+    store_session(events_of(spark, sf), root, "sess_r", ranged=True)
+    return report(load_session(spark, root, "sess_r").where(F.col("source_ip") == "10.0.9.9").drop("family", "file"))
+
+
 @query("s9_restored_session")
 def s9_restored(spark, sf):
     """Storing a session again replaces it whole; ids are text; an unknown id is empty."""
@@ -620,19 +690,20 @@ def s9_restored(spark, sf):
     return report(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-STREAM_FILES = 4
+STREAM_PARTS = 4
 
 
 def _stream(spark, sf, kind="mixed"):
-    """Render the logs into four text files (line_no modulo four, written one after
-    another, so the micro-batches follow that order), then stream the folder."""
+    """Render the logs into four folders of text files (line_no modulo four, written one
+    after another, each by as many tasks as the cluster has slots), then stream them, one
+    folder's files a micro-batch."""
     from loggraph.streaming.ingest import StreamIngest
-    base = _scratch(spark, "stream")
+    base, files = _scratch(spark, "stream"), spark.sparkContext.defaultParallelism
     lines = lines_of(spark, sf, kind)
-    for part in range(STREAM_FILES):
-        (lines.where(F.pmod("line_no", F.lit(STREAM_FILES)) == part).select("raw_line").coalesce(1)
+    for part in range(STREAM_PARTS):
+        (lines.where(F.pmod("line_no", F.lit(STREAM_PARTS)) == part).select("raw_line").repartition(files)
          .write.text(f"{base}/logs/part={part}"))
-    return StreamIngest(spark, f"{base}/state").run(f"{base}/logs", max_files_per_trigger=1)
+    return StreamIngest(spark, f"{base}/state").run(f"{base}/logs", max_files_per_trigger=files)
 
 
 @query("t2_stream_summary")
@@ -667,6 +738,36 @@ def k5(spark, sf):
     return report(_stream(spark, sf).running_totals())
 
 
+K5_BATCHES = 50
+
+
+@query("k5_totals_of_fifty")
+def k5_fifty(spark, sf):
+    """Totals after each of fifty batches of events, one job."""
+    from loggraph.streaming.totals import totals_by_batch
+    ev = events_of(spark, sf).withColumn("b", F.pmod("line_no", F.lit(K5_BATCHES)))
+    return report(totals_by_batch(materialize(E.edge_facts(ev, "b"), "batch_facts"), spark.range(K5_BATCHES).select(F.col("id").alias("b"))))
+
+
+@query("t4_edge_state")
+def t4(spark, sf):
+    """Edges as keyed streaming state, read from the state store after four triggers."""
+    files = spark.sparkContext.defaultParallelism
+    return report(_stream(spark, sf).update_edges(files_per_trigger=files).edge_counts())
+
+
+@query("t4_state_summary")
+def t4_summary(spark, sf):
+    """The graph of the keyed state; no stored batch is read."""
+    return report(_stream(spark, sf).update_edges().state_graph().summary)
+
+
+@query("t5_chunks")
+def t5(spark, sf):
+    """Chunk index, lines, estimated total and percent of the listed bytes per micro-batch."""
+    return report(_stream(spark, sf).chunks())
+
+
 @query("x11_bounded_overview")
 def x11(spark, sf):
     """Overview capped at 50 super-nodes: /24 subnets, else /16, else one internal node."""
@@ -675,6 +776,22 @@ def x11(spark, sf):
     return report(ov.super_nodes.select("id", "child_count", F.lit(level).alias("cluster_level")))
 
 
+X11_BOUND = 8
+
+
+@query("x11_prefix_nodes")
+def x11_prefix(spark, sf):
+    """At most eight super-nodes: the largest /24 stay, the smallest branches merge."""
+    from loggraph.operators.classes import prefix_overview
+    return report(prefix_overview(events_of(spark, sf), X11_BOUND).super_nodes.select("id", "child_count"))
+
+
+@query("x11_prefix_edges")
+def x11_prefix_edges(spark, sf):
+    from loggraph.operators.classes import prefix_overview
+    return report(prefix_overview(events_of(spark, sf), X11_BOUND).super_edges)
+
+
 @query("x11_coarse_edges")
 def x11_coarse(spark, sf):
     """Super-edges of the two coarser levels, each forced by its bound."""

@@ -19,6 +19,10 @@ SESSION_SCHEMA = T.StructType([T.StructField(n, t) for n, t in EVENT_FIELDS[1:]]
     T.StructField("family", T.StringType()), T.StructField("file", T.StringType()), T.StructField("line_no", T.LongType())])
 
 
+#: Rows of a page (the smallest part that a scan leaves out), distinct values a Bloom filter expects.
+PAGE_ROWS, BLOOM_VALUES = 2_000, 50_000
+
+
 def session_path(root: str, session_id: str) -> str:
     """The session's own folder; any text is an id, "7" and "007" are two."""
     return f"{root.rstrip('/')}/session={quote(session_id, safe='')}"
@@ -29,10 +33,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
-def store_session(events: DataFrame, root: str, session_id: str) -> str:
-    """Write one session's unified events as Snappy Parquet; returns the root."""
-    (events.select(*SESSION_SCHEMA.names).write.mode("overwrite").partitionBy("protocol")
-     .option("compression", "snappy").parquet(session_path(root, session_id)))
+def store_session(events: DataFrame, root: str, session_id: str, ranged: bool = False) -> str:
+    """Write one session's unified events as Snappy Parquet; returns the root.
+
+    Each file is sorted by source address and carries Bloom filters of addresses and
+    targets, so a drill-down by address (E2, X13) reads the pages and row groups that can
+    hold it. The sort is inside each task; ``ranged=True`` also deals the rows out by
+    range of the address (one shuffle), so that most files are left out as a whole."""
+    rows = events.select(*SESSION_SCHEMA.names)
+    if ranged:
+        rows = rows.repartitionByRange("protocol", "source_ip", "target", "line_no")
+    writer = (rows.sortWithinPartitions("protocol", "source_ip").write.mode("overwrite").partitionBy("protocol")
+              .option("compression", "snappy").option("parquet.page.row.count.limit", PAGE_ROWS))
+    for column in ("source_ip", "target"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", BLOOM_VALUES)
+    writer.parquet(session_path(root, session_id))
     return root
 
 

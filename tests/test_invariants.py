@@ -130,3 +130,38 @@ def test_a_graph_and_its_kin_delete_their_tables(spark):
     with expand(ev, "super:internal_baseline") as x, build_overview(ev) as ov:
         assert x.nodes.count() > 0 and ov.super_nodes.count() > 0
     assert paths() == before and nodes > 0
+
+
+def test_a_hot_source_spreads_in_the_web_to_ssh_scan(spark):
+    """One source with most rows, many in one second, in even slices."""
+    from pyspark.sql import functions as F
+
+    from loggraph import session
+    from loggraph.operators.timeline import web_to_ssh
+    http = spark.range(3000).select(F.lit("HTTP").alias("protocol"), F.when(F.col("id") % 10 == 0, F.format_string("10.0.0.%d", F.col("id") % 50))
+                                    .otherwise("6.6.6.6").alias("source_ip"), (F.col("id") % 700).alias("s"), F.lit("/a").alias("target"), "id")
+    ssh = spark.range(6000).select(F.lit("SSH").alias("protocol"), F.when(F.col("id") % 10 == 0, F.format_string("10.0.0.%d", F.col("id") % 50))
+                                   .otherwise("6.6.6.6").alias("source_ip"), F.when(F.col("id") % 2 == 0, 650).otherwise(F.col("id") % 1500).alias("s"),
+                                   F.format_string("h%d", F.col("id") % 9).alias("target"), "id")
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")), "dd/MMM/yyyy:HH:mm:ss +0000")
+    ev = http.unionByName(ssh).select("protocol", "source_ip", "target", at.alias("timestamp"), F.col("id").alias("line_no"))
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"   # a few kilobytes would be one slice
+    old = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        got = web_to_ssh(ev, 2024).select("src_ip", "dest_host", F.unix_seconds("ssh_time"), F.unix_seconds("http_time"), "delta_s").collect()
+    finally:
+        spark.conf.set(merging, old)
+    times = {}
+    for r in http.collect():
+        times.setdefault(r.source_ip, set()).add(1_700_000_000 + r.s)
+    want = []
+    for r in ssh.collect():
+        t = 1_700_000_000 + r.s
+        before = [x for x in times.get(r.source_ip, ()) if x <= t]
+        if before and t - max(before) <= 300:
+            want.append((r.source_ip, r.target, t, max(before), t - max(before)))
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3000
+    path = [p for p in session._TABLES[spark.sparkContext.applicationId] if "web_ssh_slices" in p][-1]
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("slice").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 3 * sum(sizes) / len(sizes)

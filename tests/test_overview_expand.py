@@ -64,3 +64,45 @@ def test_bounded_overview_coarsens(spark):
     assert small.super_nodes.count() <= n_full - 1
     # members are never lost by coarsening
     assert small.members.select("node_id").distinct().count() == full.members.select("node_id").distinct().count()
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "protocol string, source_ip string, target string")
+
+
+def test_prefix_overview_keeps_the_largest_subnets(spark):
+    from loggraph.operators.classes import largest_that_fit, prefix_overview
+    rows = []
+    for a, b, n in [(0, 1, 9), (0, 2, 7), (0, 3, 1), (1, 1, 8), (1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 1, 2)]:
+        rows += [("SSH", f"10.{a}.{b}.{h}", "10.0.1.1") for h in range(n)]
+    rows += [("HTTP", "8.8.8.8", "/a"), ("SSH", "192.168.5.1", "10.0.1.1")]
+    ev = _events(spark, rows)
+
+    def ids(bound):
+        ov = prefix_overview(ev, bound)
+        edges = {i for r in ov.super_edges.select("source", "target").collect() for i in r}
+        found = {r.id: r.child_count for r in ov.super_nodes.collect()}
+        assert len(found) <= bound and edges <= set(found)
+        return found
+
+    all_24 = ids(50)
+    assert len(all_24) == 11 and sum(n for i, n in all_24.items() if "subnet" in i) == 31
+    ten = ids(10)   # one pair of /24 in a /16 merges
+    assert ten["super:subnet:10.0.1.0/24"] == 9 and len(ten) == 10
+    for bound in (8, 6, 5, 4, 3):
+        few = ids(bound)
+        assert sum(n for i, n in few.items() if "subnet" in i or i == "super:internal") == 31
+        assert bound < 5 or few["super:subnet:10.0.1.0/24"] == 9   # the largest stays as long as there is room
+    assert ids(3).keys() == {"super:external_threats", "super:web_urls", "super:internal"}
+    assert largest_that_fit([("a", "p"), ("b", "p"), ("c", "q")], {"p": 2, "q": 2}, 3, 4) == 2
+    assert largest_that_fit([("a", "p")], {"p": 1}, 9, 4) == -1
+
+
+def test_cluster_facts_hold_no_pairs(spark):
+    """A hundred sources times a hundred targets make two hundred rows."""
+    from loggraph.operators.clusters import build_overview, cluster_facts
+    rows = [("HTTP", f"10.0.0.{s}", f"/p{t}") for s in range(100) for t in range(100)]
+    ev = _events(spark, rows)
+    assert cluster_facts(ev).count() == 200
+    e = build_overview(ev).super_edges.first()
+    assert (e.total_attempts, e.src_unique_ips, e.tgt_unique_entities) == (10_000, 100, 100)
