@@ -139,3 +139,46 @@ def test_given_tables(spark):
     toxic = score_toxicity(docs, train_toxicity(docs, labels)).join(labels, "doc_id").where(held_out())
     assert quality.agg(F.avg(((F.col("score") >= 0.3).cast("int") == F.col("quality")).cast("double"))).first()[0] > 0.98
     assert toxic.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("toxic")).cast("double"))).first()[0] > 0.98
+
+
+def test_toxic_words_far_beyond_a_few_hundred_are_all_caught(spark):
+    """Four made-up languages, 80 toxic words each, five of them in a toxic document:
+    recall and clean documents apart, and every language has a category of its own."""
+    r = random.Random(11)
+    letters = {"k": "bdkmra", "l": "elnoprs", "m": "fgimtu", "n": "chjvwyz"}
+    word = lambda a: "".join(r.choices(letters[a], k=r.randint(6, 9)))
+    clean = {a: [word(a) for _ in range(3000)] for a in letters}
+    bad = {a: [word(a) + "x" for _ in range(80)] for a in letters}
+    docs, labels = [], []
+    for i in range(4000):
+        a = r.choice(list(letters))
+        toxic = int(r.random() < 0.3)
+        text = r.choices(clean[a], k=60) + (r.sample(bad[a], 5) if toxic else [])
+        r.shuffle(text)
+        docs.append((i, " ".join(text)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = (score_toxicity(docs, train_toxicity(docs, labels)).withColumnRenamed("doc_id", "i")
+            .join(labels, F.col("i") == F.col("doc_id")).where(held_out()).collect())
+    bad_rows, good_rows = [x for x in rows if x.toxic], [x for x in rows if not x.toxic]
+    assert len(bad_rows) > 150
+    assert sum(x.score >= 0.5 for x in bad_rows) >= 0.95 * len(bad_rows)
+    assert sum(x.score < 0.5 for x in good_rows) >= 0.98 * len(good_rows)
+
+
+def test_recall_on_held_out_toxic_rows(spark):
+    """Of the given tables' held-out toxic rows that hold any word seen in toxic training
+    rows alone; the others carry the label without a sign of it."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\\p{L}]{3,}"), 0))
+    known = docs.join(labels, "doc_id").select("doc_id", "toxic", held_out().alias("held"), F.explode(words).alias("w"))
+    signs = (known.where("NOT held").groupBy("w").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+             .where("n1 >= 4 AND n0 = 0").select("w"))
+    signed = known.where("held AND toxic = 1").join(F.broadcast(signs), "w").select("doc_id").distinct()
+    out = score_toxicity(docs, train_toxicity(docs, labels))
+    caught = out.join(signed, "doc_id").select((F.col("score") >= 0.5).cast("int").alias("c")).agg(F.sum("c"), F.count("c")).first()
+    assert caught[1] > 70 and caught[0] >= 0.95 * caught[1]
+    clean = out.join(labels.where("toxic = 0"), "doc_id").where(held_out()).agg(F.avg((F.col("score") < 0.5).cast("double"))).first()[0]
+    assert clean >= 0.99
