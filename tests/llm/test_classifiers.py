@@ -172,7 +172,7 @@ def test_recall_on_held_out_toxic_rows(spark):
     rows alone; the others carry the label without a sign of it."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\\p{L}]{3,}"), 0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), 0))
     known = docs.join(labels, "doc_id").select("doc_id", "toxic", held_out().alias("held"), F.explode(words).alias("w"))
     signs = (known.where("NOT held").groupBy("w").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
              .where("n1 >= 4 AND n0 = 0").select("w"))
