@@ -460,8 +460,7 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the columns of the contract; ngram_join also counts the links
-    return ngram_join(read_table(spark, sf_dir, "documents"), words=4, percent=85).drop("n_links")
+    return ngram_join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 OP2_SQL = r"""
@@ -478,7 +477,8 @@ o AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS i
       FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
 l AS (SELECT x, y FROM o WHERE 100 * i >= 85 * (nx + ny - i)),
 u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r(doc_id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.reach = u.x)
-SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r.reach) AS component_id
-FROM s JOIN r USING (doc_id) GROUP BY 1, 2
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.reach = u.x),
+k AS (SELECT x AS doc_id, count(*) AS n FROM u GROUP BY x)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r.reach) AS component_id, coalesce(any_value(k.n), 0)::BIGINT AS n_links
+FROM s JOIN r USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY 1, 2
 """

@@ -1,6 +1,8 @@
 """Operator 10: sharding by vector bin packing.
 
-Groups of equal text have a vector (rows, bytes, tokens). The packed items are
+Groups of equal text have a vector (rows, bytes, tokens); a token is here a piece of text
+between blanks, no id of a tokenizer, so a text without blanks counts one and is balanced
+by its bytes and row alone. The packed items are mostly not single groups:
 
 * chunks of heavy groups: a group above ``1 / (n_shards * HEAVY)`` of a total is cut
   into chunks of about that size, so a group of a third of all rows still spreads;

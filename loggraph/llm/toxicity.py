@@ -16,8 +16,8 @@ and the links are fitted by accelerated gradient steps. Learning uses at most
 ids). Whole texts of all documents are scored, each document by all of its words.
 
 Defined cases: null or empty text has no marks; with fewer than 16 labelled documents
-of a class every probability is the share of toxic labels and no document counts as
-toxic unless that share reaches the threshold; missing categories score 0; an empty
+of a class every probability is the share of toxic labels (0 without labels) and no
+document counts as toxic unless that share reaches the threshold; missing categories score 0; an empty
 table gives an empty result; label, lang, source and doc_id are no inputs.
 """
 
@@ -194,7 +194,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Fit on labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out())
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+    share = counts.get(1, 0) / (sum(counts.values()) + 1)
     sample = labelled_sample(docs, labels, "toxic", per_class, id_col, text_col)
 
     def spread(batches):
