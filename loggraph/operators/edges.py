@@ -6,7 +6,7 @@ map-side partial aggregate, so a hot key (one source holding a third of all
 lines) is pre-combined in every map task before the shuffle.
 
 Scoring is split from counting: :func:`ssh_edge_counts` / :func:`http_edge_counts`
-produce mergeable partial state (counts, min/max text time, user set, per-status
+produce mergeable partial state (counts, min/max text time, per-user and per-status
 counts); :func:`score_ssh_edges` / :func:`score_http_edges` derive flags and
 risk from that state. Streaming and incremental merges (A15, A16) re-aggregate
 the state and score again, so bursts that cross batches are still seen.
@@ -100,12 +100,10 @@ def edge_counts(events: DataFrame) -> DataFrame:
 def split_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Combined edge state -> (SSH counts as A1, HTTP counts as A10).
 
-    SSH rows carry ``n_users`` / ``has_priv_user`` (batch state) or
-    ``distinct_users`` (merged state), whichever the state has."""
-    user_cols = [c for c in ("distinct_users", "n_users", "has_priv_user") if c in counts.columns]
+    SSH rows carry the number of users and whether a privileged one is among them."""
     ssh = counts.where(F.col("protocol") == "SSH").select(
         "src_ip", F.col("k2").alias("dest_host"), "total_attempts", "successful_auths", "failed_auths",
-        *user_cols, "first_timestamp", "last_timestamp")
+        "n_users", "has_priv_user", "first_timestamp", "last_timestamp")
     http = counts.where(F.col("protocol") == "HTTP").select(
         "src_ip", F.col("k2").alias("uri_prefix"), F.col("k3").alias("verb"), "total_attempts",
         "status_code", "count_4xx", "count_5xx", "first_timestamp", "last_timestamp")
@@ -116,30 +114,34 @@ def split_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 # SSH
 # ---------------------------------------------------------------------------
 
-def ssh_edge_counts(ssh: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
-    """A1: per (src_ip, dest_host) counts, distinct users, text min/max time.
-
-    ``extra_keys`` (e.g. a chunk or batch id) keeps separate partial states."""
-    return ssh.groupBy(*SSH_KEYS, *(extra_keys or [])).agg(
+def ssh_user_counts(ssh: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
+    """Mergeable SSH state: one row per (src_ip, dest_host, user), however many users an
+    edge has. ``extra_keys`` (e.g. a chunk or batch id) keep partial states apart."""
+    return ssh.groupBy(*SSH_KEYS, "user", *(extra_keys or [])).agg(
         F.count(F.lit(1)).alias("total_attempts"),
         F.count_if(F.col("auth_result") == "SUCCESS").alias("successful_auths"),
         F.count_if(F.col("auth_result") == "FAILURE").alias("failed_auths"),
-        F.array_sort(F.collect_set("user")).alias("distinct_users"),
         F.min("timestamp").alias("first_timestamp"),
         F.max("timestamp").alias("last_timestamp"),
     )
 
 
 def merge_ssh_counts(parts: DataFrame) -> DataFrame:
-    """Merge partial SSH edge state (sum counts, union user sets, min/max)."""
-    return parts.groupBy(*SSH_KEYS).agg(
-        F.sum("total_attempts").cast("bigint").alias("total_attempts"),
-        F.sum("successful_auths").cast("bigint").alias("successful_auths"),
-        F.sum("failed_auths").cast("bigint").alias("failed_auths"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("distinct_users")))).alias("distinct_users"),
-        F.min("first_timestamp").alias("first_timestamp"),
-        F.max("last_timestamp").alias("last_timestamp"),
-    )
+    """Partial SSH state (``ssh_user_counts``) merged into one row per edge: summed
+    counts, the number of distinct users, min/max time. No array of users is built: a
+    first level makes the rows of a user one, the second counts them."""
+    sums = ("total_attempts", "successful_auths", "failed_auths")
+    times = (F.min("first_timestamp").alias("first_timestamp"), F.max("last_timestamp").alias("last_timestamp"))
+    per_user = parts.groupBy(*SSH_KEYS, "user").agg(*[F.sum(c).cast("bigint").alias(c) for c in sums], *times)
+    return per_user.groupBy(*SSH_KEYS).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in sums], F.count("user").alias("n_users"),
+        F.coalesce(F.bool_or(F.col("user").isin(K.PRIVILEGED_USERS)), F.lit(False)).alias("has_priv_user"), *times)
+
+
+def ssh_edge_counts(ssh: DataFrame) -> DataFrame:
+    """A1: per (src_ip, dest_host) counts, number of users, text min/max time. The users
+    themselves are a long table (``graph.edge_users_from_facts``)."""
+    return merge_ssh_counts(ssh_user_counts(ssh))
 
 
 def is_baseline():
@@ -160,12 +162,7 @@ def score_ssh_edges(counts: DataFrame, drop_baseline: bool = True) -> DataFrame:
     tot, failed = F.col("total_attempts"), F.col("failed_auths")
     fail_ratio = failed / tot.cast("double")
     base = [c for c in counts.columns if c not in ("n_users", "has_priv_user")]
-    if "n_users" in counts.columns:
-        n_users, priv = F.col("n_users").cast("int"), F.col("has_priv_user")
-    else:
-        n_users = F.size("distinct_users")
-        priv = F.coalesce(F.arrays_overlap("distinct_users", F.array(*[F.lit(u) for u in K.PRIVILEGED_USERS])),
-                          F.lit(False))
+    n_users, priv = F.col("n_users").cast("int"), F.col("has_priv_user")
     brute = (tot > K.BRUTE_FORCE_MIN_ATTEMPTS) & (fail_ratio >= K.BRUTE_FORCE_FAIL_RATIO)
     multi = n_users >= K.MULTI_USER_PIVOT_THRESHOLD
     collapsed = (tot >= K.HIGH_FREQ_COLLAPSED_THRESHOLD) & (failed == 0) & (n_users == 1)

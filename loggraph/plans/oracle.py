@@ -279,7 +279,7 @@ EV_OUT = ("family, timestamp, source_ip, protocol, action, target, \"user\", aut
           "cast(line_no as bigint) as line_no")
 SSH_CNT_OUT = ("src_ip, dest_host, cast(total_attempts as bigint) as total_attempts, "
                "cast(successful_auths as bigint) as successful_auths, cast(failed_auths as bigint) as failed_auths, "
-               "array_to_string(users_list, ',') as distinct_users, first_timestamp, last_timestamp")
+               "first_timestamp, last_timestamp")
 SSH_SC_OUT = SSH_CNT_OUT + (", fail_ratio, n_users, is_brute_force, has_priv_user, is_multi_pivot, is_collapsed, "
                             "risk_score, is_anomalous")
 HTTP_CNT_OUT = ("src_ip, uri_prefix, verb, cast(total_attempts as bigint) as total_attempts, "
@@ -348,7 +348,7 @@ ORACLE: dict[str, str] = {
    from (select distinct target as uri from ev where protocol = 'HTTP')"""),
     "f3_private_ip": _all(f"select ip, {private('ip')} as is_private from addr", ADDR),
     "f4_subnet24": _all(f"select ip, {subnet24('ip')} as subnet from addr", ADDR),
-    "a1_ssh_edges": _mixed(f"select {SSH_CNT_OUT} from ssh_cnt"),
+    "a1_ssh_edges": _mixed(f"select {SSH_CNT_OUT}, n_users, has_priv_user from ssh_g"),
     "a9_ssh_scored": _mixed(f"select {SSH_SC_OUT} from ssh_sc"),
     "a10_http_edges": _mixed(f"select {HTTP_CNT_OUT} from http_cnt"),
     "a14_http_scored": _mixed(f"select {HTTP_SC_OUT} from http_sc"),

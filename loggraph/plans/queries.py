@@ -253,7 +253,7 @@ def a16(spark, sf):
     ssh = ev.where(F.col("protocol") == "SSH").select(
         F.col("source_ip").alias("src_ip"), F.col("target").alias("dest_host"),
         F.col("action").alias("auth_result"), "user", "timestamp", "chunk")
-    parts = E.ssh_edge_counts(ssh, extra_keys=["chunk"])
+    parts = E.ssh_user_counts(ssh, extra_keys=["chunk"])
     return report(E.score_ssh_edges(E.merge_ssh_counts(parts)))
 
 
