@@ -355,6 +355,8 @@ ORACLE: dict[str, str] = {
     "a15_merge_http": _mixed(f"select {HTTP_SC_OUT} from http_sc"),
     "a16_merge_ssh": _mixed(f"select {SSH_SC_OUT} from ssh_sc"),
     "g3_attack_chain": _mixed("select id, source, target, weight, anomaly_flags, is_anomalous from ssh_rows"),
+    "g13_edge_ends": _mixed("""select count(*) as ends, count(*) filter (where id not in (select id from nrows)) as dangling
+   from (select source as id from fedges union all select target from fedges)"""),
     "g4_node_risk": _mixed("select id, risk, touch, layer, is_signal, super_id from nmap"),
     "g7_signal_split": _mixed("select layer, is_signal, count(*) as n from nmap group by layer, is_signal"),
     "g8_external_collapse": _mixed(f"select {EDGE_PLAIN} from fedges where source = {EXT} or target = {EXT}"),

@@ -311,6 +311,16 @@ def g12(spark, sf):
     return report(graph_of(spark, sf).nodes)
 
 
+@query("g13_edge_ends")
+def g13(spark, sf):
+    """Edge ends, and those of them that are no node of the graph."""
+    g = graph_of(spark, sf)
+    ends = g.edges.select(F.explode(F.array("source", "target")).alias("id"))
+    there = g.nodes.select(F.col("id").alias("node"))
+    return report(ends.join(there, F.col("id") == F.col("node"), "left").agg(
+        F.count(F.lit(1)).alias("ends"), F.count_if(F.col("node").isNull()).alias("dangling")))
+
+
 @query("g14_edges")
 def g14(spark, sf):
     return report(G.merge_parallel_edges(graph_of(spark, sf).edges))
