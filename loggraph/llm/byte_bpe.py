@@ -57,7 +57,7 @@ def byte_letters() -> dict[int, str]:
 class ByteBpe:
     """``ids(text)``: the library's ids of a whole text as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, kept_words: int = 450_000):
+    def __init__(self, path: str, kept_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
