@@ -78,7 +78,7 @@ class Rows:
                     np.concatenate([self.values, more.ravel()]), self.n, self.width + more.shape[1])
 
 
-def fit_sparse(x: Rows, y: np.ndarray, ridge: float, steps: int = 300, start: np.ndarray | None = None) -> np.ndarray:
+def fit_sparse(x: Rows, y: np.ndarray, ridge: float, steps: int = 150, start: np.ndarray | None = None) -> np.ndarray:
     """Ridge logistic coefficients (a constant first) by accelerated gradient steps."""
     scale = np.bincount(x.at, x.values ** 2, x.width)
     scale = np.concatenate([[x.n], scale]) / 4 + ridge  # bounds the curvature of each column
@@ -99,7 +99,7 @@ def fit_sparse(x: Rows, y: np.ndarray, ridge: float, steps: int = 300, start: np
         new = ahead - step * gradient
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, c, t, last = new + (t - 1) / t_new * (new - c), new, t_new, loss
-        if np.abs(step * gradient).max() < 1e-4:
+        if np.abs(step * gradient).max() < 1e-3:
             break
     return c
 
@@ -162,7 +162,7 @@ def fit_chain(x: Rows, targets: list[np.ndarray], fold: np.ndarray, ridge: float
         for f in range(FOLDS):
             rest, mine = fold != f, fold == f
             if rest.any() and mine.any():
-                c = fit_sparse(x.pick(rest), y[rest], ridge, start=links[-1])
+                c = fit_sparse(x.pick(rest), y[rest], ridge, steps=40, start=links[-1])
                 out[mine] = sigmoid(c[0] + x.pick(mine).dot(c[1:]))
         x = x.beside(out[:, None])
     return links
