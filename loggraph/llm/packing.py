@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_bpe
+from .byte_bpe import KEPT_WORDS, byte_bpe
 from .common import blocks, materialize, read_table, text_or_empty
 
 PIECES = ("doc_id long, start long, length long, doc_tokens long, bucket int, task int, number long, ids binary")
@@ -45,9 +45,10 @@ def pieces_of(n: int, max_length: int) -> list[tuple[int, int]]:
 
 
 def pack(docs: DataFrame, tokenizer: str, max_length: int = 1024, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, bucket (log2 of the
-    length), sequence_id, offset, ids (little-endian uint32)."""
+    length), sequence_id, offset, ids (little-endian uint32). ``kept_words`` bounds the
+    memory of a task (see ``byte_bpe``)."""
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -55,7 +56,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 1024, id_col: str =
     names = [f.split(" ")[0] for f in PIECES.split(", ")]
 
     def cut(batches):
-        bpe, task, counts = byte_bpe(tokenizer), TaskContext.get().partitionId(), {}
+        bpe, task, counts = byte_bpe(tokenizer, kept_words), TaskContext.get().partitionId(), {}
         out, size = [[] for _ in names], 0
 
         def batch():
