@@ -43,7 +43,8 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Operator 6: the documents that are left, packed into sequences."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # a smaller cache than alone: the workers still hold memory of the stages before
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_words=200_000)
 
 
 STAGES = [
