@@ -15,7 +15,8 @@ BAD = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowE
 
 @pytest.mark.parametrize("name", ["g12_nodes", "g14_edges", "c3_super_edges", "x1_web_ssh_300s",
                                   "e2_expand_subnet", "d_format_scores", "p11_mixed_family_counts",
-                                  "x9_super_aggregates", "j7_neighbours"])
+                                  "x9_super_aggregates", "j7_neighbours", "a1_ssh_edges", "a16_merge_ssh", "p6_zeek_http",
+                                  "x11_prefix_edges", "k5_totals_of_fifty", "g13_edge_ends", "a21_session_record"])
 def test_plan_has_no_cross_join_or_python(spark, name):
     df = se.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
