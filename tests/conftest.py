@@ -11,3 +11,10 @@ def spark():
     from loggraph.session import get_session
     s = get_session("local[4]", shuffle_partitions=8)
     yield s
+
+
+@pytest.fixture(scope="module", autouse=True)
+def _nothing_stays_cached(spark):
+    """What a module's tests cache is let go with the module."""
+    yield
+    spark.catalog.clearCache()
