@@ -26,6 +26,10 @@ DEFAULT_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+#: Spark's bound on the bytes of a batch of rows on its way to a Python worker (64 MB
+#: unless set), and the one of jobs that send whole texts there.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 #: Paths of the tables that ``materialize`` wrote, by application.
 _TABLES: dict[str, list[str]] = {}
 
@@ -71,6 +75,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers, unless the session sets a bound of its
+    own. Each running task holds a batch in native memory of the JVM, outside its heap, and
+    in its worker; large ones leave both processes large after the stage."""
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 

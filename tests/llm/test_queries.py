@@ -70,3 +70,32 @@ def test_pipeline_stages(spark):
     for r in stage["packing"](spark, left, sf).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
+
+
+def test_pipeline_stages_bound_their_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from loggraph.session import BATCH_KEY
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["bytes"])
+
+    def largest():
+        return max(r.bytes for r in docs.mapInArrow(measured, "bytes long").collect())
+
+    text = "concat_ws(' ', transform(sequence(1, 400), k -> hex(xxhash64(id, k))))"
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")  # 13 MB in one partition
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.conf.getAll.get(BATCH_KEY)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(BATCH_KEY)
+            assert largest() > 12 << 20
+            stage(spark, docs.limit(20), str(tmp_path))
+            assert largest() < 5 << 20, name
+        spark.conf.set(BATCH_KEY, "1m")  # a bound of the session's own stays
+        corpus_pipeline.stage_exact_dedup(spark, docs.limit(20), str(tmp_path))
+        assert largest() < 2 << 20
+    finally:
+        spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
