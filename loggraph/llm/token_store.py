@@ -40,12 +40,15 @@ from pyspark.sql import functions as F
 from loggraph.session import ensure_checkpoint_dir
 
 from .byte_bpe import byte_bpe
-from .common import materialize, read_table, slices, text_or_empty
+from .common import blocks as text_blocks
+from .common import materialize, read_table, text_or_empty
 
 LEVEL = 3
 DICT_BYTES = 64 << 10
 BLOCK_BYTES = 4 << 20
 OUT_BYTES = 4 << 20
+#: Text that a task encodes at once: in more text a distinct word is met more often.
+TEXT_BYTES = 8 << 20
 END = np.zeros(1, dtype="<u4").tobytes()
 
 ENCODED = "doc_id long, tie long, n_tokens long, frame binary"
@@ -87,8 +90,8 @@ def sample_arrays(docs: DataFrame, tokenizer: str, sample_docs: int, piece_ids:
 
     def encode(batches):
         bpe = byte_bpe(tokenizer)
-        for b in slices(batches):
-            cut = [p for t in b.column(0).to_pylist() for p in pieces(bpe.ids(t) + END, piece_ids, doc_pieces)]
+        for b in text_blocks(batches, TEXT_BYTES, 0):
+            cut = [p for ids in bpe.many(b.column(0)) for p in pieces(ids + END, piece_ids, doc_pieces)]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["ids"])
 
     return [bytes(r["ids"]) for r in few.mapInArrow(encode, "ids binary").collect()]
@@ -128,9 +131,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         bpe, (compressor, _) = byte_bpe(tokenizer), _codec(dictionary)
 
         def rows():
-            for b in slices(batches):
-                for doc_id, tie, text in zip(*(c.to_pylist() for c in b.columns)):
-                    ids = bpe.ids(text) + END
+            for b in text_blocks(batches, TEXT_BYTES, 2):
+                for doc_id, tie, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), bpe.many(b.column(2))):
+                    ids += END
                     yield doc_id, tie, len(ids) // 4, compressor.compress(ids)
 
         yield from _batches(rows(), encoded, lambda r: len(r[3]))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -47,6 +48,30 @@ def test_byte_bpe_equals_the_library():
         assert np.frombuffer(own.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_blocks_equal_the_library():
+    tok, own, r = Tokenizer.from_file(BYTE), ByteBpe(BYTE, kept_words=50), random.Random(6)
+    texts = [t or "" for t in TEXTS] + random_texts(4000, 5) + ["слово за словом", "a b\n c  d", "été à l'île", " \n", "\n x", "x \n"]
+    r.shuffle(texts)
+    want = {t: tok.encode(t, add_special_tokens=False).ids for t in texts}
+    at = 0
+    while at < len(texts):
+        some = texts[at:at + r.choice([1, 2, 30, 900])]
+        got = own.many(pa.array(some, pa.string()))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [want[t] for t in some]
+        at += len(some)
+    assert own.many(pa.array([], pa.string())) == []
+    assert own.many(pa.array(texts)[-20:]) == [own.ids(t) for t in texts[-20:]]
+
+
+def test_a_block_asks_the_library_once_for_a_word():
+    own, asked = ByteBpe(BYTE, kept_words=1), []
+    ask = own.ask
+    own.ask = lambda letters: asked.append(letters) or ask(letters)
+    texts = [f"same words again, word{chr(97 + k % 3)}\nof été" for k in range(200)]
+    ids = own.many(pa.array(texts))
+    assert len(asked) == len(set(asked)) and [own._whole(t) for t in texts] == ids
+
+
 def test_piece_bpe_equals_the_library():
     lib, own = sentencepiece.SentencePieceProcessor(model_file=PIECE), PieceBpe(PIECE, kept_words=50)
     pieces = [lib.id_to_piece(i).replace("▁", " ") for i in range(259, 32000)]
